@@ -64,3 +64,9 @@ def map_rows(df: DataFrame, function, schema: str) -> DataFrame:
                 yield function(part)
 
     return df.mapInPandas(batches, schema)
+
+
+def rows_id() -> Column:
+    """doc_id as a long; a row without one gets a number from 2**62 on that its text decides."""
+    own = F.xxhash64(F.lit(11), text_or_empty()).bitwiseAND(F.lit(2**62 - 1)) + F.lit(2**62)
+    return F.coalesce(F.col("doc_id").cast("long"), own)

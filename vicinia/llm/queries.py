@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, media, mixing, pii, tokens
+from . import line_dedup, media, minhash, mixing, pii, secret_scan, tokens, warc
 from ._common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +18,14 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), size=4, percent=80).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digests(table(spark, sf_dir, "documents"))
 
@@ -34,7 +42,11 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(table(spark, sf_dir, "documents"), "byte_bpe_50k.json", 512)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_line_dedup, op5_media_columns, op7_pii, op8_mixing, op9_token_counts)}
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.find_secrets(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_line_dedup, op3_minhash, op4_warc, op5_media_columns, op7_pii, op8_mixing, op9_token_counts, op10_secrets)}
 
 ORACLE_SQL: dict[str, str] = {
     "op2_line_dedup": r"""
@@ -46,6 +58,25 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, CAST(len(lines) AS BIGINT) AS n_lines, CAST(len(lines) - coalesce(n, 0) AS BIGINT) AS n_dropped, sha256(coalesce(text, '')) AS kept_sha256
         FROM d LEFT JOIN kept USING (r)
     """,
+    "op3_minhash": r"""
+        WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        s AS (SELECT DISTINCT r, array_to_string(w[i:i + 3], ' ') AS shingle FROM (SELECT r, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+        n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+        common AS (SELECT a.r AS a, b.r AS b, count(*) AS c FROM s a JOIN s b ON a.shingle = b.shingle AND a.r < b.r GROUP BY 1, 2),
+        link AS (SELECT a, b FROM common JOIN n x ON a = x.r JOIN n y ON b = y.r WHERE 100 * c >= 80 * (x.n + y.n - c)),
+        both_ways AS (SELECT a, b FROM link UNION SELECT b, a FROM link),
+        reach AS (SELECT r AS a, r AS b FROM d UNION SELECT reach.a, both_ways.b FROM reach JOIN both_ways ON reach.b = both_ways.a),
+        least AS (SELECT reach.a AS r, min(o.doc_id) AS component_id FROM reach JOIN d o ON reach.b = o.r GROUP BY 1)
+        SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id, d.doc_id = component_id AS kept FROM d JOIN least USING (r) LEFT JOIN n USING (r)
+    """,
+    "op4_warc": r"""
+        WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS hex FROM pages),
+        f AS (SELECT hex, min(page_id) AS least FROM p GROUP BY hex),
+        digits AS (SELECT hex, string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST(('0x' || substr(hex, 1 + 5 * (i // 4), 5))::INTEGER >> (15 - 5 * (i % 4)) & 31 AS INTEGER), 1), '' ORDER BY i) AS payload_digest
+                   FROM f, (SELECT unnest(range(0, 32)) AS i) GROUP BY hex)
+        SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest, CASE WHEN page_id = least THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id = least THEN NULL ELSE least END AS refers_to
+        FROM p JOIN f USING (hex) JOIN digits USING (hex)
+    """,
     "op8_mixing": r"""
         WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size, sha256('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS digest FROM documents),
         s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
