@@ -96,7 +96,7 @@ def write_archives(pages: DataFrame, path: str, date: str = "1970-01-01T00:00:00
             for page, url, html, refers_to, revisit in part.itertuples(index=False, name=None):
                 if out is None:
                     name, size, n = f"{root}/{uuid.uuid4().hex}.warc.gz", 0, 0
-                    out = fs.open_output_stream(name)
+                    out = fs.open_output_stream(name, compression=None)  # the records are members of their own already
                 data = record(
                     "" if pd.isna(page) else str(int(page)), url if isinstance(url, str) else None, html.encode(), ("" if pd.isna(refers_to) else str(int(refers_to))) if revisit else None, date, level
                 )
