@@ -7,12 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, media, minhash, mixing, pii, secret_scan, tokens, warc
+from . import line_dedup, media, minhash, mixing, pii, secret_scan, tokens, toxicity, warc
 from ._common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxic_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.7)
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), min_docs=10, min_length=1)
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
@@ -46,7 +50,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.find_secrets(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_line_dedup, op3_minhash, op4_warc, op5_media_columns, op7_pii, op8_mixing, op9_token_counts, op10_secrets)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_toxicity, op2_line_dedup, op3_minhash, op4_warc, op5_media_columns, op7_pii, op8_mixing, op9_token_counts, op10_secrets)}
 
 ORACLE_SQL: dict[str, str] = {
     "op2_line_dedup": r"""
