@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, media, minhash, mixing, pii, secret_scan, tokens, toxicity, warc
+from . import decontamination, line_dedup, media, minhash, mixing, pii, secret_scan, tokens, toxicity, warc
 from ._common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,6 +34,10 @@ def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digests(table(spark, sf_dir, "documents"))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), share=0.8).drop("row")
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_personal_data(table(spark, sf_dir, "documents"))
 
@@ -50,7 +54,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.find_secrets(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_toxicity, op2_line_dedup, op3_minhash, op4_warc, op5_media_columns, op7_pii, op8_mixing, op9_token_counts, op10_secrets)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_toxicity, op2_line_dedup, op3_minhash, op4_warc, op5_media_columns, op6_decontamination, op7_pii, op8_mixing, op9_token_counts, op10_secrets)}
 
 ORACLE_SQL: dict[str, str] = {
     "op2_line_dedup": r"""

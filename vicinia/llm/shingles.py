@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 
-#: Bytes of a text that are hashed at once; a longer word is taken whole.
+#: Bytes of a text that are hashed at once; a word that goes beyond is taken whole.
 CHUNK = 1 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
-_GAPS = np.zeros(256, bool)
-_GAPS[[0x20, *range(0x09, 0x0E)]] = True
+#: Flags of the bytes that separate words.
+GAPS = np.zeros(256, bool)
+GAPS[[0x20, *range(0x09, 0x0E)]] = True
 _EMPTY = np.zeros(0, np.uint64)
 
 
@@ -38,38 +39,39 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0], _POWERS[1]
 
 
-def _chunks(data: bytes):
-    at = 0
-    while at < len(data):
-        end = at + CHUNK
-        if end < len(data):
-            gaps = _GAPS[np.frombuffer(data, np.uint8, count=min(CHUNK, len(data) - end), offset=end)]
-            while not gaps.any() and end + len(gaps) < len(data):
-                end += len(gaps)
-                gaps = _GAPS[np.frombuffer(data, np.uint8, count=min(CHUNK, len(data) - end), offset=end)]
-            end += int(gaps.argmax()) if gaps.any() else len(gaps)
-        yield data[at:end]
-        at = end
+def lowered(text: str) -> np.ndarray:
+    """The bytes of `text`, A-Z lowered."""
+    return np.frombuffer(text.encode("utf-8", "surrogatepass").lower(), np.uint8)
+
+
+def runs(data: np.ndarray, gaps: np.ndarray = GAPS) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the stretches of bytes that are not `gaps`, a flag for each byte."""
+    inside = np.zeros(len(data) + 2, np.int8)
+    inside[1:-1] = ~gaps[data]
+    edges = np.flatnonzero(np.diff(inside))
+    return edges[::2], edges[1::2]
+
+
+def run_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of each stretch of bytes; they are in order, and may overlap."""
+    out = np.empty(len(starts), np.uint64)
+    for k in range(0, len(data), CHUNK):
+        i, j = np.searchsorted(starts, (k, k + CHUNK))
+        if i < j:
+            part = data[k : int(ends[i:j].max())]
+            up, down = powers(len(part) + 1)
+            sums = np.zeros(len(part) + 1, np.uint64)
+            np.cumsum(_BYTES[part] * up[: len(part)], out=sums[1:])
+            out[i:j] = mix((sums[ends[i:j] - k] - sums[starts[i:j] - k]) * down[starts[i:j] - k])
+    return out
 
 
 def word_hashes(text: str | None) -> np.ndarray:
     """A hash of each word `[^\\x20\\x09-\\x0D]+` of `text`, A-Z lowered."""
     if not text:
         return _EMPTY
-    out = []
-    for chunk in _chunks(text.encode("utf-8", "surrogatepass").lower()):
-        data = np.frombuffer(chunk, np.uint8)
-        inside = np.zeros(len(data) + 2, np.int8)
-        inside[1:-1] = ~_GAPS[data]
-        edges = np.flatnonzero(np.diff(inside))
-        if not len(edges):
-            continue
-        up, down = powers(len(data) + 1)
-        sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_BYTES[data] * up[: len(data)], out=sums[1:])
-        starts, ends = edges[::2], edges[1::2]
-        out.append(mix((sums[ends] - sums[starts]) * down[starts]))
-    return np.concatenate(out) if len(out) != 1 else out[0]
+    data = lowered(text)
+    return run_hashes(data, *runs(data))
 
 
 _PLACES = seeds(64, 5000) | np.uint64(1)

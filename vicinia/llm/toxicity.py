@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shingles import CHUNK, mix, powers, seeds
+from .shingles import CHUNK, GAPS, mix, run_hashes, runs
 
 #: Words of a window, and words from one window's start to the next's.
 WINDOW, STRIDE = 32, 24
@@ -44,32 +44,20 @@ BLOCK = 1 << 17
 #: A gate's input that keeps the state as it is, for what pads a word or a window.
 KEEP = 30.0
 
-_GAPS = np.zeros(256, bool)
-_GAPS[[0x20, *range(0x09, 0x0E)]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
-_BYTES = seeds(256, 7000)
-
 
 # --- words and windows ----------------------------------------------------------
 
 
 def words_of(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(bytes lowered, starts, ends, hashes) of the words in `data`, those of more than LONGEST bytes cut into several."""
-    low = _LOWER[np.frombuffer(data, np.uint8)]
-    inside = np.zeros(len(low) + 2, np.int8)
-    inside[1:-1] = ~_GAPS[low]
-    edges = np.flatnonzero(np.diff(inside))
-    starts, ends = edges[::2], edges[1::2]
+    low = np.frombuffer(data.lower(), np.uint8)
+    starts, ends = runs(low)
     if len(starts) and (ends - starts).max() > LONGEST:
         pieces = -(-(ends - starts) // LONGEST)
         first = np.repeat(np.cumsum(pieces) - pieces, pieces)
         starts = np.repeat(starts, pieces) + LONGEST * (np.arange(len(first)) - first)
         ends = np.minimum(starts + LONGEST, np.repeat(ends, pieces))
-    up, down = powers(len(low) + 1)
-    sums = np.zeros(len(low) + 1, np.uint64)
-    np.cumsum(_BYTES[low] * up[: len(low)], out=sums[1:])
-    return low, starts, ends, mix((sums[ends] - sums[starts]) * down[starts])
+    return low, starts, ends, run_hashes(low, starts, ends)
 
 
 def window_starts(n: int) -> np.ndarray:
@@ -387,14 +375,14 @@ def _pieces(data: bytes) -> Iterator[bytes]:
     at = 0
     while len(data) - at > CHUNK:
         end = at + CHUNK
-        while end > at + CHUNK // 2 and not _GAPS[data[end - 1]]:
+        while end > at + CHUNK // 2 and not GAPS[data[end - 1]]:
             end -= 1
         yield data[at:end]
         back = end
         for _ in range(WINDOW):
-            while back > at and _GAPS[data[back - 1]]:
+            while back > at and GAPS[data[back - 1]]:
                 back -= 1
-            while back > max(at, end - CHUNK // 4) and not _GAPS[data[back - 1]]:
+            while back > max(at, end - CHUNK // 4) and not GAPS[data[back - 1]]:
                 back -= 1
         at = back
     yield data[at:]
