@@ -36,7 +36,8 @@ WINDOW, STRIDE = 32, 24
 LONGEST = 24
 #: Bounds of the training sample.
 SAMPLE, WINDOWS_EACH = 1200, 24
-EPOCHS, BATCH, RATE = 6, 128, 0.01
+#: Passes over the sample, more of them where it is small, so that there are at least STEPS.
+EPOCHS, STEPS, BATCH, RATE = 6, 320, 128, 0.01
 VOCABULARY = 4096
 CHARS, HIDDEN, ATTEND = 8, 8, 8
 #: Words whose windows are scored at once.
@@ -286,9 +287,10 @@ def fit(texts: list[list[str]], labels: list[int], seed: int = 0) -> Network | N
     network = Network(np.sort(lexicon.hashes[common[counts[common] >= 3]]), seed)
     adam, toxic = Adam(network.p), np.array(labels)[owner]
     bounds = np.searchsorted(owner, np.arange(len(texts) + 1))
-    total = EPOCHS * 2 * len(texts) // BATCH + 1
-    done = 0
-    for epoch in range(EPOCHS):
+    each = max(1, 5 * len(texts) // (2 * BATCH))
+    epochs = max(EPOCHS, -(-STEPS // each))
+    total, done = epochs * each, 0
+    for epoch in range(epochs):
         logit = network.logits(lexicon, windows) if epoch else rng.random(len(owner))
         picked = []
         for i, label in enumerate(labels):
@@ -297,7 +299,7 @@ def fit(texts: list[list[str]], labels: list[int], seed: int = 0) -> Network | N
                 continue
             ranked = own[np.argsort(-logit[own], kind="stable")]
             if label:  # the likeliest windows of a toxic text; at first, when nothing tells them apart, a few
-                picked += [*(ranked[:1] if epoch > 1 else ranked[:3]), *[w for w in ranked[1:3] if epoch > 1 and logit[w] > 0]]
+                picked += [*(ranked[:1] if done > STEPS // 4 else ranked[:3]), *[w for w in ranked[1:3] if done > STEPS // 4 and logit[w] > 0]]
             else:  # the hardest window of a clean text, and any two
                 picked += [ranked[0], *rng.choice(own, min(2, len(own)), replace=False)]
         picked = rng.permutation(np.array(picked))
@@ -311,7 +313,7 @@ def fit(texts: list[list[str]], labels: list[int], seed: int = 0) -> Network | N
             wanted = toxic[some].astype(np.float32)
             weight = np.where(wanted > 0, 0.5 / share, 0.5 / (1 - share)).astype(np.float32)
             if len(used):
-                adam.step(network.gradients(small, inverse, wanted, weight, rng), RATE * (1 - 0.9 * done / max(total, done + 1)))
+                adam.step(network.gradients(small, inverse, wanted, weight, rng), RATE * max(0.1, 1 - 0.9 * done / total))
             done += 1
     logit = network.logits(lexicon, windows).astype(np.float64)
     best = np.full(len(texts), -np.inf)
