@@ -271,3 +271,9 @@ def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 80) -> DataFr
     own = rows.join(moved, (F.col("k1") == F.col("m1")) & (F.col("k2") == F.col("m2")) & (F.col("n_shingles") > 0), "left").withColumn("component", F.coalesce("component", "id"))
     component = F.when(F.col("component") < 2**62, F.col("component"))
     return own.select("id", "doc_id", "n_shingles", component.alias("component_id"), (F.col("id") == F.col("component")).alias("kept"))
+
+
+def deduplicated(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of `docs` that are kept, with their columns: of each group of near-duplicates that of the least doc_id."""
+    dropped = near_duplicates(docs, size, percent).where(~F.col("kept")).select(F.col("id").alias("__id"))
+    return docs.join(dropped.distinct(), rows_id() == F.col("__id"), "left_anti").select(docs.columns)

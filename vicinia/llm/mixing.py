@@ -23,6 +23,8 @@ from ._common import WORD, staged, text_or_empty
 
 #: One sha256 gives eight draws of 32 bits.
 DRAWS = 8
+#: Sources that are shipped to every task as a table; more of them are joined by a shuffle.
+FEW = 10_000
 
 
 def word_count(column: str = "text") -> Column:
@@ -54,32 +56,52 @@ def targets(sizes: DataFrame, weights: Sequence[float], share: float, cap: float
     )
 
 
-def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, seed: str = "mix") -> DataFrame:
-    """Per row of `docs`: doc_id, source, size, source_size, target, copies, taken (words the mix takes)."""
-    digest = F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 256)
-    sized = staged(docs.select("doc_id", "source", word_count().alias("size")), "mix-sizes").withColumn("digest", digest)
+def _digest(seed: str) -> Column:
+    return F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 256)
+
+
+def _copies(draw: Column | int, digest: Column | str = "digest", whole: str = "whole", bound: str = "bound") -> Column:
+    """floor(rate), and one more where the draw is under the bound, both as eight hex digits."""
+    start = F.lit(1) + F.lit(8) * draw
+    return F.col(whole) + (F.substring(digest, start, 8) < F.col(bound)).cast("long")
+
+
+def _by_source(rows: DataFrame, sources: DataFrame, few: bool) -> DataFrame:
+    """`rows` with their source's columns; `sources` is shipped whole where there are few."""
+    named = sources.withColumnRenamed("source", "named")
+    return rows.join(F.broadcast(named) if few else named, F.col("source").eqNullSafe(F.col("named")), "left").drop("named")
+
+
+def _rates(sized: DataFrame, weights: Sequence[float], share: float, cap: float) -> tuple[DataFrame, bool]:
+    """(source, source_size, target, whole, bound, draw) of each source of `sized` rows, staged; whether they are FEW at most."""
     rated = (
         targets(sized, weights, share, cap)
         .withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
         .withColumn("whole", F.floor("rate"))
-        .withColumn("limit", F.lpad(F.lower(F.hex(F.floor((F.col("rate") - F.col("whole")) * float(2**32)).cast("long"))), 8, "0"))
-        .withColumnRenamed("source", "named")
+        .withColumn("bound", F.lpad(F.lower(F.hex(F.floor((F.col("rate") - F.col("whole")) * float(2**32)).cast("long"))), 8, "0"))
+        .drop("rate")
     )
+    rated = staged(rated, "mix-rates")
+    few = rated.count() <= FEW
+    joined = _by_source(sized, rated, few)
+    sums = joined.groupBy("source").agg(F.first("target").alias("aim"), *[F.sum(F.col("size") * _copies(i)).alias(f"sum{i}") for i in range(DRAWS)])
+    best = F.array_min(F.array(*[F.struct(F.abs(F.col(f"sum{i}") - F.col("aim")), F.lit(i).alias("draw")) for i in range(DRAWS)]))["draw"]
+    return staged(_by_source(rated, sums.select("source", best.alias("draw")), few), "mix-draws"), few
 
-    def copies(draw: Column | int) -> Column:
-        start = F.lit(1) + F.lit(8) * draw
-        return F.col("whole") + (F.substring("digest", start, 8) < F.col("limit")).cast("long")
 
-    joined = sized.join(rated, F.col("source").eqNullSafe(F.col("named")), "left")
-    sums = joined.groupBy("named").agg(F.first("target").alias("aim"), *[F.sum(F.col("size") * copies(i)).alias(f"sum{i}") for i in range(DRAWS)])
-    best = F.array_min(F.array(*[F.struct(F.abs(F.col(f"sum{i}") - F.col("aim")), F.lit(i).alias("draw")) for i in range(DRAWS)]))["draw"]
-    chosen = rated.join(sums.select(F.col("named").alias("summed"), best.alias("draw")), F.col("named").eqNullSafe(F.col("summed")), "left")
-    drawn = sized.join(chosen, F.col("source").eqNullSafe(F.col("named")), "left").withColumn("copies", copies(F.col("draw")))
+def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, seed: str = "mix") -> DataFrame:
+    """Per row of `docs`: doc_id, source, size, source_size, target, copies, taken (words the mix takes)."""
+    sized = staged(docs.select("doc_id", "source", word_count().alias("size")), "mix-sizes").withColumn("digest", _digest(seed))
+    drawn = _by_source(sized, *_rates(sized, weights, share, cap)).withColumn("copies", _copies(F.col("draw")))
     return drawn.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, seed: str = "mix") -> DataFrame:
     """The mix itself: every row of `docs` as often as `mix` says, with its `copy` number from 1."""
-    rates = mix(docs, weights, share, cap, seed).select(F.col("doc_id").alias("drawn_id"), F.col("source").alias("drawn_source"), F.col("size").alias("drawn_size"), "copies").where("copies > 0").distinct()
-    on = F.col("doc_id").eqNullSafe(F.col("drawn_id")) & F.col("source").eqNullSafe(F.col("drawn_source")) & (word_count() == F.col("drawn_size"))
-    return docs.join(rates, on).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).drop("drawn_id", "drawn_source", "drawn_size", "copies")
+    sized = staged(docs.select("doc_id", "source", word_count().alias("size")), "mix-sizes").withColumn("digest", _digest(seed))
+    rates, few = _rates(sized, weights, share, cap)
+    own = rates.select("source", F.struct("whole", "bound", "draw").alias("__rate"))
+    drawn = _by_source(docs, own, few)
+    copies = _copies(F.col("__rate.draw"), _digest(seed), "__rate.whole", "__rate.bound")
+    columns = [c for c in docs.columns if c != "copy"]
+    return drawn.withColumn("__copies", copies).where("__copies > 0").select(*columns, F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies"))).alias("copy"))

@@ -425,11 +425,11 @@ def score_texts(network: Network, texts: list[str | None]) -> np.ndarray:
     return best
 
 
-def scores(docs: DataFrame, network: Network | None) -> DataFrame:
-    """`docs` with score: double."""
-    columns = [c for c in docs.columns if c != "score"]
+def scores(docs: DataFrame, network: Network | None, name: str = "score") -> DataFrame:
+    """`docs` with the score as column `name`: double."""
+    columns = [c for c in docs.columns if c != name]
     if network is None:
-        return docs.select(*columns, F.lit(0.0).alias("score"))
+        return docs.select(*columns, F.lit(0.0).alias(name))
     shipped = docs.sparkSession.sparkContext.broadcast(network)  # of a size that VOCABULARY bounds
 
     @F.pandas_udf("double")
@@ -437,7 +437,7 @@ def scores(docs: DataFrame, network: Network | None) -> DataFrame:
         for part in texts:
             yield pd.Series(score_texts(shipped.value, [t if isinstance(t, str) else None for t in part]))
 
-    return docs.select(*columns, score(F.col("text").cast("string")).alias("score"))
+    return docs.select(*columns, score(F.col("text").cast("string")).alias(name))
 
 
 def toxic_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
@@ -445,3 +445,11 @@ def toxic_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) ->
     scored = scores(docs.select("doc_id", "text"), train(docs, labels))
     held_out = F.coalesce(~taught(), F.lit(False))
     return scored.select(F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
+    """The rows of `docs` that score below `threshold`, with their columns."""
+    network = train(docs, labels)
+    if network is None:
+        return docs
+    return scores(docs, network, "__score").where(F.col("__score") < threshold).drop("__score")
