@@ -99,7 +99,8 @@ def media_column(docs: DataFrame) -> DataFrame:
     def write(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             data = [t.encode() if isinstance(t, str) else b"" for t in part["text"]]
-            yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64"), "n_bytes": [len(d) for d in data], "media": [store(padded(d)) for d in data]})
+            stored = {d: store(padded(d)) for d in dict.fromkeys(data)}
+            yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64"), "n_bytes": [len(d) for d in data], "media": [stored[d] for d in data]})
 
     return docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text").mapInPandas(write, "doc_id long, n_bytes long, media binary")
 
@@ -120,12 +121,13 @@ def media_digests(docs: DataFrame) -> DataFrame:
 
     def describe(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            rows = []
+            seen: dict[bytes, tuple] = {}
             for m in part["media"]:
-                samples = load(m)
-                payload = samples.tobytes()
-                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-WIDTH:]), len(m), hashlib.sha256(m).hexdigest(), feature(samples)))
-            out = pd.DataFrame(rows, columns=["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+                if m not in seen:
+                    samples = load(m)
+                    payload = samples.tobytes()
+                    seen[m] = (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-WIDTH:]), len(m), hashlib.sha256(m).hexdigest(), feature(samples))
+            out = pd.DataFrame([seen[m] for m in part["media"]], columns=["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
             out.insert(0, "n_bytes", part["n_bytes"].to_numpy())
             out.insert(0, "doc_id", part["doc_id"].astype("Int64").to_numpy())
             yield out

@@ -5,8 +5,8 @@ Pixels are uint8 arrays of shape (height, width, 4), channels A, R, G, B.
 
 from __future__ import annotations
 
-import heapq
 import struct
+from functools import lru_cache
 
 import numpy as np
 
@@ -33,6 +33,10 @@ class WebPError(ValueError):
     pass
 
 
+#: 16 bits in reverse order.
+TURNED = np.packbits(np.unpackbits(np.arange(1 << 16, dtype=">u2").view(np.uint8)).reshape(-1, 16)[:, ::-1]).view(">u2").astype(np.int64)
+
+
 # --- prefix codes -------------------------------------------------------------
 
 
@@ -45,11 +49,8 @@ def code_words(lengths: np.ndarray) -> np.ndarray:
     top = int(sizes[-1])
     # Codes of one length follow each other; in units of the longest length, each code starts where the last one ends.
     starts = np.cumsum(1 << (top - sizes)) - (1 << (top - sizes))
-    code, turned = starts >> (top - sizes), np.zeros(len(sizes), np.int64)
-    for i in range(top):
-        turned = np.where(i < sizes, turned << 1 | (code >> i & 1), turned)
     words = np.zeros(len(lengths), np.int64)
-    words[used[order]] = turned
+    words[used[order]] = TURNED[starts >> (top - sizes)] >> (16 - sizes)
     return words
 
 
@@ -81,7 +82,8 @@ class Bits:
     def __init__(self, data: bytes):
         self.end = 8 * len(data)
         padded = np.frombuffer(data + bytes(8), np.uint8).astype(np.uint32)
-        self.win = (padded[:-3] | padded[1:-2] << 8 | padded[2:-1] << 16 | padded[3:] << 24).tolist()
+        self.windows = padded[:-3] | padded[1:-2] << 8 | padded[2:-1] << 16 | padded[3:] << 24
+        self.win = self.windows.tolist()
         self.pos = 0
 
     def read(self, n: int) -> int:
@@ -172,47 +174,50 @@ def read_single_channel(bits: Bits, green: Code, far: Code, width: int, total: i
             raise WebPError("an image of copies alone")
         return np.full(total, green.only, np.uint8)
     # For each window: up to 4 literals, how many, and how many bits they take; none if a copy comes first.
-    window = np.arange(1 << max(WINDOW, green.bits))
-    literals, count, used = np.zeros((len(window), 4), np.uint8), np.zeros(len(window), np.int64), np.zeros(len(window), np.int64)
-    open_ = np.ones(len(window), bool)
     top = max(WINDOW, green.bits)
+    packed = green.symbol << 8 | np.where(green.symbol < 256, green.length, 255)
+    size = 1 << top
+    literals, count, used, at = np.zeros((size, 4), np.uint8), np.zeros(size, np.uint8), np.zeros(size, np.int64), np.arange(size)
     for k in range(4):
-        at = (window >> used) & green.mask
-        symbol, length = green.symbol[at], green.length[at]
-        open_ &= (symbol < 256) & (used + length <= top)
-        literals[open_, k] = symbol[open_]
-        count += open_
-        used += length * open_
-    counts, steps, win, mask = count.tolist(), used.tolist(), bits.win, len(window) - 1
-    out, n, seen, pos, last = bytearray(), 0, [], bits.pos, len(bits.win) - 1
-
-    def flush() -> None:
-        if seen:
-            at = np.array(seen)
-            out.extend(literals[at][np.arange(4) < count[at][:, None]].tobytes())
-            seen.clear()
-
-    see = seen.append
-    while n < total:
-        w = (win[pos >> 3] >> (pos & 7)) & mask
-        if step := steps[w]:
-            see(w)
+        found = packed.take((at >> used) & green.mask)
+        more = found & 255
+        fits = (used + more <= top) & (count == k)
+        literals[:, k] = found >> 8
+        count += fits
+        used += more * fits
+    # The window at every bit from here on, and the steps from one to the next; none from the end of the stream on.
+    first = bits.pos >> 3
+    every = ((bits.windows[first : (bits.end >> 3) + 1, None] >> np.arange(8, dtype=np.uint32)) & np.uint32(size - 1)).reshape(-1)
+    end = bits.end - 8 * first
+    stretch = every[: min(end, 16 + total * green.bits)]  # no image of literals alone is longer
+    steps = [*used[stretch].astype(np.uint8).tobytes(), *bytes(top + 1)]
+    out, pos = bytearray(), bits.pos - 8 * first
+    while len(out) < total:
+        seen, left = [], total - len(out)
+        see = seen.append
+        while step := steps[pos]:
+            see(pos)
             pos += step
-            n += counts[w]
-            if pos >> 3 > last:
-                raise WebPError("the stream ends early")
-        else:
-            flush()
-            bits.pos = pos
-            length = bits.value(bits.symbol(green) - 256)
-            back = distance(bits.value(bits.symbol(far)), width)
-            if back > len(out) or n + length > total:
-                raise WebPError("a copy runs over")
-            piece = out[len(out) - back : len(out) - back + length]
-            out.extend((piece * (length // len(piece) + 1))[:length])
-            n, pos = n + length, bits.pos
-    flush()
-    if n > total:  # the last window looked beyond the image
+        if seen:
+            at = every[seen]
+            n = np.cumsum(count[at])
+            upto = int(np.searchsorted(n, left)) + 1  # this window fills the image, or a copy comes before that
+            out.extend(literals[at[:upto]][np.arange(4) < count[at[:upto], None]].tobytes())
+            if n[-1] >= left:
+                pos = seen[upto - 1] + int(used[every[seen[upto - 1]]])
+                break
+        if pos >= end:
+            raise WebPError("the stream ends early")
+        bits.pos = pos + 8 * first
+        length = bits.value(bits.symbol(green) - 256)
+        back = distance(bits.value(bits.symbol(far)), width)
+        if back > len(out) or len(out) + length > total:
+            raise WebPError("a copy runs over")
+        piece = out[len(out) - back : len(out) - back + length]
+        out.extend((piece * (length // len(piece) + 1))[:length])
+        pos = bits.pos - 8 * first
+    pos += 8 * first
+    if len(out) > total:  # the last window looked beyond the image
         pos -= int(green_bits(green, bytes(out[total:])))
         del out[total:]
     if pos > bits.end:
@@ -416,33 +421,37 @@ def add_green(pixels: np.ndarray) -> np.ndarray:
 
 
 class Writer:
-    """Bits, lowest first: small fields one by one, and whole arrays of code words at once."""
+    """Bit fields of 25 bits at most, lowest bit first: small ones one by one, and whole arrays of code words at once."""
 
     def __init__(self):
-        self.done: list[np.ndarray] = []
-        self.number, self.held = 0, 0
+        self.values: list[np.ndarray] = []
+        self.lengths: list[np.ndarray] = []
+        self.fields: list[tuple[int, int]] = []
 
     def put(self, value: int, n: int) -> None:
-        self.number |= value << self.held
-        self.held += n
+        self.fields.append((value, n))
 
     def puts(self, values: np.ndarray, lengths: np.ndarray) -> None:
         self._flush()
-        lengths = lengths.astype(np.int32)
-        ends = np.cumsum(lengths, dtype=np.int32)
-        place = np.arange(ends[-1] if len(ends) else 0, dtype=np.int32)
-        place -= np.repeat(ends - lengths, lengths)
-        self.done.append((np.repeat(values.astype(np.int32), lengths) >> place).astype(np.uint8) & 1)
+        self.values.append(values)
+        self.lengths.append(lengths)
 
     def _flush(self) -> None:
-        if self.held:
-            data = np.frombuffer(self.number.to_bytes((self.held + 7) // 8, "little"), np.uint8)
-            self.done.append(np.unpackbits(data, count=self.held, bitorder="little"))
-            self.number, self.held = 0, 0
+        if self.fields:
+            both = np.array(self.fields, np.int64)
+            self.fields = []
+            self.puts(both[:, 0], both[:, 1])
 
     def bytes(self) -> bytes:
+        """The fields, packed: each one lies in a word of 32 bits and the one behind it, where no other has a bit set."""
         self._flush()
-        return np.packbits(np.concatenate(self.done), bitorder="little").tobytes()
+        lengths = np.concatenate(self.lengths).astype(np.int64)
+        ends = np.cumsum(lengths)
+        starts = ends - lengths
+        placed = np.concatenate(self.values).astype(np.int64) << (starts & 31)
+        word, size = starts >> 5, int(ends[-1] >> 5) + 2
+        packed = np.bincount(word, placed & 0xFFFFFFFF, size) + np.bincount(word + 1, placed >> 32, size)
+        return packed[:size].astype("<u4").tobytes()[: int(ends[-1] + 7) >> 3]
 
 
 def code_lengths(counts: np.ndarray, longest: int) -> np.ndarray:
@@ -452,24 +461,27 @@ def code_lengths(counts: np.ndarray, longest: int) -> np.ndarray:
     if len(used) <= 1:
         lengths[used] = 1
         return lengths
-    weight = {s: int(counts[s]) for s in used}
+    weights = np.asarray(counts)[used]
     while True:
-        heap = [(n, s) for s, n in weight.items()]
-        heapq.heapify(heap)
-        parent, made = {}, len(counts)
-        while len(heap) > 1:
-            (a, x), (b, y) = heapq.heappop(heap), heapq.heappop(heap)
-            parent[x] = parent[y] = made
-            heapq.heappush(heap, (a + b, made))
-            made += 1
-        depth = {made - 1: 0}
-        for node in range(made - 2, len(counts) - 1, -1):
+        order = np.argsort(weights, kind="stable")
+        # The two lightest nodes are at the heads of two queues: of symbols by weight, and of the nodes made, which only grow.
+        own = weights[order].tolist()
+        n, parent, made, i, j = len(own), [0] * (2 * len(own) - 1), [], 0, 0
+        for node in range(n, 2 * n - 1):
+            total = 0
+            for _ in range(2):
+                if i < n and (j >= len(made) or own[i] <= made[j]):
+                    total, parent[i], i = total + own[i], node, i + 1
+                else:
+                    total, parent[n + j], j = total + made[j], node, j + 1
+            made.append(total)
+        depth = [0] * (2 * n - 1)
+        for node in range(2 * n - 3, -1, -1):
             depth[node] = depth[parent[node]] + 1
-        for s in used:
-            lengths[s] = depth[parent[s]] + 1
-        if lengths.max() <= longest:
+        if max(depth) <= longest:
+            lengths[np.array(used)[order]] = depth[:n]
             return lengths
-        weight = {s: n // 2 + 1 for s, n in weight.items()}
+        weights = weights // 2 + 1
 
 
 def write_code(out: Writer, lengths: np.ndarray) -> None:
@@ -480,24 +492,26 @@ def write_code(out: Writer, lengths: np.ndarray) -> None:
         for value, n in [(1, 1), (len(symbols) - 1, 1), (int(wide), 1), (symbols[0], 8 if wide else 1)] + [(s, 8) for s in symbols[1:]]:
             out.put(value, n)
         return
-    tokens, at, end = [], 0, used[-1] + 1
-    own = lengths[:end].tolist()
-    while at < end:
-        run = 0
-        while at + run < end and not own[at + run] and run < 138:
-            run += 1
-        if run >= 11:
-            tokens.append((18, run - 11, 7))
-        elif run >= 3:
-            tokens.append((17, run - 3, 3))
-        else:
-            run = 1
-            tokens.append((own[at], 0, 0))
-        at += run
+    tokens, at = [], 0
+    for symbol, n in zip(used, lengths[used].tolist()):
+        run = symbol - at
+        while run:
+            some = min(run, 138)
+            if some >= 11:
+                tokens.append((18, some - 11, 7))
+            elif some >= 3:
+                tokens.append((17, some - 3, 3))
+            else:
+                some = 1
+                tokens.append((0, 0, 0))
+            run -= some
+        tokens.append((n, 0, 0))
+        at = symbol + 1
     inner = code_lengths(np.bincount([t[0] for t in tokens], minlength=19), 7)
     if np.count_nonzero(inner) == 1:  # the format has no lone symbol here without a second one
         inner[0 if not inner[0] else 1] = 1
-    fields = [(0, 1), (15, 4)] + [(int(inner[s]), 3) for s in LENGTH_ORDER] + [(1, 1), (3, 3), (len(tokens) - 2, 8)] if len(tokens) >= 2 else []
+    size = next(n for n in range(3, 8) if len(tokens) - 2 < 1 << (2 + 2 * n))  # of the field that says how many lengths follow
+    fields = [(0, 1), (15, 4)] + [(int(inner[s]), 3) for s in LENGTH_ORDER] + [(1, 1), (size, 3), (len(tokens) - 2, 2 + 2 * size)] if len(tokens) >= 2 else []
     words = code_words(inner)
     for s, extra, n in tokens:
         fields += [(int(words[s]), int(inner[s])), (extra, n)]
@@ -515,6 +529,12 @@ def prefix_of(value: int) -> tuple[int, int, int]:
     return 2 * top + (v >> extra & 1), v & ((1 << extra) - 1), extra
 
 
+@lru_cache(16)
+def near_codes(width: int) -> dict[int, int]:
+    """The short codes of distances in an image so wide."""
+    return {x + y * width: i + 1 for i, (x, y) in reversed(list(enumerate(NEAR))) if x + y * width >= 1}
+
+
 def write_image(out: Writer, argb: np.ndarray, width: int, main: bool, copies: list[tuple[int, int, int]] = (), cache_bits: int = 0) -> None:
     """`argb` as literals, but for `copies`: (place, length, distance), in order; with a cache, known colours as its indices."""
     out.put(int(cache_bits > 0), 1)
@@ -522,7 +542,7 @@ def write_image(out: Writer, argb: np.ndarray, width: int, main: bool, copies: l
         out.put(cache_bits, 4)
     if main:
         out.put(0, 1)
-    near = {x + y * width: i + 1 for i, (x, y) in reversed(list(enumerate(NEAR))) if x + y * width >= 1} if len(copies) else {}
+    near = near_codes(width) if len(copies) else {}
     green = (argb >> 8 & 255).astype(np.int64)
     literal = np.ones(len(argb), bool)
     coded = []
@@ -558,8 +578,14 @@ def write_image(out: Writer, argb: np.ndarray, width: int, main: bool, copies: l
     lengths = [own if np.count_nonzero(own) > 1 else np.zeros_like(own) for own in lengths]  # a lone symbol takes no bits
     words = [code_words(own) if own.any() else own for own in lengths]
     wide = [j for j in (1, 2, 3) if others and lengths[j].any()]
-    if not wide and not coded:
-        out.puts(words[0][symbols], lengths[0][symbols])
+    if not wide:
+        own = symbols[literal]
+        values, sizes = words[0][own], lengths[0][own]
+        if coded:  # each copy's four fields come before the literals behind it
+            at = np.repeat(np.searchsorted(np.flatnonzero(literal), [place for place, _, _ in coded]), 4)
+            fields = np.array([(words[0][256 + a], lengths[0][256 + a], a_extra, a_bits, words[4][b], lengths[4][b], b_extra, b_bits) for _, (a, a_extra, a_bits), (b, b_extra, b_bits) in coded])
+            values, sizes = np.insert(values, at, fields[:, ::2].reshape(-1)), np.insert(sizes, at, fields[:, 1::2].reshape(-1))
+        out.puts(values, sizes)
         return
     # A row for each pixel: green or cache symbol, then what varies of red, blue and alpha; copies take the first pixel's row.
     values = np.zeros((len(argb), max(1 + len(wide), 4 if coded else 1)), np.int32)
