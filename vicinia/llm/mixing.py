@@ -68,8 +68,8 @@ def _copies(draw: Column | int, digest: Column | str = "digest", whole: str = "w
 
 def _by_source(rows: DataFrame, sources: DataFrame, few: bool) -> DataFrame:
     """`rows` with their source's columns; `sources` is shipped whole where there are few."""
-    named = sources.withColumnRenamed("source", "named")
-    return rows.join(F.broadcast(named) if few else named, F.col("source").eqNullSafe(F.col("named")), "left").drop("named")
+    named = sources.withColumnRenamed("source", "__named")
+    return rows.join(F.broadcast(named) if few else named, F.col("source").eqNullSafe(F.col("__named")), "left").drop("__named")
 
 
 def _rates(sized: DataFrame, weights: Sequence[float], share: float, cap: float) -> tuple[DataFrame, bool]:
