@@ -370,3 +370,30 @@ def test_pipeline(spark, tmp_path):
     frame = pd.DataFrame([r.asDict() for r in out])
     assert (frame.groupby("doc_id", dropna=False)["copy"].max() <= 2).all()
     assert [name for name, _ in corpus_pipeline.STAGES] == ["toxicity", "line_dedup", "near_dedup", "decontamination", "mixing"]
+
+
+def test_templates_as_their_sql(spark):
+    import duckdb
+
+    from vicinia.llm.queries import ORACLE_SQL
+
+    r = random.Random(12)
+    names, numbers, units, plain = ["Anna", "Bob", "Peter", "Maria"], ["3", "4.5", "1,000", "twelve", "7th"], ["km", "hours", "dollars"], ["goes", "to", "the", "and", "é", "buys", "X", "mcD", "The"]
+
+    def sentence(n):
+        return " ".join(r.choice(r.choice([names, numbers, units, plain, plain])) + r.choice(["", "", "", ".", ",", "!", "\n", ":"]) for _ in range(n))
+
+    def varied(t):
+        swap = {a: r.choice(p) if r.random() < 0.6 else a for p in (names, numbers) for a in p}
+        return "".join(swap.get(w, w) for w in __import__("re").split(r"([A-Za-z0-9é]+)", t))
+
+    bench = [sentence(r.randint(3, 14)) for _ in range(12)] + [None, "", "Anna", ITEM]
+    docs = [sentence(r.randint(0, 10)) + " " + varied(r.choice(bench) or "") + " " + sentence(r.randint(0, 6)) for _ in range(150)] + AWKWARD
+    got = decontamination.contaminated(table(spark, docs), items(spark, [(i, t, 0) for i, t in enumerate(bench)])).drop("row").toPandas()
+    db = duckdb.connect()
+    db.register("documents", pd.DataFrame({"doc_id": range(len(docs)), "text": docs}))
+    db.register("benchmark", pd.DataFrame({"item_id": range(len(bench)), "text": bench}))
+    want = db.execute(ORACLE_SQL["op6_decontamination"]).df()
+    order = ["doc_id", "item_id"]
+    assert len(want) > 50 and (want["n_changed"] > 0).any()
+    pd.testing.assert_frame_equal(got.sort_values(order).reset_index(drop=True), want[got.columns].sort_values(order).reset_index(drop=True), check_dtype=False)

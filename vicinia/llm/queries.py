@@ -85,6 +85,32 @@ ORACLE_SQL: dict[str, str] = {
         SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest, CASE WHEN page_id = least THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id = least THEN NULL ELSE least END AS refers_to
         FROM p JOIN f USING (hex) JOIN digits USING (hex)
     """,
+    "op6_decontamination": rf"""
+        WITH source AS (SELECT 'd' AS side, row_number() OVER () AS r, doc_id AS id, coalesce(text, '') AS t FROM documents UNION ALL SELECT 'i', row_number() OVER (), item_id, coalesce(text, '') FROM benchmark),
+        pieces AS (SELECT side, r, id, regexp_extract_all(t, '([^A-Za-z0-9\x{{80}}-\x{{10FFFF}}]*)([A-Za-z0-9\x{{80}}-\x{{10FFFF}}]+)', 1) AS gaps, regexp_extract_all(t, '([^A-Za-z0-9\x{{80}}-\x{{10FFFF}}]*)([A-Za-z0-9\x{{80}}-\x{{10FFFF}}]+)', 2) AS words FROM source),
+        word AS (SELECT side, r, id, unnest(gaps) AS gap, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM pieces),
+        low AS (SELECT *, translate(word, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low FROM word),
+        kind AS (SELECT *, CASE WHEN regexp_matches(word, '^[0-9]') OR low IN ({", ".join(f"'{w}'" for w in sorted(decontamination.NUMBERS))}) THEN 1 WHEN low IN ({", ".join(f"'{w}'" for w in sorted(decontamination.UNITS))}) THEN 2 ELSE 0 END AS kind,
+                 regexp_full_match(word, '[A-Z][a-z]+') AS capital, i > 1 AND NOT regexp_matches(gap, '[.!?:\n\r]') AS inside FROM low),
+        name AS (SELECT DISTINCT side, r, low FROM kind WHERE kind = 0 AND capital AND inside),
+        typed AS (SELECT kind.side, kind.r, id, i, kind.low, CASE WHEN kind = 0 AND capital AND name.low IS NOT NULL THEN 3 ELSE kind END AS kind FROM kind LEFT JOIN name ON kind.side = name.side AND kind.r = name.r AND kind.low = name.low),
+        ways AS (SELECT *, 0 AS way FROM typed UNION ALL SELECT side, r, id, i, low, CASE WHEN kind = 3 THEN 0 ELSE kind END, 1 FROM typed SEMI JOIN name USING (side, r)),
+        edge AS (SELECT *, CASE WHEN kind IN (1, 3) AND kind = lag(kind) OVER (PARTITION BY side, r, way ORDER BY i) THEN 0 ELSE 1 END AS opens FROM ways),
+        grouped AS (SELECT *, sum(opens) OVER (PARTITION BY side, r, way ORDER BY i ROWS UNBOUNDED PRECEDING) AS g FROM edge),
+        token AS (SELECT side, r, id, way, g, any_value(kind) AS kind, string_agg(low, ' ' ORDER BY i) AS value FROM grouped GROUP BY ALL),
+        text AS (SELECT side, r, id, way, count(*) AS n, list(kind ORDER BY g) AS kinds, list(value ORDER BY g) AS vals, list(CASE WHEN kind = 0 THEN value ELSE '<' || kind || '>' END ORDER BY g) AS template FROM token GROUP BY ALL),
+        place AS (SELECT *, unnest(range(1, greatest(n - 4, 1) + 1)) AS p FROM text),
+        win AS (SELECT side, r, id, way, p, greatest(n - 4, 1) AS total, array_to_string(template[p:p + 4], ' ') AS w, kinds[p:p + 4] AS kinds, vals[p:p + 4] AS vals FROM place),
+        met AS (SELECT d.r AS d, d.id AS doc_id, i.r AS i, i.id AS item_id, i.total, d.way AS way, i.way AS item_way, d.p - i.p AS diagonal, i.p AS p, list_filter(list_zip(i.kinds, i.vals, d.vals), lambda z: z[1] != 0) AS bound
+                FROM win d JOIN win i ON d.side = 'd' AND i.side = 'i' AND d.w = i.w),
+        slot AS (SELECT d, i, way, item_way, diagonal, unnest(bound) AS b FROM met),
+        odd AS (SELECT d, i, way, item_way, diagonal FROM slot GROUP BY ALL HAVING count(DISTINCT b) != count(DISTINCT (b[1], b[2])) OR count(DISTINCT b) != count(DISTINCT (b[1], b[3]))),
+        good AS (SELECT * FROM met ANTI JOIN odd USING (d, i, way, item_way, diagonal)),
+        bindings AS (SELECT d, i, item_way, count(DISTINCT b) AS n_slots, count(DISTINCT b) FILTER (b[2] != b[3]) AS n_changed FROM (SELECT d, i, item_way, unnest(bound) AS b FROM good) GROUP BY ALL),
+        found AS (SELECT d, doc_id, i, item_id, item_way, total, count(DISTINCT p) AS n_found FROM good GROUP BY ALL HAVING count(DISTINCT p) >= 0.8 * total),
+        best AS (SELECT *, row_number() OVER (PARTITION BY d, i ORDER BY n_found / total DESC, item_way) AS place FROM found LEFT JOIN bindings USING (d, i, item_way))
+        SELECT doc_id, item_id, CAST(total AS INTEGER) AS n_windows, n_found, n_found / total AS coverage, coalesce(n_slots, 0) AS n_slots, coalesce(n_changed, 0) AS n_changed FROM best WHERE place = 1
+    """,
     "op8_mixing": r"""
         WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size, sha256('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS digest FROM documents),
         s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
