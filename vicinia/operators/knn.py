@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import KnnConfig
@@ -33,6 +33,8 @@ from .kernel import box_distances, within
 
 #: Dimensions beyond which boxes exclude next to nothing, so that all points meet.
 PRUNED_DIMS = 16
+#: Blocks of a cell up to which one task compares all of them, and the least points of a block.
+FEW_BLOCKS, LEAST_BLOCK = 4, 64
 
 
 def locations(pts: DataFrame, k: int) -> DataFrame:
@@ -50,17 +52,28 @@ def dimension(pts: DataFrame) -> int | None:
 
 def _blocks(rows: DataFrame, by: str, size: int, columns: list[str]) -> DataFrame:
     """`rows` of each value of `by` in blocks of about `size`, dealt by the hash of their first column: arrays of the
-    `columns`, and of their coordinates one after another."""
+    `columns`, and of their coordinates one after another. The blocks of a cell that has many of them are dealt into
+    strips, as many as the root of their number."""
     counts = rows.groupBy(by).agg(F.ceil(F.count(F.lit(1)) / size).alias("blocks")).withColumnRenamed(by, "of")  # a row a cell
     dealt = rows.join(counts, F.col(by) == F.col("of")).withColumn("block", F.pmod(F.xxhash64(columns[0]), F.col("blocks")))
-    held = dealt.groupBy(by, "block").agg(F.collect_list(F.struct(*columns, "coords")).alias("r"))
-    return held.select(F.col(by).alias("cell"), "block", *[F.col(f"r.{c}").alias(c) for c in columns], F.flatten("r.coords").alias("flat"))
+    held = dealt.groupBy(by, "block", "blocks").agg(F.collect_list(F.struct(*columns, "coords")).alias("r"))
+    wide = F.when(F.col("blocks") <= FEW_BLOCKS, 1).otherwise(F.ceil(F.sqrt("blocks"))).cast("int")
+    return held.select(F.col(by).alias("cell"), wide.alias("wide"), F.pmod("block", wide).cast("int").alias("strip"), *[F.col(f"r.{c}").alias(c) for c in columns], F.flatten("r.coords").alias("flat"))
+
+
+def _facing(blocks: DataFrame, others: DataFrame) -> DataFrame:
+    """`blocks`, each once for every strip of the `others` in its cell, as `facing`."""
+    strips = others.groupBy(F.col("cell").alias("of")).agg(F.max("wide").alias("strips"))  # a row a cell
+    return blocks.join(strips, F.col("cell") == F.col("of")).withColumn("facing", F.explode(F.sequence(F.lit(0), F.col("strips") - 1))).drop("of", "strips")
 
 
 def _meet(queries: DataFrame, base: DataFrame, k: int | None, dims: int, float32: bool) -> DataFrame:
-    """(q, near): what each block of queries (cell, q, bound, flat) keeps of each block of the base (cell, loc, m, flat)."""
-    left = queries.select(F.col("cell").alias("q_cell"), "q", "bound", F.col("flat").alias("q_flat"))
-    right = base.select("cell", "loc", "m", F.col("flat").alias("p_flat"))
+    """(q, near): what each block of queries (cell, q, bound, flat) keeps of each block of the base (cell, loc, m, flat).
+
+    Strips of queries meet strips of the base, so that a cell of many blocks is a square of tasks.
+    """
+    left = _facing(queries, base).select(F.col("cell").alias("q_cell"), F.col("strip").alias("q_strip"), F.col("facing").alias("q_facing"), "q", "bound", F.col("flat").alias("q_flat"))
+    right = _facing(base, queries).select("cell", "strip", "facing", "loc", "m", F.col("flat").alias("p_flat"))
     kind = np.float32 if float32 else np.float64
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -75,7 +88,8 @@ def _meet(queries: DataFrame, base: DataFrame, k: int | None, dims: int, float32
                 lists = [pa.ListArray.from_arrays(pa.array(np.append(starts, len(rows)).astype(np.int32)), pa.array(x)) for x in (d2.astype(float), loc[own], m[own].astype(np.int32))]
                 yield pa.RecordBatch.from_arrays([pa.array(q[rows[starts]]), *lists], names=["q", "d2", "loc", "m"])
 
-    met = left.join(right, F.col("q_cell") == F.col("cell")).select("q", "bound", "q_flat", "loc", "m", "p_flat")
+    on = (F.col("q_cell") == F.col("cell")) & (F.col("q_strip") == F.col("facing")) & (F.col("q_facing") == F.col("strip"))
+    met = left.join(right, on).select("q", "bound", "q_flat", "loc", "m", "p_flat")
     return met.mapInArrow(compare, "q long, d2 array<double>, loc array<long>, m array<int>").select("q", F.arrays_zip("d2", "loc", "m").alias("near"))
 
 
@@ -128,12 +142,19 @@ def partition(pts: DataFrame, rows: int, dims: int, config: KnnConfig) -> CellTr
     return sample_tree(pts, 1 if dims > PRUNED_DIMS else min(cells, config.routed_cells), dims, config.policy)
 
 
-def _search(queries: DataFrame, base: DataFrame, tree: CellTree, k: int, dims: int, config: KnnConfig, float32: bool) -> DataFrame:
-    """(q, near) for `queries` (q, coords) among `base` (loc, coords, ids), already in its cells."""
-    blocks = staged(_blocks(base.withColumn("m", F.size("ids")), "cell", config.block_rows, ["loc", "m"]), "base-blocks")
+def _block_rows(spark: SparkSession, rows: int, tree: CellTree, config: KnnConfig) -> int:
+    """Points of a block: where there is one cell only, so few that every core gets some."""
+    even = config.block_rows if tree.cells > 1 else max(LEAST_BLOCK, rows // (2 * spark.sparkContext.defaultParallelism))
+    return min(config.block_rows, even)
+
+
+def _search(queries: DataFrame, base: DataFrame, tree: CellTree, k: int, dims: int, rows: int, config: KnnConfig, float32: bool) -> DataFrame:
+    """(q, near) for `queries` (q, coords) among `base` (loc, coords, ids), `rows` of them, already in its cells."""
+    size = _block_rows(base.sparkSession, rows, tree, config)
+    blocks = staged(_blocks(base.withColumn("m", F.size("ids")), "cell", size, ["loc", "m"]), "base-blocks")
     placed = with_cell(queries, tree)
     endless = placed.withColumn("bound", F.lit(float("inf")))
-    own = _blocks(endless, "cell", config.block_rows, ["q", "bound"])
+    own = staged(_blocks(endless, "cell", size, ["q", "bound"]), "query-blocks")
     local = _first(_meet(own, blocks, k, dims, float32), k)
     if tree.cells == 1:
         return local
@@ -142,7 +163,7 @@ def _search(queries: DataFrame, base: DataFrame, tree: CellTree, k: int, dims: i
     bounds = local.select(F.col("q").alias("l_q"), _radius("near", k).alias("bound"))
     bounded = placed.join(bounds, F.col("q") == F.col("l_q"), "left").select("q", "coords", "cell", F.coalesce("bound", F.lit(float("inf"))).alias("bound"))
     routed = staged(routes(bounded, cell_table(base, dims)), "routes")
-    remote = _meet(_blocks(routed, "cell", config.block_rows, ["q", "bound"]), blocks, k, dims, float32)
+    remote = _meet(staged(_blocks(routed, "cell", size, ["q", "bound"]), "routed-blocks"), blocks, k, dims, float32)
     return _first(local.unionByName(remote), k)
 
 
@@ -175,7 +196,7 @@ def knn_join(queries: DataFrame, base: DataFrame, k: int, config: KnnConfig = Kn
     if (ready := _prepared(base, k, config)) is None:
         return _none(base)
     locs, tree, dims, rows = ready
-    found = _search(queries.select(F.col("id").alias("q"), "coords"), locs, tree, k, dims, config, float32)
+    found = _search(queries.select(F.col("id").alias("q"), "coords"), locs, tree, k, dims, rows, config, float32)
     return _rows(found, locs, k, rows < base.count())
 
 
@@ -184,7 +205,7 @@ def knn(pts: DataFrame, k: int, config: KnnConfig = KnnConfig(), float32: bool =
     if (ready := _prepared(pts, k, config)) is None:
         return _none(pts)
     locs, tree, dims, rows = ready
-    found = _search(locs.select(F.col("loc").alias("q"), "coords"), locs, tree, k, dims, config, float32)
+    found = _search(locs.select(F.col("loc").alias("q"), "coords"), locs, tree, k, dims, rows, config, float32)
     if rows == pts.count():
         return _rows(found, locs, k, False)
     # Every point of a location has the location's neighbours.
@@ -211,12 +232,14 @@ def radius_join(queries: DataFrame, base: DataFrame, sq_radius: float, config: K
     """(query_id, neighbor_id, d2): all points of `base` within the radius of each of `queries`, at it included."""
     if (dims := dimension(base)) is None:
         return _none(base).drop("rank")
-    tree = partition(base, base.count(), dims, config)
+    rows = base.count()
+    tree = partition(base, rows, dims, config)
+    size = _block_rows(base.sparkSession, rows, tree, config)
     celled = staged(with_cell(base.select(F.col("id").alias("loc"), "coords", F.lit(1).alias("m")), tree), "celled")
-    blocks = staged(_blocks(celled, "cell", config.block_rows, ["loc", "m"]), "base-blocks")
+    blocks = staged(_blocks(celled, "cell", size, ["loc", "m"]), "base-blocks")
     placed = with_cell(queries.select(F.col("id").alias("q"), "coords"), tree).withColumn("bound", F.lit(float(sq_radius)))
     met = placed.select("q", "coords", "bound", "cell")
     if tree.cells > 1:
         met = met.unionByName(routes(placed, cell_table(celled, dims)))
-    near = _meet(_blocks(met, "cell", config.block_rows, ["q", "bound"]), blocks, None, dims, False)
+    near = _meet(staged(_blocks(met, "cell", size, ["q", "bound"]), "query-blocks"), blocks, None, dims, False)
     return near.select(F.col("q").alias("query_id"), F.explode("near").alias("n")).select("query_id", F.col("n.loc").alias("neighbor_id"), F.col("n.d2").alias("d2"))
