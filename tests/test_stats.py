@@ -59,3 +59,13 @@ def test_distances(spark):
     assert tuple(row) == (25.0, 25.0, 9.0, -2.0, False, True)
     with pytest.raises(ValueError):
         sq_distance(["a"], ["b", "c"])
+
+
+def test_two_neighbour_dimension(spark):
+    from vicinia.operators.density import two_nn_dimension
+    from vicinia.operators.knn import knn
+    from vicinia.operators.points import random_points
+
+    row = two_nn_dimension(knn(random_points(spark, 1500, 2, 3), 3)).first()
+    assert row["n"] == 1500 and 1.7 < row["dimension"] < 2.3
+    assert two_nn_dimension(knn(random_points(spark, 2, 2), 3)).first()["n"] == 0

@@ -12,6 +12,7 @@ from .config import KnnConfig
 from .functions import box_distance, hyperplane_offset, right_of, sq_distance, sq_distance_float32
 from .operators import stats
 from .operators.cells import CellTree, Node, cell_offsets, cell_table, global_numbers, owner_of, with_cell
+from .operators.density import two_nn_dimension
 from .operators.knn import knn, knn_columns, knn_join, radius_join, routes
 from .operators.points import points
 from .operators.topk import flat, merge_top_k, nested, sorted_neighbours
@@ -295,6 +296,14 @@ def knn_label_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("label") == F.col("other")).alias("same"))
 
 
+@query(f"""
+    WITH near AS (SELECT query_id, min(d2) AS a, max(d2) AS b FROM ({_knn_sql(EMB5, 3)}) WHERE rank > 1 GROUP BY query_id HAVING count(*) = 2 AND min(d2) > 0)
+    SELECT count(*) AS n, round(count(*) / sum(ln(b / a) / 2), 6) AS dimension FROM near
+""")
+def two_nn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return two_nn_dimension(knn(emb5(spark, sf_dir), 3)).withColumn("dimension", F.round("dimension", 6))
+
+
 @query(_knn_sql(PART2, 5))
 def topk_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Neighbours among the odd and among the even points, merged: those among all."""
