@@ -387,7 +387,7 @@ def test_templates_as_their_sql(spark):
         swap = {a: r.choice(p) if r.random() < 0.6 else a for p in (names, numbers) for a in p}
         return "".join(swap.get(w, w) for w in __import__("re").split(r"([A-Za-z0-9é]+)", t))
 
-    bench = [sentence(r.randint(3, 14)) for _ in range(12)] + [None, "", "Anna", ITEM]
+    bench = [sentence(r.randint(3, 14)) for _ in range(12)] + [None, "", "Anna", "12 km", ITEM]
     docs = [sentence(r.randint(0, 10)) + " " + varied(r.choice(bench) or "") + " " + sentence(r.randint(0, 6)) for _ in range(150)] + AWKWARD
     got = decontamination.contaminated(table(spark, docs), items(spark, [(i, t, 0) for i, t in enumerate(bench)])).drop("row").toPandas()
     db = duckdb.connect()

@@ -11,7 +11,8 @@ A capitalised word is a name if it stands once in the text where no sentence
 begins; as a passage may be set into a sentence, texts with names are read both
 ways, with names and with all of them as words.
 
-Nulls and edges: a null or wordless text has no windows; an item or a document of
+Nulls and edges: windows of placeholders alone tell nothing and are left out; a
+null or wordless text has no windows; an item or a document of
 fewer words than SIZE is one window as a whole; an item without words is never
 found; rows with a null doc_id or repeated rows are each searched on their own (a
 null id is reported as null); equal items are each reported; texts of any length
@@ -133,9 +134,9 @@ def item_windows(items: DataFrame) -> DataFrame:
             rows = []
             for item, item_id, text in part[["item", "item_id", "text"]].itertuples(index=False, name=None):
                 for way, (hashes, kinds) in enumerate(readings(text)):
-                    found = windows(hashes, kinds)
-                    for place, window in enumerate(found.astype(np.int64).tolist()):
-                        rows.append((item, item_id, way, place, len(found), window, slots_of(hashes, kinds, place)))
+                    found = windows(hashes, kinds).astype(np.int64)
+                    places = [p for p in range(len(found)) if (kinds[p : p + SIZE] == PLAIN).any()]
+                    rows += [(item, item_id, way, p, len(places), int(found[p]), slots_of(hashes, kinds, p)) for p in places]
             yield pd.DataFrame(rows, columns=["item", "item_id", "way", "place", "total", "window", "slots"])
 
     return items.mapInPandas(cut, "item long, item_id long, way int, place int, total int, window long, slots array<struct<offset:int,kind:int,value:long>>")

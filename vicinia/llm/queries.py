@@ -100,7 +100,7 @@ ORACLE_SQL: dict[str, str] = {
         token AS (SELECT side, r, id, way, g, any_value(kind) AS kind, string_agg(low, ' ' ORDER BY i) AS value FROM grouped GROUP BY ALL),
         text AS (SELECT side, r, id, way, count(*) AS n, list(kind ORDER BY g) AS kinds, list(value ORDER BY g) AS vals, list(CASE WHEN kind = 0 THEN value ELSE '<' || kind || '>' END ORDER BY g) AS template FROM token GROUP BY ALL),
         place AS (SELECT *, unnest(range(1, greatest(n - 4, 1) + 1)) AS p FROM text),
-        win AS (SELECT side, r, id, way, p, greatest(n - 4, 1) AS total, array_to_string(template[p:p + 4], ' ') AS w, kinds[p:p + 4] AS kinds, vals[p:p + 4] AS vals FROM place),
+        win AS (SELECT side, r, id, way, p, count(*) OVER (PARTITION BY side, r, way) AS total, array_to_string(template[p:p + 4], ' ') AS w, kinds[p:p + 4] AS kinds, vals[p:p + 4] AS vals FROM place WHERE list_contains(kinds[p:p + 4], 0)),
         met AS (SELECT d.r AS d, d.id AS doc_id, i.r AS i, i.id AS item_id, i.total, d.way AS way, i.way AS item_way, d.p - i.p AS diagonal, i.p AS p, list_filter(list_zip(i.kinds, i.vals, d.vals), lambda z: z[1] != 0) AS bound
                 FROM win d JOIN win i ON d.side = 'd' AND i.side = 'i' AND d.w = i.w),
         slot AS (SELECT d, i, way, item_way, diagonal, unnest(bound) AS b FROM met),
