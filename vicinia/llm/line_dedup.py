@@ -116,13 +116,17 @@ class LineRuns:
         return out
 
 
-def frequent_lines(docs: DataFrame, min_docs: int, min_length: int, batches: int = BATCHES, fanout: int = FANOUT) -> DataFrame:
-    """(h1, h2) of the line keys of `min_length` code points or more in at least `min_docs` rows of `docs`."""
-    spark = docs.sparkSession
+def hashed_lines(docs: DataFrame, min_length: int) -> DataFrame:
+    """(key, lines) for each row of `docs`: what stands for its text, and the hash pairs of its lines; staged."""
     text = text_or_empty()
-    lines = docs.select(F.pmod(F.xxhash64(F.col("doc_id"), text), F.lit(batches)).cast("int").alias("batch"), F.explode(F.array_distinct(line_hashes(text, min_length))).alias("h")).where("h is not null")
+    return staged(docs.select(text_key(text).alias("key"), line_hashes(text, min_length).alias("lines")), "line-hashes")
+
+
+def frequent_lines(hashed: DataFrame, min_docs: int, batches: int = BATCHES, fanout: int = FANOUT) -> DataFrame:
+    """(h1, h2) of the line keys in at least `min_docs` rows of `hashed`."""
+    lines = hashed.select(F.pmod(F.xxhash64("key"), F.lit(batches)).cast("int").alias("batch"), F.explode(F.array_distinct("lines")).alias("h")).where("h is not null")
     counts = staged(lines.groupBy("batch", F.col("h.a").alias("h1"), F.col("h.b").alias("h2")).agg(F.count(F.lit(1)).alias("n")).select("h1", "h2", "n", "batch"), "line-counts", "batch")
-    runs = LineRuns(spark, min_docs, fanout)
+    runs = LineRuns(hashed.sparkSession, min_docs, fanout)
     for batch in range(batches):
         runs.add(counts.where(F.col("batch") == batch).drop("batch"))
     return runs.close()
@@ -133,16 +137,19 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_length: int = 1, batche
 
     A text that loses no line is returned as it was, null too.
     """
-    frequent = frequent_lines(docs, min_docs, min_length, batches, fanout)
-    text = text_or_empty()
-    keyed = docs.withColumn("__key", text_key(text))
-    # The texts' lines that are frequent, a row for each text: few against the texts, and equal texts share it.
-    lines = docs.select(text_key(text).alias("__key"), F.explode(F.array_distinct(line_hashes(text, min_length))).alias("h")).where("h is not null")
+    hashed = hashed_lines(docs, min_length)
+    frequent = frequent_lines(hashed, min_docs, batches, fanout)
+    # The places of each text's frequent lines: few against the texts, and equal texts share them.
+    lines = hashed.select("key", F.posexplode("lines").alias("place", "h")).where("h is not null")
     hits = lines.join(frequent, (F.col("h.a") == F.col("h1")) & (F.col("h.b") == F.col("h2")), "left_semi")
-    bad = hits.groupBy("__key").agg(F.collect_set("h").alias("__bad"))
-    out = keyed.join(bad, "__key", "left")
+    bad = hits.groupBy(F.col("key").alias("__key")).agg(F.collect_set("place").alias("__bad"))
+    text = text_or_empty()
+    out = docs.withColumn("__key", text_key(text)).join(bad, "__key", "left")
     split = F.split(text, "\n", -1)
-    hashes = line_hashes(text, min_length)
-    kept = F.filter(F.arrays_zip(split.alias("line"), hashes.alias("h")), lambda x: x["h"].isNull() | ~F.array_contains(F.col("__bad"), x["h"]))["line"]
-    rebuilt = F.when(F.col("__bad").isNull(), F.struct(F.col("text").alias("text"), F.lit(0).cast("long").alias("n"))).otherwise(F.struct(F.array_join(kept, "\n").alias("text"), (F.size(split) - F.size(kept)).cast("long").alias("n")))
-    return out.withColumn("__out", rebuilt).select(*[F.col("__out.text").alias("text") if c == "text" else F.col(c) for c in docs.columns if c not in ("n_lines", "n_dropped")], F.size(split).cast("long").alias("n_lines"), F.col("__out.n").alias("n_dropped"))
+    n = F.size(split)
+    places = F.array_except(F.sequence(F.lit(0), n - 1), "__bad")
+    # The lines are bound once, as the only element of an array, so that picking them by place takes no new split.
+    kept = F.transform(F.array(split), lambda own: F.transform(places, lambda i: F.get(own, i)))[0]
+    rebuilt = F.when(F.col("__bad").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    dropped = F.when(F.col("__bad").isNull(), 0).otherwise(F.size("__bad"))
+    return out.select(*[rebuilt.alias("text") if c == "text" else F.col(c) for c in docs.columns if c not in ("n_lines", "n_dropped")], n.cast("long").alias("n_lines"), dropped.cast("long").alias("n_dropped"))
