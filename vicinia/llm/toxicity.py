@@ -36,8 +36,8 @@ WINDOW, STRIDE = 32, 24
 LONGEST = 24
 #: Bounds of the training sample.
 SAMPLE, WINDOWS_EACH = 1200, 24
-#: Passes over the sample, more of them where it is small, so that there are at least STEPS.
-EPOCHS, STEPS, BATCH, RATE = 6, 320, 128, 0.01
+#: Searches for the hardest windows, each followed by a pass over the sample, or by several where it is small, so that there are about STEPS.
+EPOCHS, STEPS, BATCH, RATE = 6, 270, 128, 0.01
 VOCABULARY = 4096
 CHARS, HIDDEN, ATTEND = 8, 8, 8
 #: Words whose windows are scored at once.
@@ -288,18 +288,21 @@ def fit(texts: list[list[str]], labels: list[int], seed: int = 0) -> Network | N
     adam, toxic = Adam(network.p), np.array(labels)[owner]
     bounds = np.searchsorted(owner, np.arange(len(texts) + 1))
     each = max(1, 5 * len(texts) // (2 * BATCH))
-    epochs = max(EPOCHS, -(-STEPS // each))
-    total, done = epochs * each, 0
-    for epoch in range(epochs):
-        logit = network.logits(lexicon, windows) if epoch else rng.random(len(owner))
+    passes = -(-STEPS // (EPOCHS * each))
+    total, done = EPOCHS * passes * each, 0
+    logit = rng.random(len(owner))
+    for turn in range(EPOCHS * passes):
+        if turn and turn % passes == 0:
+            logit = network.logits(lexicon, windows)
+        apart = turn >= max(2, passes)  # until then nothing tells a toxic text's windows apart
         picked = []
         for i, label in enumerate(labels):
             own = np.arange(bounds[i], bounds[i + 1])
             if not len(own):
                 continue
             ranked = own[np.argsort(-logit[own], kind="stable")]
-            if label:  # the likeliest windows of a toxic text; at first, when nothing tells them apart, a few
-                picked += [*(ranked[:1] if done > STEPS // 4 else ranked[:3]), *[w for w in ranked[1:3] if done > STEPS // 4 and logit[w] > 0]]
+            if label:  # the likeliest windows of a toxic text
+                picked += [*(ranked[:1] if apart else ranked[:3]), *[w for w in ranked[1:3] if apart and logit[w] > 0]]
             else:  # the hardest window of a clean text, and any two
                 picked += [ranked[0], *rng.choice(own, min(2, len(own)), replace=False)]
         picked = rng.permutation(np.array(picked))
