@@ -1,51 +1,23 @@
-"""What the corpus operators share: table paths, shared scratch tables and text digests."""
+"""What the corpus operators share: tables, texts and what stands for them."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..staging import scratch_path, staged
+
+__all__ = ["SPACES", "WORD", "rows_id", "scratch_path", "staged", "table", "text_key", "text_or_empty"]
+
 #: The white space that separates words in every contract here: U+0020 and U+0009 to U+000D.
 SPACES = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
 
-_OWN: dict[str, str] = {}
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or in local mode one of our own."""
-    given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if given:
-        return given.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _OWN:
-        _OWN[app] = f"file://{tempfile.mkdtemp(prefix='spark-vicinia-')}"
-    return _OWN[app]
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/vicinia/{name}-{uuid.uuid4().hex}"
-
-
-def staged(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
-    """`df` written once to the shared folder and read again, so later steps neither recompute it nor depend on executors."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.partitionBy(*partition_by).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
@@ -55,17 +27,6 @@ def text_key(column: Column) -> Column:
     return F.struct(F.xxhash64(column).alias("a"), F.xxhash64(F.lit(7), column).alias("b"))
 
 
-def map_rows(df: DataFrame, function, schema: str) -> DataFrame:
-    """Apply `function(pandas.DataFrame) -> pandas.DataFrame` to each Arrow batch of `df`."""
-
-    def batches(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            if len(part):
-                yield function(part)
-
-    return df.mapInPandas(batches, schema)
-
-
 def rows_id() -> Column:
     """doc_id as a long; a row without one gets a number from 2**62 on that its text decides."""
     own = F.xxhash64(F.lit(11), text_or_empty()).bitwiseAND(F.lit(2**62 - 1)) + F.lit(2**62)
