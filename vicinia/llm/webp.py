@@ -55,25 +55,22 @@ def code_words(lengths: np.ndarray) -> np.ndarray:
 
 
 class Code:
-    """A prefix code: by the next `bits` bits, the symbol and its length. One symbol alone takes no bits."""
+    """A prefix code: by the next `bits` bits, symbol << 8 | length. One symbol alone takes no bits."""
 
     def __init__(self, lengths: np.ndarray):
         used = np.flatnonzero(lengths)
-        if not len(used):
-            used = np.zeros(1, np.int64)
-        self.only = int(used[0]) if len(used) == 1 else None
-        self.bits = 0 if self.only is not None else int(lengths.max())
+        self.only, self.bits = (int(used[0]) if len(used) else 0, 0) if len(used) <= 1 else (None, int(lengths.max()))
         if self.only is not None:
-            self.symbol, self.length = np.array([self.only]), np.zeros(1, np.int64)
+            self.packed = np.array([self.only << 8])
         else:
-            if (1 << self.bits) != (1 << (self.bits - lengths[used])).sum():
+            own = lengths[used]
+            if (1 << self.bits) != (1 << (self.bits - own)).sum():
                 raise WebPError("a prefix code is not complete")
-            self.symbol, self.length = np.zeros(1 << self.bits, np.int64), np.zeros(1 << self.bits, np.int64)
-            for s, word, n in zip(used.tolist(), code_words(lengths)[used].tolist(), lengths[used].tolist()):
-                self.symbol[word :: 1 << n] = s
-                self.length[word :: 1 << n] = n
+            self.packed = packed = np.zeros(1 << self.bits, np.int64)
+            for word, n, value in zip(code_words(lengths)[used].tolist(), own.tolist(), (used << 8 | own).tolist()):
+                packed[word :: 1 << n] = value
         self.mask = (1 << self.bits) - 1
-        self.symbols, self.lengths = self.symbol.tolist(), self.length.tolist()
+        self.entries = self.packed.tolist() if self.bits <= 8 else self.packed  # few are asked for one by one in large tables
 
 
 class Bits:
@@ -94,11 +91,11 @@ class Bits:
         return out
 
     def symbol(self, code: Code) -> int:
-        at = (self.win[self.pos >> 3] >> (self.pos & 7)) & code.mask
-        self.pos += code.lengths[at]
+        found = int(code.entries[(self.win[self.pos >> 3] >> (self.pos & 7)) & code.mask])
+        self.pos += found & 255
         if self.pos > self.end:
             raise WebPError("the stream ends early")
-        return code.symbols[at]
+        return found >> 8
 
     def value(self, prefix: int) -> int:
         if prefix < 4:
@@ -175,7 +172,7 @@ def read_single_channel(bits: Bits, green: Code, far: Code, width: int, total: i
         return np.full(total, green.only, np.uint8)
     # For each window: up to 4 literals, how many, and how many bits they take; none if a copy comes first.
     top = max(WINDOW, green.bits)
-    packed = green.symbol << 8 | np.where(green.symbol < 256, green.length, 255)
+    packed = np.where(green.packed < 256 << 8, green.packed, 255)  # a copy fits into no window
     size = 1 << top
     literals, count, used, at = np.zeros((size, 4), np.uint8), np.zeros(size, np.uint8), np.zeros(size, np.int64), np.arange(size)
     for k in range(4):
@@ -227,7 +224,8 @@ def read_single_channel(bits: Bits, green: Code, far: Code, width: int, total: i
 
 
 def green_bits(code: Code, symbols: bytes) -> int:
-    return sum(code.lengths[code.symbols.index(s)] for s in symbols)
+    known = {int(x) >> 8: int(x) & 255 for x in code.packed}
+    return sum(known[s] for s in symbols)
 
 
 def read_pixels(bits: Bits, codes: list[list[Code]], which: np.ndarray | None, block: int, cache_bits: int, width: int, height: int) -> np.ndarray:
