@@ -142,7 +142,8 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_length: int = 1, batche
     # The places of each text's frequent lines: few against the texts, and equal texts share them.
     lines = hashed.select("key", F.posexplode("lines").alias("place", "h")).where("h is not null")
     hits = lines.join(frequent, (F.col("h.a") == F.col("h1")) & (F.col("h.b") == F.col("h2")), "left_semi")
-    bad = hits.groupBy(F.col("key").alias("__key")).agg(F.collect_set("place").alias("__bad"))
+    # Written first, so that the join below has a plain table on either side and a hot text's rows can be split.
+    bad = staged(hits.groupBy(F.col("key").alias("__key")).agg(F.collect_set("place").alias("__bad")), "frequent-places")
     text = text_or_empty()
     out = docs.withColumn("__key", text_key(text)).join(bad, "__key", "left")
     split = F.split(text, "\n", -1)
