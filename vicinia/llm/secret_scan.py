@@ -179,7 +179,8 @@ def find_secrets(docs: DataFrame, base: Sequence[Rule] = BASE_RULES, more: Seque
     index = staged(posting_index(docs, vocabulary), "trigram-postings")
     text = text_or_empty()
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), text_key(text).alias("key"))
-    joined_docs = keyed.join(candidates(index, queries), "key", "left")
+    # The candidates are written first, so that the join has a plain table on either side and a hot text's rows can be split.
+    joined_docs = keyed.join(staged(candidates(index, queries), "trigram-candidates"), "key", "left")
     nothing = F.array().cast("array<struct<start:int,place:int,kind:string,end:int>>")
     found = joined_docs
     for place, rule in enumerate(rules):
