@@ -62,7 +62,8 @@ class LineRuns:
     def _write(self, rows: DataFrame) -> str:
         self.made += 1
         name = f"{self.name}_{self.made}"
-        rows.repartition(self.buckets, "h1").write.bucketBy(self.buckets, "h1").sortBy("h1", "h2").saveAsTable(name)
+        keys = ["h1", "h2"]  # both, as a join takes tables as co-located only where its keys are the buckets'
+        rows.repartition(self.buckets, *keys).write.bucketBy(self.buckets, *keys).sortBy(*keys).saveAsTable(name)
         return name
 
     def _drop(self, names: list[str]) -> None:
