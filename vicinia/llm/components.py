@@ -12,7 +12,7 @@ def _large_star(edges: DataFrame) -> DataFrame:
     """Every node's larger neighbours are tied to its least one."""
     both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")).withColumnRenamed("a", "u")
-    return both.where("b > a").join(least, F.col("a") == F.col("u")).where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    return both.where("b > a").join(least, F.col("a") == F.col("u")).where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
@@ -22,12 +22,18 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.union(least.select(F.col("u").alias("a"), F.col("m").alias("b"))).distinct()
 
 
-def components(edges: DataFrame, name: str = "components") -> DataFrame:
+def components(edges: DataFrame, name: str = "components", rounds: int | None = None) -> DataFrame:
     """(node, component) for every node of the (a, b) `edges`: the least node that it reaches.
 
-    Each round is written to the shared folder; rounds end when one changes nothing.
+    Each round is written to the shared folder; rounds end when one changes nothing, or after `rounds`, where parts of
+    a component may still be apart.
     """
     now = staged(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
+    if rounds is not None:
+        for _ in range(rounds):
+            now = staged(_small_star(_large_star(now)), name)
+        told = now.union(now.select("b", "b")).groupBy("a").agg(F.min("b").alias("b"))
+        return told.select(F.col("a").alias("node"), F.col("b").alias("component"))
     mark = None
     while True:
         state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()

@@ -254,7 +254,7 @@ def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 80) -> DataFr
     first = likely(members.where("node != least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct(), nodes, percent)
     best = first.groupBy("a").agg(F.max_by("b", F.struct("equal", -F.col("b"))).alias("b"))
     links = staged(confirmed(best, sets, percent), "minhash-links")
-    formed = components(links)
+    formed = components(links, rounds=2)  # what is still apart is only compared again
 
     # 2. What still shares a bucket across components.
     labelled = members.join(formed.withColumnRenamed("node", "formed"), F.col("node") == F.col("formed"), "left").withColumn("component", F.coalesce("component", "node")).drop("formed", "least")
