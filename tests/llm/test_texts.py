@@ -109,6 +109,28 @@ def test_plain_prose_is_left_alone():
     assert pii.redact("a@b.co or +1 555 010 9999") == "[email] or [phone]"
 
 
+@pytest.mark.parametrize("text, found, kind", [
+    ("write to jane.doe at example.com today", "jane.doe at example.com", "email"),
+    ("call +1 555 one two 0199 now", "+1 555 one two 0199", "phone"),
+    ("call +1 555 one 2 two 0199 now", "+1 555 one 2 two 0199", "phone"),
+    ("card 4111 1111 one-one 11 1111 now", "4111 1111 one-one 11 1111", "card"),
+    ("host 10.0.seven.1 is up", "10.0.seven.1", "ip"),
+])
+def test_disguises_need_no_other_hint(text, found, kind):
+    for whole in (text, f"{text} — one, two dot"):
+        spans = pii.all_spans(whole, pii.base_spans(whole))
+        assert [whole[a:b] for a, b in spans[kind]] == [found]
+
+
+def test_hints_show_wherever_a_disguise_is(monkeypatch):
+    r = random.Random(11)
+    pieces = ["jane.doe", "at", "at", "example.com", "dot", "org", "[at]", "(dot)", "+1 555", "one", "two", "seven", "0199", "4111", "1111", "10.0", "word", "and", "x-y.de", "1", "."]
+    plain = ["".join(r.choice(pieces) + r.choice([" ", " ", " ", "-", ", ", ".", "\n"]) for _ in range(r.randint(2, 9))) for _ in range(3000)]
+    got = [pii.all_spans(t, pii.base_spans(t)) for t in plain]
+    monkeypatch.setattr(pii, "HINT", re.compile(""))
+    assert got == [pii.all_spans(t, pii.base_spans(t)) for t in plain]
+
+
 # --- tokens -----------------------------------------------------------------------
 
 

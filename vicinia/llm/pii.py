@@ -88,14 +88,20 @@ DIGIT_WORDS = {
     "cero": "0", "uno": "1", "dos": "2", "tres": "3", "cuatro": "4", "cinco": "5", "seis": "6", "siete": "7", "ocho": "8", "nueve": "9",
 }
 _DIGIT = "|".join(sorted(DIGIT_WORDS, key=len, reverse=True))
-#: Three spelled digits or more in a row, or between digits: fewer are ordinary words.
+#: Three spelled digits or more in a row: fewer are ordinary words,
 SPELLED = re.compile(rf"(?<!\w)(?:(?:{_DIGIT})(?!\w)(?:[ ,.-]{{1,2}}(?=\w))?){{3,}}", re.I)
+#: but for those that stand between digits.
+BETWEEN = re.compile(rf"(?<=[0-9])[ ,.-]{{1,2}}((?:{_DIGIT})(?:[ ,.-]{{1,2}}(?:{_DIGIT}))*)(?=[ ,.-]{{1,2}}[0-9])", re.I)
 ONE_DIGIT = re.compile(rf"(?:{_DIGIT})(?!\w)|[ ,.-]+", re.I)
 #: " at ", "[at]", "(at)" and the like, and the same for dot; between word characters.
 AT = re.compile(r"(?<=[A-Za-z0-9._%+-])(?:\s{0,2}[\[({<]\s?(?:at|@)\s?[\])}>]\s{0,2}|\sat\s)(?=[A-Za-z0-9])", re.I)
 DOT = re.compile(r"(?<=[A-Za-z0-9])(?:\s{0,2}[\[({<]\s?(?:dot|punkt|point|punto|\.)\s?[\])}>]\s{0,2}|\sdot\s)(?=[A-Za-z0-9])", re.I)
-#: A disguise is looked for only where one of these shows.
-HINT = re.compile(rf"[\[({{<]\s?(?:at|@|dot|punkt|point|punto|\.)\s?[\])}}>]|\sdot\s|(?<!\w)(?:{_DIGIT})[ ,.-]{{1,2}}(?:{_DIGIT})(?!\w)", re.I)
+#: A disguise is looked for only where one of these shows; whatever is rewritten into an identifier has one of them, so
+#: that what is found of a stretch does not depend on the text elsewhere. An " at " counts before a domain only.
+HINT = re.compile(
+    rf"[\[({{<]\s?(?:at|@|dot|punkt|point|punto|\.)\s?[\])}}>]|\s(?:dot\s|at\s[a-z0-9][a-z0-9-]*\.[a-z0-9-])"
+    rf"|(?<!\w)(?:{_DIGIT})[ ,.-]{{1,2}}(?:{_DIGIT})(?!\w)|(?<=[0-9])[ ,.-]{{1,2}}(?:{_DIGIT})[ ,.-]", re.I
+)
 FOREIGN = re.compile("[" + "".join(LOOKALIKES) + "‐-―​-‍⁠﻿！-～٠-٩۰-۹\U0001d400-\U0001d7ff]")
 INVISIBLE = frozenset("​‌‍⁠﻿")
 
@@ -137,6 +143,7 @@ class Rewritten:
     def spell(self) -> None:
         """Runs of spelled digits, word by word, so each digit keeps its own word's span."""
         runs = [m.span() for m in SPELLED.finditer(self.text)]
+        runs = sorted({*runs, *(m.span(1) for m in BETWEEN.finditer(self.text) if all(m.end(1) <= a or b <= m.start(1) for a, b in runs))})
         if not runs:
             return
         text, starts, ends, done = [], [], [], 0
