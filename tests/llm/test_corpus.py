@@ -105,6 +105,44 @@ def test_near_duplicates_without_ids(spark):
     assert kept.columns == table(spark, []).columns and kept.count() == 4
 
 
+def test_rows_of_repeated_and_missing_ids(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    docs = [a, b, b, c, c, c + "  ", f"{c} more", "", "", a + " and more", b]
+    ids = [5, 5, 3, None, None, None, None, None, 7, 2, 3]
+    df = table(spark, docs, ids)
+    got = [(r["doc_id"], (r["text"] or "")[:2]) for r in minhash.deduplicated(df, 4, 80).collect()]
+    assert sorted(got, key=str) == sorted([(3, "b0"), (2, "a0"), (None, "c0"), (None, ""), (7, "")], key=str)
+    rows = [(r["doc_id"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(df, 4, 80).collect()]
+    assert [r for r in rows if r[0] == 5] and sorted(r for r in rows if r[0] == 5) == [(5, 2, False), (5, 3, False)]
+    assert sorted(r for r in rows if r[0] in (2, 3)) == [(2, 2, True), (3, 3, True), (3, 3, True)]
+    alone = [(r["doc_id"], r["text"][:2]) for r in minhash.deduplicated(table(spark, [a, b, b], [5, 5, 3]), 4, 80).collect()]
+    assert sorted(alone) == [(3, "b0"), (5, "a0")]
+
+
+@pytest.mark.parametrize("small", [minhash.SMALL, 2])
+def test_one_row_of_each_group_whatever_the_ids(spark, monkeypatch, small):
+    monkeypatch.setattr(minhash, "SMALL", small)
+    monkeypatch.setattr(minhash, "BLOCK", 500)
+    docs = near_copies(30) + AWKWARD + near_copies(30)[20:40]
+    r = random.Random(8)
+    ids = [r.choice([None, *range(12)]) for _ in docs]
+    sets = [shingle_set(t, 4) for t in docs]
+    want = roots(len(docs), [(i, j) for i in range(len(docs)) for j in range(i) if sets[i] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])])
+    groups = {}
+    for i, c in enumerate(want):
+        groups.setdefault(c, []).append(i)
+    df = table(spark, docs, ids, extra=False).toPandas().assign(n_chars=range(len(docs)), doc_id=pd.array(ids, "Int64"))
+    df = spark.createDataFrame(df.astype(object).where(df.notna(), None).values.tolist(), "doc_id long, text string, lang string, source string, n_chars int")
+    kept = {x["n_chars"] for x in minhash.deduplicated(df, 4, 80).collect()}
+    for own in groups.values():
+        (one,) = kept & set(own)
+        least = min((ids[i] for i in own if ids[i] is not None), default=None)
+        assert ids[one] == least
+    found = sorted((x["doc_id"] is None, x["doc_id"] or 0, x["component_id"] is None, x["component_id"] or 0) for x in minhash.near_duplicates(df, 4, 80).collect())
+    told = [min((ids[j] for j in groups[want[i]] if ids[j] is not None), default=None) for i in range(len(docs))]
+    assert found == sorted((x is None, x or 0, y is None, y or 0) for x, y in zip(ids, told))
+
+
 def test_components(spark):
     r = random.Random(3)
     edges = [(r.randrange(300), r.randrange(300)) for _ in range(180)] + [(400 + i, 401 + i) for i in range(60)] + [(5, 5)]

@@ -23,8 +23,9 @@ full sets. A pair of similarity 0.8 shares no bucket with a probability of 5e-8.
 Nulls and edges: a null or wordless text has no shingles, links with nothing and
 is kept; rows with a null doc_id link like others, their component_id is null
 where no linked row has an id, and only then they can be kept; rows that repeat a
-doc_id count as one document, linked with what any of them links with, and are
-kept together; an empty table gives an empty result; other columns are ignored.
+doc_id are linked each by its own text, and kept says whether a row's id is its
+component's, so `deduplicated`, which keeps one row of each component, goes by rows;
+an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ from math import ceil
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._common import rows_id, staged
@@ -89,8 +90,8 @@ def least_equal(similarity: float) -> int:
     return ceil(COORDINATES * p - DEVIATIONS * (COORDINATES * p * (1 - p)) ** 0.5)
 
 
-def sketches(docs: DataFrame, size: int) -> DataFrame:
-    """(id, doc_id, k1, k2, n_shingles, bands, marks) for each row; k1 and k2 stand for the words."""
+def sketches(docs: DataFrame, size: int, row: Column) -> DataFrame:
+    """(row, id, doc_id, k1, k2, n_shingles, bands, marks) for each row; k1 and k2 stand for the words."""
 
     def batches(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
@@ -106,10 +107,11 @@ def sketches(docs: DataFrame, size: int) -> DataFrame:
             out = pd.DataFrame(rows, columns=["k1", "k2", "n_shingles", "bands", "marks"])
             out.insert(0, "doc_id", part["doc_id"].astype("Int64").to_numpy())
             out.insert(0, "id", part["id"].to_numpy())
+            out.insert(0, "row", part["row"].to_numpy())
             yield out
 
-    source = docs.select(rows_id().alias("id"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return source.mapInPandas(batches, "id long, doc_id long, k1 long, k2 long, n_shingles long, bands array<long>, marks binary")
+    source = docs.select(row.alias("row"), rows_id().alias("id"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return source.mapInPandas(batches, "row long, id long, doc_id long, k1 long, k2 long, n_shingles long, bands array<long>, marks binary")
 
 
 def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
@@ -122,6 +124,24 @@ def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
     return docs.select("id", "text").mapInPandas(batches, "id long, shingles binary")
 
 
+def sets_of_texts(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """`shingle_sets` where ids repeat: one row for each of `wanted` (node, id, k1, k2), whose texts are told by their words."""
+
+    def batches(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            rows = []
+            for id_, text in zip(part["id"], part["text"]):
+                words = word_hashes(text)
+                rows.append((id_, *sequence_key(words), np.unique(shingle_hashes(words, size)).tobytes()))
+            yield pd.DataFrame(rows, columns=["id", "t1", "t2", "shingles"])
+
+    source = docs.select(rows_id().alias("id"), F.col("text").cast("string").alias("text")).join(wanted.select(F.col("id").alias("__id")).distinct(), F.col("id") == F.col("__id"), "left_semi")
+    # Copies go before their sets are made; what differs in white space only goes after.
+    own = source.dropDuplicates(["id", "text"]).mapInPandas(batches, "id long, t1 long, t2 long, shingles binary").withColumnRenamed("id", "of")
+    met = own.join(wanted, (F.col("of") == F.col("id")) & (F.col("t1") == F.col("k1")) & (F.col("t2") == F.col("k2")))
+    return met.groupBy("node").agg(F.first("shingles").alias("shingles")).withColumnRenamed("node", "id")
+
+
 def likely(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """(a, b, equal) of the pairs that neither sizes nor estimates rule out."""
     floor = least_equal(percent / 100)
@@ -237,18 +257,28 @@ def links_in_small(members: DataFrame, nodes: DataFrame, sets: DataFrame, percen
     return confirmed(staged(likely(pairs, nodes, percent), "minhash-pairs"), sets, percent)
 
 
-def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 80) -> DataFrame:
-    """(id, doc_id, n_shingles, component_id, kept) for each row of `docs`: word shingles of `size`, links from `percent` on."""
-    rows = staged(sketches(docs, size), "minhash-sketches")
+def labelled_rows(docs: DataFrame, size: int, percent: int, row: Column) -> DataFrame:
+    """(row, id, doc_id, n_shingles, node, component) for each row of `docs`: node is null where a row has neither copy nor
+    link, else the label of its component, and component the component's least id."""
+    rows = staged(sketches(docs, size, row), "minhash-sketches")
     worded = rows.where("n_shingles > 0")
-    alike = worded.groupBy("k1", "k2").agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("copies"), F.first(F.struct("n_shingles", "bands", "marks")).alias("own"))
-    nodes = staged(alike.select("k1", "k2", "node", "copies", "own.*"), "minhash-nodes")
+    alike = worded.groupBy("k1", "k2").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"), F.first(F.struct("n_shingles", "bands", "marks")).alias("own"))
+    # A text's node is its least id, or, where ids repeat and texts can have one in common, its number in their order.
+    repeated = not rows.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
+    if repeated:
+        alike = staged(alike, "minhash-texts").orderBy("id", "k1", "k2")
+    node = F.monotonically_increasing_id() if repeated else F.col("id")
+    nodes = staged(alike.select("k1", "k2", "id", node.alias("node"), "copies", "own.*"), "minhash-nodes")
 
     placed = nodes.select(F.explode("bands").alias("bucket"), "node")
     shared = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("members"), F.min("node").alias("least")).where("members > 1")
     members = staged(placed.join(shared.withColumnRenamed("bucket", "of"), F.col("bucket") == F.col("of")).select("bucket", "node", "members", "least"), "minhash-members")
     partnered = members.select("node").distinct()
-    sets = staged(shingle_sets(docs.select(rows_id().alias("id"), "text").join(partnered, F.col("id") == F.col("node"), "left_semi"), size), "minhash-sets")
+    if repeated:
+        wanted = nodes.select("node", "id", "k1", "k2").join(partnered, "node", "left_semi")
+        sets = staged(sets_of_texts(docs, wanted, size), "minhash-sets")
+    else:
+        sets = staged(shingle_sets(docs.select(rows_id().alias("id"), "text").join(partnered, F.col("id") == F.col("node"), "left_semi"), size), "minhash-sets")
 
     # 1. Every node with the likeliest of its buckets' least nodes.
     first = likely(members.where("node != least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct(), nodes, percent)
@@ -265,15 +295,30 @@ def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 80) -> DataFr
     more = links_in_small(small, nodes, sets, percent).union(links_in_large(large, nodes, sets, percent))
     found = components(links.union(more), "components-all")
 
-    # Only rows that have a copy or a link can belong elsewhere than to themselves.
-    moved = nodes.join(found.withColumnRenamed("node", "found"), F.col("node") == F.col("found"), "left").withColumn("component", F.coalesce("component", "node")).where("copies > 1 or component != node")
+    # Rows with neither copy nor link belong to themselves.
+    moved = nodes.join(found.withColumnRenamed("node", "found"), F.col("node") == F.col("found"), "left").withColumn("component", F.coalesce("component", "node")).where("copies > 1 or found is not null")
     moved = moved.select(F.col("k1").alias("m1"), F.col("k2").alias("m2"), "component")
-    own = rows.join(moved, (F.col("k1") == F.col("m1")) & (F.col("k2") == F.col("m2")) & (F.col("n_shingles") > 0), "left").withColumn("component", F.coalesce("component", "id"))
+    if repeated:  # a component's label is the node of its least id
+        names = nodes.select(F.col("node").alias("label"), F.col("id").alias("least_id"))
+        moved = moved.join(names, F.col("component") == F.col("label"))
+    else:
+        moved = moved.withColumn("label", F.col("component")).withColumn("least_id", F.col("component"))
+    own = rows.join(moved, (F.col("k1") == F.col("m1")) & (F.col("k2") == F.col("m2")) & (F.col("n_shingles") > 0), "left")
+    return own.select("row", "id", "doc_id", "n_shingles", F.col("label").alias("node"), F.coalesce("least_id", "id").alias("component"))
+
+
+def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 80) -> DataFrame:
+    """(id, doc_id, n_shingles, component_id, kept) for each row of `docs`: word shingles of `size`, links from `percent` on."""
+    own = labelled_rows(docs, size, percent, F.lit(0))
     component = F.when(F.col("component") < 2**62, F.col("component"))
     return own.select("id", "doc_id", "n_shingles", component.alias("component_id"), (F.col("id") == F.col("component")).alias("kept"))
 
 
 def deduplicated(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of `docs` that are kept, with their columns: of each group of near-duplicates that of the least doc_id."""
-    dropped = near_duplicates(docs, size, percent).where(~F.col("kept")).select(F.col("id").alias("__id"))
-    return docs.join(dropped.distinct(), rows_id() == F.col("__id"), "left_anti").select(docs.columns)
+    """The rows of `docs` that are kept, with their columns: of each group of near-duplicates one row, of the least doc_id."""
+    keyed = staged(docs.withColumn("__row", F.monotonically_increasing_id()), "minhash-rows")
+    own = labelled_rows(keyed, size, percent, F.col("__row")).where("node is not null").select("row", "id", "node")
+    linked = staged(own, "minhash-linked")
+    first = linked.groupBy("node").agg(F.min(F.struct("id", "row")).alias("first")).select(F.col("first.row").alias("__first"))
+    dropped = linked.join(first, F.col("row") == F.col("__first"), "left_anti").select(F.col("row").alias("__dropped"))
+    return keyed.join(dropped, F.col("__row") == F.col("__dropped"), "left_anti").select(docs.columns)
