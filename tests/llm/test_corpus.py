@@ -247,6 +247,31 @@ def test_decontaminate_keeps_the_rest(spark):
     assert out.columns == docs.columns and sorted(str(r["doc_id"]) for r in out.collect()) == ["2", "None"]
 
 
+def test_what_is_found_wholly(spark):
+    filler = texts(4, 3, 60)
+    listed = "A box holds 5 red pens and some blue ones. Every pen has a cap of its own, and Tom takes half of them away. The rest is 5"
+    sums = "A farmer has 3 cows standing in the stable and buys another group of 5 from the old market nearby this week"
+    shop = "Today Anna buys 3 pens. Then Anna meets Peter at school. Later Peter gives Anna 2 pens. Then Anna sells Peter a book."
+    away = shop.replace("Anna", "Maria").replace("Peter", "Gustav").replace("3", "7")
+    bench = [shop, listed, sums, "What is 2 + 3?", "2 + 3", "x y"]
+    docs = [
+        f"1. {filler[0]} 12\n{listed}\n2. {filler[1]}",  # between numbered lines
+        sums.replace("3", "4").replace("5", "4"),  # two values fall together
+        f"{filler[0]} said Then and Later {filler[1]} {'word ' * 300}. {away} {filler[2]}",  # a common word capitalised elsewhere
+        f"{filler[0]} What is 2 + 3? 5 {filler[1]}",
+        f"{filler[0]} what is 4 + 5 {filler[1]}",
+        f"{filler[0]} what is 4 {filler[1]}",
+        f"{filler[0]} x y {filler[1]}",
+        *filler,
+        *AWKWARD,
+    ]
+    want = {(0, 1), (1, 2), (2, 0), (3, 3), (4, 3), (6, 5)}
+    assert set(found(spark, docs, bench, wholly=True)) == want
+    assert not set(found(spark, docs, bench)) & want  # op6's rule
+    kept = {r["doc_id"] for r in decontamination.decontaminate(table(spark, docs), items(spark, [(i, t, 0) for i, t in enumerate(bench)])).collect()}
+    assert kept == set(range(len(docs))) - {i for i, _ in want}
+
+
 # --- mixing -----------------------------------------------------------------------
 
 

@@ -11,6 +11,15 @@ A capitalised word is a name if it stands once in the text where no sentence
 begins; as a passage may be set into a sentence, texts with names are read both
 ways, with names and with all of them as words.
 
+This is the rule of op6, as its SQL says it. `decontaminate` searches `wholly`, which
+finds more: (1) a value of the item needs one value of the document, but several may
+share one; on each diagonal only the windows that contradict the commonest binding
+are dropped, and a run at an item's edge, which may go on outside of it, is bound
+freely; (2) texts with names are read in two more ways, with names inside sentences
+only, and with those that stand so within LOCAL words; (3) an item of fewer than SIZE
+template words is also searched for as a window of its own length, each word of a run
+by itself, anywhere in a text.
+
 Nulls and edges: windows of placeholders alone tell nothing and are left out; a
 null or wordless text has no windows; an item or a document of
 fewer words than SIZE is one window as a whole; an item without words is never
@@ -21,6 +30,7 @@ are searched whole; empty tables give empty results; other columns are ignored.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,6 +42,8 @@ from ._common import rows_id, staged
 from .shingles import mix, run_hashes, runs, seeds, word_hashes
 
 SIZE, SHARE = 5, 0.8
+#: Words within which a capitalised word must stand inside a sentence to be a name beside it.
+LOCAL = 100
 #: Windows of the benchmark that are shipped to the tasks at once; a larger benchmark is searched for block by block.
 SHIPPED = 1 << 20
 
@@ -43,6 +55,8 @@ UNITS = frozenset(
     "second seconds minute minutes hour hours day days week weeks month months year years percent degree degrees dollar dollars cent cents euro euros kmh mph kph meter meters metre metres kilometer kilometers kilometre kilometres centimeter centimeters".split()
 )
 PLAIN, NUMBER, UNIT, NAME = range(4)
+#: A slot that is bound to anything, and the first way of reading short items by themselves.
+FREE, SHORT = -1, 10
 _PLACES = seeds(SIZE + 1, 40_000) | np.uint64(1)
 _TYPED = seeds(4, 41_000)
 
@@ -71,12 +85,12 @@ def _among(hashes: np.ndarray, known: np.ndarray) -> np.ndarray:
     return known[np.minimum(np.searchsorted(known, hashes), len(known) - 1)] == hashes
 
 
-def tokens(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, kinds) of the words of letters and digits in `text`."""
+def capitals(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes, kinds, capital, inside): words without names, the places of capitalised ones, and which stand inside a sentence."""
     raw = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
     starts, ends = runs(raw, _BETWEEN)
     if not len(starts):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
     upper = np.flatnonzero(_UPPER[raw])
     low = raw.copy()
     low[upper] += 32
@@ -85,19 +99,28 @@ def tokens(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     capital = np.flatnonzero(_UPPER[raw[starts]] & (kinds == PLAIN) & (ends - starts > 1))
     small = np.concatenate([[0], np.cumsum(_LOWER[raw])])
     capital = capital[small[ends[capital]] - small[starts[capital]] == ends[capital] - starts[capital] - 1]
-    if len(capital):
-        enders = np.flatnonzero(_ENDERS[raw])
-        before = np.where(capital > 0, ends[capital - 1], 0)
-        inside = (np.searchsorted(enders, starts[capital]) == np.searchsorted(enders, before)) & (capital > 0)
-        if inside.any():
-            kinds[capital[_among(hashes[capital], np.unique(hashes[capital[inside]]))]] = NAME
-    return hashes, kinds
-
-
-def template(hashes: np.ndarray, kinds: np.ndarray, names: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Runs of names or numbers made one, whose value is its words' in order; without `names`, names are plain words."""
-    if not names:
-        kinds = np.where(kinds == NAME, PLAIN, kinds)
+    enders = np.flatnonzero(_ENDERS[raw])
+    before = np.where(capital > 0, ends[capital - 1], 0)
+    inside = (np.searchsorted(enders, starts[capital]) == np.searchsorted(enders, before)) & (capital > 0)
+    return hashes, kinds, capital, inside
+
+
+def named(kinds: np.ndarray, places: np.ndarray) -> np.ndarray:
+    out = kinds.copy()
+    out[places] = NAME
+    return out
+
+
+def near_inside(hashes: np.ndarray, capital: np.ndarray, inside: np.ndarray) -> np.ndarray:
+    """Of `capital` the places whose word stands inside a sentence within LOCAL words."""
+    _, words = np.unique(hashes[capital], return_inverse=True)
+    keys = words * (len(hashes) + 2 * LOCAL) + capital
+    known = np.sort(keys[inside])
+    return capital[np.searchsorted(known, keys + LOCAL, "right") > np.searchsorted(known, keys - LOCAL)]
+
+
+def template(hashes: np.ndarray, kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of names or numbers made one, whose value is its words' in order."""
     again = np.flatnonzero((kinds[1:] == kinds[:-1]) & ((kinds[1:] == NAME) | (kinds[1:] == NUMBER))) + 1
     if not len(again):
         return hashes, kinds
@@ -106,10 +129,16 @@ def template(hashes: np.ndarray, kinds: np.ndarray, names: bool) -> tuple[np.nda
     return np.add.reduceat(hashes * (place.astype(np.uint64) * np.uint64(2) + np.uint64(1)), starts), kinds[starts]
 
 
-def readings(text: str | None) -> list[tuple[np.ndarray, np.ndarray]]:
-    """The template of `text`; where it has names, also the one that takes them for words."""
-    hashes, kinds = tokens(text)
-    return [template(hashes, kinds, True), *([template(hashes, kinds, False)] if (kinds == NAME).any() else [])]
+def readings(text: str | None, wholly: bool = False) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """(way, hashes, kinds), runs not yet made one: with names; where there are any, also with all of them as words, and
+    `wholly` the two ways of taking fewer of them."""
+    hashes, kinds, capital, inside = capitals(text)
+    if not inside.any():
+        return [(0, hashes, kinds)]
+    ways = [named(kinds, capital[_among(hashes[capital], np.unique(hashes[capital[inside]]))]), kinds]
+    if wholly:
+        ways += [named(kinds, capital[inside]), named(kinds, near_inside(hashes, capital, inside))]
+    return [(way, hashes, k) for way, k in enumerate(ways) if not any((k == other).all() for other in ways[:way])]
 
 
 def windows(hashes: np.ndarray, kinds: np.ndarray) -> np.ndarray:
@@ -126,28 +155,46 @@ def windows(hashes: np.ndarray, kinds: np.ndarray) -> np.ndarray:
     return mix(total)
 
 
-def item_windows(items: DataFrame) -> DataFrame:
-    """(item, item_id, place, total, window, slots): slots are the hash and kind of each placeholder in the window, by offset."""
+def short_windows(hashes: np.ndarray, kinds: np.ndarray, length: int) -> np.ndarray:
+    """A hash of each run of `length` words, other than those of `windows`."""
+    words = np.where(kinds == PLAIN, hashes, _TYPED[kinds])
+    n = len(words) - length + 1
+    if n < 1:
+        return words[:0]
+    total = np.full(n, length, np.uint64)
+    for k, place in enumerate(seeds(length, 42_000) | np.uint64(1)):
+        total += words[k : k + n] * place
+    return mix(total)
+
+
+def item_windows(items: DataFrame, wholly: bool = False) -> DataFrame:
+    """(item, item_id, way, place, total, window, slots, length): length is that of a short item's window, or 0; slots are the hash and kind of each placeholder in the window, by offset."""
 
     def cut(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             rows = []
             for item, item_id, text in part[["item", "item_id", "text"]].itertuples(index=False, name=None):
-                for way, (hashes, kinds) in enumerate(readings(text)):
+                for way, words, own in readings(text, wholly):
+                    hashes, kinds = template(words, own)
                     found = windows(hashes, kinds).astype(np.int64)
+                    if wholly and len(kinds) < SIZE and (own == PLAIN).any():
+                        rows.append((item, item_id, SHORT + way, 0, 1, int(short_windows(words, own, len(own)).astype(np.int64)[0]), slots_of(words, own, 0, len(own)), len(own)))
                     places = [p for p in range(len(found)) if (kinds[p : p + SIZE] == PLAIN).any()]
-                    rows += [(item, item_id, way, p, len(places), int(found[p]), slots_of(hashes, kinds, p)) for p in places]
-            yield pd.DataFrame(rows, columns=["item", "item_id", "way", "place", "total", "window", "slots"])
+                    rows += [(item, item_id, way, p, len(places), int(found[p]), slots_of(hashes, kinds, p, free=wholly), 0) for p in places]
+            yield pd.DataFrame(rows, columns=["item", "item_id", "way", "place", "total", "window", "slots", "length"])
 
-    return items.mapInPandas(cut, "item long, item_id long, way int, place int, total int, window long, slots array<struct<offset:int,kind:int,value:long>>")
+    return items.mapInPandas(cut, "item long, item_id long, way int, place int, total int, window long, slots array<struct<offset:int,kind:int,value:long>>, length int")
 
 
-def slots_of(hashes: np.ndarray, kinds: np.ndarray, place: int) -> list[tuple[int, int, int]]:
-    return [(k - place, int(kinds[k]), int(hashes[k : k + 1].astype(np.int64)[0])) for k in range(place, min(place + SIZE, len(kinds))) if kinds[k] != PLAIN]
+def slots_of(hashes: np.ndarray, kinds: np.ndarray, place: int, size: int = SIZE, free: bool = False) -> list[tuple[int, int, int]]:
+    """(offset, kind, value) of the placeholders of a window; if `free`, runs at the text's edges are of the kind FREE."""
+    edges = (0, len(kinds) - 1) if free else ()
+    return [(k - place, FREE if k in edges and kinds[k] != UNIT else int(kinds[k]), int(hashes[k : k + 1].astype(np.int64)[0])) for k in range(place, min(place + size, len(kinds))) if kinds[k] != PLAIN]
 
 
-def document_hits(docs: DataFrame, wanted: np.ndarray) -> DataFrame:
-    """(row, doc_id, way, at, window, slots) of the documents' windows that are among `wanted`, sorted hashes."""
+def document_hits(docs: DataFrame, wanted: np.ndarray, lengths: list[int] | None = None) -> DataFrame:
+    """(row, doc_id, way, at, window, slots) of the documents' windows that are among `wanted`, sorted hashes;
+    with `lengths`, those of short items, texts are read wholly."""
     shipped = docs.sparkSession.sparkContext.broadcast(wanted)  # SHIPPED at most
 
     def search(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -155,11 +202,14 @@ def document_hits(docs: DataFrame, wanted: np.ndarray) -> DataFrame:
         for part in parts:
             rows = []
             for row, doc_id, text in zip(part["row"], part["doc_id"].astype("Int64"), part["text"]):
-                for way, (hashes, kinds) in enumerate(readings(text)):
-                    found = windows(hashes, kinds).astype(np.int64)
-                    at = np.minimum(np.searchsorted(known, found), len(known) - 1)
-                    for place in np.flatnonzero(known[at] == found).tolist() if len(found) else ():
-                        rows.append((row, doc_id, way, place, int(found[place]), slots_of(hashes, kinds, place)))
+                for way, words, own in readings(text, lengths is not None):
+                    hashes, kinds = template(words, own)
+                    for size, found in [(0, windows(hashes, kinds)), *((n, short_windows(words, own, n)) for n in lengths or ())]:
+                        found = found.astype(np.int64)
+                        at = np.minimum(np.searchsorted(known, found), len(known) - 1)
+                        for place in np.flatnonzero(known[at] == found).tolist() if len(found) else ():
+                            slots = slots_of(words, own, place, size) if size else slots_of(hashes, kinds, place)
+                            rows.append((row, doc_id, SHORT + way if size else way, place, int(found[place]), slots))
             yield pd.DataFrame(rows, columns=["row", "doc_id", "way", "at", "window", "slots"]).astype({"doc_id": "Int64"})
 
     source = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -177,7 +227,17 @@ def blocks_of_items(items: DataFrame, shipped: int) -> Iterator[tuple[DataFrame,
             yield block, hashes
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, shipped: int = SHIPPED) -> DataFrame:
+def agreeing(windows_: list) -> tuple[list[int], list[tuple[int, int, int]]]:
+    """(places, bindings) of the windows (place, bound) of a diagonal whose bindings are each the commonest of their value."""
+    votes = Counter((b["kind"], b["from"], b["to"]) for w in windows_ for b in {tuple(x): x for x in w["bound"]}.values())
+    chosen: dict[tuple[int, int], tuple[int, bool, int]] = {}
+    for (kind, a, b), n in votes.items():
+        chosen[kind, a] = max(chosen.get((kind, a), (0, False, 0)), (n, a == b, b))
+    kept = [w for w in windows_ if all(chosen[b["kind"], b["from"]][2] == b["to"] for b in w["bound"])]
+    return [w["place"] for w in kept], sorted({(b["kind"], b["from"], b["to"]) for w in kept for b in w["bound"]})
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, shipped: int = SHIPPED, wholly: bool = False) -> DataFrame:
     """(row, doc_id, item_id, n_windows, n_found, coverage, n_slots, n_changed): a row for each item found in a row of `docs`.
 
     n_slots counts the item's bound values, n_changed those that the document has otherwise; with n_changed > 0 it is
@@ -185,18 +245,27 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, sh
     """
     spark: SparkSession = docs.sparkSession
     source = benchmark.select(F.monotonically_increasing_id().alias("item"), F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    items = staged(item_windows(source), "benchmark-windows")
+    items = staged(item_windows(source, wholly), "benchmark-windows")
+    lengths = sorted(r[0] for r in items.where("length > 0").select("length").distinct().collect()) if wholly else None
     schema = "row long, doc_id long, item_id long, n_windows int, n_found long, coverage double, n_slots long, n_changed long"
     out = spark.createDataFrame([], schema)
     for block, hashes in blocks_of_items(items, shipped):
         own = block.select("item", "item_id", F.col("way").alias("item_way"), "place", "total", F.col("window").alias("w"), F.col("slots").alias("item_slots"))
-        hits = document_hits(docs, hashes)
+        hits = document_hits(docs, hashes, lengths)
         met = hits.join(own, F.col("window") == F.col("w"))
+        if wholly:  # a short item by itself only meets windows of its own
+            met = met.where((F.col("way") >= SHORT) == (F.col("item_way") >= SHORT))
         bound = F.transform(F.arrays_zip("item_slots", "slots"), lambda s: F.struct(s["item_slots"]["kind"].alias("kind"), s["item_slots"]["value"].alias("from"), s["slots"]["value"].alias("to")))
         # A diagonal belongs to one way of reading either side; a passage lies on one, or on a few where words were put in or left out.
-        diagonal = met.groupBy("row", "doc_id", "item", "item_id", "total", "way", "item_way", (F.col("at") - F.col("place")).alias("diagonal")).agg(F.collect_set("place").alias("places"), F.array_distinct(F.flatten(F.collect_set(bound))).alias("bound"))
-        sides = [F.size(F.array_distinct(F.transform("bound", lambda b: F.struct(b["kind"], b["from"])))), F.size(F.array_distinct(F.transform("bound", lambda b: F.struct(b["kind"], b["to"]))))]
-        consistent = diagonal.where((sides[0] == F.size("bound")) & (sides[1] == F.size("bound")))
+        keys = ["row", "doc_id", "item", "item_id", "total", "way", "item_way", (F.col("at") - F.col("place")).alias("diagonal")]
+        if wholly:
+            agreed = F.udf(agreeing, "places array<int>, bound array<struct<kind:int,from:long,to:long>>")
+            told = F.filter(bound, lambda b: b["kind"] != FREE)
+            consistent = met.groupBy(*keys).agg(F.collect_list(F.struct("place", told.alias("bound"))).alias("windows")).withColumn("own", agreed("windows")).select(*keys[:-1], "own.*")
+        else:
+            diagonal = met.groupBy(*keys).agg(F.collect_set("place").alias("places"), F.array_distinct(F.flatten(F.collect_set(bound))).alias("bound"))
+            sides = [F.size(F.array_distinct(F.transform("bound", lambda b: F.struct(b["kind"], b["from"])))), F.size(F.array_distinct(F.transform("bound", lambda b: F.struct(b["kind"], b["to"]))))]
+            consistent = diagonal.where((sides[0] == F.size("bound")) & (sides[1] == F.size("bound")))
         found = consistent.groupBy("row", "doc_id", "item", "item_id", "item_way", "total").agg(
             F.size(F.array_distinct(F.flatten(F.collect_list("places")))).cast("long").alias("n_found"), F.array_distinct(F.flatten(F.collect_list("bound"))).alias("bound")
         )
@@ -222,5 +291,5 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, sh
 def decontaminate(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFrame:
     """The rows of `docs` in which no item is found, with their columns; rows that share an id share their fate."""
     keyed = docs.select(rows_id().alias("doc_id"), "text")
-    dirty = staged(contaminated(keyed, benchmark, share).select(F.col("doc_id").alias("__id")).distinct(), "contaminated")
+    dirty = staged(contaminated(keyed, benchmark, share, wholly=True).select(F.col("doc_id").alias("__id")).distinct(), "contaminated")
     return docs.join(dirty, rows_id() == F.col("__id"), "left_anti").select(docs.columns)
