@@ -8,9 +8,10 @@ from fractions import Fraction
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from vicinia.llm import components, decontamination, minhash, mixing, shingles, toxicity, warc
+from vicinia.llm import _common, components, decontamination, minhash, mixing, shingles, toxicity, warc
 from vicinia.llm._common import scratch_path
 
 from .docs import AWKWARD, near_copies, table, texts
@@ -143,6 +144,31 @@ def test_one_row_of_each_group_whatever_the_ids(spark, monkeypatch, small):
     assert found == sorted((x is None, x or 0, y is None, y or 0) for x, y in zip(ids, told))
 
 
+def test_hot_keys_are_dealt_over_tasks(spark, monkeypatch):
+    """One family of near copies and one text that a third of all rows repeat, every key of theirs hot."""
+    monkeypatch.setattr(_common, "LEAST", 3)
+    monkeypatch.setattr(_common, "PARTS", 20)
+    monkeypatch.setattr(minhash, "BLOCK", 500)
+    r = random.Random(21)
+    base = " ".join(f"w{i}" for i in range(70)).split()
+    docs = [" ".join(w if r.random() > 0.02 else f"v{r.random()}" for w in base) for _ in range(60)] + [" ".join(base)] * 40 + texts(30, 5)
+    sets = [shingle_set(t, 4) for t in docs]
+    want = roots(len(docs), [(i, j) for i in range(len(docs)) for j in range(i) if sets[i] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])])
+    got = {x["doc_id"]: x["component_id"] for x in minhash.near_duplicates(table(spark, docs), 4, 80).collect()}
+    assert got == dict(enumerate(want)) and want.count(want[60]) > 60
+
+
+def test_spread_join(spark, monkeypatch):
+    monkeypatch.setattr(_common, "LEAST", 5)
+    left = spark.range(200).select(F.col("id"), F.when(F.col("id") < 90, 7).otherwise(F.col("id") % 13).cast("long").alias("k"))
+    right = spark.createDataFrame([(i, f"v{i}") for i in range(9)], "key long, v string")
+    hot = _common.hot_keys(left.groupBy("k").agg(F.count(F.lit(1)).alias("n")))
+    assert (7, 20) in hot
+    for how in ("inner", "left"):
+        plain = sorted(map(tuple, left.join(right, F.col("k") == F.col("key"), how).collect()), key=str)
+        assert sorted(map(tuple, _common.spread_join(left, right, ["k"], ["key"], "id", hot, how).collect()), key=str) == plain
+
+
 def test_components(spark):
     r = random.Random(3)
     edges = [(r.randrange(300), r.randrange(300)) for _ in range(180)] + [(400 + i, 401 + i) for i in range(60)] + [(5, 5)]

@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import staged
+from ._common import hot_keys, spread_join, staged
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
-    """Every node's larger neighbours are tied to its least one."""
+    """Every node's larger neighbours are tied to its least one; the neighbours of a hub are dealt over tasks."""
     both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")).withColumnRenamed("a", "u")
-    return both.where("b > a").join(least, F.col("a") == F.col("u")).where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    met = spread_join(both.where("b > a"), least, ["a"], ["u"], "b", hot_keys(edges.groupBy("b").agg(F.count(F.lit(1)).alias("n"))))
+    return met.where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:

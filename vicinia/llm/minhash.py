@@ -14,7 +14,9 @@ from the start. Then
    them on the full sets, and components are formed of the links;
 2. nodes that still share a bucket across components are compared all: in small
    buckets pair by pair, in large ones block against block, so that no pair is
-   written unless it links.
+   written unless it links. The blocks of a large bucket are dealt into strips, so
+   that it is a square of tasks, and joins by a bucket, by a text or by a node that
+   many others point to deal its rows over tasks (`spread_join`).
 
 Both leave out pairs whose sizes or whose estimates rule the similarity out
 (an estimate by more than six deviations); what is linked is always confirmed on
@@ -38,7 +40,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import rows_id, staged
+from ._common import hot_keys, rows_id, spread_join, staged
 from .components import components
 from .shingles import mix, seeds, sequence_key, shingle_hashes, word_hashes
 
@@ -142,12 +144,12 @@ def sets_of_texts(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     return met.groupBy("node").agg(F.first("shingles").alias("shingles")).withColumnRenamed("node", "id")
 
 
-def likely(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """(a, b, equal) of the pairs that neither sizes nor estimates rule out."""
+def likely(pairs: DataFrame, nodes: DataFrame, percent: int, hot: list[tuple] = ()) -> DataFrame:
+    """(a, b, equal) of the pairs that neither sizes nor estimates rule out; `hot` are the keys among b."""
     floor = least_equal(percent / 100)
     own = nodes.select("node", "n_shingles", "marks")
     left, right = (own.select(*[F.col(c).alias(f"{side}_{c}") for c in own.columns]) for side in "xy")
-    both = pairs.join(left, F.col("a") == F.col("x_node")).join(right, F.col("b") == F.col("y_node"))
+    both = spread_join(pairs.join(left, F.col("a") == F.col("x_node")), right, ["b"], ["y_node"], "a", hot)
     both = both.where(100 * F.least("x_n_shingles", "y_n_shingles") >= percent * F.greatest("x_n_shingles", "y_n_shingles"))
 
     def estimate(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -160,10 +162,10 @@ def likely(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "x_marks", "y_marks").mapInPandas(estimate, "a long, b long, equal long")
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The (a, b) whose full sets have at least `percent` of their union in common."""
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int, hot: list[tuple] = ()) -> DataFrame:
+    """The (a, b) whose full sets have at least `percent` of their union in common; `hot` are the keys among b."""
     left, right = (sets.select(F.col("id").alias(f"{side}_id"), F.col("shingles").alias(f"{side}_set")) for side in "xy")
-    both = pairs.select("a", "b").join(left, F.col("a") == F.col("x_id")).join(right, F.col("b") == F.col("y_id"))
+    both = spread_join(pairs.select("a", "b").join(left, F.col("a") == F.col("x_id")), right, ["b"], ["y_id"], "a", hot)
 
     def compare(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
@@ -221,25 +223,28 @@ def links_of_blocks(x: pd.DataFrame, y: pd.DataFrame, bucket: int, percent: int)
     return out
 
 
-def links_in_large(members: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b): links between the components within each bucket of `members` (bucket, node, component)."""
-    full = members.join(nodes.select("node", "n_shingles", "bands", "marks"), "node").withColumn("blocks", F.lit(0))
+def links_in_large(members: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int, hot: list[tuple]) -> DataFrame:
+    """(a, b): links between the components within each bucket of `members` (bucket, node, component); `hot` are the keys
+    among the buckets."""
+    full = members.join(nodes.select("node", "n_shingles", "bands", "marks"), "node")
     counted = full.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("shingles"))
     main = counted.groupBy("bucket").agg(F.max_by("component", F.struct("n", -F.col("component"))).alias("main"), F.ceil(F.sum("shingles") / BLOCK).alias("wide"))
     sizes = main.select(F.col("bucket").alias("of"), "main", "wide")
     row = F.struct("node", "component", "n_shingles", "bands", "marks", "shingles")
     placed = (
-        full.drop("blocks")
-        .join(sizes, F.col("bucket") == F.col("of"))
+        spread_join(full, sizes, ["bucket"], ["of"], "node", hot)
         .withColumn("block", F.pmod(F.xxhash64("node"), F.col("wide")))
         .withColumn("apart", F.col("component") != F.col("main"))
         .join(sets.select(F.col("id").alias("set_id"), "shingles"), F.col("node") == F.col("set_id"))
     )
     # Members outside the bucket's main component meet all others; those inside only meet them.
-    blocks = staged(placed.groupBy("bucket", "block", "apart").agg(F.collect_list(row).alias("rows")), "minhash-blocks")
-    apart = blocks.where("apart").select(F.col("bucket").alias("x_bucket"), F.col("block").alias("x_block"), F.col("rows").alias("x"))
-    every = blocks.select("bucket", F.col("block").alias("y_block"), F.col("apart").alias("y_apart"), F.col("rows").alias("y"))
-    tasks = apart.join(every, (F.col("x_bucket") == F.col("bucket")) & (~F.col("y_apart") | (F.col("x_block") <= F.col("y_block")))).select("bucket", "x", "y")
+    blocks = staged(placed.groupBy("bucket", "block", "wide", "apart").agg(F.collect_list(row).alias("rows")), "minhash-blocks")
+    strips = F.ceil(F.sqrt("wide"))
+    strip, facing = F.pmod("block", strips), F.explode(F.sequence(F.lit(0).cast("long"), strips - 1))
+    apart = blocks.where("apart").select(F.col("bucket").alias("x_bucket"), F.col("block").alias("x_block"), strip.alias("x_strip"), facing.alias("x_facing"), F.col("rows").alias("x"))
+    every = blocks.select("bucket", F.col("block").alias("y_block"), F.col("apart").alias("y_apart"), strip.alias("y_strip"), facing.alias("y_facing"), F.col("rows").alias("y"))
+    on = (F.col("x_bucket") == F.col("bucket")) & (F.col("x_strip") == F.col("y_facing")) & (F.col("x_facing") == F.col("y_strip"))
+    tasks = apart.join(every, on & (~F.col("y_apart") | (F.col("x_block") <= F.col("y_block")))).select("bucket", "x", "y")
 
     def compare(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
@@ -272,7 +277,10 @@ def labelled_rows(docs: DataFrame, size: int, percent: int, row: Column) -> Data
 
     placed = nodes.select(F.explode("bands").alias("bucket"), "node")
     shared = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("members"), F.min("node").alias("least")).where("members > 1")
-    members = staged(placed.join(shared.withColumnRenamed("bucket", "of"), F.col("bucket") == F.col("of")).select("bucket", "node", "members", "least"), "minhash-members")
+    shared = staged(shared.withColumnRenamed("bucket", "of"), "minhash-buckets")
+    hot_buckets = hot_keys(shared.select("of", "members"))
+    hot_least = hot_keys(shared.groupBy("least").agg(F.sum("members").alias("n")))
+    members = staged(spread_join(placed, shared, ["bucket"], ["of"], "node", hot_buckets).select("bucket", "node", "members", "least"), "minhash-members")
     partnered = members.select("node").distinct()
     if repeated:
         wanted = nodes.select("node", "id", "k1", "k2").join(partnered, "node", "left_semi")
@@ -281,18 +289,18 @@ def labelled_rows(docs: DataFrame, size: int, percent: int, row: Column) -> Data
         sets = staged(shingle_sets(docs.select(rows_id().alias("id"), "text").join(partnered, F.col("id") == F.col("node"), "left_semi"), size), "minhash-sets")
 
     # 1. Every node with the likeliest of its buckets' least nodes.
-    first = likely(members.where("node != least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct(), nodes, percent)
+    first = likely(members.where("node != least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct(), nodes, percent, hot_least)
     best = first.groupBy("a").agg(F.max_by("b", F.struct("equal", -F.col("b"))).alias("b"))
-    links = staged(confirmed(best, sets, percent), "minhash-links")
+    links = staged(confirmed(best, sets, percent, hot_least), "minhash-links")
     formed = components(links, rounds=2)  # what is still apart is only compared again
 
     # 2. What still shares a bucket across components.
     labelled = members.join(formed.withColumnRenamed("node", "formed"), F.col("node") == F.col("formed"), "left").withColumn("component", F.coalesce("component", "node")).drop("formed", "least")
     labelled = staged(labelled, "minhash-labelled")
     apart = labelled.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select(F.col("bucket").alias("of"))
-    active = staged(labelled.join(apart, F.col("bucket") == F.col("of"), "left_semi"), "minhash-active")
+    active = staged(spread_join(labelled, apart, ["bucket"], ["of"], "node", hot_buckets).drop("of"), "minhash-active")
     small, large = active.where(F.col("members") <= SMALL), active.where(F.col("members") > SMALL)
-    more = links_in_small(small, nodes, sets, percent).union(links_in_large(large, nodes, sets, percent))
+    more = links_in_small(small, nodes, sets, percent).union(links_in_large(large, nodes, sets, percent, hot_buckets))
     found = components(links.union(more), "components-all")
 
     # Rows with neither copy nor link belong to themselves.
@@ -303,13 +311,16 @@ def labelled_rows(docs: DataFrame, size: int, percent: int, row: Column) -> Data
         moved = moved.join(names, F.col("component") == F.col("label"))
     else:
         moved = moved.withColumn("label", F.col("component")).withColumn("least_id", F.col("component"))
-    own = rows.join(moved, (F.col("k1") == F.col("m1")) & (F.col("k2") == F.col("m2")) & (F.col("n_shingles") > 0), "left")
+    # Wordless rows share a key that no text has, so they are left out of the join.
+    hot_texts = hot_keys(nodes.select("k1", "k2", "copies"))
+    told = spread_join(worded, moved, ["k1", "k2"], ["m1", "m2"], "row", hot_texts, "left").select(*rows.columns, "label", "least_id")
+    own = told.union(rows.where("n_shingles = 0").select("*", F.lit(None).cast("long"), F.lit(None).cast("long")))
     return own.select("row", "id", "doc_id", "n_shingles", F.col("label").alias("node"), F.coalesce("least_id", "id").alias("component"))
 
 
 def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 80) -> DataFrame:
     """(id, doc_id, n_shingles, component_id, kept) for each row of `docs`: word shingles of `size`, links from `percent` on."""
-    own = labelled_rows(docs, size, percent, F.lit(0))
+    own = labelled_rows(docs, size, percent, F.monotonically_increasing_id())
     component = F.when(F.col("component") < 2**62, F.col("component"))
     return own.select("id", "doc_id", "n_shingles", component.alias("component_id"), (F.col("id") == F.col("component")).alias("kept"))
 
