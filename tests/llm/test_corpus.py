@@ -335,6 +335,31 @@ def test_mixing(spark, seed):
     assert {r["doc_id"]: r["count"] for r in made} == {i: n for i, n in again.items() if n}
 
 
+def test_mixing_of_missing_and_repeated_ids(spark, monkeypatch):
+    """A source without ids, one whose rows share an id, and one whose rows are all alike."""
+    import duckdb
+
+    from vicinia.llm.queries import ORACLE_SQL
+
+    monkeypatch.setattr(_common, "LEAST", 20)
+    some = texts(300, 4, 12)
+    rows = [(None, t, "a") for t in some] + [(5, t, "b") for t in some] + [(7, "one two three", "c")] * 300 + [(None, "x y", None)] * 40 + [(None, None, "a")] * 3
+    df = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id long, text string, source string, extra int").repartition(3)
+    got = mixing.mix(df)
+    for r in got.groupBy("source", "source_size", "target").agg(F.sum("taken").alias("taken"), F.max("size").alias("most")).collect():
+        assert abs(r["taken"] - r["target"]) <= 0.05 * r["source_size"] + r["most"], r
+    db = duckdb.connect()
+    db.register("documents", pd.DataFrame(rows, columns=["doc_id", "text", "source"]).astype({"doc_id": "Int64"}))
+    want = db.execute(ORACLE_SQL["op8_mixing"]).fetchall()
+    rounded = lambda rows: sorted((str(a), b, c, round(d, 6), e) for a, b, c, d, e in rows)
+    assert rounded(map(tuple, got.select("doc_id", "size", "source_size", "target", "taken").collect())) == rounded(want)
+    made = mixing.mixed_documents(df)
+    assert made.columns == [*df.columns, "copy"]
+    count = lambda f: sorted(map(tuple, f.collect()), key=str)
+    assert count(made.groupBy("source").count()) == count(got.groupBy("source").agg(F.sum("copies").alias("count")))
+    assert made.groupBy("extra").agg(F.max("copy").alias("n"), F.count("copy").alias("m")).where("n != m").count() == 0
+
+
 def test_mixing_edges(spark, monkeypatch):
     assert mixing.mix(table(spark, [])).count() == 0 and mixing.mixed_documents(table(spark, [])).count() == 0
     assert {r["taken"] for r in mixing.mix(table(spark, [None, "", " "])).collect()} == {0}

@@ -2,14 +2,18 @@
 
 Sizes are summed per source, targets are water-filled under a cap, and every
 document is emitted floor(rate) times plus one hash-seeded Bernoulli copy whose
-probability is the fraction of the rate. Of a few hash seeds each source takes
-the one whose draw comes nearest to its target, which all seeds are summed for
-in one pass; the draw stays a function of the document id alone.
+probability is the fraction of the rate. That copy is one draw a document; so that
+what a source takes comes near its target, the source chooses the seed of its draws
+among a few, the one whose sum over all its documents comes nearest, which all seeds
+are summed for in one pass. A draw is a function of the document's id and text, and,
+where rows repeat both within a source, of a row's number among those.
 
 Nulls and edges: a null text has size 0; a null source is a source of its own
-and comes last; a null doc_id is drawn like the id "" ; repeated rows are drawn
-alike; an empty table gives an empty result; other columns pass through
-`mixed_documents` untouched and are ignored by `mix`.
+and comes last; rows without an id are told by their texts; rows that repeat id,
+source and text are numbered, so that each is drawn on its own, and their copies
+together repeat exactly (which of them gets one, should they differ in other
+columns, follows their order in the table); an empty table gives an empty result;
+other columns pass through `mixed_documents` untouched and are ignored by `mix`.
 """
 
 from __future__ import annotations
@@ -19,7 +23,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import WORD, staged, text_or_empty
+from ._common import WORD, hot_keys, spread_join, staged, text_or_empty
 
 #: One sha256 gives eight draws of 32 bits.
 DRAWS = 8
@@ -56,8 +60,43 @@ def targets(sizes: DataFrame, weights: Sequence[float], share: float, cap: float
     )
 
 
-def _digest(seed: str) -> Column:
-    return F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 256)
+def _digest(seed: str, words: Column | str, tie: Column | str) -> Column:
+    """32 bytes in hex that a row's draws are taken from; `words` is the hash of its text."""
+    number = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    return F.sha2(F.concat_ws(":", F.lit(seed), number, F.col(tie).cast("string") if isinstance(tie, str) else tie, F.col(words) if isinstance(words, str) else words), 256)
+
+
+def _text_hash() -> Column:
+    return F.sha2(text_or_empty(), 256)
+
+
+def _sized(docs: DataFrame, *more: str) -> DataFrame:
+    """(doc_id, source, size, words, k1, k2) of each row, staged; k1 and k2 stand for id, source and text together."""
+    told = F.concat_ws(":", F.col("doc_id").cast("string"), F.col("source"), F.col("words")), F.col("doc_id").isNull(), F.col("source").isNull()
+    sized = docs.select("doc_id", "source", word_count().alias("size"), _text_hash().alias("words"), *more)
+    return staged(sized.withColumns({"k1": F.xxhash64(*told), "k2": F.xxhash64(F.lit(7), *told)}), "mix-sizes")
+
+
+def _repeats(sized: DataFrame) -> DataFrame:
+    """(r1, r2, n): the keys that several rows have, staged."""
+    return staged(sized.groupBy(F.col("k1").alias("r1"), F.col("k2").alias("r2")).agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "mix-repeats")
+
+
+def _ties(sized: DataFrame, repeats: DataFrame) -> DataFrame:
+    """(at, tie): numbers from 0 of the rows (k1, k2, place) whose key repeats.
+
+    A row's number is its number among those of its partition, after those of the partitions before, so that no task
+    has to hold more of a key than a partition has.
+    """
+    part = F.shiftright("place", 33)
+    rows = spread_join(sized.select("k1", "k2", "place", part.alias("part")), repeats.select("r1", "r2"), ["k1", "k2"], ["r1", "r2"], "place", hot_keys(repeats)).select("k1", "k2", "part", "place")
+    rows = staged(rows, "mix-repeated")
+    earlier = Window.partitionBy("k1", "k2").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy("k1", "k2", "part").agg(F.count(F.lit(1)).alias("n"))
+    before = counts.select(F.col("k1").alias("b1"), F.col("k2").alias("b2"), F.col("part").alias("of"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    own = rows.withColumn("own", F.row_number().over(Window.partitionBy("k1", "k2", "part").orderBy("place")) - 1)
+    met = own.join(before, (F.col("k1") == F.col("b1")) & (F.col("k2") == F.col("b2")) & (F.col("part") == F.col("of")))
+    return met.select(F.col("place").alias("at"), (F.col("before") + F.col("own")).alias("tie"))
 
 
 def _copies(draw: Column | int, digest: Column | str = "digest", whole: str = "whole", bound: str = "bound") -> Column:
@@ -89,19 +128,37 @@ def _rates(sized: DataFrame, weights: Sequence[float], share: float, cap: float)
     return staged(_by_source(rated, sums.select("source", best.alias("draw")), few), "mix-draws"), few
 
 
+def _drawable(docs: DataFrame, seed: str) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """`docs`, the sizes of its rows with their digests, and where keys repeat the rows' numbers: `docs` then has `__place`."""
+    sized = _sized(docs)
+    repeats = _repeats(sized)
+    if repeats.isEmpty():
+        return docs, sized.withColumn("digest", _digest(seed, "words", F.lit("0"))), None
+    docs = staged(docs.withColumn("__place", F.monotonically_increasing_id()), "mix-rows")
+    sized = _sized(docs.withColumnRenamed("__place", "place"), "place")
+    ties = staged(_ties(sized, repeats), "mix-ties")
+    sized = sized.join(ties, F.col("place") == F.col("at"), "left").withColumn("digest", _digest(seed, "words", F.coalesce("tie", F.lit(0)).cast("string")))
+    return docs, staged(sized.select("doc_id", "source", "size", "digest"), "mix-drawable"), ties
+
+
 def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, seed: str = "mix") -> DataFrame:
     """Per row of `docs`: doc_id, source, size, source_size, target, copies, taken (words the mix takes)."""
-    sized = staged(docs.select("doc_id", "source", word_count().alias("size")), "mix-sizes").withColumn("digest", _digest(seed))
+    _, sized, _ = _drawable(docs.select("doc_id", "source", "text"), seed)
     drawn = _by_source(sized, *_rates(sized, weights, share, cap)).withColumn("copies", _copies(F.col("draw")))
     return drawn.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, seed: str = "mix") -> DataFrame:
     """The mix itself: every row of `docs` as often as `mix` says, with its `copy` number from 1."""
-    sized = staged(docs.select("doc_id", "source", word_count().alias("size")), "mix-sizes").withColumn("digest", _digest(seed))
+    columns = [c for c in docs.columns if c != "copy"]
+    docs, sized, ties = _drawable(docs, seed)
     rates, few = _rates(sized, weights, share, cap)
     own = rates.select("source", F.struct("whole", "bound", "draw").alias("__rate"))
     drawn = _by_source(docs, own, few)
-    copies = _copies(F.col("__rate.draw"), _digest(seed), "__rate.whole", "__rate.bound")
-    columns = [c for c in docs.columns if c != "copy"]
+    tie = F.lit("0")
+    if ties is not None:
+        numbers = ties.select(F.col("at").alias("__at"), F.col("tie").alias("__tie"))
+        drawn = drawn.join(numbers, F.col("__place") == F.col("__at"), "left")
+        tie = F.coalesce("__tie", F.lit(0)).cast("string")
+    copies = _copies(F.col("__rate.draw"), _digest(seed, _text_hash(), tie), "__rate.whole", "__rate.bound")
     return drawn.withColumn("__copies", copies).where("__copies > 0").select(*columns, F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies"))).alias("copy"))

@@ -112,7 +112,8 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, item_id, CAST(total AS INTEGER) AS n_windows, n_found, n_found / total AS coverage, coalesce(n_slots, 0) AS n_slots, coalesce(n_changed, 0) AS n_changed FROM best WHERE place = 1
     """,
     "op8_mixing": r"""
-        WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size, sha256('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS digest FROM documents),
+        WITH h AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size, sha256(coalesce(text, '')) AS words FROM documents),
+        d AS (SELECT *, sha256('mix:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || (row_number() OVER (PARTITION BY doc_id, source, words) - 1) || ':' || words) AS digest FROM h),
         s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
         p AS (SELECT *, row_number() OVER (ORDER BY encode(source) NULLS LAST) AS place FROM s),
         w AS (SELECT *, CASE place % 3 WHEN 1 THEN 3.0::DOUBLE WHEN 2 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE END AS weight FROM p),
