@@ -215,6 +215,46 @@ def test_warc_payloads_and_urls_come_back(spark):
     assert got[3]["url"] == "http://h3.example/é?q=3" and got[0]["url"] == "urn:page:0"
 
 
+def test_warc_damage_is_told(spark):
+    import pyarrow.fs
+
+    members = [warc.record(str(i), None, f"<p>page {i} {random.Random(i).random()}</p>".encode() * 30, None, "2020-01-01T00:00:00Z", 6) for i in range(5)]
+    data, path = b"".join(members), scratch_path(spark, "warc-damaged")
+    file = f"{path.removeprefix('file://')}/one.warc.gz"
+    fs, root = pyarrow.fs.FileSystem.from_uri(path)
+    fs.create_dir(root, recursive=True)
+    with fs.open_output_stream(file, compression=None) as out:
+        out.write(data)
+    manifest = spark.createDataFrame([(file, len(data), 5)], "file string, bytes long, records long")
+    whole = sorted(map(tuple, warc.read_archives(manifest, path).select("offset", "page_id", "file").collect()))
+    assert [r[1] for r in whole] == list(range(5)) and warc.checked(manifest, warc.read_archives(manifest, path)).count() == 5
+    for at, kind in ((whole[3][0] - 30, "damaged"), (whole[2][0] + 1, None), (len(data) - 40, "damaged")):
+        bad = bytearray(data)
+        bad[at] ^= 0xFF
+        with fs.open_output_stream(whole[0][2], compression=None) as out:
+            out.write(bytes(bad))
+        got = warc.read_archives(manifest, path, damaged="report")
+        assert sorted(r["record_type"] for r in got.collect()) == sorted(["response"] * 4 + [kind] * (kind is not None))
+        with pytest.raises(Exception, match="does not decode|of 5 records"):
+            warc.checked(manifest, warc.read_archives(manifest, path)).collect()
+
+
+@pytest.mark.parametrize("split", [100, 1 << 20])
+def test_warc_heads_of_any_length(split):
+    import io
+
+    r = random.Random(3)
+    long = "".join(r.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(90_000))
+    swapped = []
+    for i, url in enumerate(["http://a/", f"http://{long}/", "http://b/", f"http://c/{'x' * 300_000}"]):
+        text = __import__("zlib").decompress(warc.record(str(i), url, b"p", None, "2020-01-01T00:00:00Z", 6), 31).split(b"\r\n")
+        text[1:5] = [text[4], text[3], text[2], text[1]]  # the type comes behind the URI
+        swapped.append(__import__("gzip").compress(b"\r\n".join(text)))
+    data = b"".join(swapped)
+    found = [x for s in range(0, len(data), split) for x in warc.records_in(io.BytesIO(data), len(data), s, s + split)]
+    assert [warc.parse(d)[0] for _, d in found] == ["0", "1", "2", "3"]
+
+
 def test_warc_edges(spark):
     assert warc.round_trip(pages(spark, [])).count() == 0
     got = warc.round_trip(pages(spark, ["x", "x", "x", "y", "x"], [None, 3, 3, None, 5])).collect()

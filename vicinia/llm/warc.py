@@ -3,8 +3,11 @@
 Each writing task makes one archive (or more, of bounded size) in the shared
 folder and reports it in a manifest that Spark commits, so files of lost
 attempts are never read. A reading task gets a byte range: it looks for the gzip
-magic, takes a candidate for a member only if its head inflates to a WARC header,
-owns the records that start inside its range, and reads the last one beyond it.
+magic, takes a candidate for a member only if it inflates to a WARC header (of any
+length), owns the records that start inside its range, and reads the last one beyond
+it. Nothing is lost in silence: a member that begins as a record and does not decode
+ends the job, or is reported as a row of record_type "damaged"; and `checked` holds
+the number of records read of each archive against its manifest.
 
 Pages with equal payloads are one response, that of the smallest page_id, and
 revisits, which carry the digest and the HTTP head (with its Content-Length) but
@@ -35,8 +38,9 @@ MAGIC = b"\x1f\x8b\x08"
 URN = "urn:page:"
 #: Bytes of a reading task's range, and of an archive before the next is begun.
 SPLIT, ARCHIVE = 16 << 20, 1 << 30
-#: How much of a candidate is inflated to see whether a WARC header is there.
-HEAD = 1 << 12
+#: A candidate is inflated in pieces of so many bytes until its header ends.
+HEAD = 1 << 9
+OPENING = b"WARC/1."
 
 
 def digest_of(payload: bytes) -> str:
@@ -125,28 +129,53 @@ class Range:
         return got
 
 
-def inflate_head(data: memoryview) -> bool:
+class Damaged(ValueError):
+    """A record that cannot be read."""
+
+
+def beginning(data: bytes) -> bytes:
+    """What `data` inflates to before it cannot be inflated any further, byte by byte."""
+    unpack, out = zlib.decompressobj(31), b""
     try:
-        head = zlib.decompressobj(31).decompress(data, HEAD)
+        for i in range(len(data)):
+            out += unpack.decompress(data[i : i + 1])
     except zlib.error:
-        return False
-    return head.startswith(b"WARC/1.") and b"\r\nWARC-Type:" in head
+        pass
+    return out
+
+
+def opens_record(held: Range, at: int) -> bool:
+    """Whether a member at `at` begins with a WARC header. One that breaks off inside it counts: it is damage, not chance."""
+    unpack, out, fed = zlib.decompressobj(31), b"", at
+    while not unpack.eof and (fed < len(held.data) or held.more()):
+        piece = bytes(held.data[fed : fed + HEAD])
+        fed += len(piece)
+        try:
+            out += unpack.decompress(piece)
+        except zlib.error:
+            return beginning(bytes(held.data[at:fed])).startswith(OPENING)
+        if not out.startswith(OPENING[: len(out)]):
+            return False
+        head, ended, _ = out.partition(b"\r\n\r\n")
+        if ended:
+            return b"\r\nwarc-type:" in head.lower()
+    return out.startswith(OPENING)
 
 
-def records_in(source, size: int, start: int, end: int) -> Iterator[tuple[int, bytes]]:
-    """(offset, record) of the members that begin in [start, end) of a file of `size` bytes."""
+def records_in(source, size: int, start: int, end: int) -> Iterator[tuple[int, bytes | None]]:
+    """(offset, record) of the members that begin in [start, end) of a file of `size` bytes; None for one that does not decode."""
     held = Range(source, size, start, min(end, size))
     at, limit = 0, end - start
     while True:
         at = held.data.find(MAGIC, at)
-        while at < 0 or at + HEAD > len(held.data):  # the magic, or the head behind it, may lie across the end
+        while at < 0:  # the magic may lie across the end
             seen = len(held.data)
-            if at < 0 and seen >= limit + len(MAGIC) or not held.more():
-                break
-            at = held.data.find(MAGIC, max(0, seen - len(MAGIC)) if at < 0 else at)
-        if at < 0 or at >= limit:
+            if seen >= limit + len(MAGIC) or not held.more():
+                return
+            at = held.data.find(MAGIC, max(0, seen - len(MAGIC)))
+        if at >= limit:
             return
-        if not inflate_head(bytes(held.data[at : at + HEAD])):
+        if not opens_record(held, at):
             at += 1
             continue
         unpack, out, fed = zlib.decompressobj(31), [], at
@@ -158,6 +187,7 @@ def records_in(source, size: int, start: int, end: int) -> Iterator[tuple[int, b
                 out.append(unpack.decompress(piece))
                 fed += len(piece)
         except zlib.error:
+            yield start + at, None
             at += 1
             continue
         yield start + at, b"".join(out)
@@ -172,33 +202,50 @@ def parse(data: bytes) -> tuple[str, int, str, str, str | None, str | None, byte
     http, _, payload = block.partition(b"\r\n\r\n")
     digest, kind = fields["warc-payload-digest"].removeprefix("sha1:"), fields["warc-type"]
     if kind == "response" and digest_of(payload) != digest:
-        raise ValueError(f"the payload of {fields['warc-record-id']} is damaged")
+        raise Damaged(f"the payload of {fields['warc-record-id']} is not what its digest says")
     page = fields["warc-record-id"][1:-1].removeprefix(URN)
     refers_to = fields["warc-refers-to"][1:-1].removeprefix(URN) if kind == "revisit" else None
     return page, int(headers(http)["content-length"]), digest, kind, refers_to, unquote(fields["warc-target-uri"]), payload if kind == "response" else None
 
 
-def read_archives(manifest: DataFrame, path: str, split: int = SPLIT, payloads: bool = False) -> DataFrame:
-    """(page_id, payload_bytes, payload_digest, record_type, refers_to[, url, payload]) of the archives in `manifest`."""
+def read_archives(manifest: DataFrame, path: str, split: int = SPLIT, payloads: bool = False, damaged: str = "raise") -> DataFrame:
+    """(page_id, payload_bytes, payload_digest, record_type, refers_to[, url, payload], file, offset) of the archives in `manifest`.
+
+    A record that does not decode, or whose payload its digest contradicts, ends the job, or with `damaged` = "report"
+    is a row of record_type "damaged" that has only its file and offset.
+    """
+    if damaged not in ("raise", "report"):
+        raise ValueError("damaged must be raise or report")
     spark = manifest.sparkSession
     wide = int(spark.conf.get("spark.sql.shuffle.partitions"))
     splits = manifest.select("file", "bytes", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("bytes") - 1, F.lit(0)), F.lit(split).cast("long"))).alias("start")).repartition(wide, "file", "start")
-    columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", *(["url", "payload"] if payloads else [])]
-    schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long" + (", url string, payload binary" if payloads else "")
+    columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", *(["url", "payload"] if payloads else []), "file", "offset"]
+    schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long" + (", url string, payload binary" if payloads else "") + ", file string, offset long"
 
     def number(value: str | None) -> int | None:
         return int(value) if value else None
 
+    def row(data: bytes | None) -> tuple:
+        if data is None:
+            raise Damaged("the member does not decode")
+        page, n, digest, kind, refers_to, url, payload = parse(data)
+        return (number(page), n, digest, kind, number(refers_to), url, payload)[: len(columns) - 2]
+
     def read(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fs, _ = pyarrow.fs.FileSystem.from_uri(path)
         for part in parts:
             for file, size, start in part.itertuples(index=False, name=None):
                 with fs.open_input_file(file) as source:
                     rows, held = [], 0
-                    for _, data in records_in(source, size, start, start + split):
-                        page, n, digest, kind, refers_to, url, payload = parse(data)
-                        rows.append((number(page), n, digest, kind, number(refers_to), url, payload)[: len(columns)])
-                        held += len(data)
+                    for offset, data in records_in(source, size, start, start + split):
+                        try:
+                            own = row(data)
+                        except (Damaged, KeyError, ValueError) as fault:  # a header without what a record must have, too
+                            if damaged == "raise":
+                                raise Damaged(f"{file} at {offset}: {fault}") from fault
+                            own = (None, None, None, "damaged", *[None] * (len(columns) - 6))
+                        rows.append((*own, file, offset))
+                        held += len(data or b"")
                         if held > 32 << 20:
                             yield frame(rows)
                             rows, held = [], 0
@@ -206,12 +253,23 @@ def read_archives(manifest: DataFrame, path: str, split: int = SPLIT, payloads:
                         yield frame(rows)
 
     def frame(rows: list[tuple]) -> pd.DataFrame:
-        return pd.DataFrame(rows, columns=columns).astype({"page_id": "Int64", "refers_to": "Int64"})
+        return pd.DataFrame(rows, columns=columns).astype({"page_id": "Int64", "refers_to": "Int64", "payload_bytes": "Int64"})
 
     return splits.mapInPandas(read, schema)
 
 
+def checked(manifest: DataFrame, found: DataFrame) -> DataFrame:
+    """`found`, which `read_archives` gave of `manifest` and which is written already: an error unless every archive has
+    as many records as the manifest says."""
+    counts = found.groupBy(F.col("file").alias("of")).agg(F.count(F.lit(1)).alias("n"))
+    short = manifest.join(counts, F.col("file") == F.col("of"), "left").where(F.coalesce("n", F.lit(0)) != F.col("records"))
+    if (one := short.select("file", "records", F.coalesce("n", F.lit(0)).alias("n")).first()) is not None:
+        raise Damaged(f"{one['file']} has {one['n']} of {one['records']} records")
+    return found
+
+
 def round_trip(pages: DataFrame, level: int = 6, split: int = SPLIT) -> DataFrame:
     """`pages` written as archives and read back."""
     path = scratch_path(pages.sparkSession, "warc")
-    return read_archives(write_archives(pages, path, level=level), path, split)
+    manifest = write_archives(pages, path, level=level)
+    return checked(manifest, staged(read_archives(manifest, path, split), "warc-found")).drop("file", "offset")
