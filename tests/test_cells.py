@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from vicinia.operators import cells
 from vicinia.operators.cells import cell_offsets, cell_table, global_numbers, level_tree, owner_of, sample_tree, with_cell
 from vicinia.sources import node_lines, write_cells, write_nodes
 
@@ -24,6 +25,14 @@ def test_cells_are_even_and_boxes_hold_their_points(spark, build, policy):
     assert {r["id"]: r["cell"] for r in with_cell(frame(spark, pts), tree).collect()} == dict(zip([i for i, _ in pts], cell))
 
 
+def test_a_sample_is_a_share_of_the_points(spark, monkeypatch):
+    monkeypatch.setattr(cells, "SAMPLE_COORDINATES", 400)
+    pts = rows(rng(12), 900, 2)
+    tree = sample_tree(frame(spark, pts), 5, 2)
+    counts = np.bincount(tree.assign(np.array([c for _, c in pts])), minlength=5)
+    assert tree.cells == 5 and counts.min() > 90 and counts.max() < 300
+
+
 def test_many_cells_go_through_numpy(spark):
     pts = rows(rng(2), 500, 2)
     tree = sample_tree(frame(spark, pts), 100, 2)

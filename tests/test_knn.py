@@ -1,9 +1,15 @@
+import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
 from vicinia.config import KnnConfig
-from vicinia.operators.knn import knn, knn_columns, knn_join, radius_join
+from vicinia.operators import knn as search
+from vicinia.operators.knn import knn, knn_columns, knn_join, prepare, radius_join
+from vicinia import skew
+from vicinia.operators import kernel
+from vicinia.operators.cells import cell_table, sample_tree, with_cell
+from vicinia.operators.knn import routes
 from vicinia.operators.points import points, random_points
 from vicinia.operators.topk import flat, merge_top_k, nested, sorted_neighbours, top_k
 
@@ -21,7 +27,7 @@ def test_as_brute_force(spark, n, dims, k, grid):
 def test_plans_agree_and_prefixes_nest(spark):
     df = frame(spark, rows(rng(3), 120, 2, 30))
     cells, one, many = as_dict(knn(df, 6, SMALL)), as_dict(knn(df, 6)), as_dict(knn(df.repartition(7), 6, KnnConfig(cell_rows=3, policy="round_robin")))
-    assert cells == one == many == as_dict(knn_columns(df, 6, 2))
+    assert cells == one == many == as_dict(knn_columns(df, 6)) == as_dict(knn_columns(df, 6, SMALL))
     assert as_dict(knn(df, 5, SMALL)) == {key: v for key, v in cells.items() if key[1] <= 5}
 
 
@@ -60,6 +66,66 @@ def test_queries_against_a_base(spark):
     assert as_dict(knn_join(frame(spark, far), frame(spark, p), 2, SMALL)) == brute(far, p, 2)
 
 
+def lists_of(df):
+    return sorted(map(tuple, df.select("query_id", "rank", "neighbor_id", "d2").collect()))
+
+
+def each_row(queries, base, k):
+    """Neighbours of each row of `queries` by itself."""
+    return sorted((q, rank, p, d2) for q, x in queries for (_, rank), (p, d2) in brute([(q, x)], base, k).items())
+
+
+def test_ids_may_repeat(spark):
+    q = [(1, [0.0, 0.0]), (1, [0.0, 0.0]), (2, [3.0, 1.0]), (2, [0.5, 2.0]), (3, [1.0, 1.0])]
+    p = [(1, [0.0, 0.0]), (1, [3.0, 3.0]), (1, [3.0, 3.0]), (2, [0.0, 1.0]), (2, [2.0, 2.0]), (4, [2.0, 2.0]), (5, [9.0, 9.0])] + rows(rng(4), 20, 2, 5)
+    unlike = [(i, c) for i, (_, c) in enumerate(p)]
+    for config in (SMALL, KnnConfig()):
+        assert lists_of(knn_join(frame(spark, q), frame(spark, unlike), 4, config)) == each_row(q, unlike, 4)
+        assert lists_of(knn_join(frame(spark, q), frame(spark, p), 4, config)) == each_row(q, p, 4)
+        assert lists_of(knn(frame(spark, p), 3, config)) == each_row(p, p, 3)
+
+
+def test_a_base_is_prepared_once(spark):
+    p, q = rows(rng(14), 60, 2, 9), rows(rng(15), 9, 2, 9)
+    ready = prepare(frame(spark, p), 5, SMALL)
+    for k in (2, 5):
+        assert as_dict(knn_join(frame(spark, q), ready, k)) == brute(q, p, k)
+    with pytest.raises(ValueError):
+        knn_join(frame(spark, q), ready, 6)
+
+
+def test_many_lists_are_merged_by_strips(spark, monkeypatch):
+    monkeypatch.setattr(search, "MANY_LISTS", 1)
+    pts = rows(rng(16), 150, 20)
+    assert as_dict(knn(frame(spark, pts), 5, KnnConfig(block_rows=7))) == brute(pts, pts, 5)
+
+
+def test_a_crowd_is_dealt_over_tasks(spark, monkeypatch):
+    monkeypatch.setattr(skew, "LEAST", 4)
+    monkeypatch.setattr(skew, "PARTS", 10)
+    pts = [(i, [1.0, 2.0] if i % 3 else [float(i), 0.0]) for i in range(60)]
+    assert as_dict(knn(frame(spark, pts), 4, SMALL)) == brute(pts, pts, 4)
+
+
+def test_routes_leave_no_cell_out(spark):
+    r = rng(17)
+    pts = rows(r, 300, 3)
+    tree = sample_tree(frame(spark, pts), 40, 3)
+    celled = with_cell(frame(spark, pts), tree)
+    boxes = {b["cell"]: b for b in cell_table(celled, 3).collect()}
+    queries = [(i, r.normal(0.5, 0.7, 3).tolist(), int(r.integers(0, 40)), float(r.choice([0.0, 0.01, 0.2, float("inf")]))) for i in range(80)]
+    df = spark.createDataFrame(queries, "q long, coords array<double>, cell int, bound double")
+    want = {(q, c) for q, x, own, bound in queries for c, b in boxes.items() if c != own and sum(max(lo - v, v - hi, 0) ** 2 for v, lo, hi in zip(x, b["lo"], b["hi"])) <= bound}
+    frontier, kernel.FRONTIER = kernel.FRONTIER, 16
+    try:
+        nodes = tree.boxed(*(np.array([boxes[c][s] for c in range(40)]) for s in ("lo", "hi")))
+        q, c = (np.concatenate(x) for x in zip(*kernel.boxes_within(np.array([x for _, x, _, _ in queries]), np.array([b for *_, b in queries]), nodes)))
+    finally:
+        kernel.FRONTIER = frontier
+    assert {(i, j) for i, j in zip(q.tolist(), c.tolist()) if j != queries[i][2]} == want
+    assert {(x["q"], x["cell"]) for x in routes(df, cell_table(celled, 3), tree).collect()} == want
+
+
 def test_radius(spark):
     pts = rows(rng(9), 80, 2, 12)
     found = {(r["query_id"], r["neighbor_id"]): r["d2"] for r in radius_join(frame(spark, pts), frame(spark, pts), 4.0, SMALL).collect()}
@@ -73,7 +139,7 @@ def test_float32(spark):
 
 
 def test_invalid_points(spark):
-    df = spark.createDataFrame([(1, 1.0, 2.0), (2, None, 1.0), (3, float("nan"), 1.0), (None, 1.0, 1.0)], "i long, a double, b double")
+    df = spark.createDataFrame([(1, 1.0, 2.0), (2, None, 1.0), (3, float("nan"), 1.0), (None, 1.0, 1.0), (4, float("-inf"), 1.0)], "i long, a double, b double")
     assert [r["id"] for r in points(df, "i", ["a", "b"], "drop").collect()] == [1]
     with pytest.raises(Exception, match="null or NaN"):
         points(df, "i", ["a", "b"]).collect()

@@ -6,7 +6,7 @@ from vicinia.config import KnnConfig
 from vicinia.operators.knn import knn
 from vicinia.operators.topk import nested
 from vicinia.plans.pipeline import run
-from vicinia.sources import read_points, write_neighbours, write_points
+from vicinia.sources import read_neighbours, read_points, write_neighbours, write_points
 from vicinia.sources.raw import RawReader
 from vicinia.streaming.neighbours import stream_knn
 
@@ -38,6 +38,8 @@ def test_write_and_read(spark, tmp_path):
     files = write_points(frame(spark, pts), f"{tmp_path}/out")
     back = sorted((r["id"], r["coords"]) for r in read_points(spark, f"file://{tmp_path}/out", 2, files=files).collect())
     assert [c for _, c in back] == [c for _, c in sorted(pts)]
+    (tmp_path / "out" / "part-of-a-failed-attempt.f64").write_bytes(bytes(160))
+    assert sorted((r["id"], r["coords"]) for r in read_points(spark, f"{tmp_path}/out", 2).collect()) == back
     (tmp_path / "empty").write_bytes(b"")
     assert read_points(spark, f"{tmp_path}/empty", 2).count() == 0
 
@@ -47,6 +49,7 @@ def test_packed_neighbours(spark, tmp_path):
     files = write_neighbours(nested(knn(frame(spark, pts), 3)), f"{tmp_path}/n")
     data = np.concatenate([np.fromfile(tmp_path / "n" / f, [("value", "<f8"), ("array_idx", "<u8")]) for f in files]).reshape(20, 3)
     want = brute(pts, pts, 3)
+    assert {(r["place"], r["rank"]): (r["neighbor_id"], r["d2"]) for r in read_neighbours(spark, f"{tmp_path}/n", 3).collect()} == want
     assert all((data[q, r - 1]["array_idx"], data[q, r - 1]["value"]) == v for (q, r), v in want.items())
 
 
@@ -64,7 +67,7 @@ def test_whole_run(spark, tmp_path):
 
 def test_command_line(spark, tmp_path, capsys, monkeypatch):
     (tmp_path / "p").write_bytes(rng(6).random((10, 2)).tobytes())
-    main(["-i", f"{tmp_path}/p", "-t", "f64", "-d", "2", "-k", "2"])
+    main(["-i", f"{tmp_path}/p", "-t", "f64", "-d", "2", "-k", "2", "--policy", "round_robin", "--compute", "f32", "--invalid", "drop", "--block-rows", "4"])
     assert "neighbor_id" in capsys.readouterr().out
     with pytest.raises(SystemExit):
         main(["-i", "x"])

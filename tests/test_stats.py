@@ -44,6 +44,40 @@ def test_cdf_and_quantiles(spark, numbers):
     assert {r["g"]: r["median"] for r in stats.upper_median(df, "x", ["g"]).collect()} == {g: np.sort(x[g::3])[len(x[g::3]) // 2] for g in range(3)}
 
 
+@pytest.mark.parametrize("few, bins, shipped", [(1 << 14, 256, 10_000), (5, 3, 10_000), (5, 3, 0), (1, 2, 10_000)])
+def test_places_by_closing_histograms(spark, monkeypatch, few, bins, shipped):
+    monkeypatch.setattr(stats, "FEW", few)
+    monkeypatch.setattr(stats, "SHIPPED", shipped)
+    monkeypatch.setattr(stats.at_places, "__defaults__", ((), bins))
+    r = np.random.default_rng(3)
+    values = np.concatenate([r.normal(0, 1, 60), np.exp(r.normal(0, 9, 40)), np.full(50, 2.5), [-1e300, 1e300]])
+    data = [(float(x), None if i % 4 == 0 else i % 4) for i, x in enumerate(r.permutation(values))]
+    df = spark.createDataFrame(data + [(None, 1), (None, 9)], "x double, g int")
+    assert [q["x"] for q in stats.exact_quantiles(df, "x", [0.0, 0.3, 0.5, 0.501, 1.0]).collect()] == pytest.approx(np.quantile(values, [0.0, 0.3, 0.5, 0.501, 1.0]).tolist())
+    want = {g: sorted(x for x, own in data if own == g) for g in (None, 1, 2, 3)}
+    got = {m["g"]: (m["median"], m["n"]) for m in stats.upper_median(df, "x", ["g"]).collect()}
+    assert got == {**{g: (own[len(own) // 2], len(own)) for g, own in want.items()}, 9: (None, 0)}
+    assert stats.upper_median(df, "x").first()["median"] == sorted(values)[len(values) // 2]
+
+
+def test_quantiles_of_nothing(spark):
+    empty = spark.createDataFrame([], "x double, g int")
+    assert [q["x"] for q in stats.exact_quantiles(empty, "x", [0.5]).collect()] == [None]
+    assert stats.upper_median(empty, "x", ["g"]).count() == 0
+    assert stats.histogram_quantile(empty, "x", 0.5).count() == 0
+
+
+def test_interpolated_quantile(spark, numbers):
+    x, df = numbers
+    counts, edges = np.histogram(x, 20)
+    seen = np.cumsum(counts) / len(x)
+    for share in (0.01, 0.5, 1.0):
+        b = int(np.argmax(seen >= share))
+        before = seen[b] - counts[b] / len(x)
+        row = stats.histogram_quantile(df, "x", share).first()
+        assert row["bin"] == b and row["x"] == pytest.approx(edges[b] + (share - before) / (seen[b] - before) * (edges[b + 1] - edges[b]))
+
+
 def test_quantile_of_crowds(spark):
     df = spark.createDataFrame([(1.0,)] * 90 + [(2.0,)] * 10, "x double")
     assert stats.quantile_search(df, "x", 0.5) == (1.0, 0.9)  # no split comes nearer

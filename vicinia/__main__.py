@@ -18,9 +18,13 @@ def main(args: list[str] | None = None) -> None:
     parser.add_argument("-o", "--out-data", help="a folder for points by cell, nodes, neighbours and statistics")
     parser.add_argument("-k", "--kngbh", type=int, default=DEFAULT_K, help="neighbours of each point, itself among them")
     parser.add_argument("--cell-rows", type=int, default=KnnConfig.cell_rows, help="points that a cell is meant to hold")
+    parser.add_argument("--block-rows", type=int, default=KnnConfig.block_rows, help="points that meet others at once in a task")
+    parser.add_argument("--policy", choices=["widest", "round_robin"], default=KnnConfig.policy, help="how the dimension of a split is chosen")
+    parser.add_argument("--compute", choices=sorted(DTYPES), default=KnnConfig.compute, help="the precision of distances")
+    parser.add_argument("--invalid", choices=["raise", "drop"], default=KnnConfig.invalid, help="what becomes of points that are not finite")
     parser.add_argument("--overwrite", action="store_true")
     given = parser.parse_args(args)
-    config = KnnConfig(k=given.kngbh, dims=given.in_dims, dtype=given.dtype, cell_rows=given.cell_rows)
+    config = KnnConfig(k=given.kngbh, dims=given.in_dims, dtype=given.dtype, compute=given.compute, policy=given.policy, cell_rows=given.cell_rows, block_rows=given.block_rows, invalid=given.invalid)
     spark = SparkSession.builder.appName("vicinia").getOrCreate()
     done = run(spark, given.in_data, config, given.out_data, "overwrite" if given.overwrite else "errorifexists")
     done.stats.show(truncate=False)

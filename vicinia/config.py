@@ -12,7 +12,7 @@ DTYPES = {"f32": "<f4", "f64": "<f8"}
 @dataclass(frozen=True)
 class KnnConfig:
     """`cell_rows`: points that a cell is meant to hold; `block_rows`: points that meet others at once in a task;
-    `routed_cells`: the most cells whose boxes are shipped to every task."""
+    `routed_cells`: the most cells whose tree of boxes is shipped to every task."""
 
     k: int = DEFAULT_K
     dims: int | None = None
@@ -21,7 +21,7 @@ class KnnConfig:
     policy: str = "widest"
     cell_rows: int = 4096
     block_rows: int = 1024
-    routed_cells: int = 16384
+    routed_cells: int = 65536
     bins: int = DEFAULT_BINS
     tolerance: float = DEFAULT_TOLERANCE
     invalid: str = "raise"

@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 SAMPLE_COORDINATES = 1 << 22
 #: Cells up to which a point's cell is a CASE expression in generated code; beyond, it is looked up in numpy.
 CASE_CELLS = 64
+#: The most cells whose offsets are shipped to every task.
+MOST_OFFSETS = 1 << 20
 
 
 @dataclass
@@ -56,6 +58,17 @@ class CellTree:
             at[rows] = np.where(coords[rows, dim[own]] > value[own], right[own], left[own])
         return cell[at]
 
+    def boxed(self, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(cell or -1, left, right, low, high) of each node, whose box holds those of its cells; a cell without points
+        has a box that nothing is near to. `low` and `high` are the cells' boxes, by number."""
+        cell, left, right = (np.array([getattr(n, a) if getattr(n, a) is not None else -1 for n in self.nodes], np.int64) for a in ("cell", "left", "right"))
+        lows, highs = np.full((len(cell), self.dims), np.inf), np.full((len(cell), self.dims), -np.inf)
+        lows[cell >= 0], highs[cell >= 0] = low[cell[cell >= 0]], high[cell[cell >= 0]]
+        for i in np.argsort([-n.level for n in self.nodes], kind="stable").tolist():  # children before parents
+            if cell[i] < 0:
+                lows[i], highs[i] = np.minimum(lows[left[i]], lows[right[i]]), np.maximum(highs[left[i]], highs[right[i]])
+        return cell, left, right, lows, highs
+
     def expression(self, coords: Column | str) -> Column:
         """The cell as nested CASE expressions."""
 
@@ -86,11 +99,21 @@ def split_dimension(node: Node, low: np.ndarray, high: np.ndarray, policy: str,
     return int(np.argmax(high - low)) if policy == "widest" else node.level % dims
 
 
-def sample_tree(pts: DataFrame, cells: int, dims: int, policy: str = "widest") -> CellTree:
-    """A tree of at most `cells` leaves from a bounded sample: the points whose ids have the least hashes."""
+def sample_tree(pts: DataFrame, cells: int, dims: int, policy: str = "widest", rows: int | None = None) -> CellTree:
+    """A tree of at most `cells` leaves from a bounded sample: the points whose ids have the least hashes.
+
+    Of `rows` points, where there are more than the sample takes, those are kept in the scan whose hashes lie below the
+    share wanted; so no task sorts, and none sends on more than its part of the sample.
+    """
     most = max(1, SAMPLE_COORDINATES // dims)
-    rows = pts.orderBy(F.xxhash64("id"), "id").limit(most).select("coords").toPandas()["coords"]
-    coords = np.array(rows.to_list(), float).reshape(len(rows), dims)
+    if cells > 1:
+        rows = pts.count() if rows is None else rows
+        if rows > most:
+            pts = pts.where(F.pmod(F.xxhash64("id"), F.lit(1 << 40)) < int((1 << 40) * most / rows))
+        sample = pts.select("coords").limit(2 * most).toPandas()["coords"]  # the limit only bounds what chance might add
+    else:
+        sample = pd.Series([], dtype=object)
+    coords = np.array(sample.to_list(), float).reshape(len(sample), dims)
     endless = np.full(dims, np.inf)
     tree = CellTree(dims, [Node(0, -endless, endless)])
     made, queue = 0, deque([(0, np.arange(len(coords)), cells)])
@@ -212,5 +235,19 @@ def global_numbers(celled: DataFrame) -> DataFrame:
 
 
 def owner_of(numbers: DataFrame, offsets: DataFrame) -> DataFrame:
-    """(number, cell): the cell in whose range of numbers each one lies, by a range join with the few cells."""
-    return numbers.join(F.broadcast(offsets), (F.col("number") >= F.col("start")) & (F.col("number") < F.col("start") + F.col("n"))).select("number", "cell")
+    """(number, cell): the cell in whose range of numbers each one lies, by bisection in the starts of MOST_OFFSETS cells at most."""
+    starts = [(r["start"], r["n"], r["cell"]) for r in offsets.where("n > 0").orderBy("start").limit(MOST_OFFSETS + 1).collect()]
+    if len(starts) > MOST_OFFSETS:
+        raise ValueError(f"more than {MOST_OFFSETS} cells cannot be shipped to every task")
+    start, n, cell = (np.array([r[i] for r in starts], np.int64) for i in range(3))
+    shipped = numbers.sparkSession.sparkContext.broadcast((start, n, cell))
+
+    @F.pandas_udf("int")
+    def owner(number: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        start, n, cell = shipped.value
+        for part in number:
+            at = np.searchsorted(start, part.to_numpy(), "right") - 1
+            inside = (at >= 0) & (part.to_numpy() < (start + n)[at]) if len(start) else np.zeros(len(part), bool)
+            yield pd.Series(np.where(inside, cell[at] if len(start) else -1, -1), dtype="int32")
+
+    return numbers.select("number", owner("number").alias("cell")).where("cell >= 0")

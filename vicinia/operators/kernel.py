@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 
 #: Distances held at once.
 STRIP = 1 << 21
+#: Pairs of a query and a node looked at together.
+FRONTIER = 1 << 17
 
 
 def square_distances(q: np.ndarray, p: np.ndarray) -> np.ndarray:
@@ -41,10 +45,34 @@ def within(q: np.ndarray, p: np.ndarray, ids: np.ndarray, k: int | None, bound:
 
 
 def box_distances(q: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-    """(len(q), len(low)) squared distances of points to boxes, 0 inside."""
-    out = np.zeros((len(q), len(low)), q.dtype)
+    """The squared distance of each row of `q` to the box in the same row, 0 inside."""
+    out = np.zeros(len(q), q.dtype)
     for j in range(q.shape[1]):
-        over = np.maximum(np.maximum(low[None, :, j] - q[:, j, None], q[:, j, None] - high[None, :, j]), 0)
+        over = np.maximum(np.maximum(low[:, j] - q[:, j], q[:, j] - high[:, j]), 0)
         over *= over
         out += over
     return out
+
+
+def boxes_within(q: np.ndarray, bound: np.ndarray, nodes: tuple[np.ndarray, ...]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(row of q, cell) of the cells whose boxes lie within `bound` of a query, at it included; some at a time.
+
+    `nodes` (cell or -1, left, right, low, high) is a tree whose boxes hold those below them, so a subtree that is too
+    far is left at once. All queries go down together, FRONTIER pairs of query and node at a time.
+    """
+    cell, left, right, low, high = nodes
+    stack = [(np.arange(len(q)), np.zeros(len(q), np.int64))]
+    while stack:
+        rows, at = stack.pop()
+        if len(rows) > FRONTIER:
+            half = len(rows) // 2
+            stack += [(rows[:half], at[:half]), (rows[half:], at[half:])]
+            continue
+        near = box_distances(q[rows], low[at], high[at]) <= bound[rows]
+        rows, at = rows[near], at[near]
+        leaf = cell[at] >= 0
+        if leaf.any():
+            yield rows[leaf], cell[at[leaf]]
+        rows, at = rows[~leaf], at[~leaf]
+        if len(rows):
+            stack.append((np.concatenate([rows, rows]), np.concatenate([left[at], right[at]])))

@@ -12,14 +12,17 @@ merged by query.
 The result has, for every query, the min(k, N) points of least (d2, id), itself
 included where it is one of the points.
 
-Nulls and edges: invalid points are for `points` to drop or to refuse; no points
-give no rows; fewer than k give all; equal points are all there, by id; constant
-columns and points on splits need no care.
+Nulls and edges: invalid points, those at infinity too, are for `points` to drop or
+to refuse; no points give no rows; fewer than k give all; equal points are all there,
+by id; constant columns and points on splits need no care. Ids may repeat: every row
+of the base is a point of its own, and every row of the queries has neighbours of its
+own, so rows with one id have k each.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -27,14 +30,18 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import KnnConfig
+from ..functions import sq_distance
+from ..skew import hot_keys, spread_join
 from ..staging import staged
 from .cells import CellTree, cell_table, sample_tree, with_cell
-from .kernel import box_distances, within
+from .kernel import boxes_within, within
 
 #: Dimensions beyond which boxes exclude next to nothing, so that all points meet.
 PRUNED_DIMS = 16
 #: Blocks of a cell up to which one task compares all of them, and the least points of a block.
 FEW_BLOCKS, LEAST_BLOCK = 4, 64
+#: Lists of a query up to which they are merged at once; more are merged by strips first.
+MANY_LISTS = 256
 
 
 def locations(pts: DataFrame, k: int) -> DataFrame:
@@ -68,7 +75,7 @@ def _facing(blocks: DataFrame, others: DataFrame) -> DataFrame:
 
 
 def _meet(queries: DataFrame, base: DataFrame, k: int | None, dims: int, float32: bool) -> DataFrame:
-    """(q, near): what each block of queries (cell, q, bound, flat) keeps of each block of the base (cell, loc, m, flat).
+    """(q, near, strip): what each block of queries (cell, q, bound, flat) keeps of each block of the base (cell, loc, m, flat).
 
     Strips of queries meet strips of the base, so that a cell of many blocks is a square of tasks.
     """
@@ -80,22 +87,37 @@ def _meet(queries: DataFrame, base: DataFrame, k: int | None, dims: int, float32
         for batch in batches:
             for row in range(batch.num_rows):
                 q, bound, q_flat, loc, m, p_flat = (batch.column(i)[row].values.to_numpy(zero_copy_only=False) for i in range(6))
+                strip = batch.column(6)[row].as_py()
                 a, b = (x.astype(kind).reshape(-1, dims) for x in (q_flat, p_flat))
                 order = np.argsort(loc, kind="stable")  # ties go by location
                 rows, own, d2 = within(a, b[order], np.arange(len(b)), k, bound)
                 own = order[own]
                 starts = np.flatnonzero(np.diff(rows, prepend=-1))
                 lists = [pa.ListArray.from_arrays(pa.array(np.append(starts, len(rows)).astype(np.int32)), pa.array(x)) for x in (d2.astype(float), loc[own], m[own].astype(np.int32))]
-                yield pa.RecordBatch.from_arrays([pa.array(q[rows[starts]]), *lists], names=["q", "d2", "loc", "m"])
+                yield pa.RecordBatch.from_arrays([pa.array(q[rows[starts]]), *lists, pa.array(np.full(len(starts), strip, np.int32))], names=["q", "d2", "loc", "m", "strip"])
 
     on = (F.col("q_cell") == F.col("cell")) & (F.col("q_strip") == F.col("facing")) & (F.col("q_facing") == F.col("strip"))
-    met = left.join(right, on).select("q", "bound", "q_flat", "loc", "m", "p_flat")
-    return met.mapInArrow(compare, "q long, d2 array<double>, loc array<long>, m array<int>").select("q", F.arrays_zip("d2", "loc", "m").alias("near"))
+    met = left.join(right, on).select("q", "bound", "q_flat", "loc", "m", "p_flat", "strip")
+    return met.mapInArrow(compare, "q long, d2 array<double>, loc array<long>, m array<int>, strip int").select("q", F.arrays_zip("d2", "loc", "m").alias("near"), "strip")
 
 
-def _first(lists: DataFrame, k: int) -> DataFrame:
-    """(q, near): the k nearest of what the blocks kept of each query; as many lists as blocks it met."""
-    return lists.groupBy("q").agg(F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k).alias("near"))
+def _meet_columns(queries: DataFrame, base: DataFrame, k: int, dims: int) -> DataFrame:
+    """(q, near, strip) as `_meet` gives it, of rows (cell, q, bound, coords) and (cell, loc, m, coords), in generated code:
+    an equi-join on the cell and a window that keeps k of each query before its shuffle."""
+    left = queries.select(F.col("cell").alias("q_cell"), "q", "bound", F.col("coords").alias("q_coords"))
+    d2 = sq_distance(*[[F.element_at(side, i + 1) for i in range(dims)] for side in ("q_coords", "coords")])
+    pairs = left.join(base.select("cell", "loc", "m", "coords"), F.col("q_cell") == F.col("cell")).select("q", "bound", d2.alias("d2"), "loc", "m").where("d2 <= bound")
+    pairs = pairs.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy("d2", "loc"))).where(F.col("r") <= k)
+    return pairs.groupBy("q").agg(F.array_sort(F.collect_list(F.struct("d2", "loc", "m"))).alias("near")).withColumn("strip", F.lit(0))
+
+
+def _first(lists: DataFrame, k: int, many: bool = False) -> DataFrame:
+    """(q, near): the k nearest of what the blocks kept of each query; `many` lists are merged by strips of the base first,
+    so that no task holds more than about the root of their number."""
+    nearest = F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k).alias("near")
+    if many:
+        lists = lists.groupBy("q", "strip").agg(nearest)
+    return lists.groupBy("q").agg(nearest)
 
 
 def _radius(near: str, k: int):
@@ -109,37 +131,38 @@ def _radius(near: str, k: int):
     return F.aggregate(near, start, step, lambda seen: seen["r"])
 
 
-def routes(queries: DataFrame, cells: DataFrame) -> DataFrame:
+def routes(queries: DataFrame, cells: DataFrame, tree: CellTree) -> DataFrame:
     """(q, coords, bound, cell) for every other cell whose box lies within a query's bound, at it included.
 
-    `queries` has (q, coords, cell, bound); `cells` (cell, lo, hi) is shipped to every task, so its size must be bounded.
+    `queries` has (q, coords, cell, bound); `cells` (cell, lo, hi) are the cells of `tree`, whose number its maker bounds:
+    the tree of their boxes is shipped to every task, where all queries of a batch walk down it together.
     """
-    rows = cells.select("cell", "lo", "hi").collect()
-    number = np.array([r["cell"] for r in rows], np.int64)
-    low, high = (np.array([r[c] for r in rows], float).reshape(len(rows), -1) for c in ("lo", "hi"))
-    shipped = queries.sparkSession.sparkContext.broadcast((number, low, high))
+    low, high = np.full((tree.cells, tree.dims), np.inf), np.full((tree.cells, tree.dims), -np.inf)
+    for r in cells.select("cell", "lo", "hi").collect():
+        low[r["cell"]], high[r["cell"]] = r["lo"], r["hi"]
+    shipped = queries.sparkSession.sparkContext.broadcast(tree.boxed(low, high))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, low, high = shipped.value
         for batch in batches:
             q, cell, bound = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("q", "cell", "bound"))
             coords = batch.column("coords").flatten().to_numpy(zero_copy_only=False).reshape(len(q), -1)
-            step = max(1, (1 << 20) // max(1, len(number)))
-            for start in range(0, len(q), step):
-                some = slice(start, start + step)
-                i, j = np.nonzero((box_distances(coords[some], low, high) <= bound[some, None]) & (number[None] != cell[some, None]))
-                i += start
+            for i, j in boxes_within(coords, bound, shipped.value) if len(q) else ():
+                other = j != cell[i]
+                i, j = i[other], j[other]
                 offsets = pa.array((np.arange(len(i) + 1) * coords.shape[1]).astype(np.int32))
                 lists = pa.ListArray.from_arrays(offsets, pa.array(coords[i].reshape(-1)))
-                yield pa.RecordBatch.from_arrays([pa.array(q[i]), lists, pa.array(bound[i]), pa.array(number[j].astype(np.int32))], names=["q", "coords", "bound", "cell"])
+                yield pa.RecordBatch.from_arrays([pa.array(q[i]), lists, pa.array(bound[i]), pa.array(j.astype(np.int32))], names=["q", "coords", "bound", "cell"])
 
     return queries.select("q", "coords", "cell", "bound").mapInArrow(route, "q long, coords array<double>, bound double, cell int")
 
 
+def cells_for(rows: int, dims: int, config: KnnConfig) -> int:
+    """Cells of about `config.cell_rows`; one where splits would not pay."""
+    return 1 if dims > PRUNED_DIMS else max(1, min(-(-rows // config.cell_rows), config.routed_cells))
+
+
 def partition(pts: DataFrame, rows: int, dims: int, config: KnnConfig) -> CellTree:
-    """A tree with cells of about `config.cell_rows`; of one cell where splits would not pay."""
-    cells = -(-rows // config.cell_rows)
-    return sample_tree(pts, 1 if dims > PRUNED_DIMS else min(cells, config.routed_cells), dims, config.policy)
+    return sample_tree(pts, cells_for(rows, dims, config), dims, config.policy, rows)
 
 
 def _block_rows(spark: SparkSession, rows: int, tree: CellTree, config: KnnConfig) -> int:
@@ -148,84 +171,131 @@ def _block_rows(spark: SparkSession, rows: int, tree: CellTree, config: KnnConfi
     return min(config.block_rows, even)
 
 
-def _search(queries: DataFrame, base: DataFrame, tree: CellTree, k: int, dims: int, rows: int, config: KnnConfig, float32: bool) -> DataFrame:
-    """(q, near) for `queries` (q, coords) among `base` (loc, coords, ids), `rows` of them, already in its cells."""
+@dataclass
+class Prepared:
+    """A base made ready for searches: its locations (loc, coords, ids, m, cell) and their blocks, staged; `rows` of them.
+
+    `crowded`: some place has more than one point, or ids repeat, so that a location stands for other ids than its own.
+    """
+
+    locs: DataFrame
+    blocks: DataFrame
+    cells: DataFrame
+    tree: CellTree
+    k: int
+    dims: int
+    rows: int
+    block_rows: int
+    crowded: bool
+    config: KnnConfig
+
+
+def _repeat(ids: DataFrame) -> bool:
+    """Whether a value of the one column of `ids` repeats."""
+    return not ids.groupBy(*ids.columns).agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
+
+
+def prepare(base: DataFrame, k: int, config: KnnConfig = KnnConfig()) -> Prepared | None:
+    """The base (id, coords) of searches for up to `k` neighbours; None without points."""
+    locs = staged(locations(base, k), "locations")
+    rows, dims, most = locs.agg(F.count(F.lit(1)), F.max(F.size("coords")), F.max(F.size("ids"))).first()
+    if not rows:
+        return None
+    crowded = most > 1
+    if _repeat(locs.select("loc")):  # places with one least id: numbers in the order of their ids stand for them
+        crowded = True
+        locs = staged(locs.orderBy("loc", "coords").withColumn("loc", F.monotonically_increasing_id()), "numbered-locations")
+    tree = partition(locs.select(F.col("loc").alias("id"), "coords"), rows, dims, config)
+    locs = staged(with_cell(locs.withColumn("m", F.size("ids")), tree), "celled")
     size = _block_rows(base.sparkSession, rows, tree, config)
-    blocks = staged(_blocks(base.withColumn("m", F.size("ids")), "cell", size, ["loc", "m"]), "base-blocks")
-    placed = with_cell(queries, tree)
-    endless = placed.withColumn("bound", F.lit(float("inf")))
-    own = staged(_blocks(endless, "cell", size, ["q", "bound"]), "query-blocks")
-    local = _first(_meet(own, blocks, k, dims, float32), k)
-    if tree.cells == 1:
-        return local
-    local = staged(local, "local-neighbours")
+    blocks = staged(_blocks(locs, "cell", size, ["loc", "m"]), "base-blocks")
+    return Prepared(locs, blocks, cell_table(locs, dims), tree, k, dims, rows, size, crowded, config)
+
+
+def _search(queries: DataFrame, base: Prepared, k: int, float32: bool, columns: bool = False) -> DataFrame:
+    """(q, near) for `queries` (q, coords), each q once."""
+
+    def met(rows: DataFrame, name: str) -> DataFrame:
+        if columns:
+            return _meet_columns(rows, base.locs, k, base.dims)
+        return _meet(staged(_blocks(rows, "cell", base.block_rows, ["q", "bound"]), name), base.blocks, k, base.dims, float32)
+
+    placed = with_cell(queries, base.tree)
+    local = met(placed.withColumn("bound", F.lit(float("inf"))), "query-blocks")
+    if base.tree.cells == 1:
+        return _first(local, k, base.rows > MANY_LISTS * base.block_rows)
+    local = staged(_first(local, k), "local-neighbours")
     # A query whose cell has no points has met none; its bound stays infinite.
     bounds = local.select(F.col("q").alias("l_q"), _radius("near", k).alias("bound"))
     bounded = placed.join(bounds, F.col("q") == F.col("l_q"), "left").select("q", "coords", "cell", F.coalesce("bound", F.lit(float("inf"))).alias("bound"))
-    routed = staged(routes(bounded, cell_table(base, dims)), "routes")
-    remote = _meet(staged(_blocks(routed, "cell", size, ["q", "bound"]), "routed-blocks"), blocks, k, dims, float32)
-    return _first(local.unionByName(remote), k)
+    routed = staged(routes(bounded, base.cells, base.tree), "routes")
+    return _first(local.unionByName(met(routed, "routed-blocks").drop("strip")), k)
 
 
-def _rows(found: DataFrame, base: DataFrame, k: int, crowded: bool) -> DataFrame:
+def _rows(found: DataFrame, base: Prepared, k: int) -> DataFrame:
     """(query_id, neighbor_id, d2, rank) of `found` (q, near): locations become their ids, the first k of each query."""
-    if not crowded:
+    if not base.crowded:
         return found.select(F.col("q").alias("query_id"), F.posexplode("near").alias("pos", "n")).select("query_id", F.col("n.loc").alias("neighbor_id"), F.col("n.d2").alias("d2"), (F.col("pos") + 1).cast("int").alias("rank"))
     near = found.select("q", F.explode("near").alias("n")).select("q", F.col("n.d2").alias("d2"), F.col("n.loc").alias("n_loc"))
-    ids = near.join(base.select("loc", "ids"), F.col("n_loc") == F.col("loc")).select(F.col("q").alias("query_id"), F.explode("ids").alias("neighbor_id"), "d2")
+    ids = near.join(base.locs.select("loc", "ids"), F.col("n_loc") == F.col("loc")).select(F.col("q").alias("query_id"), F.explode("ids").alias("neighbor_id"), "d2")
     order = Window.partitionBy("query_id").orderBy("d2", "neighbor_id")
     return ids.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def _prepared(base: DataFrame, k: int, config: KnnConfig) -> tuple[DataFrame, CellTree, int, int] | None:
-    dims = dimension(base)
-    if dims is None:
-        return None
-    locs = staged(locations(base, k), "locations")
-    rows = locs.count()
-    tree = partition(locs.select(F.col("loc").alias("id"), "coords"), rows, dims, config)
-    return staged(with_cell(locs, tree), "celled"), tree, dims, rows
+def _lists(rows: DataFrame) -> DataFrame:
+    """(q, near): the rows of each query as one list of k at most."""
+    return rows.groupBy(F.col("query_id").alias("q")).agg(F.array_sort(F.collect_list(F.struct("rank", "d2", "neighbor_id"))).alias("near"))
+
+
+def _unlisted(lists: DataFrame) -> DataFrame:
+    """The rows of lists (id, near)."""
+    return lists.select("id", F.explode("near").alias("n")).select(F.col("id").alias("query_id"), F.col("n.neighbor_id").alias("neighbor_id"), F.col("n.d2").alias("d2"), F.col("n.rank").alias("rank"))
 
 
 def _none(pts: DataFrame) -> DataFrame:
     return pts.sparkSession.createDataFrame([], "query_id long, neighbor_id long, d2 double, rank int")
 
 
-def knn_join(queries: DataFrame, base: DataFrame, k: int, config: KnnConfig = KnnConfig(), float32: bool = False) -> DataFrame:
-    """(query_id, neighbor_id, d2, rank): the k nearest points of `base` for each of `queries`, both (id, coords)."""
-    if (ready := _prepared(base, k, config)) is None:
-        return _none(base)
-    locs, tree, dims, rows = ready
-    found = _search(queries.select(F.col("id").alias("q"), "coords"), locs, tree, k, dims, rows, config, float32)
-    return _rows(found, locs, k, rows < base.count())
+def knn_join(queries: DataFrame, base: DataFrame | Prepared, k: int, config: KnnConfig = KnnConfig(), float32: bool = False) -> DataFrame:
+    """(query_id, neighbor_id, d2, rank): the k nearest points of `base` for each of `queries`, both (id, coords).
 
-
-def knn(pts: DataFrame, k: int, config: KnnConfig = KnnConfig(), float32: bool = False) -> DataFrame:
-    """(query_id, neighbor_id, d2, rank): the k nearest points of each point, itself among them."""
-    if (ready := _prepared(pts, k, config)) is None:
+    A base that many searches share is prepared once, for as many neighbours as the largest of them wants.
+    """
+    ready = base if isinstance(base, Prepared) else prepare(base, k, config)
+    if ready is None:
+        return _none(queries)
+    if k > ready.k:
+        raise ValueError(f"the base was prepared for {ready.k} neighbours at most")
+    if not _repeat(queries.select("id")):
+        return _rows(_search(queries.select(F.col("id").alias("q"), "coords"), ready, k, float32), ready, k)
+    keyed = staged(queries.select("id", "coords", F.monotonically_increasing_id().alias("row")), "query-rows")
+    lists = _lists(_rows(_search(keyed.select(F.col("row").alias("q"), "coords"), ready, k, float32), ready, k))
+    return _unlisted(keyed.select("id", "row").join(lists, F.col("row") == F.col("q")))
+
+
+def knn(pts: DataFrame, k: int, config: KnnConfig = KnnConfig(), float32: bool = False, columns: bool = False) -> DataFrame:
+    """(query_id, neighbor_id, d2, rank): the k nearest points of each point, itself among them.
+
+    With `columns`, cells are compared as joins of rows in generated code, and not block against block in numpy.
+    """
+    if columns and float32:
+        raise ValueError("the column form has no 32-bit distances")
+    if (ready := prepare(pts, k, config)) is None:
         return _none(pts)
-    locs, tree, dims, rows = ready
-    found = _search(locs.select(F.col("loc").alias("q"), "coords"), locs, tree, k, dims, rows, config, float32)
-    if rows == pts.count():
-        return _rows(found, locs, k, False)
-    # Every point of a location has the location's neighbours.
-    near = _rows(found, locs, k, True)
-    lists = near.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "d2", "neighbor_id"))).alias("near"))
-    places = pts.join(locs.select("coords", "loc").withColumnRenamed("coords", "at"), F.col("coords") == F.col("at")).select("id", "loc")
-    both = places.join(lists, F.col("loc") == F.col("query_id")).select("id", F.explode("near").alias("n"))
-    return both.select(F.col("id").alias("query_id"), F.col("n.neighbor_id").alias("neighbor_id"), F.col("n.d2").alias("d2"), F.col("n.rank").alias("rank"))
-
-
-def knn_columns(pts: DataFrame, k: int, dims: int) -> DataFrame:
-    """`knn` for few points of few dimensions, as one theta join in generated code and a bounded top k."""
-    from ..functions import sq_distance
-    from .points import columns_of
-    from .topk import top_k
-
-    names = [f"x{i}" for i in range(dims)]
-    a = columns_of(pts, dims).select(F.col("id").alias("query_id"), *[F.col(c).alias(f"q_{c}") for c in names])
-    b = columns_of(pts, dims).select(F.col("id").alias("neighbor_id"), *names)
-    return top_k(a.crossJoin(b).select("query_id", "neighbor_id", sq_distance([f"q_{c}" for c in names], names).alias("d2")), k)
+    rows = _rows(_search(ready.locs.select(F.col("loc").alias("q"), "coords"), ready, k, float32, columns), ready, k)
+    if not ready.crowded and (k > 1 or ready.rows == pts.count()):  # with k = 1 a place shows one id only
+        return rows
+    # Every point of a location has the location's neighbours; the points of a crowd are dealt over tasks.
+    placed = _lists(rows).join(ready.locs.select("loc", F.col("coords").alias("at")), F.col("q") == F.col("loc")).select("at", "near")
+    crowds = hot_keys(pts.groupBy("coords").agg(F.count(F.lit(1)).alias("n")))
+    return _unlisted(spread_join(pts.select("id", "coords"), placed, ["coords"], ["at"], "id", crowds))
+
+
+def knn_columns(pts: DataFrame, k: int, config: KnnConfig = KnnConfig()) -> DataFrame:
+    """`knn` in its column form; for as few dimensions as boxes exclude cells in."""
+    if (dims := dimension(pts) or 1) > PRUNED_DIMS:
+        raise ValueError(f"the column form is for {PRUNED_DIMS} dimensions at most, not {dims}")
+    return knn(pts, k, config, columns=True)
 
 
 def radius_join(queries: DataFrame, base: DataFrame, sq_radius: float, config: KnnConfig = KnnConfig()) -> DataFrame:
@@ -240,6 +310,6 @@ def radius_join(queries: DataFrame, base: DataFrame, sq_radius: float, config: K
     placed = with_cell(queries.select(F.col("id").alias("q"), "coords"), tree).withColumn("bound", F.lit(float(sq_radius)))
     met = placed.select("q", "coords", "bound", "cell")
     if tree.cells > 1:
-        met = met.unionByName(routes(placed, cell_table(celled, dims)))
+        met = met.unionByName(routes(placed, cell_table(celled, dims), tree))
     near = _meet(staged(_blocks(met, "cell", size, ["q", "bound"]), "query-blocks"), blocks, None, dims, False)
     return near.select(F.col("q").alias("query_id"), F.explode("near").alias("n")).select("query_id", F.col("n.loc").alias("neighbor_id"), F.col("n.d2").alias("d2"))

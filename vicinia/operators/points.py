@@ -11,12 +11,13 @@ from pyspark.sql import functions as F
 def points(df: DataFrame, id_column: str, coordinates: str | Sequence[str], invalid: str = "raise", dims: int | None = None) -> DataFrame:
     """(id, coords) from an array column or from a list of numeric columns.
 
-    A row is invalid if its id, its coordinates or one of them is null or NaN, or if it has not `dims` of them where
-    that is given; such rows are dropped, or the query that meets one fails.
+    A row is invalid if its id, its coordinates or one of them is null, or one is not finite, or if it has not `dims` of
+    them where that is given; such rows are dropped, or the query that meets one fails. (A point at infinity has no
+    distance to itself, so it could not be its own neighbour.)
     """
     coords = F.col(coordinates).cast("array<double>") if isinstance(coordinates, str) else F.array(*[F.col(c).cast("double") for c in coordinates])
     out = df.select(F.col(id_column).cast("long").alias("id"), coords.alias("coords"))
-    bad = F.col("id").isNull() | F.col("coords").isNull() | F.exists("coords", lambda x: x.isNull() | F.isnan(x))
+    bad = F.col("id").isNull() | F.col("coords").isNull() | F.exists("coords", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     if dims is not None:
         bad = bad | (F.size("coords") != dims)
     bad = F.coalesce(bad, F.lit(True))
@@ -24,7 +25,7 @@ def points(df: DataFrame, id_column: str, coordinates: str | Sequence[str], inva
         return out.where(~bad)
     if invalid != "raise":
         raise ValueError("invalid must be raise or drop")
-    checked = F.when(bad, F.raise_error(F.lit("a point has no id, or a coordinate that is null or NaN, or too few"))).otherwise(F.col("coords"))
+    checked = F.when(bad, F.raise_error(F.lit("a point has no id, or a coordinate that is null or NaN or infinite, or too few"))).otherwise(F.col("coords"))
     return out.withColumn("coords", checked.cast("array<double>"))
 
 

@@ -1,13 +1,23 @@
-"""Column statistics, boxes, histograms and quantiles of wide tables; every one is a partial and a final aggregation."""
+"""Column statistics, boxes, histograms and quantiles of wide tables; every one is a few partial and final aggregations.
+
+Exact quantiles and medians close in on their places by histograms, until few rows
+are left between the bounds, and only those are put in order: no buffer, of a task
+or of the driver, grows with the rows. Nulls are left out everywhere.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT_BINS, DEFAULT_TOLERANCE
+from ..skew import hot_keys, spread_join
+from ..staging import staged
+
+#: Rows of a group that are put in order by one task, bins of a closing histogram, and groups whose bounds are shipped whole.
+FEW, CLOSING_BINS, SHIPPED = 1 << 14, 256, 10_000
 
 
 def mean_std(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -75,13 +85,76 @@ def quantile_search(df: DataFrame, column: str, share: float, bins: int = DEFAUL
     return high, rows.where(F.col("x") <= high).count() / n
 
 
+def histogram_quantile(df: DataFrame, column: str, share: float, bins: int = DEFAULT_BINS) -> DataFrame:
+    """(bin, x): the first bin at whose end at least `share` of the rows lie, and the place in it that the share falls on,
+    as if its rows were spread evenly. The window runs over `bins` rows at most."""
+    upto = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+    counted = histogram(df, column, bins).withColumn("seen", F.sum("n").over(upto)).withColumn("total", F.sum("n").over(Window.partitionBy()))
+    first = counted.where(F.col("seen") / F.col("total") >= share).orderBy("bin").limit(1)
+    before = (F.col("seen") - F.col("n")) / F.col("total")
+    inside = (F.lit(float(share)) - before) / (F.col("seen") / F.col("total") - before)
+    return first.select("bin", (F.col("low") + inside * (F.col("high") - F.col("low"))).alias("x"))
+
+
+def _meet_bounds(rows: DataFrame, bounds: DataFrame, by: Sequence[str]) -> DataFrame:
+    """`rows` (by..., x) with the bounds (by..., tag, low, high, place) of their group, those between them only."""
+    renamed = bounds.select(*[F.col(c).alias(f"of_{c}") for c in by], "tag", "low", "high", "place")
+    inside = (F.col("x") >= F.col("low")) & (F.col("x") <= F.col("high"))
+    same = [F.col(c).eqNullSafe(F.col(f"of_{c}")) for c in by]
+    if bounds.count() <= SHIPPED:
+        met = rows.join(F.broadcast(renamed), [*same, inside])
+    else:  # a row a group and tag, so a key's rows meet one or a few
+        told = F.xxhash64(*by) if by else F.lit(0).cast("long")
+        keyed = rows.withColumn("key", told)
+        hot = hot_keys(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")))
+        other = renamed.withColumn("other", F.xxhash64(*[f"of_{c}" for c in by]) if by else F.lit(0).cast("long"))
+        met = spread_join(keyed, other, ["key"], ["other"], "x", hot).where(F.expr("true") if not same else same[0]).where(inside)
+        for condition in same[1:]:
+            met = met.where(condition)
+    return met.select(*by, "tag", "x", "low", "high", "place")
+
+
+def at_places(rows: DataFrame, places: DataFrame, by: Sequence[str] = (), bins: int = CLOSING_BINS) -> DataFrame:
+    """(by..., tag, x): the element of `rows` (by..., x: double) at each of `places` (by..., tag, low, high, place, left) in order.
+
+    A place counts from 0 among the `left` rows between `low` and `high`. A round counts the rows of each bin between
+    the bounds, and goes on with the one that the place falls into, whose extremes are the new bounds.
+    """
+    bounds = staged(places, "bounds")
+    while bounds.where((F.col("low") < F.col("high")) & (F.col("left") > FEW)).limit(1).count():
+        closed = bounds.where((F.col("low") == F.col("high")) | (F.col("left") <= FEW))
+        cut = bin_of(F.col("x"), F.col("low"), F.col("high"), bins).alias("bin")
+        met = _meet_bounds(rows, bounds.where((F.col("low") < F.col("high")) & (F.col("left") > FEW)), by)
+        counted = met.groupBy(*by, "tag", "place", cut).agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("low"), F.max("x").alias("high"))
+        seen = F.sum("n").over(Window.partitionBy(*by, "tag").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0))
+        own = counted.withColumn("seen", seen).where((F.col("seen") > F.col("place")) & (F.col("seen") - F.col("n") <= F.col("place")))
+        closer = own.select(*by, "tag", "low", "high", (F.col("place") - F.col("seen") + F.col("n")).alias("place"), F.col("n").alias("left"))
+        bounds = staged(closed.unionByName(closer), "bounds")
+    alike = bounds.where("low = high").select(*by, "tag", F.col("low").alias("x"))
+    ordered = Window.partitionBy(*by, "tag").orderBy("x")
+    rest = _meet_bounds(rows, bounds.where("low < high"), by).withColumn("at", F.row_number().over(ordered) - 1)
+    return alike.unionByName(rest.where("at = place").select(*by, "tag", "x"))
+
+
 def exact_quantiles(df: DataFrame, column: str, shares: Sequence[float]) -> DataFrame:
-    """(share, x) of the interpolated quantiles."""
-    both = F.arrays_zip(F.array(*[F.lit(float(s)) for s in shares]).alias("share"), F.percentile(column, F.array(*[F.lit(float(s)) for s in shares])).alias("x"))
-    return df.agg(both.alias("q")).select(F.explode("q").alias("r")).select("r.*")
+    """(share, x) of the interpolated quantiles; x is null without rows."""
+    rows = df.where(F.col(column).isNotNull()).select(F.col(column).cast("double").alias("x"))
+    whole = staged(rows.agg(F.min("x").alias("low"), F.max("x").alias("high"), F.count(F.lit(1)).alias("left")), "whole")
+    asked = whole.withColumn("share", F.explode(F.array(*[F.lit(float(s)) for s in shares]))).withColumn("position", F.col("share") * (F.col("left") - 1))
+    sides = [asked.where("left > 0").select(F.struct("share", F.lit(name).alias("side")).alias("tag"), "low", "high", place.cast("long").alias("place"), "left") for name, place in (("lower", F.floor("position")), ("upper", F.ceil("position")))]
+    found = at_places(rows, sides[0].union(sides[1]))
+    values = found.groupBy(F.col("tag.share").alias("of")).agg(*[F.max(F.when(F.col("tag.side") == name, F.col("x"))).alias(name) for name in ("lower", "upper")])
+    met = asked.join(F.broadcast(values), F.col("share") == F.col("of"), "left")  # a row a share
+    inside = F.col("position") - F.floor("position")
+    x = F.when(inside == 0, F.col("lower")).otherwise((1 - inside) * F.col("lower") + inside * F.col("upper"))
+    return met.select("share", x.alias("x"))
 
 
 def upper_median(df: DataFrame, column: str, by: Sequence[str] = ()) -> DataFrame:
-    """The element at place n // 2 of each group in order: of an even number, the upper of the middle two."""
-    lower_of_negative = F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY -{column})")
-    return df.groupBy(*by).agg((-lower_of_negative).alias("median"), F.count(column).alias("n"))
+    """(by..., median, n): the element at place n // 2 of each group in order: of an even number, the upper of the middle two."""
+    rows = df.select(*by, F.col(column).cast("double").alias("x"))
+    groups = staged(rows.groupBy(*by).agg(F.min("x").alias("low"), F.max("x").alias("high"), F.count("x").alias("n")), "groups")
+    places = groups.where("n > 0").select(*by, F.lit(0).alias("tag"), "low", "high", F.floor(F.col("n") / 2).cast("long").alias("place"), F.col("n").alias("left"))
+    found = at_places(rows.where("x is not null"), places, by).select(*[F.col(c).alias(f"of_{c}") for c in by], F.col("x").alias("median"))
+    same = [F.col(c).eqNullSafe(F.col(f"of_{c}")) for c in by] or F.lit(True)
+    return groups.join(found, same, "left").select(*by, "median", "n")

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import KnnConfig
-from ..operators.cells import CellTree, cell_offsets, sample_tree, with_cell
-from ..operators.knn import PRUNED_DIMS, dimension, knn
+from ..operators.cells import CellTree, cell_offsets, with_cell
+from ..operators.knn import knn, partition
 from ..operators.points import points
 from ..operators.stats import mean_std
 from ..operators.topk import nested
@@ -31,9 +31,7 @@ def run(spark: SparkSession, path: str, config: KnnConfig, out: str | None = Non
     pts = points(read_points(spark, path, config.dims, config.dtype), "id", "coords", config.invalid, config.dims)
     columns = [f"x{i}" for i in range(config.dims)]
     stats = mean_std(pts.select(*[F.element_at("coords", i + 1).alias(c) for i, c in enumerate(columns)]), columns)
-    rows = pts.count() if dimension(pts) else 0
-    cells = 1 if config.dims > PRUNED_DIMS else min(max(1, -(-rows // config.cell_rows)), config.routed_cells)
-    tree = sample_tree(pts, cells, config.dims, config.policy)
+    tree = partition(pts, pts.count(), config.dims, config)
     celled = with_cell(pts, tree)
     neighbours = knn(pts, config.k, config, float32=config.compute == "f32")
     if out is not None:

@@ -8,15 +8,16 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .config import KnnConfig
+from .config import DEFAULT_K, KnnConfig
 from .functions import box_distance, hyperplane_offset, right_of, sq_distance, sq_distance_float32
 from .operators import stats
-from .operators.cells import CellTree, Node, cell_offsets, cell_table, global_numbers, owner_of, with_cell
+from .operators.cells import CellTree, Node, cell_offsets, cell_table, global_numbers, level_tree, owner_of, sample_tree, with_cell
 from .operators.density import two_nn_dimension
 from .operators.knn import knn, knn_columns, knn_join, radius_join, routes
 from .operators.points import points
 from .operators.topk import flat, merge_top_k, nested, sorted_neighbours
-from .sources import node_lines, read_points, write_points
+from .plans.pipeline import run
+from .sources import node_lines, read_neighbours, read_points, write_cells, write_neighbours, write_points
 from .staging import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -51,6 +52,7 @@ def emb64(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def emb5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first five dimensions of each embedding: a view of points in five dimensions, not a shortened table."""
     return points(table(spark, sf_dir, "embeddings").select("vec_id", F.slice("embedding", 1, 5).alias("e")), "vec_id", "e")
 
 
@@ -130,14 +132,28 @@ def quantile_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.exact_quantiles(table(spark, sf_dir, "part"), "p_retailprice", [0.25, 0.5, 0.75])
 
 
-@query("SELECT asked, n, true AS near FROM (SELECT unnest([0.25, 0.5, 0.75])::DOUBLE AS asked), (SELECT count(*) AS n FROM orders)")
+@query("""
+    WITH c AS (SELECT DISTINCT o_totalprice AS x, count(*) OVER (ORDER BY o_totalprice) / count(*) OVER () AS cdf FROM orders)
+    SELECT share, min(x) AS x, min(cdf) AS reached FROM (SELECT unnest([0.25, 0.5, 0.77])::DOUBLE AS share), c WHERE cdf >= share - 1e-12 GROUP BY share
+""")
 def quantile_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Split points by closing histograms; what can be said of them in SQL is that each share is within the tolerance."""
+    """Split points by histograms that close in until no tolerance is left: the least value at which a share is reached."""
     orders = table(spark, sf_dir, "orders")
-    found = [(s, stats.quantile_search(orders, "o_totalprice", s)) for s in (0.25, 0.5, 0.75)]
-    counts = orders.agg(F.count(F.lit(1)).alias("n"), *[F.avg((F.col("o_totalprice") <= x[0]).cast("double")).alias(f"s{i}") for i, (_, x) in enumerate(found)])
-    rows = F.array(*[F.struct(F.lit(s).alias("asked"), F.col("n"), (F.abs(F.col(f"s{i}") - s) <= 0.002).alias("near")) for i, (s, _) in enumerate(found)])
-    return counts.select(F.explode(rows).alias("r")).select("r.*")
+    found = [(s, *stats.quantile_search(orders, "o_totalprice", s, tolerance=1e-12)) for s in (0.25, 0.5, 0.77)]
+    return spark.createDataFrame(found, "share double, x double, reached double")
+
+
+@query("""
+    WITH b AS (SELECT min(l_extendedprice) AS lo, max(l_extendedprice) AS hi, count(*) AS total FROM lineitem),
+    c AS (SELECT CAST(least(floor((l_extendedprice - lo) / ((hi - lo) / 20)), 19) AS INTEGER) AS bin, lo, (hi - lo) / 20 AS width, total, count(*) AS n FROM lineitem, b GROUP BY ALL),
+    s AS (SELECT *, sum(n) OVER (ORDER BY bin) / total AS y1, (sum(n) OVER (ORDER BY bin) - n) / total AS y0 FROM c),
+    f AS (SELECT share, min(bin) AS bin FROM s, (SELECT unnest([0.1, 0.5, 0.9])::DOUBLE AS share) WHERE y1 >= share GROUP BY share)
+    SELECT share, bin, round(lo + width * bin + (share - y0) / (y1 - y0) * width, 4) AS x FROM f JOIN s USING (bin)
+""")
+def quantile_interpolated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    line = table(spark, sf_dir, "lineitem")
+    found = [stats.histogram_quantile(line, "l_extendedprice", s).select(F.lit(s).alias("share"), "bin", F.round("x", 4).alias("x")) for s in (0.1, 0.5, 0.9)]
+    return found[0].union(found[1]).union(found[2])
 
 
 @query("""
@@ -221,7 +237,61 @@ def tree_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 """)
 def route_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     celled = with_cell(part2(spark, sf_dir), fixed_tree())
-    return routes(celled.select(F.col("id").alias("q"), "coords", "cell", F.lit(4.0).alias("bound")), cell_table(celled, 2)).select("q", "cell")
+    return routes(celled.select(F.col("id").alias("q"), "coords", "cell", F.lit(4.0).alias("bound")), cell_table(celled, 2), fixed_tree()).select("q", "cell")
+
+
+@query("""
+    WITH d AS (SELECT o_orderkey AS id, o_totalprice AS x FROM orders), n AS (SELECT count(*) AS n FROM d),
+    p AS (SELECT *, row_number() OVER (ORDER BY x) AS r FROM d),
+    cut AS (SELECT (SELECT x FROM p WHERE r = n // 2) AS mid FROM n),
+    half AS (SELECT id, x, CASE WHEN x > mid THEN 1 ELSE 0 END AS side FROM d, cut),
+    q AS (SELECT *, row_number() OVER (PARTITION BY side ORDER BY x) AS r, count(*) OVER (PARTITION BY side) AS m FROM half),
+    cuts AS (SELECT side, max(x) FILTER (r = m // 2) AS mid FROM q GROUP BY side)
+    SELECT id, CAST(2 * side + CASE WHEN x > mid THEN 1 ELSE 0 END AS INTEGER) AS cell FROM half JOIN cuts USING (side)
+""")
+def tree_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four cells of as many points each, by medians of all rows, as the sample holds them all."""
+    pts = points(table(spark, sf_dir, "orders"), "o_orderkey", ["o_totalprice"])
+    return with_cell(pts, sample_tree(pts, 4, 1)).select("id", "cell")
+
+
+def _tree_checks(policy: str) -> str:
+    return f"""
+        WITH p AS (SELECT p_partkey, CAST(p_size AS DOUBLE) AS x, p_retailprice AS y FROM part), n AS (SELECT count(*) AS n FROM p),
+        root AS (SELECT {"'y'" if policy == "widest" else "'x'"} AS dim FROM p WHERE (SELECT max(y) - min(y) > max(x) - min(x) FROM p) LIMIT 1)
+        SELECT 8 AS cells, n AS points, true AS even, true AS inside, dim FROM n, root
+    """
+
+
+def _level_checks(spark: SparkSession, sf_dir: str, policy: str) -> DataFrame:
+    """What must hold of a tree of eight cells made from all points, whatever the splits: every point in one cell, cells of a like
+    number of points, boxes that hold their points, and the dimension that the root splits."""
+    pts = part2(spark, sf_dir)
+    tree = level_tree(pts, 8, 2, policy, accuracy=10_000)
+    cells = cell_table(with_cell(pts, tree), 2)
+    bounds = spark.createDataFrame([(n.cell, n.low.tolist(), n.high.tolist()) for n in tree.nodes if n.cell is not None], "of int, low array<double>, high array<double>")
+    held = cells.join(bounds, F.col("cell") == F.col("of"))
+    inside = [(F.col("lo")[i] >= F.col("low")[i]) & (F.col("hi")[i] <= F.col("high")[i]) for i in range(2)]
+    even = F.max("n") <= 1.25 * F.min("n")
+    return held.agg(F.count(F.lit(1)).cast("int").alias("cells"), F.sum("n").alias("points"), even.alias("even"), F.every(inside[0] & inside[1]).alias("inside"), F.lit("xy"[tree.nodes[0].dim]).alias("dim"))
+
+
+@query(_tree_checks("widest"))
+def tree_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _level_checks(spark, sf_dir, "widest")
+
+
+@query(_tree_checks("round_robin"))
+def tree_round_robin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _level_checks(spark, sf_dir, "round_robin")
+
+
+@query(f"SELECT p_partkey AS id, CAST(p_size AS DOUBLE) AS x, p_retailprice AS y, CAST({CELL} AS INTEGER) AS cell FROM part")
+def cell_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points written by cell and read back, the cell from the folder's name."""
+    path = scratch_path(spark, "cells")
+    write_cells(with_cell(part2(spark, sf_dir), fixed_tree()), path)
+    return spark.read.parquet(path).select("id", F.col("coords")[0].alias("x"), F.col("coords")[1].alias("y"), F.col("cell").cast("int").alias("cell"))
 
 
 # --- neighbours -------------------------------------------------------------------
@@ -234,7 +304,7 @@ def knn_self_array(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_knn_sql(SUPPLIER2, 10))
 def knn_self_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return knn_columns(points(table(spark, sf_dir, "supplier"), "s_suppkey", ["s_nationkey", "s_acctbal"]), 10, 2)
+    return knn_columns(points(table(spark, sf_dir, "supplier"), "s_suppkey", ["s_nationkey", "s_acctbal"]), 10, KnnConfig(cell_rows=16))
 
 
 @query(_knn_sql(PART2, 10))
@@ -268,6 +338,52 @@ def knn_query_vs_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knn_join(queries, points(table(spark, sf_dir, "supplier"), "s_suppkey", ["s_nationkey", "s_acctbal"]), 5, KnnConfig(cell_rows=32))
 
 
+def _rows_sql(queries: str, base: str, k: int) -> str:
+    """Neighbours by brute force where ids repeat: a list for each row of `queries` (n, id, v) over all rows of `base` (id, v)."""
+    return f"""
+        WITH base AS ({base}), queries AS ({queries}),
+        pairs AS (SELECT q.n, q.id AS query_id, p.id AS neighbor_id, list_sum(list_transform(list_zip(q.v, p.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d2 FROM queries q, base p),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY n ORDER BY d2, neighbor_id) AS rank FROM pairs)
+        SELECT query_id, neighbor_id, d2, CAST(rank AS INTEGER) AS rank FROM ranked WHERE rank <= {k}
+    """
+
+
+@query(_rows_sql("SELECT s_suppkey AS n, s_suppkey % 7 AS id, [CAST(s_nationkey AS DOUBLE), CAST(s_acctbal AS DOUBLE)] AS v FROM supplier", "SELECT c_custkey % 50 AS id, [CAST(c_nationkey AS DOUBLE), floor(c_acctbal / 1000)] AS v FROM customer", 6))
+def knn_repeated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Queries and points whose ids repeat, at one place and at several: each row stands for itself."""
+    queries = points(table(spark, sf_dir, "supplier").select((F.col("s_suppkey") % 7).alias("id"), "s_nationkey", "s_acctbal"), "id", ["s_nationkey", "s_acctbal"])
+    base = table(spark, sf_dir, "customer").select((F.col("c_custkey") % 50).alias("id"), "c_nationkey", F.expr("floor(c_acctbal / 1000)").alias("x"))
+    return knn_join(queries, points(base, "id", ["c_nationkey", "x"]), 6, KnnConfig(cell_rows=32))
+
+
+@query(f"SELECT query_id, count(*) AS n, CAST(sum(neighbor_id) AS BIGINT) AS ids, max(d2) AS radius, CAST(sum(rank) AS BIGINT) AS ranks FROM ({_knn_sql(PART2, 300)}) GROUP BY query_id")
+def knn_k300(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The usual number of neighbours, in cells that hold fewer points than that."""
+    near = knn(part2(spark, sf_dir), DEFAULT_K, SMALL_CELLS)
+    return near.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.sum("neighbor_id").alias("ids"), F.max("d2").alias("radius"), F.sum("rank").alias("ranks"))
+
+
+@query(f"SELECT p.place, neighbor_id, d2, rank FROM ({_knn_sql(PART2, 3)}) k JOIN (SELECT p_partkey, row_number() OVER (ORDER BY p_partkey) - 1 AS place FROM part) p ON k.query_id = p.p_partkey")
+def neighbour_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Neighbours written as packed pairs and read back; a query is its place in order."""
+    path = scratch_path(spark, "neighbours")
+    write_neighbours(nested(knn(part2(spark, sf_dir), 3)), path)
+    return read_neighbours(spark, path, 3)
+
+
+@query(f"""
+    WITH r AS (SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS id, [CAST(p_size::FLOAT AS DOUBLE), CAST(p_retailprice::FLOAT AS DOUBLE)] AS v FROM part)
+    SELECT query_id, count(*) AS n, string_agg(neighbor_id, ',' ORDER BY rank) AS ids, max(d2) AS radius FROM ({_knn_sql("SELECT id, v FROM r", 4)}) GROUP BY query_id
+""")
+def whole_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole run over a raw file of 32-bit floats: points, statistics, cells, nodes and neighbours written; the neighbours read back."""
+    raw, out = scratch_path(spark, "raw"), scratch_path(spark, "run")
+    write_points(part2(spark, sf_dir), raw, "f32")
+    run(spark, raw, KnnConfig(k=4, dims=2, dtype="f32", cell_rows=500), out)
+    near = spark.read.parquet(f"{out}/neighbours")
+    return near.select("query_id", F.size("neighbors").cast("long").alias("n"), F.array_join(F.col("neighbors.array_idx").cast("array<string>"), ",").alias("ids"), F.array_max("neighbors.value").alias("radius"))
+
+
 @query(f"SELECT query_id, string_agg(neighbor_id, ',' ORDER BY rank) AS ids, max(d2) AS radius FROM ({_knn_sql(EMB64, 5)}) GROUP BY query_id")
 def knn_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
     lists = nested(knn(emb64(spark, sf_dir), 5))
@@ -320,5 +436,5 @@ def sort_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 def raw_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Points written as a raw file of 32-bit floats and read back; their ids are then their places."""
     path = scratch_path(spark, "raw")
-    files = write_points(part2(spark, sf_dir), path, "f32")
-    return read_points(spark, path, 2, "f32", files).select("id", F.col("coords")[0].alias("x0"), F.col("coords")[1].alias("x1"))
+    write_points(part2(spark, sf_dir), path, "f32")
+    return read_points(spark, path, 2, "f32").select("id", F.col("coords")[0].alias("x0"), F.col("coords")[1].alias("x1"))

@@ -23,6 +23,8 @@ from ..config import DTYPES
 
 #: Bytes of a task's range, and rows of a batch.
 RANGE, BATCH = 32 << 20, 1 << 14
+#: A neighbour as it is packed, and the file that names the files of a folder that count.
+PAIR, LISTED = np.dtype([("value", "<f8"), ("array_idx", "<u8")]), "_files"
 
 
 def _open(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
@@ -35,8 +37,10 @@ class RawRange(InputPartition):
 
 
 class RawReader(DataSourceReader):
+    kind_of = staticmethod(lambda options: np.dtype(DTYPES[options.get("dtype", "f64")]))
+
     def __init__(self, options: dict):
-        self.path, self.dims, self.kind = options["path"], int(options["dims"]), np.dtype(DTYPES[options.get("dtype", "f64")])
+        self.path, self.dims, self.kind = options["path"], int(options["dims"]), self.kind_of(options)
         self.files = [f for f in options.get("files", "").split("\n") if f]
         self.range = int(options.get("range", RANGE))
         if self.dims < 1:
@@ -45,6 +49,8 @@ class RawReader(DataSourceReader):
     def partitions(self) -> list[RawRange]:
         fs, root = _open(self.path)
         info = fs.get_file_info(root)
+        if not self.files and info.type == pyarrow.fs.FileType.Directory:
+            self.files = written_files(self.path)
         if self.files:
             found = fs.get_file_info([f"{root}/{f}" for f in self.files])
         else:
@@ -65,10 +71,13 @@ class RawReader(DataSourceReader):
         with fs.open_input_file(partition.file) as source:
             for start in range(0, partition.rows, BATCH):
                 n = min(BATCH, partition.rows - start)
-                data = np.frombuffer(source.read_at(n * width, (partition.start + start) * width), self.kind).astype(np.float64)
-                ids = pa.array(np.arange(n, dtype=np.int64) + partition.first + start)
-                offsets = pa.array(np.arange(n + 1, dtype=np.int32) * self.dims)
-                yield pa.RecordBatch.from_arrays([ids, pa.ListArray.from_arrays(offsets, pa.array(data))], names=["id", "coords"])
+                yield self.batch(source.read_at(n * width, (partition.start + start) * width), partition.first + start)
+
+    def batch(self, data: bytes, first: int) -> pa.RecordBatch:
+        numbers = np.frombuffer(data, self.kind).astype(np.float64)
+        n = len(numbers) // self.dims
+        offsets = pa.array(np.arange(n + 1, dtype=np.int32) * self.dims)
+        return pa.RecordBatch.from_arrays([pa.array(np.arange(n, dtype=np.int64) + first), pa.ListArray.from_arrays(offsets, pa.array(numbers))], names=["id", "coords"])
 
 
 class RawPoints(DataSource):
@@ -112,26 +121,74 @@ def _write(rows: DataFrame, path: str, suffix: str, pack) -> DataFrame:
     return rows.mapInPandas(write, "part int, file string, bytes long, rows long")
 
 
+def _listed(made: DataFrame, path: str) -> list[str]:
+    """The names of the files `made`, in order, also written beside them."""
+    names = [r["file"] for r in made.orderBy("part").collect() if r["rows"]]  # a row a file
+    fs, root = _open(path)
+    with fs.open_output_stream(f"{root}/{LISTED}", compression=None) as out:
+        out.write("\n".join(names).encode())
+    return names
+
+
+def written_files(path: str) -> list[str]:
+    """The files that count of a folder that was written here; none where it was not."""
+    fs, root = _open(path)
+    if fs.get_file_info(f"{root}/{LISTED}").type != pyarrow.fs.FileType.File:
+        return []
+    with fs.open_input_stream(f"{root}/{LISTED}") as source:
+        return [name for name in source.read().decode().split("\n") if name]
+
+
 def write_points(pts: DataFrame, path: str, dtype: str = "f64") -> list[str]:
     """Write the coordinates in order of id, a file for each range of ids; the names of the files, in order.
 
-    A task that is tried again writes another file; only the names returned count.
+    A task that is tried again writes another file; only the names returned count. They are also kept beside the files,
+    so that whoever reads the folder reads no others.
     """
     kind = np.dtype(DTYPES[dtype])
     ordered = pts.select("id", "coords").repartitionByRange("id").sortWithinPartitions("id")
     made = _write(ordered, path, dtype, lambda part: np.concatenate(part["coords"].to_list()).astype(kind).tobytes() if len(part) else b"")
-    return [r["file"] for r in made.orderBy("part").collect() if r["rows"]]  # a row a file
+    return _listed(made, path)
 
 
 def write_neighbours(nested: DataFrame, path: str) -> list[str]:
     """Write (query_id, neighbors) in order of query as packed (value f64, array_idx u64) pairs; the names of the files."""
-    kind = np.dtype([("value", "<f8"), ("array_idx", "<u8")])
     flat = nested.select("query_id", F.col("neighbors.value").alias("value"), F.col("neighbors.array_idx").alias("array_idx")).repartitionByRange("query_id").sortWithinPartitions("query_id")
 
     def pack(part: pd.DataFrame) -> bytes:
-        out = np.empty(int(part["value"].map(len).sum()), kind)
-        for c in kind.names:
+        out = np.empty(int(part["value"].map(len).sum()), PAIR)
+        for c in PAIR.names:
             out[c] = np.concatenate(part[c].to_list()) if len(part) else 0
         return out.tobytes()
 
-    return [r["file"] for r in _write(flat, path, "ngbh", pack).orderBy("part").collect() if r["rows"]]
+    return _listed(_write(flat, path, "ngbh", pack), path)
+
+
+class RawPairReader(RawReader):
+    kind_of = staticmethod(lambda options: PAIR)
+
+    def batch(self, data: bytes, first: int) -> pa.RecordBatch:
+        pairs = np.frombuffer(data, self.kind)
+        ids = pa.array(np.arange(len(pairs), dtype=np.int64) + first)
+        return pa.RecordBatch.from_arrays([ids, pa.array(pairs["value"].copy()), pa.array(pairs["array_idx"].astype(np.int64))], names=["id", "d2", "neighbor_id"])
+
+
+class RawPairs(DataSource):
+    """Packed neighbours; option: path."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "rawpairs"
+
+    def schema(self) -> str:
+        return "id long, d2 double, neighbor_id long"
+
+    def reader(self, schema) -> RawReader:
+        return RawPairReader({**self.options, "dims": 1})
+
+
+def read_neighbours(spark: SparkSession, path: str, k: int) -> DataFrame:
+    """(place, neighbor_id, d2, rank) of packed neighbours, `k` of each query; a query is its place in order."""
+    spark.dataSource.register(RawPairs)
+    pairs = spark.read.format("rawpairs").load(path)
+    return pairs.select(F.floor(F.col("id") / k).alias("place"), "neighbor_id", "d2", (F.col("id") % k + 1).cast("int").alias("rank"))
