@@ -11,7 +11,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from vicinia.llm import _common, components, decontamination, minhash, mixing, shingles, toxicity, warc
+from vicinia import skew
+from vicinia.llm import components, decontamination, minhash, mixing, shingles, toxicity, warc
 from vicinia.llm._common import scratch_path
 
 from .docs import AWKWARD, near_copies, table, texts
@@ -146,8 +147,8 @@ def test_one_row_of_each_group_whatever_the_ids(spark, monkeypatch, small):
 
 def test_hot_keys_are_dealt_over_tasks(spark, monkeypatch):
     """One family of near copies and one text that a third of all rows repeat, every key of theirs hot."""
-    monkeypatch.setattr(_common, "LEAST", 3)
-    monkeypatch.setattr(_common, "PARTS", 20)
+    monkeypatch.setattr(skew, "LEAST", 3)
+    monkeypatch.setattr(skew, "PARTS", 20)
     monkeypatch.setattr(minhash, "BLOCK", 500)
     r = random.Random(21)
     base = " ".join(f"w{i}" for i in range(70)).split()
@@ -158,17 +159,6 @@ def test_hot_keys_are_dealt_over_tasks(spark, monkeypatch):
     assert got == dict(enumerate(want)) and want.count(want[60]) > 60
 
 
-def test_spread_join(spark, monkeypatch):
-    monkeypatch.setattr(_common, "LEAST", 5)
-    left = spark.range(200).select(F.col("id"), F.when(F.col("id") < 90, 7).otherwise(F.col("id") % 13).cast("long").alias("k"))
-    right = spark.createDataFrame([(i, f"v{i}") for i in range(9)], "key long, v string")
-    hot = _common.hot_keys(left.groupBy("k").agg(F.count(F.lit(1)).alias("n")))
-    assert (7, 20) in hot
-    for how in ("inner", "left"):
-        plain = sorted(map(tuple, left.join(right, F.col("k") == F.col("key"), how).collect()), key=str)
-        assert sorted(map(tuple, _common.spread_join(left, right, ["k"], ["key"], "id", hot, how).collect()), key=str) == plain
-
-
 def test_components(spark):
     r = random.Random(3)
     edges = [(r.randrange(300), r.randrange(300)) for _ in range(180)] + [(400 + i, 401 + i) for i in range(60)] + [(5, 5)]
@@ -381,7 +371,7 @@ def test_mixing_of_missing_and_repeated_ids(spark, monkeypatch):
 
     from vicinia.llm.queries import ORACLE_SQL
 
-    monkeypatch.setattr(_common, "LEAST", 20)
+    monkeypatch.setattr(skew, "LEAST", 20)
     some = texts(300, 4, 12)
     rows = [(None, t, "a") for t in some] + [(5, t, "b") for t in some] + [(7, "one two three", "c")] * 300 + [(None, "x y", None)] * 40 + [(None, None, "a")] * 3
     df = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id long, text string, source string, extra int").repartition(3)
