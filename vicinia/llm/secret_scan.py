@@ -3,14 +3,16 @@
 From each rule's pattern a Boolean trigram query is derived on the driver: a
 list of clauses, all of which must hold, each a choice of trigram sets of which
 one must be there whole. The index holds a posting (trigram, text key) for every
-trigram that some query asks for; postings are intersected by text, candidates
-are verified with the pattern itself. A rule without a mandatory trigram scans
-every text.
+trigram that some query asks for, found in one pass over a text; postings are
+intersected by text, candidates are verified with the pattern itself, and the offsets
+of their matches are running sums of the lengths between them. A rule without a
+mandatory trigram scans every text.
 
 Offsets are code points, ends exclusive; matches are leftmost and do not
 overlap within a rule. Nulls and edges: a null text counts as empty, without
 spans; equal texts share their postings, so null and repeated doc_ids need no
-care; texts are scanned whole; an empty table gives an empty result; other
+care; texts are scanned whole, in work that grows with their length and matches; an
+empty table gives an empty result; other
 columns are ignored.
 """
 
@@ -22,7 +24,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from itertools import product
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import staged, text_key, text_or_empty
@@ -114,14 +116,24 @@ def trigram_query(pattern: str) -> list[Clause]:
     return clauses
 
 
+def _one_of(characters: Sequence[str]) -> str:
+    return "[" + "".join(c if c.isalnum() else f"\\{c}" for c in sorted(set(characters))) + "]"
+
+
+def trigram_pattern(vocabulary: Sequence[str]) -> str:
+    """A pattern that matches before each of the trigrams, which is its group: by their first letters, then by their second."""
+    tree: dict[str, dict[str, list[str]]] = {}
+    for t in vocabulary:
+        tree.setdefault(t[0], {}).setdefault(t[1], []).append(t[2])
+    rest = "|".join(f"{_one_of([a])}(?:{'|'.join(_one_of([b]) + _one_of(last) for b, last in more.items())})" for a, more in tree.items())
+    return f"(?={_one_of(list(tree))})(?=({rest}))"
+
+
 def posting_index(docs: DataFrame, vocabulary: Sequence[str] | None) -> DataFrame:
-    """Postings (trigram, key) of the lowered texts: of the trigrams in `vocabulary`, or of all where it is None."""
+    """Postings (trigram, key) of the lowered texts, of one pass over each: of the trigrams in `vocabulary`, or of all where it is None."""
     text = text_or_empty()
-    low = F.lower(text)
-    if vocabulary is None:
-        found = F.array_distinct(F.regexp_extract_all(low, F.lit("(?s)(?=(...))"), F.lit(1)))
-    else:
-        found = F.array_compact(F.array(*[F.when(F.contains(low, F.lit(t)), F.lit(t)) for t in vocabulary]))
+    pattern = "(?s)(?=(...))" if vocabulary is None else trigram_pattern(vocabulary)
+    found = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(pattern), F.lit(1)))
     return docs.select(text_key(text).alias("key"), F.explode(found).alias("trigram")).select("trigram", "key")
 
 
@@ -143,30 +155,36 @@ def candidates(index: DataFrame, queries: dict[str, list[Clause]]) -> DataFrame:
     return present.select("key", rules.alias("rules")).where(F.size("rules") > 0)
 
 
-def spans(text: Column, rule: Rule, order: int) -> Column:
-    """An array of (start, place, kind, end): the text between matches and the matches, both in order, give the offsets."""
-    pattern = F.lit(rule.pattern)
-    between = F.split(text, rule.pattern, -1)
-    whole = F.regexp_extract_all(text, pattern, F.lit(0))
-    group = F.regexp_extract_all(text, pattern, F.lit(rule.group)) if rule.group else whole
-    pieces = F.arrays_zip(F.slice(between, 1, F.size(whole)).alias("gap"), whole.alias("hit"), group.alias("part"))
-    kind = "array<struct<start:int,place:int,kind:string,end:int>>"
-    empty = F.array().cast(kind)
+def pieces(text: Column, rule: Rule, place: int) -> Column:
+    """An array of (place, at, gap, hit, part): of each match in order the lengths of the text before it, of itself, and of
+    the group that counts."""
+    whole = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
+    zipped = F.arrays_zip(F.slice(F.split(text, rule.pattern, -1), 1, F.size(whole)).alias("gap"), whole.alias("hit"))
 
-    def step(seen: Column, piece: Column) -> Column:
-        start = seen["at"] + F.char_length(piece["gap"])
-        end = start + F.char_length(piece["hit"])
-        own = F.struct(start.alias("start"), F.lit(order).alias("place"), F.lit(rule.kind).alias("kind"), end.alias("end"))
-        long_enough = F.char_length(piece["part"]) >= rule.least
-        return F.struct(end.alias("at"), F.when(long_enough, F.concat(seen["out"], F.array(own))).otherwise(seen["out"]).alias("out"))
+    def lengths(piece: Column, at: Column) -> Column:
+        part = F.regexp_extract(piece["hit"], rule.pattern, rule.group) if rule.group else piece["hit"]
+        return F.struct(F.lit(place).alias("place"), at.alias("at"), F.char_length(piece["gap"]).alias("gap"), F.char_length(piece["hit"]).alias("hit"), F.char_length(part).alias("part"))
 
-    return F.aggregate(pieces, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda seen: seen["out"])
+    return F.transform(zipped, lengths)
 
 
 def joined(found: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(found), lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def spans(hits: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+    """(row, found) for the rows (row, hits) that have matches: an array of (start, place, kind, end).
+
+    A match's offset is the sum of what lies before it; the windows run over the matches of one rule in one row.
+    """
+    upto = Window.partitionBy("row", "place").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    placed = hits.select("row", F.explode("hits").alias("h")).select("row", "h.*").withColumn("end", F.sum(F.col("gap") + F.col("hit")).over(upto))
+    rule = F.array(*[F.struct(F.lit(r.kind).alias("kind"), F.lit(r.least).alias("least")) for r in rules])[F.col("place")]
+    kept = placed.where(F.col("part") >= rule["least"])
+    own = F.struct((F.col("end") - F.col("hit")).alias("start"), "place", rule["kind"].alias("kind"), "end")
+    return kept.groupBy("row").agg(F.collect_list(own).alias("found"))
+
+
 def find_secrets(docs: DataFrame, base: Sequence[Rule] = BASE_RULES, more: Sequence[Rule] = MORE_RULES, vocabulary: Sequence[str] | None = ()) -> DataFrame:
     """(doc_id, n_<kind> of the base rules, base_sha256, spans) for each row of `docs`.
 
@@ -181,11 +199,15 @@ def find_secrets(docs: DataFrame, base: Sequence[Rule] = BASE_RULES, more: Seque
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), text_key(text).alias("key"))
     # The candidates are written first, so that the join has a plain table on either side and a hot text's rows can be split.
     joined_docs = keyed.join(staged(candidates(index, queries), "trigram-candidates"), "key", "left")
-    nothing = F.array().cast("array<struct<start:int,place:int,kind:string,end:int>>")
-    found = joined_docs
-    for place, rule in enumerate(rules):
-        due = F.array_contains("rules", rule.kind) if rule.kind in queries else F.col("text").rlike(rule.pattern)
-        found = found.withColumn(f"found_{rule.kind}", F.when(due, spans(F.col("text"), rule, place)).otherwise(nothing))
-    own = F.concat(*[F.col(f"found_{r.kind}") for r in base])
-    every = F.concat(*[F.col(f"found_{r.kind}") for r in rules])
-    return found.select("doc_id", *[F.size(f"found_{r.kind}").cast("long").alias(f"n_{r.kind}") for r in base], F.sha2(joined(own), 256).alias("base_sha256"), joined(every).alias("spans"))
+    none = F.array().cast("array<struct<place:int,at:int,gap:int,hit:int,part:int>>")
+    due = [F.array_contains("rules", r.kind) if r.kind in queries else F.col("text").rlike(r.pattern) for r in rules]
+    hits = F.concat(*[F.when(d, pieces(F.col("text"), r, i)).otherwise(none) for i, (d, r) in enumerate(zip(due, rules))])
+    # Written, so that a row keeps its number; what is held of it are a few numbers a match.
+    matched = staged(joined_docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", hits.alias("hits")), "secret-matches")
+    told = spans(matched.where(F.size("hits") > 0), rules).withColumnRenamed("row", "of")
+    found = F.coalesce("found", F.array().cast("array<struct<start:bigint,place:int,kind:string,end:bigint>>"))
+    own = F.filter(found, lambda s: s["place"] < len(base))
+    every = matched.select("row", "doc_id").join(told, F.col("row") == F.col("of"), "left")
+    places = F.transform(found, lambda s: s["place"])
+    counts = [F.size(F.filter(places, lambda p: p == i)).cast("long").alias(f"n_{r.kind}") for i, r in enumerate(base)]
+    return every.select("doc_id", *counts, F.sha2(joined(own), 256).alias("base_sha256"), joined(found).alias("spans"))
