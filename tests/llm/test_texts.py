@@ -131,6 +131,63 @@ def test_hints_show_wherever_a_disguise_is(monkeypatch):
     assert got == [pii.all_spans(t, pii.base_spans(t)) for t in plain]
 
 
+def by_characters(text):
+    """The spans that the transducers lead to, by a list of (character, start, end) that each of them goes through anew."""
+    held = [(c, i, i + 1) for i, c in enumerate(text)]
+    for edits_of in pii.TRANSDUCERS:
+        edits = {a: (b, by) for a, b, by in edits_of("".join(c for c, *_ in held))}
+        now, i = [], 0
+        while i < len(held):
+            b, by = edits.get(i, (i + 1, held[i][0]))
+            now += [(c, held[i][1], held[b - 1][2]) for c in by]
+            i = b
+        held = now
+    new, base = "".join(c for c, *_ in held), pii.base_spans(text)
+    out = {}
+    for kind in pii.KINDS:
+        spans = [(held[a][1], held[b - 1][2], new[a:b]) for a, b in pii.FIND[kind](new)]
+        out[kind] = sorted([*base[kind], *[(a, b) for a, b, found in spans if text[a:b] != found and all(b <= x or y <= a for x, y in base[kind])]])
+    return out
+
+
+def test_spans_as_by_characters():
+    r = random.Random(13)
+    pieces = ["jane.doe", " at ", "[at]", "example.com", " dot ", "(dot)", "org", "+1 555", " one ", "two", " three four five ", "0199", "4111 1111", "1111 1111", "10.0", ".seven.", "1.2.3.4", "a@b.co", "é", "１９２", "①②③", "१२३", "\u200b", "а", "—", "\u00a0", "word", "\n", "…", "ﬁ", "½"]
+    for _ in range(4000):
+        t = "".join(r.choice(pieces) + r.choice(["", "", " ", "-", "."]) for _ in range(r.randint(1, 12)))
+        assert pii.all_spans(t, pii.base_spans(t)) == by_characters(t), t
+
+
+@pytest.mark.parametrize("text, found, kind", [
+    ("call +१ ५५५ ०१० ९९९९ now", "+१ ५५५ ०१० ९९९९", "phone"),
+    ("call +①⑤⑤⑤⓪①⓪⑨⑨⑨⑨ now", "+①⑤⑤⑤⓪①⓪⑨⑨⑨⑨", "phone"),
+    ("host 𝟙𝟚.❸.４.૫ up", "𝟙𝟚.❸.４.૫", "ip"),
+    ("bob at example.com", "bob at example.com", "email"),
+    ("mail ｊａｎｅ@ⓔⓧⓐⓜⓟⓛⓔ.org", "ｊａｎｅ@ⓔⓧⓐⓜⓟⓛⓔ.org", "email"),
+])
+def test_digits_of_all_scripts(text, found, kind):
+    spans = pii.all_spans(text, pii.base_spans(text))
+    assert [text[a:b] for a, b in spans[kind]] == [found]
+
+
+def fastest(run, times=3):
+    import time
+
+    best = float("inf")
+    for _ in range(times):
+        start = time.perf_counter()
+        run()
+        best = min(best, time.perf_counter() - start)
+    return best
+
+
+def test_long_texts_take_time_in_proportion():
+    part = "a@b.co, x at y.org, [at] q dot z, +1 555 one two 0199 １.２.３.４ 5.6.7.8 "
+    short, long = part * 2000, part * 8000
+    assert len(pii.all_spans(part, pii.base_spans(part))["email"]) == 2
+    assert fastest(lambda: pii.all_spans(long, pii.base_spans(long))) < 8 * fastest(lambda: pii.all_spans(short, pii.base_spans(short)))
+
+
 # --- tokens -----------------------------------------------------------------------
 
 
@@ -179,6 +236,30 @@ def test_the_whole_index_finds_the_same(spark):
     assert a == b
 
 
+def test_many_secrets_in_a_long_text(spark):
+    import time
+
+    part = "token=abcdefghijkl1 \U0001f600 deadbeefdeadbeef "
+    docs = {n: table(spark, [part * n]) for n in (1000, 12_000, 24_000)}
+    took = {}
+    for n, df in docs.items():
+        start = time.perf_counter()
+        (row,) = secret_scan.find_secrets(df).collect()
+        took[n] = time.perf_counter() - start
+        assert (row["n_assign"], row["n_hex"]) == (n, n) and row["spans"].count("assign") == n
+        assert row["spans"].startswith("assign:0:19,hex:22:38,assign:39:58") and row["spans"].endswith(f"hex:{39 * n - 17}:{39 * n - 1}")
+    assert took[24_000] < 3 * took[12_000] + 2
+
+
+def test_trigram_pattern():
+    vocabulary = ["api", "akia"[:3], "kia", "a-b", "p]x", "--b"]
+    pattern = re.compile(secret_scan.trigram_pattern(vocabulary))
+    r = random.Random(2)
+    for _ in range(300):
+        t = "".join(r.choice("apikb-]x") for _ in range(20))
+        assert [m[1] for m in pattern.finditer(t)] == [t[i : i + 3] for i in range(18) if t[i : i + 3] in vocabulary]
+
+
 def test_trigram_queries():
     assert secret_scan.trigram_query("[0-9a-f]{16,}") == []  # no trigram is mandatory: every text is scanned
     assert secret_scan.trigram_query("AKIA[A-Z0-9]+") == [[frozenset({"aki", "kia"})]]

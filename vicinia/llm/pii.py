@@ -1,14 +1,16 @@
 """Personal data, with offset-preserving deobfuscation.
 
-Base spans come from plain patterns over the text as it is. A transducer then
-rewrites the disguised stretches only: homoglyphs and wide forms become ASCII,
-spelled digits become digits, "at"/"dot" disguises become @ and . ; with every
-character it emits it keeps the source characters that it stands for, so
-identifiers found in the rewritten text map back to spans of the source. Spans
-that overlap a base span of their kind are left out; base spans stay.
+Base spans come from plain patterns over the text as it is. Transducers then
+rewrite the disguised stretches only, one after another: homoglyphs, wide and
+circled forms and the digits of all scripts become ASCII, "at"/"dot" disguises become
+@ and . , spelled digits become digits. Each keeps what it replaced as runs of
+shifted offsets, so identifiers found in the rewritten text map back, transducer by
+transducer, to spans of the source. Spans that overlap a base span of their kind are
+left out; base spans stay.
 
 All offsets are code points, ends exclusive. Nulls and edges: a null text counts
-as empty, without spans; matching is linear in the text, whatever its length;
+as empty, without spans; the work grows with a text's length and with its matches,
+not with their square, and what is held besides the text with what is rewritten;
 null doc_ids and repeated rows pass; an empty table gives an empty result; other
 columns are ignored.
 """
@@ -17,8 +19,11 @@ from __future__ import annotations
 
 import hashlib
 import re
+import sys
 import unicodedata
+from bisect import bisect_right
 from collections.abc import Iterator
+from functools import cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -102,8 +107,7 @@ HINT = re.compile(
     rf"[\[({{<]\s?(?:at|@|dot|punkt|point|punto|\.)\s?[\])}}>]|\s(?:dot\s|at\s[a-z0-9][a-z0-9-]*\.[a-z0-9-])"
     rf"|(?<!\w)(?:{_DIGIT})[ ,.-]{{1,2}}(?:{_DIGIT})(?!\w)|(?<=[0-9])[ ,.-]{{1,2}}(?:{_DIGIT})[ ,.-]", re.I
 )
-FOREIGN = re.compile("[" + "".join(LOOKALIKES) + "‐-―​-‍⁠﻿！-～٠-٩۰-۹\U0001d400-\U0001d7ff]")
-INVISIBLE = frozenset("​‌‍⁠﻿")
+INVISIBLE = frozenset("\u200b\u200c\u200d\u2060\ufeff")
 
 
 def plain(c: str) -> str:
@@ -112,70 +116,96 @@ def plain(c: str) -> str:
         return ""
     if c in LOOKALIKES:
         return LOOKALIKES[c]
-    if "‐" <= c <= "―":
+    if "\u2010" <= c <= "\u2015":
         return "-"
+    if (digit := unicodedata.digit(c, None)) is not None:
+        return str(digit)
     folded = unicodedata.normalize("NFKC", c)
-    if len(folded) == 1 and folded.isdigit():
-        return str(unicodedata.digit(folded))
-    return folded if folded.isascii() and len(folded) == 1 else c
-
-
-class Rewritten:
-    """A text under rewriting, with the source span of each of its characters."""
-
-    def __init__(self, text: str):
-        self.text, self.starts, self.ends = text, list(range(len(text))), list(range(1, len(text) + 1))
-
-    def replace(self, pattern: re.Pattern, by) -> None:
-        """Replace each match; what comes instead stands for the match's whole source span."""
-        text, starts, ends, done = [], [], [], 0
-        for m in pattern.finditer(self.text):
-            a, b = m.span()
-            new = by(m)
-            text += [self.text[done:a], new]
-            starts += self.starts[done:a] + [self.starts[a]] * len(new)
-            ends += self.ends[done:a] + [self.ends[b - 1]] * len(new)
+    return folded if folded.isascii() else c
+
+
+@cache
+def foreign() -> re.Pattern:
+    """Every character beyond ASCII that stands for some of it; by the Unicode tables at hand."""
+    ranges, last = [], -1
+    for code in range(0x80, sys.maxunicode + 1):
+        if not 0xD800 <= code < 0xE000 and plain(chr(code)) != chr(code):
+            if code != last + 1 or not ranges:
+                ranges.append([code, code])
+            ranges[-1][1] = last = code
+    return re.compile("[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in ranges) + "]")
+
+
+class Rewriting:
+    """A text, and what it becomes when each of `edits` (start, end, what comes instead), in order, is made."""
+
+    def __init__(self, text: str, edits: list[tuple[int, int, str]]):
+        parts, done, shift = [], 0, 0
+        self.old, self.new = [], []  # spans of what was replaced, and of what came instead
+        for a, b, by in edits:
+            parts += [text[done:a], by]
+            self.old.append((a, b))
+            self.new.append((a + shift, a + shift + len(by)))
+            shift += len(by) - (b - a)
             done = b
-        if done:
-            self.text = "".join([*text, self.text[done:]])
-            self.starts, self.ends = starts + self.starts[done:], ends + self.ends[done:]
-
-    def spell(self) -> None:
-        """Runs of spelled digits, word by word, so each digit keeps its own word's span."""
-        runs = [m.span() for m in SPELLED.finditer(self.text)]
-        runs = sorted({*runs, *(m.span(1) for m in BETWEEN.finditer(self.text) if all(m.end(1) <= a or b <= m.start(1) for a, b in runs))})
-        if not runs:
-            return
-        text, starts, ends, done = [], [], [], 0
-        for a, b in runs:
-            text.append(self.text[done:a])
-            starts += self.starts[done:a]
-            ends += self.ends[done:a]
-            done = a
-            for m in ONE_DIGIT.finditer(self.text, a, b):
-                if digit := DIGIT_WORDS.get(m[0].lower()):
-                    text.append(digit)
-                    starts.append(self.starts[m.start()])
-                    ends.append(self.ends[m.end() - 1])
-                elif m.end() == b:  # what follows the last digit is not a separator of digits
-                    break
-                done = m.end()
-        self.text = "".join([*text, self.text[done:]])
-        self.starts, self.ends = starts + self.starts[done:], ends + self.ends[done:]
-
-
-def rewritten(text: str) -> Rewritten | None:
-    """`text` without its disguises, or None where it has none."""
-    foreign = not text.isascii() and FOREIGN.search(text)
-    if not foreign and not HINT.search(text):
-        return None
-    out = Rewritten(text)
-    if foreign:
-        out.replace(FOREIGN, lambda m: plain(m[0]))
-    out.replace(DOT, lambda m: ".")
-    out.replace(AT, lambda m: "@")
-    out.spell()
-    return out if out.text != text else None
+        self.text = "".join([*parts, text[done:]])
+        self.starts = [a for a, _ in self.new]
+
+    def source(self, start: int, end: int) -> Span:
+        """The span that the characters from `start` to `end` stand for; of what came instead, any part stands for all."""
+        i, j = bisect_right(self.starts, start) - 1, bisect_right(self.starts, end - 1) - 1
+        if i >= 0:
+            start = self.old[i][0] if start < self.new[i][1] else self.old[i][1] + start - self.new[i][1]
+        if j >= 0:
+            end = self.old[j][1] if end <= self.new[j][1] else self.old[j][1] + end - self.new[j][1]
+        return start, end
+
+
+def matches(pattern: re.Pattern, text: str, by) -> list[tuple[int, int, str]]:
+    return [(*m.span(), by(m[0])) for m in pattern.finditer(text)]
+
+
+def spelled(text: str) -> list[tuple[int, int, str]]:
+    """Runs of spelled digits, word by word, so each digit keeps its own word's span; the separators between them go."""
+    runs = [m.span() for m in SPELLED.finditer(text)]
+    ends = [b for _, b in runs]
+    for m in BETWEEN.finditer(text):
+        a, b = m.span(1)
+        i = bisect_right(ends, a)  # the first run that ends beyond it
+        if i == len(ends) or runs[i][0] >= b:
+            runs.append((a, b))
+    edits = []
+    for a, b in sorted(runs):
+        for m in ONE_DIGIT.finditer(text, a, b):
+            if digit := DIGIT_WORDS.get(m[0].lower()):
+                edits.append((*m.span(), digit))
+            elif m.end() == b:  # what follows the last digit is not a separator of digits
+                break
+            else:
+                edits.append((*m.span(), ""))
+    return edits
+
+
+#: The transducers, in order: each gives the edits of a text.
+TRANSDUCERS = (
+    lambda text: [] if text.isascii() else matches(foreign(), text, plain),
+    lambda text: matches(DOT, text, lambda m: "."),
+    lambda text: matches(AT, text, lambda m: "@"),
+    spelled,
+)
+
+
+def rewritten(text: str) -> list[Rewriting]:
+    """What the transducers do to `text`, one after another; none where it has no disguises."""
+    edits = TRANSDUCERS[0](text)
+    if not edits and not HINT.search(text):
+        return []
+    done = [Rewriting(text, edits)] if edits else []
+    for edits_of in TRANSDUCERS[1:]:
+        now = done[-1].text if done else text
+        if edits := edits_of(now):
+            done.append(Rewriting(now, edits))
+    return done
 
 
 def base_spans(text: str) -> dict[str, list[Span]]:
@@ -185,12 +215,17 @@ def base_spans(text: str) -> dict[str, list[Span]]:
 def all_spans(text: str, base: dict[str, list[Span]]) -> dict[str, list[Span]]:
     """The base spans, and those of disguised identifiers that overlap none of their kind."""
     out = {kind: list(spans) for kind, spans in base.items()}
-    if (new := rewritten(text)) is None:
+    if not (done := rewritten(text)):
         return out
+    new = done[-1].text
     for kind in KINDS:
-        for a, b in FIND[kind](new.text):
-            start, end = new.starts[a], new.ends[b - 1]
-            if all(end <= x or y <= start for x, y in base[kind]) and text[start:end] != new.text[a:b]:
+        ends = [b for _, b in base[kind]]
+        for a, b in FIND[kind](new):
+            start, end = a, b
+            for step in reversed(done):
+                start, end = step.source(start, end)
+            i = bisect_right(ends, start)  # the first base span that ends beyond the start
+            if (i == len(ends) or end <= base[kind][i][0]) and text[start:end] != new[a:b]:
                 out[kind].append((start, end))
         out[kind].sort()
     return out
