@@ -2,7 +2,9 @@
 
 import base64
 import hashlib
+import math
 import random
+import zlib
 from fractions import Fraction
 
 import numpy as np
@@ -414,11 +416,6 @@ def insulting(n, seed):
     return docs, labels
 
 
-def windows_of(t):
-    w = t.split()
-    return [" ".join(w[s : s + toxicity.WINDOW]) for s in toxicity.window_starts(len(w)).tolist()]
-
-
 def test_gradients():
     docs, _ = insulting(6, 0)
     low, starts, ends, hashes = toxicity.words_of(" ".join(docs).encode())
@@ -452,7 +449,73 @@ def test_gradients():
 @pytest.fixture(scope="module")
 def network():
     docs, labels = insulting(240, 1)
-    return toxicity.fit([windows_of(t) for t in docs], labels)
+    return toxicity.fit([t.encode() for t in docs], labels)
+
+
+def plain_gru(inputs, u):
+    """The last and all states over gate inputs, number by number."""
+    size = u.shape[0]
+    h, states = [0.0] * size, []
+    for x in inputs:
+        s = [sum(h[i] * float(u[i, j]) for i in range(size)) for j in range(3 * size)]
+        z = [1 / (1 + math.exp(-(x[j] + s[j]))) for j in range(size)]
+        r = [1 / (1 + math.exp(-(x[size + j] + s[size + j]))) for j in range(size)]
+        new = [math.tanh(x[2 * size + j] + r[j] * s[2 * size + j]) for j in range(size)]
+        h = [(1 - z[j]) * new[j] + z[j] * h[j] for j in range(size)]
+        states.append(h)
+    return states
+
+
+def plain_score(network, text):
+    """A text's score, a window, a word and a letter at a time."""
+    p = {k: v.astype(float) for k, v in network.p.items()}
+    pieces = [w[i : i + toxicity.LONGEST] for w in words(text) for i in range(0, len(w), toxicity.LONGEST)]
+    best = 0.0
+    for start in range(0, max(len(pieces) - toxicity.WINDOW, 0) + toxicity.STRIDE if pieces else 0, toxicity.STRIDE):
+        window = pieces[start : start + toxicity.WINDOW]
+        if not window:
+            continue
+        gates = {"f": [], "b": []}
+        for w in window:
+            letters = np.frombuffer(w, np.uint8)
+            spelled = [v for side, order in (("f", letters), ("b", letters[::-1])) for v in plain_gru([p[f"letter_{side}"][c] for c in order], p[f"char_u_{side}"])[-1]]
+            (hashed,) = toxicity.words_of(w)[3].tolist()
+            own = network.known.tolist().index(hashed) + 1 if hashed in network.known.tolist() else 0
+            for side in "fb":
+                gates[side].append(p[f"word_{side}"][own] + np.array(spelled) @ p[f"to_word_{side}"])
+        forth, back = plain_gru(gates["f"], p["word_u_f"]), plain_gru(gates["b"][::-1], p["word_u_b"])[::-1]
+        states = [np.array([*a, *b]) for a, b in zip(forth, back)]
+        attention = [math.exp(np.tanh(s @ p["attend"] + p["attend_b"]) @ p["query"]) for s in states]
+        pooled = sum(a * s for a, s in zip(attention, states)) / sum(attention)
+        logit = float(pooled @ p["out"] + p["out_b"][0])
+        best = max(best, 1 / (1 + math.exp(-(network.slope * logit + network.shift))))
+    return best
+
+
+def test_scores_as_window_by_window(network):
+    docs = [t for t in insulting(12, 9)[0]] + AWKWARD[:8] + ["x\u00a0y vilezz\u2003z " * 9, "W" * 60, " ".join(texts(9, 3, 150))]
+    got = toxicity.score_texts(network, docs).tolist()
+    assert got == pytest.approx([plain_score(network, t) for t in docs], abs=2e-4)
+
+
+def test_a_toxic_stretch_at_every_place_of_the_grid(network):
+    calm = " ".join(texts(40, 31, 60)).split()[:200]
+    for place in range(60, 60 + toxicity.STRIDE):
+        assert toxicity.score_texts(network, [" ".join([*calm[:place], "vilezz", "rottenqu", "vilezz", *calm[place:]])])[0] >= 0.7
+
+
+def test_the_sample_is_of_whole_texts(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(toxicity, "fit", lambda t, labels, seed: seen.append((t, labels)))
+    docs = [f"{i} " * 50 for i in range(40)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    df = table(spark, docs + docs[:3] + ["0 again"], [*range(40), 0, 1, 2, 0])
+    toxicity.train(df, labels)
+    toxicity.train(df, labels, sample=6)
+    toxicity.train(df, labels, sample_bytes=1000)
+    assert [len(t) for t, _ in seen][0] == len({i for i in range(40) if zlib.crc32(str(i).encode()) % 3 != 1}) and len(seen[1][0]) == 12
+    assert sum(map(len, seen[2][0])) <= 1000 and set(seen[2][1]) == {0, 1}
+    assert all(t.decode() in docs for t in seen[0][0]) and len(set(seen[0][0])) == len(seen[0][0])
 
 
 def test_held_out_accuracy(network):
@@ -474,7 +537,6 @@ def test_whole_texts_are_scored(network):
 
 
 def test_toxic_query(spark):
-    import zlib
 
     docs, labels = insulting(150, 3)
     docs += AWKWARD

@@ -7,15 +7,16 @@ text's score is the largest over all its overlapping windows.
 
 Training is multi-instance: a label belongs to a text, so every window of a clean
 text is clean, and of a toxic text the windows that score highest are toxic. It
-takes a bounded sample: SAMPLE texts of each class at most, the first by the hash
-of their ids, and of each at most WINDOWS_EACH windows, the first by their hash.
-Scores depend on texts alone. Fits and scores repeat exactly.
+takes a bounded sample of labelled rows: SAMPLE texts of each class at most, the
+first by the hash of their ids, and of those as many whole texts as SAMPLE_BYTES
+hold. A sampled text is learned from in all its windows, which are cut as for
+scoring. Scores depend on texts alone. Fits and scores repeat exactly.
 
 Nulls and edges: a null or wordless text scores 0; words of more than LONGEST
 bytes are taken as several; texts of any length are scored whole, in bounded
 blocks of windows; rows with a null doc_id are scored and, as their label cannot
-be known, not learned from; repeated rows score alike; where one class has no
-labels, every text scores 0; an empty table gives an empty result; other columns
+be known, not learned from; repeated rows score alike, and of rows with one doc_id
+one text is learned from, the first in order; where one class has no labels, every text scores 0; an empty table gives an empty result; other columns
 are ignored by `scores`.
 """
 
@@ -29,13 +30,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shingles import CHUNK, GAPS, mix, run_hashes, runs
+from ._common import staged
+from .shingles import CHUNK, GAPS, run_hashes, runs
 
 #: Words of a window, and words from one window's start to the next's.
 WINDOW, STRIDE = 32, 24
 LONGEST = 24
-#: Bounds of the training sample.
-SAMPLE, WINDOWS_EACH = 1200, 24
+#: Bounds of the training sample: rows of each class, and bytes of their texts.
+SAMPLE, SAMPLE_BYTES = 1200, 16 << 20
 #: Searches for the hardest windows, each followed by a pass over the sample, or by several where it is small, so that there are about STEPS.
 EPOCHS, STEPS, BATCH, RATE = 6, 270, 128, 0.01
 VOCABULARY = 4096
@@ -84,6 +86,21 @@ class Lexicon:
         return cls(letters, lengths, own), which.astype(np.int64)
 
 
+def windows_over(texts: list[bytes]) -> tuple[Lexicon, np.ndarray, np.ndarray]:
+    """The words of `texts`, their windows as rows of places in that lexicon, and the number of each window's text."""
+    low, starts, ends, hashes = words_of(b"\n".join(texts))
+    lexicon, which = Lexicon.of(low, starts, ends, hashes)
+    begin = np.cumsum([0, *(len(t) + 1 for t in texts)])[:-1]
+    word = np.append(np.searchsorted(starts, begin), len(starts))
+    own = [window_starts(n) for n in np.diff(word).tolist()]
+    counts = [len(w) for w in own]
+    first = np.concatenate([np.zeros(0, np.int64), *(w + a for w, a in zip(own, word.tolist()))])
+    upto, owner = np.repeat(word[1:], counts), np.repeat(np.arange(len(texts)), counts)
+    at = first[:, None] + np.arange(WINDOW)
+    windows = np.where(at < upto[:, None], which[np.minimum(at, len(which) - 1)] if len(which) else 0, len(lexicon.hashes))
+    return lexicon, windows, owner
+
+
 def by_length(lexicon: Lexicon) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Places and letters of words of like length, a bounded number at a time."""
     for low, high in ((0, 4), (4, 7), (7, 10), (10, 14), (14, LONGEST)):
@@ -268,21 +285,13 @@ class Adam:
 # --- training ---------------------------------------------------------------------
 
 
-def fit(texts: list[list[str]], labels: list[int], seed: int = 0) -> Network | None:
-    """A network trained on the windows (as strings) of each text; None where a class is missing."""
+def fit(texts: list[bytes], labels: list[int], seed: int = 0) -> Network | None:
+    """A network trained on the windows of each text; None where a class is missing."""
     if not 0 < sum(labels) < len(labels):
         return None
     rng = np.random.default_rng(seed)
-    owner = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
-    low, starts, ends, hashes = words_of("\n".join(w.replace("\n", " ") for t in texts for w in t).encode())
-    line = np.concatenate([[0], np.cumsum(low == 10)])[starts]
-    lexicon, which = Lexicon.of(low, starts, ends, hashes)
-    windows = np.full((len(owner), WINDOW), len(lexicon.hashes))
-    first = np.searchsorted(line, np.arange(len(owner)))
-    place = np.arange(len(which)) - first[line]
-    inside = place < WINDOW
-    windows[line[inside], place[inside]] = which[inside]
-    counts = np.bincount(which)
+    lexicon, windows, owner = windows_over(texts)
+    counts = np.bincount(windows[windows < len(lexicon.hashes)], minlength=1)  # by windows that a word is in
     common = np.argsort(-counts, kind="stable")[:VOCABULARY]
     network = Network(np.sort(lexicon.hashes[common[counts[common] >= 3]]), seed)
     adam, toxic = Adam(network.p), np.array(labels)[owner]
@@ -347,29 +356,23 @@ def taught(doc_id: Column | str = "doc_id") -> Column:
     return F.crc32(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id) % 3 != 1
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, windows_each: int = WINDOWS_EACH, seed: int = 0) -> Network | None:
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES, seed: int = 0) -> Network | None:
     """A network from the labelled rows of `docs` that may be learned from; the sample's bounds are the module's."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic is not null").where(taught())
     rank = F.xxhash64(F.lit(seed), "doc_id")
     both = [known.where(F.col("toxic") == c).orderBy(rank, "doc_id").limit(sample) for c in (0, 1)]
-    chosen = {int(r["doc_id"]): int(r["toxic"]) for r in both[0].union(both[1]).collect()}  # 2 * sample rows at most
-    spark = docs.sparkSession
-    picks = spark.createDataFrame(list(chosen.items()), "own long, toxic int")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(picks), F.col("doc_id") == F.col("own"))
-
-    def cut(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            rows = []
-            for doc_id, text, toxic in part[["doc_id", "text", "toxic"]].itertuples(index=False, name=None):
-                words = (text or "").split()
-                starts = window_starts(len(words))
-                order = np.argsort(mix(starts.astype(np.uint64) + np.uint64(1)), kind="stable")[:windows_each]
-                rows.append((doc_id, toxic, [" ".join(words[s : s + WINDOW]) for s in np.sort(starts[order]).tolist()]))
-            yield pd.DataFrame(rows, columns=["doc_id", "toxic", "windows"])
-
-    rows = texts.select("doc_id", "text", "toxic").mapInPandas(cut, "doc_id long, toxic int, windows array<string>").collect()
-    rows = sorted(rows, key=lambda r: (r["doc_id"], r["windows"]))[: 2 * sample]
-    return fit([r["windows"] for r in rows], [r["toxic"] for r in rows], seed)
+    chosen = {int(r["doc_id"]): (int(r["toxic"]), place) for half in both for place, r in enumerate(half.collect())}  # 2 * sample rows at most
+    picks = docs.sparkSession.createDataFrame([(i, *told) for i, told in chosen.items()], "own long, toxic int, place int")
+    met = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(picks), F.col("doc_id") == F.col("own"))
+    # One text an id, however often it repeats; and of those, as many as fit into the bytes, both classes by turns.
+    rows = staged(met.groupBy("own", "toxic", "place").agg(F.coalesce(F.min("text"), F.lit("")).alias("text")), "toxicity-sample")
+    wanted, size = [], 0
+    for r in sorted(rows.select("own", "place", F.octet_length("text").alias("bytes")).collect(), key=lambda r: (r["place"], r["own"])):
+        if size + r["bytes"] <= sample_bytes:
+            size += r["bytes"]
+            wanted.append(r["own"])
+    texts = sorted(rows.where(F.col("own").isin(wanted)).collect(), key=lambda r: r["own"])
+    return fit([r["text"].encode("utf-8", "surrogatepass") for r in texts], [r["toxic"] for r in texts], seed)
 
 
 # --- scoring ----------------------------------------------------------------------
@@ -400,20 +403,10 @@ def score_texts(network: Network, texts: list[str | None]) -> np.ndarray:
     size = 0
 
     def run() -> None:
-        data = b"\n".join(d for _, d in held)
-        low, starts, ends, hashes = words_of(data)
-        if len(starts):
-            begin = np.cumsum([0, *(len(d) + 1 for _, d in held[:-1])])
-            word = np.searchsorted(starts, begin)
-            counts = np.diff([*word, len(starts)])
-            rows = [(w + window_starts(n), w + n, i) for w, n, (i, _) in zip(word.tolist(), counts.tolist(), held) if n]
-            first = np.concatenate([r[0] for r in rows])
-            upto = np.repeat([r[1] for r in rows], [len(r[0]) for r in rows])
-            owner = np.repeat([r[2] for r in rows], [len(r[0]) for r in rows])
-            lexicon, which = Lexicon.of(low, starts, ends, hashes)
-            at = first[:, None] + np.arange(WINDOW)
-            windows = np.where(at < upto[:, None], which[np.minimum(at, len(which) - 1)], len(lexicon.hashes))
-            np.maximum.at(best, owner, sigmoid(network.slope * network.logits(lexicon, windows).astype(np.float64) + network.shift))
+        lexicon, windows, owner = windows_over([piece for _, piece in held])
+        if len(windows):
+            text = np.array([i for i, _ in held])[owner]
+            np.maximum.at(best, text, sigmoid(network.slope * network.logits(lexicon, windows).astype(np.float64) + network.shift))
         held.clear()
 
     for i, text in enumerate(texts):
