@@ -1,6 +1,7 @@
 """Line dedup, PII, tokens, secrets and media against brute force."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -270,8 +271,23 @@ def test_trigram_queries():
 # --- media ------------------------------------------------------------------------
 
 
+def plain_feature(payload):
+    """A payload's feature, sample by sample."""
+    rows = [payload[i : i + 64] for i in range(0, len(payload), 64)]
+    seen = {}
+    for b in payload:
+        seen[b] = seen.get(b, 0) + 1
+    entropy = -sum(n / len(payload) * math.log2(n / len(payload)) for n in seen.values())
+    cuts = [len(rows) * i // 8 for i in range(9)]
+    bands = [sum(map(sum, rows[a:b])) for a, b in zip(cuts, cuts[1:])]
+    stripes = [sum(sum(row[8 * c : 8 * c + 8]) for row in rows) for c in range(8)]
+    fields = [8 * a + b for a in bands for b in stripes]
+    mark = int("".join(str(int(f > sum(fields) / 64)) for f in fields), 2)
+    return f"64x{len(rows)} mean={sum(payload) / len(payload):.3f} values={len(seen)} entropy={entropy:.4f} mark={mark:016x}"
+
+
 def test_media(spark):
-    docs = [*AWKWARD, *texts(40, 8, 200), "same line of text here\n" * 400, "\x00" * 100, "é" * 40_000]
+    docs = [*AWKWARD, *texts(40, 8, 200), "same line of text here\n" * 400, "".join(map(chr, range(32, 127))) * 9, ("q" + "".join(map(chr, range(40, 103)))) * 30, "\x00" * 100, "é" * 40_000]
     got = by_id(media.media_digests(table(spark, docs)))
     for i, t in enumerate(docs):
         data = (t or "").encode()
@@ -281,11 +297,96 @@ def test_media(spark):
         assert r["payload_sha256"] == hashlib.sha256(payload).hexdigest() and r["tail_crc32"] == zlib.crc32(payload[-64:])
         stored = media.store(payload)
         assert (r["media_bytes"], r["media_sha256"]) == (len(stored), hashlib.sha256(stored).hexdigest())
+        assert r["feature"] == plain_feature(payload), t
     assert got[0]["feature"] == got[1]["feature"]
     assert media.media_digests(table(spark, [])).count() == 0
     assert media.pixel_arrays(media.media_column(table(spark, docs))).count() == len(docs)
 
 
+def test_what_is_stored_is_chosen_by_size():
+    for data, mode in (("".join(map(chr, range(32, 127))).encode() * 9, 1), (bytes(np.random.default_rng(0).integers(40, 90, 64, np.uint8)) * 30, 2), (" ".join(texts(30, 4)).encode(), None)):
+        payload = media.padded(data)
+        samples = np.frombuffer(payload, np.uint8).reshape(-1, 64)
+        copies = media.repeats(payload)
+        assert media.best_predictor(samples, copies) == mode
+        pixels = np.repeat(samples[..., None], 4, axis=2)
+        pixels[..., 0] = 255
+        sizes = {m: len(webp.encode(pixels, predictor=m, subtract_green=True, copies=[] if m else copies)) for m in (None, 1, 2)}
+        assert len(media.store(payload)) == sizes[mode] == min(sizes.values())
+        assert media.load(media.store(payload)).tobytes() == payload
+
+
+class Written:
+    """A stream written bit by bit as the format's description has it: numbers from their lowest bit, code words from their first."""
+
+    def __init__(self, width, height):
+        self.bits = []
+        for value, n in ((0x2F, 8), (width - 1, 14), (height - 1, 14), (1, 1), (0, 3)):
+            self.number(value, n)
+
+    def number(self, value, n):
+        self.bits += [value >> i & 1 for i in range(n)]
+        return self
+
+    def word(self, text):
+        self.bits += [int(c) for c in text]
+        return self
+
+    def symbols(self, *values):
+        """A simple code of one or two symbols."""
+        self.number(1, 1).number(len(values) - 1, 1).number(1, 1)
+        for v in values:
+            self.number(v, 8)
+        return self
+
+    def file(self):
+        data = bytes(sum(b << i for i, b in enumerate(self.bits[k : k + 8])) for k in range(0, len(self.bits), 8))
+        body = b"WEBPVP8L" + len(data).to_bytes(4, "little") + data + bytes(len(data) % 2)
+        return b"RIFF" + len(body).to_bytes(4, "little") + body
+
+
+def test_several_groups_of_codes():
+    w = Written(8, 1).number(0, 1)  # no transform
+    w.number(0, 1).number(1, 1).number(0, 3)  # no cache; groups by blocks of four
+    w.number(0, 1).symbols(0, 1).symbols(0).symbols(0).symbols(0).symbols(0).word("01")  # the blocks' groups
+    w.symbols(77).symbols(1).symbols(2).symbols(255).symbols(0)
+    w.symbols(10, 200).symbols(5).symbols(6, 9).symbols(255).symbols(0)
+    for green, blue in ("00", "11", "10", "01"):
+        w.word(green).word(blue)
+    left, right = [(255, 1, 77, 2)] * 4, [(255, 5, 10, 6), (255, 5, 200, 9), (255, 5, 200, 6), (255, 5, 10, 9)]
+    assert webp.decode(w.file()).tolist() == [[list(p) for p in left + right]]
+
+
+def test_cache_and_code_lengths_by_hand():
+    colour = 255 << 24 | 3 << 16 | 7 << 8 | 4
+    slot = (0x1E35A7BD * colour & 0xFFFFFFFF) >> 31
+    w = Written(4, 1).number(0, 1).number(1, 1).number(1, 4).number(0, 1)  # a cache of two colours
+    w.number(0, 1).number(0, 4)  # a code of lengths, itself with four: of 17, 18, 0 and 1
+    for n in (0, 1, 2, 2):
+        w.number(n, 3)
+    w.number(0, 1)  # all 282 lengths follow
+    zero, one, zeros = "10", "11", "0"
+    w.word(zero * 7).word(one).word(zeros).number(127, 7).word(zeros).number(280 + slot - 8 - 138 - 11, 7).word(one).word(zero * (1 - slot))
+    w.symbols(3).symbols(4).symbols(255).symbols(0)
+    w.word("0" + "1" * 3)  # the colour, then three times the cache
+    assert webp.decode(w.file()).tolist() == [[[255, 3, 7, 4]] * 4]
+
+
+def test_transforms_by_hand():
+    w = Written(3, 1).number(1, 1).number(2, 2)  # subtract-green
+    w.number(1, 1).number(1, 2).number(0, 3)  # cross-colour in blocks of four: green to red 32, green to blue 64, red to blue 0
+    w.number(0, 1).symbols(64).symbols(0).symbols(32).symbols(255).symbols(0)
+    w.number(1, 1).number(0, 2).number(0, 3)  # predictor: left
+    w.number(0, 1).symbols(1).symbols(0).symbols(0).symbols(255).symbols(0)
+    w.number(0, 1).number(0, 1).number(0, 1).symbols(10, 20).symbols(1).symbols(2).symbols(0).symbols(0).word("010")
+    # what is left: green 10, 20, 10, red 1, blue 2; summed to the right, then changed by green, then green added
+    want, r, g, b = [], 0, 0, 0
+    for step in (10, 20, 10):
+        r, g, b = r + 1, g + step, b + 2
+        want.append([255, (r + g + g) & 255, g, (b + 2 * g + g) & 255])
+    assert webp.decode(w.file()).tolist() == [want]
+
+
 def picture(seed, height, width, colours=None):
     r = np.random.default_rng(seed)
     if colours:

@@ -3,8 +3,11 @@
 A payload becomes grey images 64 samples wide, each a file of its own, one after
 another where a payload outgrows one image. Grey takes the subtract-green
 transform; payloads of 16 values or fewer take a palette; lines that come again
-and runs of the padding are copied by back-reference. Reading decodes the files
-to pixels and checks that they are grey.
+and runs of the padding are copied by back-reference, or the pixel to the left or
+above is predicted from, whichever is estimated to be smaller. (Of a grey image
+neither cross-colour nor a colour cache can make a smaller file than subtract-green
+does, so the encoder does not choose them; the decoder reads them all.) Reading
+decodes the files to pixels and checks that they are grey.
 
 Nulls and edges: a null text counts as empty and is 64 zero bytes; equal texts
 give equal bytes, whatever their rows; null and repeated doc_ids pass; texts of
@@ -31,6 +34,8 @@ WIDTH = 64
 ROWS = 8192
 #: Shorter lines are not looked for again.
 SHORTEST_COPY = 16
+#: About what a copy takes, and what a predictor's own image does.
+COPY_BITS, PREDICTOR_BITS = 24, 64
 
 
 def padded(data: bytes) -> bytes:
@@ -54,6 +59,25 @@ def repeats(data: bytes) -> list[tuple[int, int, int]]:
     return out
 
 
+def estimated_bits(symbols: np.ndarray) -> float:
+    """What an ideal code of single symbols takes."""
+    counts = np.bincount(symbols, minlength=256)
+    counts = counts[counts > 0]
+    return float((counts * np.log2(len(symbols) / counts)).sum()) + 8 * len(counts)
+
+
+def best_predictor(samples: np.ndarray, copies: list[tuple[int, int, int]]) -> int | None:
+    """1 (left) or 2 (above) where what is left of that prediction is estimated to be smaller than literals and copies; else None."""
+    flat = samples.reshape(-1)
+    taken = sum(length for _, length, _ in copies)
+    plain = estimated_bits(flat) * (1 - taken / len(flat)) + COPY_BITS * len(copies)
+    sizes = {1: estimated_bits(flat - np.concatenate([flat[:1], flat[:-1]]))}
+    if len(samples) > 1:
+        sizes[2] = estimated_bits((samples[1:] - samples[:-1]).reshape(-1)) + 8 * WIDTH
+    mode = min(sizes, key=sizes.get)
+    return mode if sizes[mode] + PREDICTOR_BITS < plain else None
+
+
 def store(payload: bytes) -> bytes:
     """The WebP file or files of a payload, whose length is a multiple of WIDTH."""
     files = []
@@ -63,7 +87,9 @@ def store(payload: bytes) -> bytes:
         pixels = np.repeat(samples[..., None], 4, axis=2)
         pixels[..., 0] = 255
         few = len(set(part)) <= 16
-        files.append(webp.encode(pixels, palette=few, subtract_green=not few, copies=[] if few else repeats(part)))
+        copies = [] if few else repeats(part)
+        mode = None if few else best_predictor(samples, copies)
+        files.append(webp.encode(pixels, predictor=mode, palette=few, subtract_green=not few, copies=[] if mode else copies))
     return b"".join(files)
 
 
