@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from vicinia import skew
+from vicinia import skew, staging
 
 
 def test_spread_join(spark, monkeypatch):
@@ -13,3 +13,19 @@ def test_spread_join(spark, monkeypatch):
         plain = sorted(map(tuple, left.join(right, F.col("k") == F.col("key"), how).collect()), key=str)
         for some in (hot, []):
             assert sorted(map(tuple, skew.spread_join(left, right, ["k"], ["key"], "id", some, how).collect()), key=str) == plain
+
+
+def test_staged_tables_go_when_told(spark):
+    def there(path):
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+    since = staging.mark(spark)
+    a, b, c = (staging.staged(spark.range(n), f"test-{n}") for n in (3, 4, 5))
+    paths = [staging._STAGED[x] for x in (a, b, c)]
+    staging.release(a, a, spark.range(2))
+    assert [there(p) for p in paths] == [False, True, True]
+    staging.clear(spark, since, keep=c)
+    assert [there(p) for p in paths] == [False, False, True] and c.count() == 5
+    staging.clear(spark, since)
+    assert not there(paths[2])

@@ -1,13 +1,21 @@
-"""Tables written once to the folder that driver and executors share, so later steps neither recompute them nor depend on executors."""
+"""Tables written once to the folder that driver and executors share, so later steps neither recompute them nor depend on executors.
+
+What nothing reads any longer can go: `release` deletes a staged table whose successors
+are written, `clear` all that was written since a `mark`, or by the whole session.
+"""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
+#: The folders written by each application, in order, and those of staged tables.
+_MADE: dict[str, list[str]] = {}
+_STAGED: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -24,7 +32,9 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/vicinia/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/vicinia/{name}-{uuid.uuid4().hex}"
+    _MADE.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
 
 
 def staged(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
@@ -32,4 +42,34 @@ def staged(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.partitionBy(*partition_by).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _STAGED[out] = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete staged tables that nothing reads any longer."""
+    for table in tables:
+        if (path := _STAGED.pop(table, None)) is not None:
+            _MADE.get(table.sparkSession.sparkContext.applicationId, []).remove(path)
+            _delete(table.sparkSession, path)
+
+
+def mark(spark: SparkSession) -> int:
+    """A point that `clear` can go back to."""
+    return len(_MADE.setdefault(spark.sparkContext.applicationId, []))
+
+
+def clear(spark: SparkSession, since: int = 0, keep: DataFrame | None = None) -> None:
+    """Delete what was written after a `mark`, but for the staged table `keep`; results that still read it are lost."""
+    made = _MADE.setdefault(spark.sparkContext.applicationId, [])
+    kept = _STAGED.get(keep) if keep is not None else None
+    for path in made[since:]:
+        if path != kept:
+            _delete(spark, path)
+    made[since:] = [kept] if kept in made[since:] else []
