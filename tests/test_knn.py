@@ -101,6 +101,7 @@ def test_many_lists_are_merged_by_strips(spark, monkeypatch):
 
 
 def test_a_crowd_is_dealt_over_tasks(spark, monkeypatch):
+    monkeypatch.setattr(skew, "FEW", 0)
     monkeypatch.setattr(skew, "LEAST", 4)
     monkeypatch.setattr(skew, "PARTS", 10)
     pts = [(i, [1.0, 2.0] if i % 3 else [float(i), 0.0]) for i in range(60)]

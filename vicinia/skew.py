@@ -11,12 +11,17 @@ from pyspark.sql.types import IntegerType, StructField, StructType
 #: A key with more than one part in PARTS of all rows, and more than LEAST, is dealt over several tasks. There can be no
 #: more than PARTS such keys, so they are known to the driver and to every task.
 PARTS, LEAST = 4096, 64
+#: Rows in all up to which no key is looked for.
+FEW = 1024
 
 
-def hot_keys(counts: DataFrame) -> list[tuple]:
-    """(key columns..., tasks) of the hot keys of `counts` (key columns, then how many rows have them): PARTS at most."""
+def hot_keys(counts: DataFrame, total: int | None = None) -> list[tuple]:
+    """(key columns..., tasks) of the hot keys of `counts` (key columns, then how many rows have them, `total` in all): PARTS
+    at most."""
     *keys, n = counts.columns
-    total = counts.agg(F.sum(n)).first()[0] or 0
+    total = (counts.agg(F.sum(n)).first()[0] or 0) if total is None else total
+    if total <= FEW:
+        return []
     each = max(total // PARTS, LEAST)
     return [tuple(r) for r in counts.where(F.col(n) > each).select(*keys, F.ceil(F.col(n) / each).cast("int")).collect()]
 
