@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from vicinia.llm import line_dedup, media, pii, secret_scan, tokens, webp
 
@@ -55,6 +56,44 @@ def test_line_dedup_of_nothing(spark):
     assert sorted((r["doc_id"] or -1, r["text"], r["n_dropped"]) for r in out) == [(-1, "", 1), (-1, "", 1), (7, "b", 1), (7, "c", 1)]
 
 
+def test_runs_are_merged_without_a_shuffle(spark):
+    before = {t.name for t in spark.catalog.listTables()}
+    runs = line_dedup.LineRuns(spark, 3, fanout=4, buckets=3)
+    for k in range(2):
+        runs.add(spark.range(100).selectExpr("id % 40 h1", f"id * {k + 1} % 7 h2", "1 n"))
+    plan = runs._union(runs.levels[0])._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
+    (level,) = runs.levels
+    merged = runs._write(runs._union(level), True)
+    files = spark.table(merged).select(F.input_file_name().alias("f"), F.pmod(F.hash("h1", "h2"), F.lit(3)).alias("bucket")).distinct().collect()
+    assert len({r["f"] for r in files}) == len({r["bucket"] for r in files}) == len(files) == 3  # one file a bucket
+    runs.drop()
+    assert {t.name for t in spark.catalog.listTables()} == before
+
+
+def test_runs_are_dropped_on_an_error(spark):
+    before = {t.name for t in spark.catalog.listTables()}
+    hashed = line_dedup.hashed_lines(table(spark, ["a\nb"] * 5), 1)
+    with pytest.raises(Exception, match="stop"):
+        monkey = pytest.MonkeyPatch()
+        monkey.setattr(line_dedup.LineRuns, "found", lambda self: (_ for _ in ()).throw(RuntimeError("stop")))
+        try:
+            line_dedup.frequent_lines(hashed, 2)
+        finally:
+            monkey.undo()
+    assert {t.name for t in spark.catalog.listTables()} == before
+
+
+def test_line_dedup_of_clashing_names_and_long_texts(spark):
+    df = spark.createDataFrame([(i, "common\nown %d" % i, "k", 5, 6) for i in range(4)], "doc_id long, text string, __key string, N_LINES int, __bad int")
+    out = line_dedup.dedup_lines(df, 4)
+    assert out.columns == ["doc_id", "text", "__key", "__bad", "n_lines", "n_dropped"]
+    assert {(r["text"], r["__key"], r["__bad"], r["n_lines"]) for r in out.collect()} == {(f"own {i}", "k", 6, 2) for i in range(4)}
+    long = "\n".join(f"line {i % 50_000}" for i in range(200_000))
+    got = by_id(line_dedup.dedup_lines(table(spark, [long, *["line 7"] * 3]), 4))
+    assert (got[0]["n_lines"], got[0]["n_dropped"]) == (200_000, 4) and got[0]["text"].count("\n") == 199_995
+
+
 # --- personal data ----------------------------------------------------------------
 
 BASE = {

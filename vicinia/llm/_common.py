@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..skew import hot_keys, spread_join
-from ..staging import scratch_path, staged
+from ..staging import release, scratch_path, staged
 
-__all__ = ["SPACES", "WORD", "hot_keys", "rows_id", "scratch_path", "spread_join", "staged", "table", "text_key", "text_or_empty"]
+__all__ = ["SPACES", "WORD", "fresh", "hot_keys", "release", "rows_id", "scratch_path", "spread_join", "staged", "table", "text_key", "text_or_empty"]
 
 #: The white space that separates words in every contract here: U+0020 and U+0009 to U+000D.
 SPACES = " \t\n\x0b\x0c\r"
@@ -19,6 +19,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """`name`, or with underscores before it, as no column of `df` is called, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 

@@ -5,24 +5,39 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import hot_keys, spread_join, staged
+from .. import skew
+from ._common import hot_keys, release, spread_join, staged
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
-    """Every node's larger neighbours are tied to its least one; the neighbours of a hub are dealt over tasks."""
+def _hubs(edges: DataFrame, end: str, n: int) -> list[tuple]:
+    return hot_keys(edges.groupBy(end).agg(F.count(F.lit(1)).alias("n")), n) if n > skew.FEW else []
+
+
+def _large_star(edges: DataFrame, n: int) -> DataFrame:
+    """Every node's larger neighbours are tied to its least one; the neighbours of a hub are dealt over tasks. `n`: edges there are."""
     both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")).withColumnRenamed("a", "u")
-    met = spread_join(both.where("b > a"), least, ["a"], ["u"], "b", hot_keys(edges.groupBy("b").agg(F.count(F.lit(1)).alias("n"))))
+    met = spread_join(both.where("b > a"), least, ["a"], ["u"], "b", _hubs(edges, "b", n))
     return met.where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
-    """Every node and its smaller neighbours are tied to the least of those. `edges` go from larger to smaller."""
+def _small_star(edges: DataFrame, n: int) -> DataFrame:
+    """Every node and its smaller neighbours are tied to the least of those, a hub's by several tasks. `edges` go from larger to smaller."""
     least = edges.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "u")
-    moved = edges.join(least, F.col("a") == F.col("u")).where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    met = spread_join(edges, least, ["a"], ["u"], "b", _hubs(edges, "a", n))
+    moved = met.where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.union(least.select(F.col("u").alias("a"), F.col("m").alias("b"))).distinct()
 
 
+def _round(edges: DataFrame, n: int, name: str) -> DataFrame:
+    turned = _large_star(edges, n)
+    if n > skew.FEW:  # it is read twice, for its hubs too
+        turned = staged(turned, name)
+    out = staged(_small_star(turned, n), name)
+    release(edges, turned)
+    return out
+
+
 def components(edges: DataFrame, name: str = "components", rounds: int | None = None) -> DataFrame:
     """(node, component) for every node of the (a, b) `edges`: the least node that it reaches.
 
@@ -32,7 +47,7 @@ def components(edges: DataFrame, name: str = "components", rounds: int | None =
     now = staged(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
     if rounds is not None:
         for _ in range(rounds):
-            now = staged(_small_star(_large_star(now)), name)
+            now = _round(now, now.count(), name)
         told = now.union(now.select("b", "b")).groupBy("a").agg(F.min("b").alias("b"))
         return told.select(F.col("a").alias("node"), F.col("b").alias("component"))
     mark = None
@@ -41,5 +56,5 @@ def components(edges: DataFrame, name: str = "components", rounds: int | None =
         if state == mark:
             break
         mark = state
-        now = staged(_small_star(_large_star(now)), name)
+        now = _round(now, state[0], name)
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select("b", "b")).distinct()

@@ -5,9 +5,12 @@ the number of documents seen with it. Every batch of documents is counted,
 merge-anti-joined with the keys that are already known to be frequent, and
 added as a run of its own; when a level holds `fanout` runs they are compacted
 by one merge aggregation into a run of the next level, and keys that have
-reached the threshold move to the frequent table. All tables are bucketed
-alike, so the merges need no shuffle. Nothing depends on the batches' order or
-number but the work.
+reached the threshold move to the frequent table. All tables are bucketed alike, so
+a merge of two runs takes no shuffle: a task reads one bucket of each, puts their
+rows in order (Spark sorts again what is sorted already) and writes that bucket of
+the next run. (With a `fanout` above 2, the third run and every further one is met by
+a shuffle of what is merged so far.) The runs are dropped at the end, be it an error.
+Nothing depends on the batches' order or number but the work.
 
 Nulls and edges: a null or empty text is one empty line with an empty key; with
 `min_length` >= 1 that key is never dropped. Rows with a null or repeated doc_id
@@ -23,7 +26,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import SPACES, staged, text_key, text_or_empty
+from ._common import SPACES, fresh, release, staged, text_key, text_or_empty
 
 BATCHES = 4
 FANOUT = 2
@@ -59,11 +62,12 @@ class LineRuns:
         self.frequent: list[str] = []
         self.made = 0
 
-    def _write(self, rows: DataFrame) -> str:
-        self.made += 1
+    def _write(self, rows: DataFrame, in_place: bool = False) -> str:
+        """A run of `rows`; `in_place`, each task holds the rows of one bucket already."""
         name = f"{self.name}_{self.made}"
+        self.made += 1
         keys = ["h1", "h2"]  # both, as a join takes tables as co-located only where its keys are the buckets'
-        rows.repartition(self.buckets, *keys).write.bucketBy(self.buckets, *keys).sortBy(*keys).saveAsTable(name)
+        (rows if in_place else rows.repartition(self.buckets, *keys)).write.bucketBy(self.buckets, *keys).sortBy(*keys).saveAsTable(name)
         return name
 
     def _drop(self, names: list[str]) -> None:
@@ -95,16 +99,18 @@ class LineRuns:
 
     def _compact(self, level: int) -> None:
         names, self.levels[level] = self.levels[level], []
-        merged = self._write(self._union(names))
+        merged, in_place = self._union(names), len(names) == 2
+        self.frequent.append(self._write(merged.where(F.col("n") >= self.min_docs), in_place))
+        rest = self._write(merged.where(F.col("n") < self.min_docs), in_place)
         self._drop(names)
-        reached = self._write(self.spark.table(merged).where(F.col("n") >= self.min_docs))
-        rest = self._write(self.spark.table(merged).where(F.col("n") < self.min_docs))
-        self._drop([merged])
-        self.frequent.append(reached)
         self._push(level + 1, rest)
 
-    def close(self) -> DataFrame:
-        """The (h1, h2) of all keys found in `min_docs` documents or more, staged; the runs are dropped."""
+    def drop(self) -> None:
+        """Drop every run there is or was."""
+        self._drop([f"{self.name}_{i}" for i in range(self.made)])
+
+    def found(self) -> DataFrame:
+        """The (h1, h2) of all keys found in `min_docs` documents or more, staged."""
         left = [name for level in self.levels for name in level]
         parts = [self.spark.table(name).select("h1", "h2") for name in self.frequent]
         if left:
@@ -112,9 +118,7 @@ class LineRuns:
         frequent = parts[0]
         for part in parts[1:]:
             frequent = frequent.union(part)
-        out = staged(frequent.distinct(), "frequent-lines")
-        self._drop([*left, *self.frequent])
-        return out
+        return staged(frequent.distinct(), "frequent-lines")
 
 
 def hashed_lines(docs: DataFrame, min_length: int) -> DataFrame:
@@ -128,9 +132,13 @@ def frequent_lines(hashed: DataFrame, min_docs: int, batches: int = BATCHES, fan
     lines = hashed.select(F.pmod(F.xxhash64("key"), F.lit(batches)).cast("int").alias("batch"), F.explode(F.array_distinct("lines")).alias("h")).where("h is not null")
     counts = staged(lines.groupBy("batch", F.col("h.a").alias("h1"), F.col("h.b").alias("h2")).agg(F.count(F.lit(1)).alias("n")).select("h1", "h2", "n", "batch"), "line-counts", "batch")
     runs = LineRuns(hashed.sparkSession, min_docs, fanout)
-    for batch in range(batches):
-        runs.add(counts.where(F.col("batch") == batch).drop("batch"))
-    return runs.close()
+    try:
+        for batch in range(batches):
+            runs.add(counts.where(F.col("batch") == batch).drop("batch"))
+        return runs.found()
+    finally:
+        runs.drop()
+        release(counts)
 
 
 def dedup_lines(docs: DataFrame, min_docs: int = 10, min_length: int = 1, batches: int = BATCHES, fanout: int = FANOUT) -> DataFrame:
@@ -144,14 +152,18 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_length: int = 1, batche
     lines = hashed.select("key", F.posexplode("lines").alias("place", "h")).where("h is not null")
     hits = lines.join(frequent, (F.col("h.a") == F.col("h1")) & (F.col("h.b") == F.col("h2")), "left_semi")
     # Written first, so that the join below has a plain table on either side and a hot text's rows can be split.
-    bad = staged(hits.groupBy(F.col("key").alias("__key")).agg(F.collect_set("place").alias("__bad")), "frequent-places")
+    key, places = fresh(docs, "__key"), fresh(docs, "__bad")
+    bad = staged(hits.groupBy(F.col("key.a").alias("a"), F.col("key.b").alias("b")).agg(F.collect_set("place").alias(places)), "frequent-places")
+    bad = bad.select(F.struct("a", "b").alias(fresh(docs, "__of")), places)
+    release(frequent, hashed)
     text = text_or_empty()
-    out = docs.withColumn("__key", text_key(text)).join(bad, "__key", "left")
+    out = docs.withColumn(key, text_key(text)).join(bad, F.col(key) == F.col(bad.columns[0]), "left")
     split = F.split(text, "\n", -1)
     n = F.size(split)
-    places = F.array_except(F.sequence(F.lit(0), n - 1), "__bad")
+    left = F.array_except(F.sequence(F.lit(0), n - 1), F.col(places))
     # The lines are bound once, as the only element of an array, so that picking them by place takes no new split.
-    kept = F.transform(F.array(split), lambda own: F.transform(places, lambda i: F.get(own, i)))[0]
-    rebuilt = F.when(F.col("__bad").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    dropped = F.when(F.col("__bad").isNull(), 0).otherwise(F.size("__bad"))
-    return out.select(*[rebuilt.alias("text") if c == "text" else F.col(c) for c in docs.columns if c not in ("n_lines", "n_dropped")], n.cast("long").alias("n_lines"), dropped.cast("long").alias("n_dropped"))
+    kept = F.transform(F.array(split), lambda own: F.transform(left, lambda i: F.get(own, i)))[0]
+    rebuilt = F.when(F.col(places).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    dropped = F.when(F.col(places).isNull(), 0).otherwise(F.size(places))
+    others = [c for c in docs.columns if c.lower() not in ("n_lines", "n_dropped")]
+    return out.select(*[rebuilt.alias("text") if c == "text" else F.col(c) for c in others], n.cast("long").alias("n_lines"), dropped.cast("long").alias("n_dropped"))

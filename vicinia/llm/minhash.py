@@ -40,7 +40,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import hot_keys, rows_id, spread_join, staged
+from ._common import fresh, hot_keys, release, rows_id, spread_join, staged
 from .components import components
 from .shingles import mix, seeds, sequence_key, shingle_hashes, word_hashes
 
@@ -281,6 +281,7 @@ def labelled_rows(docs: DataFrame, size: int, percent: int, row: Column) -> Data
     hot_buckets = hot_keys(shared.select("of", "members"))
     hot_least = hot_keys(shared.groupBy("least").agg(F.sum("members").alias("n")))
     members = staged(spread_join(placed, shared, ["bucket"], ["of"], "node", hot_buckets).select("bucket", "node", "members", "least"), "minhash-members")
+    release(shared)
     partnered = members.select("node").distinct()
     if repeated:
         wanted = nodes.select("node", "id", "k1", "k2").join(partnered, "node", "left_semi")
@@ -297,11 +298,14 @@ def labelled_rows(docs: DataFrame, size: int, percent: int, row: Column) -> Data
     # 2. What still shares a bucket across components.
     labelled = members.join(formed.withColumnRenamed("node", "formed"), F.col("node") == F.col("formed"), "left").withColumn("component", F.coalesce("component", "node")).drop("formed", "least")
     labelled = staged(labelled, "minhash-labelled")
+    release(members)
     apart = labelled.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select(F.col("bucket").alias("of"))
     active = staged(spread_join(labelled, apart, ["bucket"], ["of"], "node", hot_buckets).drop("of"), "minhash-active")
+    release(labelled)
     small, large = active.where(F.col("members") <= SMALL), active.where(F.col("members") > SMALL)
     more = links_in_small(small, nodes, sets, percent).union(links_in_large(large, nodes, sets, percent, hot_buckets))
     found = components(links.union(more), "components-all")
+    release(active, sets, links)
 
     # Rows with neither copy nor link belong to themselves.
     moved = nodes.join(found.withColumnRenamed("node", "found"), F.col("node") == F.col("found"), "left").withColumn("component", F.coalesce("component", "node")).where("copies > 1 or found is not null")
@@ -327,9 +331,10 @@ def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 80) -> DataFr
 
 def deduplicated(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """The rows of `docs` that are kept, with their columns: of each group of near-duplicates one row, of the least doc_id."""
-    keyed = staged(docs.withColumn("__row", F.monotonically_increasing_id()), "minhash-rows")
-    own = labelled_rows(keyed, size, percent, F.col("__row")).where("node is not null").select("row", "id", "node")
+    row = fresh(docs, "__row")
+    keyed = staged(docs.withColumn(row, F.monotonically_increasing_id()), "minhash-rows")
+    own = labelled_rows(keyed, size, percent, F.col(row)).where("node is not null").select("row", "id", "node")
     linked = staged(own, "minhash-linked")
-    first = linked.groupBy("node").agg(F.min(F.struct("id", "row")).alias("first")).select(F.col("first.row").alias("__first"))
-    dropped = linked.join(first, F.col("row") == F.col("__first"), "left_anti").select(F.col("row").alias("__dropped"))
-    return keyed.join(dropped, F.col("__row") == F.col("__dropped"), "left_anti").select(docs.columns)
+    first = linked.groupBy("node").agg(F.min(F.struct("id", "row")).alias("first")).select(F.col("first.row").alias("kept"))
+    dropped = linked.join(first, F.col("row") == F.col("kept"), "left_anti").select(F.col("row").alias(fresh(keyed, "__dropped")))
+    return keyed.join(dropped, F.col(row) == F.col(dropped.columns[0]), "left_anti").select(docs.columns)
