@@ -3,7 +3,7 @@
 Every stage takes (spark, docs, sf_dir), works on all that the one before kept
 and returns the columns of `documents`; the last adds `copy`, the number of the
 copy of a document that is mixed in repeatedly. `run` writes each stage's rows to
-the shared folder and reads them again.
+the shared folder, reads them again, and deletes what the stage wrote besides.
 
 Nulls and edges: rows with a null text pass the filters as empty texts; a null
 doc_id passes each stage as its operator says; columns beyond those of
@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from vicinia.llm import decontamination, line_dedup, minhash, mixing, toxicity
 from vicinia.llm._common import staged, table
+from vicinia.staging import clear, mark, release
 
 #: A document of this score or more is rejected.
 TOXIC = 0.7
@@ -53,12 +54,17 @@ STAGES = [
     ("mixing", mixed),
 ]
 
-#: A trained network cannot be said in SQL; tests compare the stages with brute-force versions.
+#: A trained network cannot be said in SQL. The tests hold each operator, the network's scores among them, against a
+#: brute-force version, and the pipeline's rows against those versions one after another.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = staged(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        since = mark(spark)
+        kept = staged(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        clear(spark, since, keep=kept)
+        release(docs)
+        docs = kept
     return STAGES[-1][1](spark, docs, sf_dir)
