@@ -559,6 +559,30 @@ def test_toxic_query(spark):
 # --- pipeline ---------------------------------------------------------------------
 
 
+def check_by_brute_force(spark, folder, docs, out):
+    """The pipeline's rows `out`, by the operators' brute-force versions one after another."""
+    network = toxicity.train(*(spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels")))
+    kept = {i: t for i, (t, x) in enumerate(zip(docs, toxicity.score_texts(network, docs))) if x < 0.7}
+    key = lambda line: line.strip(SPACES.decode()).translate({c: c + 32 for c in range(65, 91)})
+    seen = {}
+    for t in kept.values():
+        for k in {key(x) for x in (t or "").split("\n")}:
+            seen[k] = seen.get(k, 0) + 1
+    kept = {i: t if t is None else "\n".join(x for x in t.split("\n") if not key(x) or seen[key(x)] < 10) for i, t in kept.items()}
+    ids, sets = list(kept), [shingle_set(t, 5) for t in kept.values()]
+    first = roots(len(ids), [(a, b) for a in range(len(ids)) for b in range(a) if sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])])
+    kept = {i: kept[i] for n, i in enumerate(ids) if first[n] == n and ITEM not in (kept[i] or "")}
+    source = {i: None if i % 5 == 0 else f"s{i % 4}" for i in kept}
+    sizes = {s: sum(len(words(kept[i])) for i in kept if source[i] == s) for s in set(source.values())}
+    target, copies = brute_targets(sizes, [3, 1, 2], 1.5, 2), out.groupby("doc_id").size().to_dict()
+    assert set(copies) <= set(kept) and {i: t for i, t in zip(out["doc_id"], out["text"])} == {i: kept[i] for i in copies}
+    for s, n in sizes.items():
+        own = [i for i in kept if source[i] == s]
+        rate = target[s] / n if n else 0
+        assert all(copies.get(i, 0) in (math.floor(rate), math.floor(rate) + (rate % 1 > 0)) for i in own)
+        assert abs(sum(copies.get(i, 0) * len(words(kept[i])) for i in own) - target[s]) <= 0.1 * n + max(len(words(kept[i])) for i in own)
+
+
 def test_pipeline(spark, tmp_path):
     docs, labels = insulting(90, 5)
     docs = [t + "\nshared footer line" for t in docs]
@@ -577,6 +601,7 @@ def test_pipeline(spark, tmp_path):
     assert all(r["n_chars"] == len(r["text"]) for r in out if r["text"] is not None)
     frame = pd.DataFrame([r.asDict() for r in out])
     assert (frame.groupby("doc_id", dropna=False)["copy"].max() <= 2).all()
+    check_by_brute_force(spark, str(tmp_path), docs, frame)
     assert [name for name, _ in corpus_pipeline.STAGES] == ["toxicity", "line_dedup", "near_dedup", "decontamination", "mixing"]
 
 
