@@ -246,6 +246,26 @@ def test_token_counts(spark):
     assert tokens.count_tokens(table(spark, [])).count() == 0
 
 
+def test_files_that_would_be_miscounted_are_refused(spark):
+    good = {"model": {"type": "BPE", "vocab": {"a": 0}, "merges": []}, "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False}, "added_tokens": [{"content": "<x>", "special": True}]}
+    tokens.check(good, "good")
+    with pytest.raises(ValueError, match="normalizer"):
+        tokens.count_tokens(table(spark, ["a"]), "word_bpe_49k.json")
+    for change in (
+        {"normalizer": {"type": "NFC"}},
+        {"pre_tokenizer": None},
+        {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True}},
+        {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "use_regex": False}},
+        {"added_tokens": [{"content": "<x>", "special": False}]},
+        {"added_tokens": [{"content": "<x>", "special": True, "rstrip": True}]},
+        {"model": good["model"] | {"vocab": {"a": 1 << 17}}},
+        {"model": good["model"] | {"ignore_merges": True}},
+        {"model": {"type": "Unigram", "vocab": {"a": 0}}},
+    ):
+        with pytest.raises(ValueError):
+            tokens.check(good | change, "bad")
+
+
 # --- secrets ----------------------------------------------------------------------
 
 SECRETS = (

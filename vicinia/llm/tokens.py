@@ -8,7 +8,8 @@ distinct one once while a worker remembers it.
 Nulls and edges: a null text counts as empty, with no tokens; a special token's
 string inside a text is one token, as in the library; a lone pre-token of any
 length is merged by a heap, in n log n; an empty table gives an empty result;
-other columns are ignored.
+other columns are ignored. A tokenizer file that says more than this module counts
+by (`check`) is an error, not a wrong count.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?[{L}]+| ?[{N}]+| ?[^{S}{L}{N}]+|[{S}]+(?![
 #: Distinct pre-tokens that a worker remembers besides the proved ones.
 REMEMBERED = 400_000
 NONE = 1 << 60
+#: A token's id has fewer bits than this, so that a pair of ids is one number.
+ID_BITS = 17
 
 
 def byte_letters() -> dict[int, str]:
@@ -68,16 +71,35 @@ def in_basic_plane(text: str) -> bool:
     return text.isascii() or len(text.encode("utf-16-le", "surrogatepass")) == 2 * len(text)
 
 
+def check(spec: dict, name: str) -> None:
+    """Raises where the tokenizer file `spec` asks for more than byte-level BPE by PATTERN, with special tokens as they stand."""
+    model, split = spec.get("model") or {}, spec.get("pre_tokenizer") or {}
+    asked = [k for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges") if model.get(k)]
+    if model.get("type", "BPE") != "BPE":
+        asked.append("model")
+    if spec.get("normalizer"):
+        asked.append("normalizer")
+    if split.get("type") != "ByteLevel" or split.get("add_prefix_space", True) or not split.get("use_regex", True):
+        asked.append("pre_tokenizer")
+    if any(not t.get("special") or any(t.get(k) for k in ("lstrip", "rstrip", "single_word")) for t in spec.get("added_tokens") or []):
+        asked.append("added_tokens")
+    if max((model.get("vocab") or {"": 0}).values()) >= 1 << ID_BITS:
+        asked.append("vocab")
+    if asked:
+        raise ValueError(f"{name} cannot be counted by: its {', '.join(asked)} differ from byte-level BPE")
+
+
 class Merges:
     """The merge table of a tokenizers .json file, by token ids."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        check(spec, path)
         vocab = spec["model"]["vocab"]
         pairs = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
-        # (left << 17 | right) to (rank << 17 | merged): one whole number orders and names a merge.
-        self.pair = {vocab[a] << 17 | vocab[b]: rank << 17 | vocab[a + b] for rank, (a, b) in enumerate(pairs)}
+        # (left, right) to (rank, merged), ID_BITS apart: one whole number orders and names a merge.
+        self.pair = {vocab[a] << ID_BITS | vocab[b]: rank << ID_BITS | vocab[a + b] for rank, (a, b) in enumerate(pairs)}
         letters = byte_letters()
         self.byte = [vocab[letters[b]] for b in range(256)]
         self.special = [t["content"] for t in spec.get("added_tokens", []) if t.get("special")]
@@ -90,35 +112,35 @@ class Merges:
         if len(ids) > 48:
             return self._count_long(ids)
         find = self.pair.get
-        ranks = [find(a << 17 | b, NONE) for a, b in zip(ids, ids[1:])]
+        ranks = [find(a << ID_BITS | b, NONE) for a, b in zip(ids, ids[1:])]
         while ranks and (best := min(ranks)) != NONE:
             at = ranks.index(best)
-            ids[at] = new = best & 0x1FFFF
+            ids[at] = new = best & (1 << ID_BITS) - 1
             del ids[at + 1], ranks[at]
             if at < len(ranks):
-                ranks[at] = find(new << 17 | ids[at + 1], NONE)
+                ranks[at] = find(new << ID_BITS | ids[at + 1], NONE)
             if at:
-                ranks[at - 1] = find(ids[at - 1] << 17 | new, NONE)
+                ranks[at - 1] = find(ids[at - 1] << ID_BITS | new, NONE)
         return len(ids)
 
     def _count_long(self, ids: list[int]) -> int:
         n = left = len(ids)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         find = self.pair.get
-        heap = [(r, i, ids[i], ids[i + 1]) for i in range(n - 1) if (r := find(ids[i] << 17 | ids[i + 1]))]
+        heap = [(r, i, ids[i], ids[i + 1]) for i in range(n - 1) if (r := find(ids[i] << ID_BITS | ids[i + 1]))]
         heapq.heapify(heap)
         while heap:
             r, i, a, b = heapq.heappop(heap)
             j = after[i]
             if ids[i] != a or j >= n or ids[j] != b:
                 continue
-            ids[i], ids[j] = r & 0x1FFFF, -1
+            ids[i], ids[j] = r & (1 << ID_BITS) - 1, -1
             after[i] = k = after[j]
             if k < n:
                 before[k] = i
             left -= 1
             for x, y in ((before[i], i), (i, k)):
-                if x >= 0 and y < n and (r := find(ids[x] << 17 | ids[y])):
+                if x >= 0 and y < n and (r := find(ids[x] << ID_BITS | ids[y])):
                     heapq.heappush(heap, (r, x, ids[x], ids[y]))
         return left
 
@@ -165,7 +187,7 @@ def count_tokens(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", limit: i
         merges, proved, classes = shipped.value
         counts = _Counts(merges, proved)
         every, basic = pre_tokens(classes).findall, pre_tokens(classes, 1).findall
-        special = re.compile("(" + "|".join(map(re.escape, merges.special)) + ")") if merges.special else None
+        special = re.compile("(" + "|".join(map(re.escape, sorted(merges.special, key=len, reverse=True))) + ")") if merges.special else None
 
         def tokens(text: str) -> int:
             find = basic if in_basic_plane(text) else every
