@@ -300,6 +300,14 @@ def test_verbatim_as_brute_force(spark):
     assert found(spark, [], bench) == {} and found(spark, docs, []) == {}
 
 
+def test_a_passage_that_most_documents_hold(spark):
+    short = texts(1, 3)[0]
+    docs = [f"{k} {ITEM}" if k % 3 else f"{short} {k}" for k in range(400)]
+    plain, wholly = found(spark, docs, [ITEM]), found(spark, docs, [ITEM], wholly=True)
+    assert set(plain) == set(wholly) == {(k, 0) for k in range(400) if k % 3}
+    assert {(r["n_found"], r["n_changed"]) for r in wholly.values()} == {(next(iter(wholly.values()))["n_windows"], 0)}
+
+
 def test_decontaminate_keeps_the_rest(spark):
     docs = table(spark, [ITEM, "fine", None, ITEM], [1, 2, None, None])
     out = decontamination.decontaminate(docs, items(spark, [(0, ITEM, 0)]))

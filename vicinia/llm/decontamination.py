@@ -38,7 +38,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import rows_id, staged
+from ._common import hot_keys, rows_id, spread_join, staged
 from .shingles import mix, run_hashes, runs, seeds, word_hashes
 
 SIZE, SHARE = 5, 0.8
@@ -251,8 +251,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, sh
     out = spark.createDataFrame([], schema)
     for block, hashes in blocks_of_items(items, shipped):
         own = block.select("item", "item_id", F.col("way").alias("item_way"), "place", "total", F.col("window").alias("w"), F.col("slots").alias("item_slots"))
-        hits = document_hits(docs, hashes, lengths)
-        met = hits.join(own, F.col("window") == F.col("w"))
+        hits = staged(document_hits(docs, hashes, lengths), "benchmark-hits")
+        # A passage that many documents hold is one window: its hits are dealt over tasks.
+        hot = hot_keys(hits.groupBy("window").agg(F.count(F.lit(1)).alias("n")))
+        met = spread_join(hits, own, ["window"], ["w"], "row", hot)
         if wholly:  # a short item by itself only meets windows of its own
             met = met.where((F.col("way") >= SHORT) == (F.col("item_way") >= SHORT))
         bound = F.transform(F.arrays_zip("item_slots", "slots"), lambda s: F.struct(s["item_slots"]["kind"].alias("kind"), s["item_slots"]["value"].alias("from"), s["slots"]["value"].alias("to")))
