@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, line_dedup, media, minhash, mixing, pii, secret_scan, tokens, toxicity, warc
+from . import decontamination, line_dedup, media, merkle, minhash, mixing, pii, quality, secret_scan, tokens, toxicity, warc, whitening
 from ._common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -54,7 +54,44 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.find_secrets(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_toxicity, op2_line_dedup, op3_minhash, op4_warc, op5_media_columns, op6_decontamination, op7_pii, op8_mixing, op9_token_counts, op10_secrets)}
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened_rows(table(spark, sf_dir, "embeddings"), 32)
+
+
+def op12_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.5)
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verified(table(spark, sf_dir, "documents"), merkle.every_fifth())
+
+
+def _merkle_field(column: str) -> str:
+    return f"coalesce(CAST(octet_length(encode(CAST({column} AS VARCHAR))) AS VARCHAR) || ':' || CAST({column} AS VARCHAR), '-')"
+
+
+def _merkle_levels(name: str, leaves: str) -> str:
+    """The levels of the trees over `leaves` (tree, pos, size, node) as the recursive table `name`, with what stands beside each node as `name`_beside."""
+    run = "PARTITION BY level, tree, pos // 16 ORDER BY pos ROWS BETWEEN"
+    return f"""
+        {name} AS (SELECT 0 AS level, tree, CAST(pos AS BIGINT) AS pos, CAST(size AS BIGINT) AS size, node FROM {leaves}
+            UNION ALL SELECT any_value(level) + 1, tree, pos // 16, (any_value(size) + 15) // 16, sha256(string_agg(node, '' ORDER BY pos)) FROM {name} WHERE size > 1 GROUP BY tree, pos // 16),
+        {name}_beside AS (SELECT level, tree, pos, coalesce(string_agg(node, '') OVER ({run} UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l, coalesce(string_agg(node, '') OVER ({run} 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r
+            FROM {name} WHERE size > 1)"""
+
+
+def _merkle_fold(name: str, start: str, beside: str) -> str:
+    """Each row of `start` (row, tree, pos, now, proof) taken up its tree, level by level, as the recursive table `name`."""
+    return f"""
+        {name} AS (SELECT 0 AS level, row, tree, CAST(pos AS BIGINT) AS pos, now, proof FROM {start}
+            UNION ALL SELECT f.level + 1, f.row, f.tree, f.pos // 16, sha256(b.l || f.now || b.r), f.proof || b.l || b.r FROM {name} f JOIN {beside} b ON f.level = b.level AND f.tree = b.tree AND f.pos = b.pos),
+        {name}_end AS (SELECT row, any_value(tree) AS tree, arg_max(now, level) AS now, arg_max(proof, level) AS proof FROM {name} GROUP BY row)"""
+
+
+#: CRC-32 of doc_id's digits, bit by bit.
+_CRC = "xor(list_reduce(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: ascii(c)::BIGINT), lambda a, b: list_reduce([0::BIGINT, 1, 2, 3, 4, 5, 6, 7], lambda x, i: xor(x >> 1, (x & 1) * 3988292384::BIGINT), xor(a, b)), 4294967295::BIGINT), 4294967295::BIGINT)"
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_toxicity, op2_line_dedup, op3_minhash, op4_warc, op5_media_columns, op6_decontamination, op7_pii, op8_mixing, op9_token_counts, op10_secrets, op11_whitening, op12_quality, op13_merkle)}
 
 ORACLE_SQL: dict[str, str] = {
     "op2_line_dedup": r"""
@@ -131,4 +168,19 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, CAST(size * copies AS BIGINT) AS taken
         FROM c JOIN best ON c.draw = best.draw AND c.source IS NOT DISTINCT FROM best.source
     """,
+    "op13_merkle": f"""
+        WITH RECURSIVE d AS (SELECT row_number() OVER () AS row, *, coalesce('1' || source, '0') AS tree FROM documents),
+        leaf AS (SELECT row, tree, doc_id, sha256({" || ".join(_merkle_field(c) for c in merkle.FIELDS)}) AS node,
+            CASE WHEN {_CRC} % 5 = 0 THEN sha256({" || ".join(_merkle_field("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')" if c == "text" else c) for c in merkle.FIELDS)}) END AS other FROM d),
+        placed AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, node, row) - 1 AS pos, count(*) OVER (PARTITION BY tree) AS size FROM leaf),
+        {_merkle_levels("lower_level", "placed")},
+        subroot AS (SELECT tree AS source, node, '' AS tree, row_number() OVER (ORDER BY encode(tree)) - 1 AS pos, count(*) OVER () AS size FROM lower_level WHERE size = 1),
+        {_merkle_levels("upper_level", "subroot")},
+        start AS (SELECT row, tree, pos, coalesce(other, node) AS now, '' AS proof FROM placed),
+        {_merkle_fold("climb", "start", "lower_level_beside")},
+        middle AS (SELECT row, s.tree, s.pos, now, proof FROM climb_end e JOIN subroot s ON e.tree = s.source),
+        {_merkle_fold("ascent", "middle", "upper_level_beside")}
+        SELECT doc_id, p.node AS leaf, s.node AS subroot, t.node AS root, sha256(proof) AS proof_sha256, now AS folded_root, now = t.node AS verified
+        FROM placed p JOIN ascent_end e USING (row) JOIN subroot s ON p.tree = s.source, (SELECT node FROM upper_level WHERE size = 1) t
+    """,
 }
