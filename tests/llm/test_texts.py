@@ -162,6 +162,33 @@ def test_disguises_need_no_other_hint(text, found, kind):
         assert [whole[a:b] for a, b in spans[kind]] == [found]
 
 
+PROSE = """We meet at 10.30 tomorrow, not at 9.15. The shop closed at 3.50 yesterday. It stayed at 1.75 dollars.
+Please use version at v2.1 or later; the build at 3.11.2 is older. She left at noon.Then he came. They arrived at once.and left.
+Look at example.com for more. Visit us at example.org today. It is available at docs.example.net and sold at shop.example.com.
+The error at main.py line 3 is at setup.cfg too. Prices stood at 12.5 on Monday. Call me at 5.pm or at 17.00. See you at home.Bye
+Rates at 4.25 percent, shares at 98.60, gas at 2.09. The game ended at 2.1 and began at half.past. He is at work.and she is at school.too
+Chapter 3 at p.12 and at fig.4. Temperatures at 21.5 C. Tickets start at 40.00 each. Look at this.file and at that.one, at two.three
+We look at it at six. Released at 1.0.0-rc1, fixed at 1.0.1. Meet at St.James or at No.10. Sunset at 19.45, sunrise at 6.02."""
+
+
+def test_prose_with_times_prices_and_versions():
+    """No stretch of prose with " at " is taken for personal data, neither alone nor beside a disguise."""
+    for t in [*PROSE.split("\n"), PROSE, *[f"{x.strip()}." for x in PROSE.split(". ")]]:
+        assert not any(pii.all_spans(t, pii.base_spans(t)).values()), t
+        spans = pii.all_spans(f"{t} jane[at]example(dot)org", {k: [] for k in pii.KINDS})
+        assert len(spans["email"]) == 1 and pii.redact(f"{t} bob at example.com") == f"{t} [email]"
+
+
+def test_plain_at_signs_of_mailboxes():
+    """Precision must not cost the disguises: every mailbox of a list is found, in any of the ways to write it."""
+    locals_, hosts = ["jane.doe", "j_smith", "bob", "info", "x", "ana-maria+news", "user42", "R2D2"], ["example.com", "mail.example.org", "x-y.de", "sub.dept.example.ac.uk", "EXAMPLE.COM", "host42.net"]
+    for local in locals_:
+        for host in hosts:
+            for t in (f"{local} at {host}", f"{local} at {host.replace('.', ' dot ')}", f"{local}[at]{host}", f"{local} (at) {host.replace('.', '(dot)')}"):
+                spans = pii.all_spans(f"write to {t}, or call", {k: [] for k in pii.KINDS})
+                assert spans["email"] == [(9, 9 + len(t))], t
+
+
 def test_hints_show_wherever_a_disguise_is(monkeypatch):
     r = random.Random(11)
     pieces = ["jane.doe", "at", "at", "example.com", "dot", "org", "[at]", "(dot)", "+1 555", "one", "two", "seven", "0199", "4111", "1111", "10.0", "word", "and", "x-y.de", "1", "."]

@@ -101,6 +101,18 @@ ONE_DIGIT = re.compile(rf"(?:{_DIGIT})(?!\w)|[ ,.-]+", re.I)
 #: " at ", "[at]", "(at)" and the like, and the same for dot; between word characters.
 AT = re.compile(r"(?<=[A-Za-z0-9._%+-])(?:\s{0,2}[\[({<]\s?(?:at|@)\s?[\])}>]\s{0,2}|\sat\s)(?=[A-Za-z0-9])", re.I)
 DOT = re.compile(r"(?<=[A-Za-z0-9])(?:\s{0,2}[\[({<]\s?(?:dot|punkt|point|punto|\.)\s?[\])}>]\s{0,2}|\sdot\s)(?=[A-Za-z0-9])", re.I)
+#: What stands before and after an " at ".
+LOCAL, LABEL = re.compile(r"[A-Za-z0-9._%+-]{1,64}\Z"), re.compile(r"[A-Za-z0-9-]+")
+#: English words that stand before an " at ", or before a full stop behind one, in prose that names no mailbox.
+COMMON = frozenset(
+    "a about aimed all am an and any are arrive arrived as available away back based be began begin best but buy call came can check click close closed come comes do dinner done down due early eat else end ended ends error "
+    "every find first for found from go going good goods had half happened has have he held her here him his home hosted house i in is it its join just keep last late least leave leaves left lies line listed listen live lived long look "
+    "looked looking lunch many me meet meeting met midnight more most much night no noon not now of off on once one online only open opened opens or order our out over page parked play posted price prices priced read ready "
+    "register right sale school see seen sell shop site sits sitting sold stand stands start started starts stay stayed still stood stop stopped store sun that the their them there these they thing things this those time times to today "
+    "together tomorrow tonight two up us valued version versions visit visited was we web website well went were what when where which while who will with work worked working works yesterday you your".split()
+)
+#: What file names end in.
+FILES = frozenset("txt md csv json xml yaml yml html htm pdf doc png jpg jpeg gif py js ts java cpp hpp exe log sh zip tar gz".split())
 #: A disguise is looked for only where one of these shows; whatever is rewritten into an identifier has one of them, so
 #: that what is found of a stretch does not depend on the text elsewhere. An " at " counts before a domain only.
 HINT = re.compile(
@@ -165,6 +177,35 @@ def matches(pattern: re.Pattern, text: str, by) -> list[tuple[int, int, str]]:
     return [(*m.span(), by(m[0])) for m in pattern.finditer(text)]
 
 
+def names_mailbox(text: str, start: int, end: int) -> bool:
+    """Whether what stands before and after the plain " at " from `start` to `end` can be a mailbox and its host: the host ends
+    in a label of two letters or more, and where its dots are not disguised, neither side is a number or a common word, and
+    the label is in one case and not that of a file."""
+    local = LOCAL.search(text, max(0, start - 64), start)
+    if local is None or not any(c.isalpha() for c in local[0]):
+        return False
+    labels, hidden, at = [], False, end
+    while label := LABEL.match(text, at):
+        labels.append(label[0])
+        at = label.end()
+        if text[at : at + 1] == "." and LABEL.match(text, at + 1):
+            at += 1
+        elif dot := DOT.match(text, at):
+            hidden, at = True, dot.end()
+        else:
+            break
+    tops = [x for x in labels[1:] if x.isalpha() and len(x) > 1]
+    if hidden or not tops:
+        return bool(tops)
+    if local[0].lower() in COMMON or labels[0].isdigit() or any(x.lower() in COMMON or x.lower() in DIGIT_WORDS for x in labels[:2]):
+        return False
+    return any((x.islower() or x.isupper()) and x.lower() not in FILES for x in tops)
+
+
+def at_signs(text: str) -> list[tuple[int, int, str]]:
+    return [(*m.span(), "@") for m in AT.finditer(text) if not m[0].strip().isalpha() or names_mailbox(text, *m.span())]
+
+
 def spelled(text: str) -> list[tuple[int, int, str]]:
     """Runs of spelled digits, word by word, so each digit keeps its own word's span; the separators between them go."""
     runs = [m.span() for m in SPELLED.finditer(text)]
@@ -189,8 +230,8 @@ def spelled(text: str) -> list[tuple[int, int, str]]:
 #: The transducers, in order: each gives the edits of a text.
 TRANSDUCERS = (
     lambda text: [] if text.isascii() else matches(foreign(), text, plain),
+    at_signs,  # before the dots, while it shows which of them are disguised
     lambda text: matches(DOT, text, lambda m: "."),
-    lambda text: matches(AT, text, lambda m: "@"),
     spelled,
 )
 
