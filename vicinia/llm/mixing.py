@@ -23,7 +23,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import WORD, hot_keys, spread_join, staged, text_or_empty
+from ._common import WORD, fresh, hot_keys, spread_join, staged, text_or_empty
 
 #: One sha256 gives eight draws of 32 bits.
 DRAWS = 8
@@ -107,8 +107,9 @@ def _copies(draw: Column | int, digest: Column | str = "digest", whole: str = "w
 
 def _by_source(rows: DataFrame, sources: DataFrame, few: bool) -> DataFrame:
     """`rows` with their source's columns; `sources` is shipped whole where there are few."""
-    named = sources.withColumnRenamed("source", "__named")
-    return rows.join(F.broadcast(named) if few else named, F.col("source").eqNullSafe(F.col("__named")), "left").drop("__named")
+    own = fresh(rows, "named")
+    named = sources.withColumnRenamed("source", own)
+    return rows.join(F.broadcast(named) if few else named, F.col("source").eqNullSafe(F.col(own)), "left").drop(own)
 
 
 def _rates(sized: DataFrame, weights: Sequence[float], share: float, cap: float) -> tuple[DataFrame, bool]:
@@ -128,14 +129,14 @@ def _rates(sized: DataFrame, weights: Sequence[float], share: float, cap: float)
     return staged(_by_source(rated, sums.select("source", best.alias("draw")), few), "mix-draws"), few
 
 
-def _drawable(docs: DataFrame, seed: str) -> tuple[DataFrame, DataFrame, DataFrame | None]:
-    """`docs`, the sizes of its rows with their digests, and where keys repeat the rows' numbers: `docs` then has `__place`."""
+def _drawable(docs: DataFrame, seed: str, at: str = "place") -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """`docs`, the sizes of its rows with their digests, and where keys repeat the rows' numbers: `docs` then has the column `at`."""
     sized = _sized(docs)
     repeats = _repeats(sized)
     if repeats.isEmpty():
         return docs, sized.withColumn("digest", _digest(seed, "words", F.lit("0"))), None
-    docs = staged(docs.withColumn("__place", F.monotonically_increasing_id()), "mix-rows")
-    sized = _sized(docs.withColumnRenamed("__place", "place"), "place")
+    docs = staged(docs.withColumn(at, F.monotonically_increasing_id()), "mix-rows")
+    sized = _sized(docs.select("doc_id", "source", "text", F.col(at).alias("place")), "place")
     ties = staged(_ties(sized, repeats), "mix-ties")
     sized = sized.join(ties, F.col("place") == F.col("at"), "left").withColumn("digest", _digest(seed, "words", F.coalesce("tie", F.lit(0)).cast("string")))
     return docs, staged(sized.select("doc_id", "source", "size", "digest"), "mix-drawable"), ties
@@ -150,15 +151,15 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.
 
 def mixed_documents(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, seed: str = "mix") -> DataFrame:
     """The mix itself: every row of `docs` as often as `mix` says, with its `copy` number from 1."""
-    columns = [c for c in docs.columns if c != "copy"]
-    docs, sized, ties = _drawable(docs, seed)
+    columns = [c for c in docs.columns if c.lower() != "copy"]
+    place, rate, met, tied, copies = (fresh(docs, name) for name in ("place", "rate", "met", "tied", "copies"))
+    docs, sized, ties = _drawable(docs, seed, place)
     rates, few = _rates(sized, weights, share, cap)
-    own = rates.select("source", F.struct("whole", "bound", "draw").alias("__rate"))
-    drawn = _by_source(docs, own, few)
+    drawn = _by_source(docs, rates.select("source", F.struct("whole", "bound", "draw").alias(rate)), few)
     tie = F.lit("0")
     if ties is not None:
-        numbers = ties.select(F.col("at").alias("__at"), F.col("tie").alias("__tie"))
-        drawn = drawn.join(numbers, F.col("__place") == F.col("__at"), "left")
-        tie = F.coalesce("__tie", F.lit(0)).cast("string")
-    copies = _copies(F.col("__rate.draw"), _digest(seed, _text_hash(), tie), "__rate.whole", "__rate.bound")
-    return drawn.withColumn("__copies", copies).where("__copies > 0").select(*columns, F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies"))).alias("copy"))
+        drawn = drawn.join(ties.select(F.col("at").alias(met), F.col("tie").alias(tied)), F.col(place) == F.col(met), "left")
+        tie = F.coalesce(tied, F.lit(0)).cast("string")
+    taken = _copies(F.col(f"{rate}.draw"), _digest(seed, _text_hash(), tie), f"{rate}.whole", f"{rate}.bound")
+    drawn = drawn.withColumn(copies, taken).where(F.col(copies) > 0)
+    return drawn.select(*columns, F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies))).alias("copy"))

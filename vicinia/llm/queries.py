@@ -130,20 +130,34 @@ ORACLE_SQL: dict[str, str] = {
         kind AS (SELECT *, CASE WHEN regexp_matches(word, '^[0-9]') OR low IN ({", ".join(f"'{w}'" for w in sorted(decontamination.NUMBERS))}) THEN 1 WHEN low IN ({", ".join(f"'{w}'" for w in sorted(decontamination.UNITS))}) THEN 2 ELSE 0 END AS kind,
                  regexp_full_match(word, '[A-Z][a-z]+') AS capital, i > 1 AND NOT regexp_matches(gap, '[.!?:\n\r]') AS inside FROM low),
         name AS (SELECT DISTINCT side, r, low FROM kind WHERE kind = 0 AND capital AND inside),
-        typed AS (SELECT kind.side, kind.r, id, i, kind.low, CASE WHEN kind = 0 AND capital AND name.low IS NOT NULL THEN 3 ELSE kind END AS kind FROM kind LEFT JOIN name ON kind.side = name.side AND kind.r = name.r AND kind.low = name.low),
-        ways AS (SELECT *, 0 AS way FROM typed UNION ALL SELECT side, r, id, i, low, CASE WHEN kind = 3 THEN 0 ELSE kind END, 1 FROM typed SEMI JOIN name USING (side, r)),
+        near AS (SELECT DISTINCT a.side, a.r, a.i FROM kind a JOIN kind b ON a.side = b.side AND a.r = b.r AND a.low = b.low AND b.kind = 0 AND b.capital AND b.inside AND abs(a.i - b.i) <= {decontamination.LOCAL} WHERE a.kind = 0 AND a.capital),
+        typed AS (SELECT kind.side, kind.r, id, kind.i, kind.low, kind.kind AS plain, CASE WHEN kind = 0 AND capital AND name.low IS NOT NULL THEN 3 ELSE kind END AS everywhere,
+                  CASE WHEN kind = 0 AND capital AND inside THEN 3 ELSE kind END AS here, CASE WHEN near.i IS NOT NULL THEN 3 ELSE kind END AS local
+                  FROM kind LEFT JOIN name ON kind.side = name.side AND kind.r = name.r AND kind.low = name.low LEFT JOIN near ON kind.side = near.side AND kind.r = near.r AND kind.i = near.i),
+        ways AS (SELECT side, r, id, i, low, everywhere AS kind, 0 AS way FROM typed
+                 UNION ALL SELECT side, r, id, i, low, plain, 1 FROM typed SEMI JOIN name USING (side, r)
+                 UNION ALL SELECT side, r, id, i, low, here, 2 FROM typed SEMI JOIN name USING (side, r)
+                 UNION ALL SELECT side, r, id, i, low, local, 3 FROM typed SEMI JOIN name USING (side, r)),
         edge AS (SELECT *, CASE WHEN kind IN (1, 3) AND kind = lag(kind) OVER (PARTITION BY side, r, way ORDER BY i) THEN 0 ELSE 1 END AS opens FROM ways),
         grouped AS (SELECT *, sum(opens) OVER (PARTITION BY side, r, way ORDER BY i ROWS UNBOUNDED PRECEDING) AS g FROM edge),
         token AS (SELECT side, r, id, way, g, any_value(kind) AS kind, string_agg(low, ' ' ORDER BY i) AS value FROM grouped GROUP BY ALL),
         text AS (SELECT side, r, id, way, count(*) AS n, list(kind ORDER BY g) AS kinds, list(value ORDER BY g) AS vals, list(CASE WHEN kind = 0 THEN value ELSE '<' || kind || '>' END ORDER BY g) AS template FROM token GROUP BY ALL),
         place AS (SELECT *, unnest(range(1, greatest(n - 4, 1) + 1)) AS p FROM text),
-        win AS (SELECT side, r, id, way, p, count(*) OVER (PARTITION BY side, r, way) AS total, array_to_string(template[p:p + 4], ' ') AS w, kinds[p:p + 4] AS kinds, vals[p:p + 4] AS vals FROM place WHERE list_contains(kinds[p:p + 4], 0)),
-        met AS (SELECT d.r AS d, d.id AS doc_id, i.r AS i, i.id AS item_id, i.total, d.way AS way, i.way AS item_way, d.p - i.p AS diagonal, i.p AS p, list_filter(list_zip(i.kinds, i.vals, d.vals), lambda z: z[1] != 0) AS bound
-                FROM win d JOIN win i ON d.side = 'd' AND i.side = 'i' AND d.w = i.w),
-        slot AS (SELECT d, i, way, item_way, diagonal, unnest(bound) AS b FROM met),
-        odd AS (SELECT d, i, way, item_way, diagonal FROM slot GROUP BY ALL HAVING count(DISTINCT b) != count(DISTINCT (b[1], b[2])) OR count(DISTINCT b) != count(DISTINCT (b[1], b[3]))),
-        good AS (SELECT * FROM met ANTI JOIN odd USING (d, i, way, item_way, diagonal)),
-        bindings AS (SELECT d, i, item_way, count(DISTINCT b) AS n_slots, count(DISTINCT b) FILTER (b[2] != b[3]) AS n_changed FROM (SELECT d, i, item_way, unnest(bound) AS b FROM good) GROUP BY ALL),
+        long_win AS (SELECT side, r, id, way, p, count(*) OVER (PARTITION BY side, r, way) AS total, array_to_string(template[p:p + 4], ' ') AS w, kinds[p:p + 4] AS kinds, vals[p:p + 4] AS vals, p = 1 AS first, p + 4 >= n AS last FROM place WHERE list_contains(kinds[p:p + 4], 0)),
+        raw AS (SELECT w.side, w.r, w.id, w.way, any_value(t.n) AS n, list(kind ORDER BY i) AS kinds, list(low ORDER BY i) AS vals, list(CASE WHEN kind = 0 THEN low ELSE '<' || kind || '>' END ORDER BY i) AS template FROM ways w JOIN text t USING (side, r, way) GROUP BY ALL),
+        short_item AS (SELECT side, r, id, way + 10 AS way, 1 AS p, 1 AS total, array_to_string(template, ' ') AS w, kinds, vals, false AS first, false AS last, len(kinds) AS length FROM raw WHERE side = 'i' AND n < 5 AND list_contains(kinds, 0) AND len(kinds) >= {decontamination.LEAST}),
+        short_place AS (SELECT raw.*, length, unnest(range(1, len(kinds) - length + 2)) AS p FROM raw, (SELECT DISTINCT length FROM short_item) WHERE side = 'd' AND len(kinds) >= length),
+        short_doc AS (SELECT side, r, id, way + 10 AS way, p, 1 AS total, array_to_string(template[p:p + length - 1], ' ') AS w, kinds[p:p + length - 1] AS kinds, vals[p:p + length - 1] AS vals, false AS first, false AS last, length FROM short_place),
+        win AS (SELECT *, 0 AS length FROM long_win UNION ALL SELECT * FROM short_item UNION ALL SELECT * FROM short_doc),
+        met AS (SELECT d.r AS d, d.id AS doc_id, i.r AS i, i.id AS item_id, i.total, d.way AS way, i.way AS item_way, d.p - i.p AS diagonal, i.p AS p,
+                list_filter(list_zip(range(len(i.kinds)), i.kinds, i.vals, d.vals), lambda z: z[2] != 0 AND NOT (i.first AND z[1] = 0 AND z[2] != 2) AND NOT (i.last AND z[1] = len(i.kinds) - 1 AND z[2] != 2)) AS bound
+                FROM win d JOIN win i ON d.side = 'd' AND i.side = 'i' AND d.w = i.w AND d.length = i.length),
+        slot AS (SELECT d, i, way, item_way, diagonal, p, unnest(bound) AS b FROM met),
+        binding AS (SELECT d, i, way, item_way, diagonal, b[2] AS kind, b[3] AS old, b[4] AS new, count(DISTINCT p) AS n, min(p + b[1]) AS first FROM slot GROUP BY ALL),
+        holds AS (SELECT d, i, way, item_way, diagonal, kind, old, arg_max(new, (n, old = new, -first)) AS new FROM binding GROUP BY ALL),
+        odd AS (SELECT DISTINCT s.d, s.i, s.way, s.item_way, s.diagonal, s.p FROM slot s JOIN holds h ON s.d = h.d AND s.i = h.i AND s.way = h.way AND s.item_way = h.item_way AND s.diagonal = h.diagonal AND s.b[2] = h.kind AND s.b[3] = h.old AND s.b[4] != h.new),
+        good AS (SELECT * FROM met ANTI JOIN odd USING (d, i, way, item_way, diagonal, p)),
+        bindings AS (SELECT d, i, item_way, count(DISTINCT b) AS n_slots, count(DISTINCT b) FILTER (b[2] != b[3]) AS n_changed FROM (SELECT d, i, item_way, unnest(list_transform(bound, lambda z: (z[2], z[3], z[4]))) AS b FROM good) GROUP BY ALL),
         found AS (SELECT d, doc_id, i, item_id, item_way, total, count(DISTINCT p) AS n_found FROM good GROUP BY ALL HAVING count(DISTINCT p) >= 0.8 * total),
         best AS (SELECT *, row_number() OVER (PARTITION BY d, i ORDER BY n_found / total DESC, item_way) AS place FROM found LEFT JOIN bindings USING (d, i, item_way))
         SELECT doc_id, item_id, CAST(total AS INTEGER) AS n_windows, n_found, n_found / total AS coverage, coalesce(n_slots, 0) AS n_slots, coalesce(n_changed, 0) AS n_changed FROM best WHERE place = 1

@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import staged
+from ._common import fresh, staged
 from .shingles import CHUNK, GAPS, run_hashes, runs
 
 #: Words of a window, and words from one window's start to the next's.
@@ -423,7 +423,7 @@ def score_texts(network: Network, texts: list[str | None]) -> np.ndarray:
 
 def scores(docs: DataFrame, network: Network | None, name: str = "score") -> DataFrame:
     """`docs` with the score as column `name`: double."""
-    columns = [c for c in docs.columns if c != name]
+    columns = [c for c in docs.columns if c.lower() != name.lower()]
     if network is None:
         return docs.select(*columns, F.lit(0.0).alias(name))
     shipped = docs.sparkSession.sparkContext.broadcast(network)  # of a size that VOCABULARY bounds
@@ -448,4 +448,5 @@ def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) ->
     network = train(docs, labels)
     if network is None:
         return docs
-    return scores(docs, network, "__score").where(F.col("__score") < threshold).drop("__score")
+    name = fresh(docs, "score")
+    return scores(docs, network, name).where(F.col(name) < threshold).drop(name)
