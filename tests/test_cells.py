@@ -77,3 +77,28 @@ def test_table_and_files(spark, tmp_path):
     assert [r["value"] for r in spark.read.text(f"{tmp_path}/nodes").collect()] == lines
     write_cells(celled, f"{tmp_path}/cells")
     assert {(r["id"], r["cell"]) for r in spark.read.parquet(f"{tmp_path}/cells").collect()} == {(r["id"], r["cell"]) for r in celled.collect()}
+
+
+def test_a_hot_cell_is_dealt_over_tasks(spark, tmp_path):
+    """A cell with two thirds of all points, half of them at one place: numbers are as by one sort, files hold parts of it."""
+    from vicinia.operators.cells import CellTree, Node, global_numbers
+    from vicinia.sources import write_cells
+
+    end = np.full(1, np.inf)
+    tree = CellTree(1, [Node(0, -end, end, None, 0, 5.0, 1, 2), Node(1, -end, np.array([5.0]), 0), Node(1, np.array([5.0]), end, 1)])
+    pts = spark.range(0, 3000, 1, 5).selectExpr("id", "array(if(id % 3 = 0, 9.0D, if(id % 3 = 1, 1.0D, id / 3000))) coords")
+    celled = with_cell(pts, tree)
+    spark.conf.set("spark.sql.shuffle.partitions", "6")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = sorted((r["cell"], r["id"], r["number"]) for r in global_numbers(celled).collect())
+        assert [n for _, _, n in rows] == list(range(3000))
+        assert sorted({r["cell"] for r in celled.collect()}) == [0, 1]
+        write_cells(celled, f"{tmp_path}/cells")
+        back = spark.read.parquet(f"{tmp_path}/cells")
+        sizes = [r["count"] for r in back.groupBy("_metadata.file_name", "cell").count().collect()]
+        assert sum(sizes) == 3000 and max(sizes) < 900
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "2")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert global_numbers(celled.where("false")).count() == 0

@@ -6,8 +6,8 @@ from hypothesis import strategies as st
 from vicinia.config import KnnConfig
 from vicinia.operators import knn as search
 from vicinia.operators.knn import knn, knn_columns, knn_join, prepare, radius_join
-from vicinia import skew
-from vicinia.operators import kernel
+from vicinia import skew, staging
+from vicinia.operators import kernel, pivots
 from vicinia.operators.cells import cell_table, sample_tree, with_cell
 from vicinia.operators.knn import routes
 from vicinia.operators.points import points, random_points
@@ -127,6 +127,195 @@ def test_routes_leave_no_cell_out(spark):
     assert {(x["q"], x["cell"]) for x in routes(df, cell_table(celled, 3), tree).collect()} == want
 
 
+def test_a_radius_from_counts_routes_a_part(spark):
+    """With k far above a cell's points few of all pairs of query and cell are routed, and bounds hold k points."""
+    pts = rows(rng(21), 600, 2)
+    ready = prepare(frame(spark, pts), 60, KnnConfig(cell_rows=10, block_rows=10))
+    endless = ready.locs.selectExpr("loc q", "coords", "cell", "double('inf') bound")
+    found = routes(endless, ready.cells, ready.tree, 60).collect()
+    assert ready.tree.cells == 60 and len(found) < 0.4 * 600 * 59
+    far = {q: sorted(sum((a - b) ** 2 for a, b in zip(x, y)) for _, y in pts)[59] for q, x in pts}
+    assert all(far[r["q"]] <= r["bound"] < float("inf") and r["near"] <= r["bound"] for r in found)
+    places = {}
+    for r in found:
+        places.setdefault(r["q"], []).append((r["place"], r["near"]))
+    for own in places.values():
+        assert [n for _, n in sorted(own)] == sorted(n for _, n in own) and [p for p, _ in sorted(own)] == list(range(len(own)))
+    assert as_dict(knn(frame(spark, pts), 60, KnnConfig(cell_rows=10, block_rows=10))) == brute(pts, pts, 60)
+
+
+def test_counted_bounds_hold_k():
+    r = rng(22)
+    for dims, cells, k in ((2, 8, 5), (3, 33, 40), (1, 5, 1000)):
+        x = r.random((300, dims)) ** 2
+        tree = tree_of(x, cells)
+        own = tree.assign(x)
+        low, high = (np.array([f(x[own == c], axis=0) for c in range(tree.cells)]) for f in (np.min, np.max))
+        q = r.normal(0.5, 1.0, (80, dims))
+        bounds = kernel.counted_bounds(q, k, tree.boxed(low, high), tree.held(np.bincount(own, minlength=tree.cells)))
+        held = (kernel.square_distances(q, x) <= bounds[:, None]).sum(1)
+        assert (held >= k).all() if k <= 300 else np.isinf(bounds).all()
+
+
+def tree_of(x, cells):
+    """A tree of median splits, made here."""
+    from vicinia.operators.cells import CellTree, Node
+
+    dims = x.shape[1]
+    tree = CellTree(dims, [Node(0, np.full(dims, -np.inf), np.full(dims, np.inf))])
+    work, made = [(0, np.arange(len(x)), cells)], 0
+    while work:
+        place, own, wanted = work.pop()
+        node = tree.nodes[place]
+        if wanted == 1:
+            node.cell, made = made, made + 1
+            continue
+        node.dim = int(np.argmax(np.ptp(x[own], axis=0)))
+        node.value = float(np.sort(x[own, node.dim])[len(own) // 2 - 1])
+        right = x[own, node.dim] > node.value
+        for side, mine, n in (("left", own[~right], wanted // 2), ("right", own[right], wanted - wanted // 2)):
+            setattr(node, side, len(tree.nodes))
+            tree.nodes.append(Node(node.level + 1, node.low, node.high))
+            work.append((len(tree.nodes) - 1, mine, n))
+    return tree
+
+
+def test_rounds_drop_what_a_nearer_cell_has_ruled_out(spark, monkeypatch):
+    """On clustered points, visiting the nearest cells first leaves fewer meetings, at the same answer."""
+    r = rng(23)
+    centres = r.random((3, 2)) * 100
+    pts = [(i, (centres[i % 3] + r.normal(0, 0.5, 2)).tolist()) for i in range(480)]
+    met, meet = [], search._meet
+
+    def counting(queries, base, *rest):
+        met.append(queries.select(search.F.explode("q")).count())
+        return meet(queries, base, *rest)
+
+    monkeypatch.setattr(search, "_meet", counting)
+    found, counts = [], []
+    for first in (1, 1 << 20):
+        met.clear()
+        found.append(as_dict(knn(frame(spark, pts), 12, KnnConfig(cell_rows=8, block_rows=8, first_routes=first))))
+        counts.append(sum(met))
+    assert found[0] == found[1] == brute(pts, pts, 12) and counts[0] < 0.8 * counts[1], counts
+
+
+def test_the_index_forms_fewer_distances(monkeypatch):
+    formed, plain = [], kernel.square_distances
+    monkeypatch.setattr(kernel, "square_distances", lambda q, p: formed.append(len(q) * len(p)) or plain(q, p))
+    r = rng(24)
+    for dims, n, k, share in ((2, 2000, 10, 0.15), (3, 2000, 10, 0.35), (2, 2000, 300, 0.65)):
+        p, ids = r.random((n, dims)), np.arange(n)
+        formed.clear()
+        got = kernel.indexed_within(p, p, ids, k, None)
+        assert sum(formed) < share * n * n
+        assert all((a == b).all() for a, b in zip(got, kernel.within(p, p, ids, k, None)))
+
+
+@settings(max_examples=60, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.integers(0, 10**6), st.integers(1, 3), st.integers(0, 200), st.integers(0, 300), st.one_of(st.none(), st.integers(1, 320)), st.booleans(), st.booleans())
+def test_the_index_changes_nothing(seed, dims, nq, n, k, grid, single):
+    r = rng(seed)
+    q, p = ((r.integers(0, 6, (m, dims)).astype(float) if grid else r.normal(0, 1, (m, dims))).astype(np.float32 if single else float) for m in (nq, n))
+    bound = None if k is not None and seed % 3 else r.choice([0.0, 0.5, 2.0, np.inf], nq)
+    if n == 0:
+        return
+    got, want = kernel.indexed_within(q, p, np.arange(n), k, bound, leaf=4), kernel.within(q, p, np.arange(n), k, bound)
+    assert all((a == b).all() and len(a) == len(b) for a, b in zip(got, want))
+
+
+def clustered(seed, n, dims, centres, spread=0.05):
+    r = rng(seed)
+    at = r.normal(0, 1, (centres, dims))
+    return [(i, (at[i % centres] + r.normal(0, spread, dims)).tolist()) for i in range(n)]
+
+
+def test_pivots_leave_out_cells_of_clustered_points(spark, monkeypatch):
+    """In 24 dimensions a part of the pairs meets, and neighbours are those of brute force; where points lie evenly all meet."""
+    fell = []
+    whole = search._compared_with_all
+    monkeypatch.setattr(search, "_compared_with_all", lambda *a: fell.append(1) or whole(*a))
+    pts = clustered(31, 320, 24, 16)
+    config = KnnConfig(cell_rows=20, block_rows=20)
+    ready = prepare(frame(spark, pts), 5, config)
+    assert ready.pivots is not None and 8 <= ready.pivots.cells <= 16
+    endless = ready.locs.selectExpr("loc q", "coords", "cell", "double('inf') bound")
+    n = search.pivot_routes(endless, ready.table, ready.pivots, 5, counted=True).agg(search.F.sum("n")).first()[0]
+    assert n < 0.2 * 320 * (ready.pivots.cells - 1)
+    assert as_dict(knn(frame(spark, pts), 5, config)) == brute(pts, pts, 5) and not fell
+    q = clustered(31, 40, 24, 16, 0.2) + [(1000, [9.0] * 24)]
+    assert as_dict(knn_join(frame(spark, q), frame(spark, pts), 30, config)) == brute(q, pts, 30)
+    even = rows(rng(32), 120, 20)
+    assert as_dict(knn(frame(spark, even), 5, config)) == brute(even, even, 5) and fell
+
+
+def test_pivot_bounds_hold():
+    r = rng(33)
+    x, q = r.normal(0, 1, (400, 30)) * r.choice([1e-3, 1.0, 1e3], (400, 1)), r.normal(0, 1, (50, 30)) * 10
+    at = pivots.choose(x, 12)
+    own = pivots.nearest(x, at)
+    d = pivots.distances(x, at)
+    low, high = (np.array([f(d[own == c], axis=0) if (own == c).any() else np.full(len(at), np.inf * s) for c in range(len(at))]) for f, s in ((np.min, 1), (np.max, -1)))
+    n = np.bincount(own, minlength=len(at))
+    true, dq = kernel.square_distances(q, x), pivots.distances(q, at)
+    gap = pivots.gaps(dq, low, high, pivots.SLACK)
+    for c in np.flatnonzero(n):
+        assert (gap[:, c] <= true[:, own == c].min(1)).all()
+    for k in (1, 37, 400, 401):
+        radius = pivots.counted_radius(dq, k, n, high, pivots.SLACK)
+        assert ((true <= radius[:, None]).sum(1) >= min(k, 400)).all() and np.isinf(radius).all() == (k > 400)
+
+
+def test_what_is_left_after_a_search(spark, tmp_path):
+    """A search leaves its result's tables and no others, a stream's batch none."""
+    from vicinia.streaming.neighbours import stream_knn
+
+    before = set(staging.left(spark))
+    pts = frame(spark, rows(rng(41), 200, 2)).cache()
+    one, two = (knn(pts, 12, SMALL) for _ in range(2))
+    assert one.count() == two.count() == 2400 and len(set(staging.left(spark)) - before) <= 2
+    knn_join(pts, frame(spark, [(i % 5, [float(i % 3), 0.0]) for i in range(40)]), 3, SMALL).count()
+    assert len(set(staging.left(spark)) - before) <= 3
+    made = set(staging.left(spark))
+    pts.limit(30).write.parquet(f"{tmp_path}/in/a")
+    pts.limit(20).write.parquet(f"{tmp_path}/in/b")
+    stream = spark.readStream.schema("id long, coords array<double>").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+    stream_knn(stream, pts, 3, f"{tmp_path}/out", f"{tmp_path}/check").awaitTermination()
+    assert spark.read.parquet(f"{tmp_path}/out").count() == 150
+    assert len(set(staging.left(spark)) - made) <= 2  # the base's
+    with pytest.raises(ValueError):
+        knn_join(pts, prepare(pts, 2, SMALL), 3)
+    with pytest.raises(Exception, match="null or NaN"):
+        knn(points(spark.createDataFrame([(1, None)], "i long, a double"), "i", ["a"]), 3)
+    assert len(set(staging.left(spark)) - made) <= 4
+
+
+def test_queries_of_one_id_are_told_apart(spark):
+    q = [(1, [0.0, 0.0]), (1, [5.0, 5.0]), (2, [1.0, 1.0])]
+    p = rows(rng(42), 30, 2, 6)
+    for found in (knn_join(frame(spark, q), frame(spark, p), 4, SMALL, keyed=True), knn_join(frame(spark, q), frame(spark, p), 4, keyed=True)):
+        lists = nested(found).collect()
+        assert sorted((r["query_id"], [(n["value"], n["array_idx"]) for n in r["neighbors"]]) for r in lists) == sorted((i, [(d, j) for j, d in brute([(i, x)], p, 4).values()]) for i, x in q)
+        assert flat(nested(found)).count() == 12 and top_k(found, 2).count() == 6
+        assert sorted_neighbours(found).columns == found.columns
+    same = [(7, [1.0, 1.0]), (7, [1.0, 1.0]), (7, [2.0, 2.0]), (8, [2.0, 2.0]), (9, [4.0, 4.0])]
+    own = knn(frame(spark, same), 3, SMALL, keyed=True)
+    assert sorted((r["query_id"], [n["array_idx"] for n in r["neighbors"]]) for r in nested(own).collect()) == sorted((i, [j for j, _ in sorted_by(x, same)[:3]]) for i, x in same)
+    assert knn(frame(spark, []), 3, keyed=True).columns == own.columns
+
+
+def sorted_by(x, base):
+    return sorted(((j, sum((a - b) ** 2 for a, b in zip(x, y))) for j, y in base), key=lambda e: (e[1], e[0]))
+
+
+def test_merged_tables_count_rows(spark):
+    pair = lambda *r: spark.createDataFrame(list(r), "query_id long, neighbor_id long, d2 double")
+    a, b = pair((1, 5, 1.0), (1, 5, 1.0), (1, 6, 2.0)), pair((1, 5, 1.0), (1, 7, 3.0))
+    got = lambda df: [(r["neighbor_id"], r["rank"]) for r in df.orderBy("rank").collect()]
+    assert got(merge_top_k([a, b], 9)) == [(5, 1), (5, 2), (6, 3), (7, 4)]  # one base: the second table names a known one
+    assert got(merge_top_k([a, b], 9, disjoint=True)) == [(5, 1), (5, 2), (5, 3), (6, 4), (7, 5)]
+
+
 def test_radius(spark):
     pts = rows(rng(9), 80, 2, 12)
     found = {(r["query_id"], r["neighbor_id"]): r["d2"] for r in radius_join(frame(spark, pts), frame(spark, pts), 4.0, SMALL).collect()}

@@ -1,3 +1,6 @@
+import threading
+
+import pytest
 from pyspark.sql import functions as F
 
 from vicinia import skew, staging
@@ -21,12 +24,35 @@ def test_staged_tables_go_when_told(spark):
         where = spark._jvm.org.apache.hadoop.fs.Path(path)
         return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
 
-    since = staging.mark(spark)
-    a, b, c = (staging.staged(spark.range(n), f"test-{n}") for n in (3, 4, 5))
-    paths = [staging._STAGED[x] for x in (a, b, c)]
-    staging.release(a, a, spark.range(2))
-    assert [there(p) for p in paths] == [False, True, True]
-    staging.clear(spark, since, keep=c)
-    assert [there(p) for p in paths] == [False, False, True] and c.count() == 5
-    staging.clear(spark, since)
-    assert not there(paths[2])
+    before = staging.left(spark)
+    with staging.scope(spark) as outer:
+        a, b, c = (staging.staged(spark.range(n), f"test-{n}") for n in (3, 4, 5))
+        paths = [staging._STAGED[x] for x in (a, b, c)]
+        staging.release(a, a, spark.range(2))
+        assert [there(p) for p in paths] == [False, True, True]
+        with staging.scope(spark) as inner:
+            d, e = (staging.staged(spark.range(n), f"test-{n}") for n in (6, 7))
+            inner.keep(e)
+            inner.keep(b)  # not of this block
+            paths += [staging._STAGED[x] for x in (d, e)]
+        assert [there(p) for p in paths] == [False, True, True, False, True] and e.count() == 7
+        outer.keep(c)
+    assert [there(p) for p in paths] == [False, False, True, False, False] and c.count() == 5
+    assert staging.left(spark) == [*before, paths[2]]
+    with pytest.raises(ZeroDivisionError), staging.scope(spark):
+        paths.append(staging._STAGED[staging.staged(spark.range(1), "test-1")])
+        1 / 0  # noqa: B018
+    assert not there(paths[-1])
+    staging.clear(spark)
+    assert staging.left(spark) == [] and not there(paths[2])
+
+
+def test_scopes_of_threads_are_their_own(spark):
+    """What another thread stages meanwhile is not deleted with a block."""
+    made = []
+    with staging.scope(spark):
+        worker = threading.Thread(target=lambda: made.append(staging.staged(spark.range(9), "test-thread")))
+        worker.start()
+        worker.join()
+    assert made[0].count() == 9
+    staging.release(made[0])

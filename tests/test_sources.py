@@ -80,3 +80,40 @@ def test_stream(spark, tmp_path):
     stream = spark.readStream.schema("id long, coords array<double>").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
     stream_knn(stream, frame(spark, base), 3, f"{tmp_path}/out", f"{tmp_path}/c").awaitTermination()
     assert as_dict(spark.read.parquet(f"{tmp_path}/out")) == brute(queries, base, 3)
+
+
+def test_neighbour_files_of_short_lists(spark, tmp_path):
+    """Lists shorter than k, and of different lengths, come back as they were; k is told by the folder."""
+    from vicinia.sources import read_neighbours, write_neighbours
+
+    schema = "query_id long, neighbors array<struct<value:double,array_idx:long>>"
+    lists = [(4, [(0.0, 4), (1.5, 9)]), (1, [(0.0, 1)]), (7, []), (9, [(2.0, 1), (3.0, 2), (4.0, 0)])]
+    df = spark.createDataFrame(lists, schema)
+    want = {(place, n, d, i + 1) for place, (_, own) in enumerate(sorted(lists)) for i, (d, n) in enumerate(own)}
+    for k, path in ((None, f"{tmp_path}/a"), (5, f"{tmp_path}/b")):
+        write_neighbours(df, path, k)
+        assert {(r["place"], r["neighbor_id"], r["d2"], r["rank"]) for r in read_neighbours(spark, path).collect()} == want
+        with pytest.raises(ValueError):
+            read_neighbours(spark, path, 4)
+    with pytest.raises(ValueError):
+        write_neighbours(df, f"{tmp_path}/c", 2)
+    write_neighbours(df.where("false"), f"{tmp_path}/d")
+    assert read_neighbours(spark, f"{tmp_path}/d").count() == 0
+    with pytest.raises(ValueError):
+        read_neighbours(spark, f"{tmp_path}/none")
+
+
+def test_points_outside_of_their_cells_stop_a_run(spark, tmp_path, monkeypatch):
+    from pyspark.sql import functions as F
+    from vicinia.plans import pipeline
+
+    pts = spark.range(200).selectExpr("id", "array(cast(id as double), cast(id % 7 as double)) coords")
+    write_points(pts, f"{tmp_path}/raw")
+    config = KnnConfig(k=3, dims=2, cell_rows=50)
+    done = pipeline.run(spark, f"{tmp_path}/raw", config, f"{tmp_path}/out")
+    assert [(r["phase"], r["rows"]) for r in done.phases.collect()] == [("points", 200), ("stats", 2), ("cells", 200), ("neighbours", 600), ("offsets", 4)]
+    assert spark.read.parquet(f"{tmp_path}/out/phases").count() == 5 and done.neighbours.count() == 600
+    right = pipeline.with_cell
+    monkeypatch.setattr(pipeline, "with_cell", lambda p, t: right(p, t).withColumn("cell", F.when(F.col("id") == 5, (F.col("cell") + 1) % 4).otherwise(F.col("cell"))))
+    with pytest.raises(RuntimeError, match="1 points"):
+        pipeline.run(spark, f"{tmp_path}/raw", config)

@@ -8,7 +8,7 @@ from pyspark.sql import SparkSession
 
 from .config import DEFAULT_K, DTYPES, KnnConfig
 from .plans.pipeline import run
-from .staging import clear, mark
+from .staging import scope
 
 
 def main(args: list[str] | None = None) -> None:
@@ -27,12 +27,11 @@ def main(args: list[str] | None = None) -> None:
     given = parser.parse_args(args)
     config = KnnConfig(k=given.kngbh, dims=given.in_dims, dtype=given.dtype, compute=given.compute, policy=given.policy, cell_rows=given.cell_rows, block_rows=given.block_rows, invalid=given.invalid)
     spark = SparkSession.builder.appName("vicinia").getOrCreate()
-    since = mark(spark)
-    done = run(spark, given.in_data, config, given.out_data, "overwrite" if given.overwrite else "errorifexists")
-    done.stats.show(truncate=False)
-    if given.out_data is None:
-        done.neighbours.show()
-    clear(spark, since)
+    with scope(spark):
+        done = run(spark, given.in_data, config, given.out_data, "overwrite" if given.overwrite else "errorifexists")
+        done.stats.show(truncate=False)
+        if given.out_data is None:
+            done.neighbours.show()
 
 
 if __name__ == "__main__":

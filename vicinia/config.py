@@ -12,7 +12,8 @@ DTYPES = {"f32": "<f4", "f64": "<f8"}
 @dataclass(frozen=True)
 class KnnConfig:
     """`cell_rows`: points that a cell is meant to hold; `block_rows`: points that meet others at once in a task;
-    `routed_cells`: the most cells whose tree of boxes is shipped to every task."""
+    `routed_cells`: the most cells whose tree of boxes is shipped to every task; `first_routes`: other cells that a query
+    visits before its radius is taken anew."""
 
     k: int = DEFAULT_K
     dims: int | None = None
@@ -20,8 +21,9 @@ class KnnConfig:
     compute: str = "f64"
     policy: str = "widest"
     cell_rows: int = 4096
-    block_rows: int = 1024
+    block_rows: int = 4096
     routed_cells: int = 65536
+    first_routes: int = 8
     bins: int = DEFAULT_BINS
     tolerance: float = DEFAULT_TOLERANCE
     invalid: str = "raise"
@@ -37,5 +39,5 @@ class KnnConfig:
             raise ValueError("policy must be widest or round_robin")
         if self.invalid not in ("raise", "drop"):
             raise ValueError("invalid must be raise or drop")
-        if min(self.cell_rows, self.block_rows, self.routed_cells, self.bins) < 1 or not 0 < self.tolerance < 1:
-            raise ValueError("cell_rows, block_rows, routed_cells and bins must be 1 or more, and tolerance between 0 and 1")
+        if min(self.cell_rows, self.block_rows, self.routed_cells, self.first_routes, self.bins) < 1 or not 0 < self.tolerance < 1:
+            raise ValueError("cell_rows, block_rows, routed_cells, first_routes and bins must be 1 or more, and tolerance between 0 and 1")

@@ -13,13 +13,19 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
+
+from ..staging import staged
 
 #: Coordinates of the sample that a tree is built from, in all.
 SAMPLE_COORDINATES = 1 << 22
 #: Cells up to which a point's cell is a CASE expression in generated code; beyond, it is looked up in numpy.
 CASE_CELLS = 64
+#: How monotonically_increasing_id is made: the partition above this many bits.
+PARTITION_BITS = 33
 #: The most cells whose offsets are shipped to every task.
 MOST_OFFSETS = 1 << 20
 
@@ -47,28 +53,37 @@ class CellTree:
     def cells(self) -> int:
         return sum(n.cell is not None for n in self.nodes)
 
+    def arrays(self) -> tuple[np.ndarray, ...]:
+        """(cell or -1, left, right, dim, value) of the nodes: what a task needs to find cells."""
+        cell = np.array([-1 if n.cell is None else n.cell for n in self.nodes], np.int64)
+        return cell, *(np.array([getattr(n, a) for n in self.nodes], np.int64) for a in ("left", "right", "dim")), np.array([n.value for n in self.nodes])
+
     def assign(self, coords: np.ndarray) -> np.ndarray:
-        """The cell of each row of `coords`, level by level for all rows at once."""
-        dim, value, left, right = (np.array([getattr(n, a) for n in self.nodes]) for a in ("dim", "value", "left", "right"))
-        cell = np.array([-1 if n.cell is None else n.cell for n in self.nodes])
-        at, rows = np.zeros(len(coords), np.int64), np.arange(len(coords))
-        while len(rows):
-            rows = rows[cell[at[rows]] < 0]
-            own = at[rows]
-            at[rows] = np.where(coords[rows, dim[own]] > value[own], right[own], left[own])
-        return cell[at]
+        """The cell of each row of `coords`."""
+        return assigned(coords, self.arrays())
 
     def boxed(self, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, ...]:
         """(cell or -1, left, right, low, high) of each node, whose box holds those of its cells; a cell without points
         has a box that nothing is near to. `low` and `high` are the cells' boxes, by number."""
-        cell, left, right = (np.array([getattr(n, a) if getattr(n, a) is not None else -1 for n in self.nodes], np.int64) for a in ("cell", "left", "right"))
+        cell, left, right, _, _ = self.arrays()
         lows, highs = np.full((len(cell), self.dims), np.inf), np.full((len(cell), self.dims), -np.inf)
         lows[cell >= 0], highs[cell >= 0] = low[cell[cell >= 0]], high[cell[cell >= 0]]
-        for i in np.argsort([-n.level for n in self.nodes], kind="stable").tolist():  # children before parents
-            if cell[i] < 0:
-                lows[i], highs[i] = np.minimum(lows[left[i]], lows[right[i]]), np.maximum(highs[left[i]], highs[right[i]])
+        for i in self._children_first(cell):
+            lows[i], highs[i] = np.minimum(lows[left[i]], lows[right[i]]), np.maximum(highs[left[i]], highs[right[i]])
         return cell, left, right, lows, highs
 
+    def held(self, counts: np.ndarray) -> np.ndarray:
+        """How many points lie below each node, by those of each cell."""
+        cell, left, right, _, _ = self.arrays()
+        out = np.zeros(len(cell), np.int64)
+        out[cell >= 0] = counts[cell[cell >= 0]]
+        for i in self._children_first(cell):
+            out[i] = out[left[i]] + out[right[i]]
+        return out
+
+    def _children_first(self, cell: np.ndarray) -> list[int]:
+        return [i for i in np.argsort([-n.level for n in self.nodes], kind="stable").tolist() if cell[i] < 0]
+
     def expression(self, coords: Column | str) -> Column:
         """The cell as nested CASE expressions."""
 
@@ -89,12 +104,33 @@ class CellTree:
             if n.cell is None:
                 stack += [n.right, n.left]
 
+    def bounds(self, spark: SparkSession) -> DataFrame:
+        """(of, low, high): the cells and what their splits leave them, above `low` and up to `high` in every dimension."""
+        rows = [(n.cell, n.low.tolist(), n.high.tolist()) for n in self.nodes if n.cell is not None]
+        return spark.createDataFrame(rows, "of int, low array<double>, high array<double>")
+
     def table(self, spark: SparkSession) -> DataFrame:
         """(place, level, owner, split_dim, split_val, lb, ub) in preorder; owner is -1 for a split, split_dim for a leaf."""
         rows = [(i, n.level, -1 if n.cell is None else n.cell, n.dim, float(n.value), n.low.tolist(), n.high.tolist()) for i, n in enumerate(self.preorder())]
         return spark.createDataFrame(rows, "place int, level int, owner int, split_dim int, split_val double, lb array<double>, ub array<double>")
 
 
+def assigned(coords: np.ndarray, nodes: tuple[np.ndarray, ...]) -> np.ndarray:
+    """The cell of each row of `coords` by a tree's `arrays`, level by level for all rows at once."""
+    cell, left, right, dim, value = nodes
+    at, rows = np.zeros(len(coords), np.int64), np.arange(len(coords))
+    while len(rows):
+        rows = rows[cell[at[rows]] < 0]
+        own = at[rows]
+        at[rows] = np.where(coords[rows, dim[own]] > value[own], right[own], left[own])
+    return cell[at]
+
+
+def flat_coords(column: pa.Array) -> np.ndarray:
+    """A column of coordinates as a matrix."""
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
 def split_dimension(node: Node, low: np.ndarray, high: np.ndarray, policy: str, dims: int) -> int:
     return int(np.argmax(high - low)) if policy == "widest" else node.level % dims
 
@@ -203,20 +239,22 @@ def with_cell(pts: DataFrame, tree: CellTree) -> DataFrame:
     """`pts` with `cell`."""
     if tree.cells <= CASE_CELLS:
         return pts.withColumn("cell", tree.expression("coords").cast("int"))
-    shipped = pts.sparkSession.sparkContext.broadcast(tree)  # a few numbers a cell
+    shipped = pts.sparkSession.sparkContext.broadcast(tree.arrays())  # five numbers a node
+    kept = [c for c in pts.columns if c != "cell"]
 
-    @F.pandas_udf("int")
-    def cell(coords: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for part in coords:
-            yield pd.Series(shipped.value.assign(np.stack(part.to_list())) if len(part) else [], dtype="int32")
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cells = assigned(flat_coords(batch.column("coords")), shipped.value) if batch.num_rows else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(cells.astype(np.int32))], names=[*kept, "cell"])
 
-    return pts.withColumn("cell", cell("coords"))
+    return pts.select(kept).mapInArrow(place, StructType([*(pts.schema[c] for c in kept), StructField("cell", IntegerType())]))
 
 
-def cell_table(celled: DataFrame, dims: int) -> DataFrame:
-    """(cell, n, lo, hi): the points of each cell and the box around them."""
+def cell_table(celled: DataFrame, dims: int, weight: str | None = None) -> DataFrame:
+    """(cell, n, lo, hi): the points of each cell, or the sum of their `weight`, and the box around them."""
     boxes = [[f(F.element_at("coords", i + 1)) for i in range(dims)] for f in (F.min, F.max)]
-    return celled.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.array(*boxes[0]).alias("lo"), F.array(*boxes[1]).alias("hi"))
+    counted = F.count(F.lit(1)) if weight is None else F.sum(weight).cast("long")
+    return celled.groupBy("cell").agg(counted.alias("n"), F.array(*boxes[0]).alias("lo"), F.array(*boxes[1]).alias("hi"))
 
 
 def cell_offsets(celled: DataFrame) -> DataFrame:
@@ -227,11 +265,17 @@ def cell_offsets(celled: DataFrame) -> DataFrame:
 
 
 def global_numbers(celled: DataFrame) -> DataFrame:
-    """`celled` with `number`: points numbered from 0, cell by cell and by id within a cell."""
-    own = Window.partitionBy("cell").orderBy("id")
-    offsets = cell_offsets(celled).select(F.col("cell").alias("of"), "start")
-    numbered = celled.withColumn("local", F.row_number().over(own) - 1)
-    return numbered.join(offsets, F.col("cell") == F.col("of")).withColumn("number", F.col("start") + F.col("local")).drop("of", "start", "local")
+    """`celled` with `number`: points numbered from 0, cell by cell and by id within a cell.
+
+    Ranges of (cell, id) are sorted each in its task and numbered behind those before, so a cell that holds much of all
+    points is dealt over tasks. The window runs over one row a range.
+    """
+    placed = staged(celled.repartitionByRange("cell", "id").sortWithinPartitions("cell", "id").withColumn("number", F.monotonically_increasing_id()), "numbered-points")
+    part = F.shiftright("number", PARTITION_BITS)
+    ranges = placed.groupBy(part.alias("part")).agg(F.min("number").alias("first"), F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    shifts = ranges.select("part", (before - F.col("first")).alias("shift"))
+    return placed.join(F.broadcast(shifts), part == F.col("part")).select(*celled.columns, (F.col("number") + F.col("shift")).alias("number"))
 
 
 def owner_of(numbers: DataFrame, offsets: DataFrame) -> DataFrame:

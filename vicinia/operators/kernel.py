@@ -10,6 +10,8 @@ import numpy as np
 STRIP = 1 << 21
 #: Pairs of a query and a node looked at together.
 FRONTIER = 1 << 17
+#: Points of a leaf of a block's index, and queries that go through it together.
+LEAF = 32
 
 
 def square_distances(q: np.ndarray, p: np.ndarray) -> np.ndarray:
@@ -44,6 +46,87 @@ def within(q: np.ndarray, p: np.ndarray, ids: np.ndarray, k: int | None, bound:
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
+def tree_order(p: np.ndarray, leaf: int = LEAF) -> np.ndarray:
+    """The rows of `p` in an order in which every `leaf` of them, from the first on, lie close together: halves by the widest
+    dimension, again and again."""
+    order, stack = np.arange(len(p)), [(0, len(p))]
+    while stack:
+        a, b = stack.pop()
+        if b - a <= leaf:
+            continue
+        own = order[a:b]
+        x = p[own]
+        dim = int(np.argmax(x.max(0) - x.min(0)))
+        middle = leaf * (-(-(b - a) // leaf) // 2)
+        order[a:b] = own[np.argpartition(x[:, dim], middle)]
+        stack += [(a, a + middle), (a + middle, b)]
+    return order
+
+
+def _boxes(p: np.ndarray, leaf: int) -> tuple[np.ndarray, np.ndarray]:
+    starts = np.arange(0, len(p), leaf)
+    return np.minimum.reduceat(p, starts, axis=0), np.maximum.reduceat(p, starts, axis=0)
+
+
+def _between(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The least and the largest squared distance that points of each box of `a` and of each box of `b` can have. Every step
+    rounds as a distance's does, so no distance of two points lies outside of them, not even by rounding."""
+    near, far = (np.zeros((len(a[0]), len(b[0])), a[0].dtype) for _ in range(2))
+    for j in range(a[0].shape[1]):
+        (la, ha), (lb, hb) = ((x[:, j] for x in box) for box in (a, b))
+        gap = np.maximum(np.maximum(lb[None] - ha[:, None], la[:, None] - hb[None]), 0)
+        gap *= gap
+        near += gap
+        reach = np.maximum(hb[None] - la[:, None], ha[:, None] - lb[None])
+        reach *= reach
+        far += reach
+    return near, far
+
+
+def indexed_within(q: np.ndarray, p: np.ndarray, ids: np.ndarray, k: int | None, bound: np.ndarray | None, leaf: int = LEAF) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As `within`, by an index of the block: its points in leaves that lie close together, the queries in groups that do.
+
+    A group's k-th distance is no more than the distance within which the leaves that are wholly that near hold k points,
+    and no more than what it is among those leaves alone; only leaves that can be nearer than that, and than the group's
+    largest bound, are compared with it.
+    """
+    if len(p) < 4 * leaf or not len(q):
+        return within(q, p, ids, k, bound)
+    at, of = tree_order(p, leaf), tree_order(q, leaf)
+    p, ids = p[at], ids[at]
+    near, far = _between(_boxes(q[of], leaf), _boxes(p, leaf))
+    starts = np.arange(0, len(p), leaf)
+    limit, order, enough = np.full(len(near), np.inf), None, None
+    if k is not None and len(p) >= k:
+        order = np.argsort(far, axis=1)
+        held = np.cumsum(np.diff(np.append(starts, len(p)))[order], axis=1)
+        enough = np.argmax(held >= k, axis=1)
+        limit = np.take_along_axis(far, np.take_along_axis(order, enough[:, None], 1), 1)[:, 0].astype(float)
+    if bound is not None:
+        limit = np.minimum(limit, np.maximum.reduceat(bound[of].astype(float), np.arange(0, len(q), leaf)))
+    out, each = [], np.arange(leaf)
+
+    def rows_of(leaves: np.ndarray) -> np.ndarray:
+        rows = (starts[leaves][:, None] + each).reshape(-1)
+        return rows[rows < len(p)]
+
+    for group in range(len(near)):
+        own = of[group * leaf : (group + 1) * leaf]
+        leaves = np.flatnonzero(near[group] <= limit[group])
+        if enough is not None and len(leaves) > 2 * (enough[group] + 1):
+            d = square_distances(q[own], p[rows_of(order[group, : enough[group] + 1])])
+            leaves = leaves[near[group, leaves] <= np.partition(d, k - 1, axis=1)[:, k - 1].max()]
+        if len(leaves):
+            rows = rows_of(leaves)
+            r, i, d2 = within(q[own], p[rows], ids[rows], k, None if bound is None else bound[own])
+            out.append((own[r], i, d2))
+    if not out:
+        return np.zeros(0, np.int64), ids[:0], np.zeros(0, q.dtype)
+    rows, near_ids, d2 = (np.concatenate(x) for x in zip(*out))
+    order = np.argsort(rows, kind="stable")
+    return rows[order], near_ids[order], d2[order]
+
+
 def box_distances(q: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
     """The squared distance of each row of `q` to the box in the same row, 0 inside."""
     out = np.zeros(len(q), q.dtype)
@@ -54,6 +137,59 @@ def box_distances(q: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarra
     return out
 
 
+def far_corners(q: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """The squared distance of each row of `q` to the farthest corner of the box in the same row."""
+    out = np.zeros(len(q), q.dtype)
+    for j in range(q.shape[1]):
+        over = np.maximum(high[:, j] - q[:, j], q[:, j] - low[:, j])
+        over *= over
+        out += over
+    return out
+
+
+def first_to_hold(rows: np.ndarray, far: np.ndarray, held: np.ndarray, k: int, n: int) -> np.ndarray:
+    """For each of `n` rows the least of its `far` up to which its entries hold `k`; infinite where all of them hold fewer."""
+    order = np.lexsort((far, rows))
+    rows, far, held = rows[order], far[order], held[order]
+    total = np.cumsum(held)
+    first = np.searchsorted(rows, np.arange(n))
+    before = np.append(0, total)[first]
+    enough = np.flatnonzero(total - before[rows] >= k)
+    out = np.full(n, np.inf)
+    if len(enough):
+        own, place = np.unique(rows[enough], return_index=True)
+        out[own] = far[enough[place]]
+    return out
+
+
+def counted_bounds(q: np.ndarray, k: int, nodes: tuple[np.ndarray, ...], counts: np.ndarray) -> np.ndarray:
+    """A squared distance of each row of `q` within which `k` points lie for sure, by the boxes of `nodes` and how many points
+    each of them holds; infinite where there are not so many.
+
+    First, down the tree into the nearer child while it holds `k`: the far corner of the last box that does. Then, of
+    the cells within that, the nearest by their far corners that hold `k` together.
+    """
+    cell, left, right, low, high = nodes
+    bound, rows, at = np.full(len(q), np.inf), np.arange(len(q)), np.zeros(len(q), np.int64)
+    while len(rows):
+        enough = counts[at] >= k
+        rows, at = rows[enough], at[enough]
+        bound[rows] = np.minimum(bound[rows], far_corners(q[rows], low[at], high[at]))
+        inner = cell[at] < 0
+        rows, at = rows[inner], at[inner]
+        gaps = [box_distances(q[rows], low[side[at]], high[side[at]]) for side in (left, right)]
+        at = np.where(gaps[1] < gaps[0], right[at], left[at])
+    node_of = np.zeros(int(cell.max()) + 1, np.int64)
+    node_of[cell[cell >= 0]] = np.flatnonzero(cell >= 0)
+    finite = np.flatnonzero(np.isfinite(bound))
+    if len(finite):
+        found = [(i, node_of[c]) for i, c in boxes_within(q[finite], bound[finite], nodes)]
+        i, own = (np.concatenate(x) for x in zip(*found))
+        tighter = first_to_hold(i, far_corners(q[finite[i]], low[own], high[own]), counts[own], k, len(finite))
+        bound[finite] = np.minimum(bound[finite], tighter)
+    return bound
+
+
 def boxes_within(q: np.ndarray, bound: np.ndarray, nodes: tuple[np.ndarray, ...]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(row of q, cell) of the cells whose boxes lie within `bound` of a query, at it included; some at a time.
 

@@ -1,13 +1,16 @@
 """Exact nearest neighbours as Spark joins of blocks of points.
 
 Points of equal coordinates are one location with its k least ids, so that no
-crowd of copies meets itself. Locations are put into cells. In the local phase
+crowd of copies meets itself. Locations are put into cells: leaves of a tree of boxes,
+or, in many dimensions, what is nearest to one of a few pivots. In the local phase
 every query meets the blocks of its own cell, which gives it a radius: its k-th
-distance there, or none if the cell holds fewer than k points. In the remote
-phase it meets the cells whose boxes are within that radius - at it, too, where
-a smaller id may wait. Both phases are equi-joins of blocks on the cell; a task
-compares one block with another and keeps k of each query, and what it keeps is
-merged by query.
+distance there, or, if the cell holds fewer than k points, the distance within which
+the cells that lie wholly there hold k. In the remote phase it meets the cells
+that can lie within that radius - at it, too, where a smaller id may wait -, the
+nearest first, in rounds: what a round finds shrinks the radius, and cells that are
+then beyond it are left out of the next. All phases are equi-joins of blocks on the
+cell; a task compares one block with another by an index of the block, keeps k of
+each query, and what it keeps is merged by query.
 
 The result has, for every query, the min(k, N) points of least (d2, id), itself
 included where it is one of the points.
@@ -21,7 +24,7 @@ own, so rows with one id have k each.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,12 +35,16 @@ from pyspark.sql import functions as F
 from ..config import KnnConfig
 from ..functions import sq_distance
 from ..skew import hot_keys, spread_join
-from ..staging import staged
-from .cells import CellTree, cell_table, sample_tree, with_cell
-from .kernel import boxes_within, within
+from ..staging import release, scope, staged
+from .cells import CellTree, cell_table, flat_coords, sample_tree, with_cell
+from .kernel import box_distances, boxes_within, counted_bounds, indexed_within, within
+from .pivots import MOST_PIVOTS, SLACK, SLACK32, Pivots, counted_radius, distances, gaps, pivot_table, sample_pivots, with_pivot_cell
 
-#: Dimensions beyond which boxes exclude next to nothing, so that all points meet.
+#: Dimensions beyond which boxes exclude next to nothing, so that cells are those of pivots.
 PRUNED_DIMS = 16
+#: Pairs of query and cell that are routed together, about; the share of all pairs beyond which cells of pivots are not
+#: worth their routes; rounds of the remote phase grow by this factor.
+ROUTED, WORTH, WIDER = 1 << 22, 0.25, 8
 #: Blocks of a cell up to which one task compares all of them, and the least points of a block.
 FEW_BLOCKS, LEAST_BLOCK = 4, 64
 #: Lists of a query up to which they are merged at once; more are merged by strips first.
@@ -82,6 +89,7 @@ def _meet(queries: DataFrame, base: DataFrame, k: int | None, dims: int, float32
     left = _facing(queries, base).select(F.col("cell").alias("q_cell"), F.col("strip").alias("q_strip"), F.col("facing").alias("q_facing"), "q", "bound", F.col("flat").alias("q_flat"))
     right = _facing(base, queries).select("cell", "strip", "facing", "loc", "m", F.col("flat").alias("p_flat"))
     kind = np.float32 if float32 else np.float64
+    search = indexed_within if dims <= PRUNED_DIMS else within
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -90,7 +98,7 @@ def _meet(queries: DataFrame, base: DataFrame, k: int | None, dims: int, float32
                 strip = batch.column(6)[row].as_py()
                 a, b = (x.astype(kind).reshape(-1, dims) for x in (q_flat, p_flat))
                 order = np.argsort(loc, kind="stable")  # ties go by location
-                rows, own, d2 = within(a, b[order], np.arange(len(b)), k, bound)
+                rows, own, d2 = search(a, b[order], np.arange(len(b)), k, bound)
                 own = order[own]
                 starts = np.flatnonzero(np.diff(rows, prepend=-1))
                 lists = [pa.ListArray.from_arrays(pa.array(np.append(starts, len(rows)).astype(np.int32)), pa.array(x)) for x in (d2.astype(float), loc[own], m[own].astype(np.int32))]
@@ -131,43 +139,97 @@ def _radius(near: str, k: int):
     return F.aggregate(near, start, step, lambda seen: seen["r"])
 
 
-def routes(queries: DataFrame, cells: DataFrame, tree: CellTree) -> DataFrame:
-    """(q, coords, bound, cell) for every other cell whose box lies within a query's bound, at it included.
-
-    `queries` has (q, coords, cell, bound); `cells` (cell, lo, hi) are the cells of `tree`, whose number its maker bounds:
-    the tree of their boxes is shipped to every task, where all queries of a batch walk down it together.
-    """
-    low, high = np.full((tree.cells, tree.dims), np.inf), np.full((tree.cells, tree.dims), -np.inf)
-    for r in cells.select("cell", "lo", "hi").collect():
-        low[r["cell"]], high[r["cell"]] = r["lo"], r["hi"]
-    shipped = queries.sparkSession.sparkContext.broadcast(tree.boxed(low, high))
+def _routed(queries: DataFrame, router: Callable[[np.ndarray, np.ndarray, np.ndarray], Iterator[tuple[np.ndarray, ...]]], counted: bool = False) -> DataFrame:
+    """(q, coords, bound, cell, near, place) of what `router` gives for strips of (coords, cell, bound): (row, cell, near, bounds);
+    or with `counted` only how many routes there are, as (n)."""
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            if not batch.num_rows:
+                continue
             q, cell, bound = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("q", "cell", "bound"))
-            coords = batch.column("coords").flatten().to_numpy(zero_copy_only=False).reshape(len(q), -1)
-            for i, j in boxes_within(coords, bound, shipped.value) if len(q) else ():
-                other = j != cell[i]
-                i, j = i[other], j[other]
+            coords, total = flat_coords(batch.column("coords")), 0
+            for at, i, j, near, bounds in router(coords, cell, bound):
+                other = j != cell[at + i]
+                i, j, near = i[other], j[other], near[other]
+                total += len(i)
+                if counted or not len(i):
+                    continue
+                order = np.lexsort((j, near, i))
+                i, j, near = i[order], j[order], near[order]
+                place = np.arange(len(i)) - np.searchsorted(i, i)
                 offsets = pa.array((np.arange(len(i) + 1) * coords.shape[1]).astype(np.int32))
-                lists = pa.ListArray.from_arrays(offsets, pa.array(coords[i].reshape(-1)))
-                yield pa.RecordBatch.from_arrays([pa.array(q[i]), lists, pa.array(bound[i]), pa.array(j.astype(np.int32))], names=["q", "coords", "bound", "cell"])
+                lists = pa.ListArray.from_arrays(offsets, pa.array(coords[at + i].reshape(-1)))
+                yield pa.RecordBatch.from_arrays([pa.array(q[at + i]), lists, pa.array(bounds[i]), pa.array(j.astype(np.int32)), pa.array(near), pa.array(place.astype(np.int32))], names=["q", "coords", "bound", "cell", "near", "place"])
+            if counted:
+                yield pa.RecordBatch.from_arrays([pa.array([total])], names=["n"])
 
-    return queries.select("q", "coords", "cell", "bound").mapInArrow(route, "q long, coords array<double>, bound double, cell int")
+    return queries.select("q", "coords", "cell", "bound").mapInArrow(route, "n long" if counted else "q long, coords array<double>, bound double, cell int, near double, place int")
+
+
+def routes(queries: DataFrame, cells: DataFrame, tree: CellTree, k: int | None = None, float32: bool = False) -> DataFrame:
+    """(q, coords, bound, cell, near, place) for every other cell whose box lies within a query's bound, at it included:
+    how near it is, and its place among the query's routes, the nearest first.
+
+    `queries` has (q, coords, cell, bound); `cells` (cell, n, lo, hi) are the cells of `tree`, whose number its maker bounds:
+    the tree of their boxes is shipped to every task, where all queries of a strip walk down it together. With `k`, an
+    infinite bound is first lowered to a distance within which the cells' counts and far corners show `k` points.
+    """
+    low, high, n = np.full((tree.cells, tree.dims), np.inf), np.full((tree.cells, tree.dims), -np.inf), np.zeros(tree.cells, np.int64)
+    for r in cells.select("cell", "n", "lo", "hi").collect():
+        low[r["cell"]], high[r["cell"]], n[r["cell"]] = r["lo"], r["hi"], r["n"]
+    kind = np.float32 if float32 else np.float64  # distances round as the kernel's do
+    shipped = queries.sparkSession.sparkContext.broadcast((tree.boxed(low.astype(kind), high.astype(kind)), tree.held(n)))
+    step = max(16, ROUTED // (tree.cells * 16))
+
+    def router(coords: np.ndarray, cell: np.ndarray, bound: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+        (own, left, right, lows, highs), counts = shipped.value
+        lows, highs = lows.astype(kind), highs.astype(kind)
+        node_of = np.zeros(tree.cells, np.int64)
+        node_of[own[own >= 0]] = np.flatnonzero(own >= 0)
+        for at in range(0, len(coords), step):
+            x, bounds = coords[at : at + step].astype(kind), bound[at : at + step].copy()
+            if k is not None and (endless := np.flatnonzero(np.isinf(bounds))).size:
+                bounds[endless] = counted_bounds(x[endless], k, (own, left, right, lows, highs), counts)
+            found = list(boxes_within(x, bounds, (own, left, right, lows, highs)))
+            if found:
+                i, j = (np.concatenate(part) for part in zip(*found))
+                yield at, i, j, box_distances(x[i], lows[node_of[j]], highs[node_of[j]]).astype(float), bounds
+
+    return _routed(queries, router)
+
+
+def pivot_routes(queries: DataFrame, table: tuple[np.ndarray, np.ndarray, np.ndarray], pivots: Pivots, k: int, float32: bool = False, counted: bool = False) -> DataFrame:
+    """As `routes`, for cells of pivots and their `pivot_table`; or how many routes there are."""
+    shipped = queries.sparkSession.sparkContext.broadcast((pivots.at, *table))
+    step, slack = max(1, ROUTED // pivots.cells**2), SLACK32 if float32 else SLACK
+
+    def router(coords: np.ndarray, cell: np.ndarray, bound: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+        at_, n, low, high = shipped.value
+        for at in range(0, len(coords), step):
+            d, bounds = distances(coords[at : at + step], at_), bound[at : at + step].copy()
+            if (endless := np.flatnonzero(np.isinf(bounds))).size:
+                bounds[endless] = counted_radius(d[endless], k, n, high, slack)
+            near = gaps(d, low, high, slack)
+            i, j = np.nonzero((near <= bounds[:, None]) & (n > 0))
+            yield at, i, j, near[i, j], bounds
+
+    return _routed(queries, router, counted)
 
 
 def cells_for(rows: int, dims: int, config: KnnConfig) -> int:
-    """Cells of about `config.cell_rows`; one where splits would not pay."""
-    return 1 if dims > PRUNED_DIMS else max(1, min(-(-rows // config.cell_rows), config.routed_cells))
+    """Cells of about `config.cell_rows`; a few pivots' where boxes would not pay."""
+    return max(1, min(-(-rows // config.cell_rows), config.routed_cells if dims <= PRUNED_DIMS else MOST_PIVOTS))
 
 
 def partition(pts: DataFrame, rows: int, dims: int, config: KnnConfig) -> CellTree:
-    return sample_tree(pts, cells_for(rows, dims, config), dims, config.policy, rows)
+    """The tree of boxes that `rows` points (id, coords) are put into; one cell beyond PRUNED_DIMS."""
+    return sample_tree(pts, cells_for(rows, dims, config) if dims <= PRUNED_DIMS else 1, dims, config.policy, rows)
 
 
-def _block_rows(spark: SparkSession, rows: int, tree: CellTree, config: KnnConfig) -> int:
+def _block_rows(spark: SparkSession, rows: int, cells: int, config: KnnConfig) -> int:
     """Points of a block: where there is one cell only, so few that every core gets some."""
-    even = config.block_rows if tree.cells > 1 else max(LEAST_BLOCK, rows // (2 * spark.sparkContext.defaultParallelism))
+    even = config.block_rows if cells > 1 else max(LEAST_BLOCK, rows // (2 * spark.sparkContext.defaultParallelism))
     return min(config.block_rows, even)
 
 
@@ -176,6 +238,7 @@ class Prepared:
     """A base made ready for searches: its locations (loc, coords, ids, m, cell) and their blocks, staged; `rows` of them.
 
     `crowded`: some place has more than one point, or ids repeat, so that a location stands for other ids than its own.
+    `pivots` and their table are there in place of boxes in many dimensions.
     """
 
     locs: DataFrame
@@ -188,6 +251,19 @@ class Prepared:
     block_rows: int
     crowded: bool
     config: KnnConfig
+    pivots: Pivots | None = None
+    table: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
+
+    def with_cell(self, rows: DataFrame) -> DataFrame:
+        return with_cell(rows, self.tree) if self.pivots is None else with_pivot_cell(rows, self.pivots)
+
+    @property
+    def n_cells(self) -> int:
+        return self.tree.cells if self.pivots is None else self.pivots.cells
+
+    def release(self) -> None:
+        """Delete what was staged of it."""
+        release(self.locs, self.blocks)
 
 
 def _repeat(ids: DataFrame) -> bool:
@@ -195,100 +271,166 @@ def _repeat(ids: DataFrame) -> bool:
     return not ids.groupBy(*ids.columns).agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
 
 
-def prepare(base: DataFrame, k: int, config: KnnConfig = KnnConfig()) -> Prepared | None:
-    """The base (id, coords) of searches for up to `k` neighbours; None without points."""
-    locs = staged(locations(base, k), "locations")
-    rows, dims, most = locs.agg(F.count(F.lit(1)), F.max(F.size("coords")), F.max(F.size("ids"))).first()
-    if not rows:
-        return None
-    crowded = most > 1
-    if _repeat(locs.select("loc")):  # places with one least id: numbers in the order of their ids stand for them
-        crowded = True
-        locs = staged(locs.orderBy("loc", "coords").withColumn("loc", F.monotonically_increasing_id()), "numbered-locations")
-    tree = partition(locs.select(F.col("loc").alias("id"), "coords"), rows, dims, config)
-    locs = staged(with_cell(locs.withColumn("m", F.size("ids")), tree), "celled")
-    size = _block_rows(base.sparkSession, rows, tree, config)
-    blocks = staged(_blocks(locs, "cell", size, ["loc", "m"]), "base-blocks")
-    return Prepared(locs, blocks, cell_table(locs, dims), tree, k, dims, rows, size, crowded, config)
-
-
-def _search(queries: DataFrame, base: Prepared, k: int, float32: bool, columns: bool = False) -> DataFrame:
-    """(q, near) for `queries` (q, coords), each q once."""
+def prepare(base: DataFrame, k: int, config: KnnConfig = KnnConfig(), tree: CellTree | None = None) -> Prepared | None:
+    """The base (id, coords) of searches for up to `k` neighbours; None without points. A `tree` made elsewhere is taken as it is."""
+    with scope(base.sparkSession) as own:
+        locs = staged(locations(base, k), "locations")
+        rows, dims, most = locs.agg(F.count(F.lit(1)), F.max(F.size("coords")), F.max(F.size("ids"))).first()
+        if not rows:
+            return None
+        crowded = most > 1
+        if _repeat(locs.select("loc")):  # places with one least id: numbers in the order of their ids stand for them
+            crowded = True
+            locs = staged(locs.orderBy("loc", "coords").withColumn("loc", F.monotonically_increasing_id()), "numbered-locations")
+        named, weighed = locs.select(F.col("loc").alias("id"), "coords"), locs.withColumn("m", F.size("ids"))
+        pivots = table = None
+        if tree is None and dims > PRUNED_DIMS and (wanted := cells_for(rows, dims, config)) > 1:
+            found = sample_pivots(named, rows, dims, wanted)
+            pivots = found if found.cells > 1 else None
+        tree = tree if tree is not None else partition(named, rows, dims, config)
+        locs = own.keep(staged(with_cell(weighed, tree) if pivots is None else with_pivot_cell(weighed, pivots), "celled"))
+        if pivots is not None:
+            table = pivot_table(locs, pivots, "m")
+        size = _block_rows(base.sparkSession, rows, tree.cells if pivots is None else pivots.cells, config)
+        blocks = own.keep(staged(_blocks(locs, "cell", size, ["loc", "m"]), "base-blocks"))
+        return Prepared(locs, blocks, cell_table(locs, dims, "m"), tree, k, dims, rows, size, crowded, config, pivots, table)
+
+
+def _as_queries(blocks: DataFrame) -> DataFrame:
+    """The base's blocks as blocks of queries without a bound."""
+    return blocks.select("cell", "wide", "strip", F.col("loc").alias("q"), F.transform("loc", lambda _: F.lit(float("inf"))).alias("bound"), "flat")
+
+
+def _search(queries: DataFrame | None, base: Prepared, k: int, float32: bool, columns: bool = False) -> DataFrame:
+    """(q, near) for `queries` (q, coords), each q once, or for the base's own locations; staged. To be called in a scope."""
 
     def met(rows: DataFrame, name: str) -> DataFrame:
         if columns:
             return _meet_columns(rows, base.locs, k, base.dims)
         return _meet(staged(_blocks(rows, "cell", base.block_rows, ["q", "bound"]), name), base.blocks, k, base.dims, float32)
 
-    placed = with_cell(queries, base.tree)
-    local = met(placed.withColumn("bound", F.lit(float("inf"))), "query-blocks")
-    if base.tree.cells == 1:
-        return _first(local, k, base.rows > MANY_LISTS * base.block_rows)
-    local = staged(_first(local, k), "local-neighbours")
+    placed = base.locs.select(F.col("loc").alias("q"), "coords", "cell") if queries is None else base.with_cell(queries)
+    if queries is None and not columns:
+        local = _meet(_as_queries(base.blocks), base.blocks, k, base.dims, float32)
+    else:
+        local = met(placed.withColumn("bound", F.lit(float("inf"))), "query-blocks")
+    if base.n_cells == 1:
+        return staged(_first(local, k, base.rows > MANY_LISTS * base.block_rows), "neighbours")
+    many = base.rows > MANY_LISTS * base.block_rows * base.n_cells
+    near = staged(_first(local, k, many), "neighbours")
     # A query whose cell has no points has met none; its bound stays infinite.
-    bounds = local.select(F.col("q").alias("l_q"), _radius("near", k).alias("bound"))
-    bounded = placed.join(bounds, F.col("q") == F.col("l_q"), "left").select("q", "coords", "cell", F.coalesce("bound", F.lit(float("inf"))).alias("bound"))
-    routed = staged(routes(bounded, base.cells, base.tree), "routes")
-    return _first(local.unionByName(met(routed, "routed-blocks").drop("strip")), k)
+    bounded = placed.join(_bounds(near, k), F.col("q") == F.col("l_q"), "left").select("q", "coords", "cell", F.coalesce("l_bound", F.lit(float("inf"))).alias("bound"))
+    if base.pivots is None:
+        routed = routes(bounded, base.cells, base.tree, k, float32)
+    else:
+        asked = bounded.count()
+        n = pivot_routes(bounded, base.table, base.pivots, k, float32, counted=True).agg(F.sum("n")).first()[0] or 0
+        if n > WORTH * asked * (base.n_cells - 1):  # the pivots exclude too little: each query meets all
+            return _compared_with_all(bounded, base, k, float32)
+        routed = pivot_routes(bounded, base.table, base.pivots, k, float32)
+    return _remote(staged(routed, "routes"), near, met, k, base.config.first_routes)
+
+
+def _bounds(near: DataFrame, k: int) -> DataFrame:
+    return near.select(F.col("q").alias("l_q"), _radius("near", k).alias("l_bound"))
+
+
+def _remote(routed: DataFrame, near: DataFrame, met: Callable[[DataFrame, str], DataFrame], k: int, width: int) -> DataFrame:
+    """`near` after the cells of `routed`, visited in rounds of the nearest `width`, then WIDER times as many."""
+    while True:
+        now = met(routed.where(F.col("place") < width), "routed-blocks").select("q", "near")
+        closer = staged(_first(near.unionByName(now), k), "neighbours")
+        release(near)
+        near, rest = closer, routed.where(F.col("place") >= width)
+        if rest.isEmpty():
+            release(routed)
+            return near
+        bounds = _bounds(near, k)
+        left = staged(rest.join(bounds, F.col("q") == F.col("l_q"), "left").withColumn("bound", F.least("bound", F.coalesce("l_bound", F.lit(float("inf"))))).where("near <= bound").select(routed.columns), "routes")
+        release(routed)
+        routed, width = left, width * WIDER
+
+
+def _compared_with_all(bounded: DataFrame, base: Prepared, k: int, float32: bool) -> DataFrame:
+    """(q, near) by comparing all blocks with all, each query within its bound; staged."""
+    size = _block_rows(bounded.sparkSession, base.rows, 1, base.config)
+    queries = staged(_blocks(bounded.withColumn("cell", F.lit(0)), "cell", size, ["q", "bound"]), "query-blocks")
+    blocks = staged(_blocks(base.locs.withColumn("cell", F.lit(0)), "cell", size, ["loc", "m"]), "all-blocks")
+    return staged(_first(_meet(queries, blocks, k, base.dims, float32), k, base.rows > MANY_LISTS * size), "neighbours")
 
 
 def _rows(found: DataFrame, base: Prepared, k: int) -> DataFrame:
-    """(query_id, neighbor_id, d2, rank) of `found` (q, near): locations become their ids, the first k of each query."""
+    """(q, near) of `found` (q, near), locations made their ids: the first `k` (rank, d2, neighbor_id) of each query."""
     if not base.crowded:
-        return found.select(F.col("q").alias("query_id"), F.posexplode("near").alias("pos", "n")).select("query_id", F.col("n.loc").alias("neighbor_id"), F.col("n.d2").alias("d2"), (F.col("pos") + 1).cast("int").alias("rank"))
+        return found.select("q", F.transform("near", lambda n, i: F.struct((i + 1).cast("int").alias("rank"), n["d2"].alias("d2"), n["loc"].alias("neighbor_id"))).alias("near"))
     near = found.select("q", F.explode("near").alias("n")).select("q", F.col("n.d2").alias("d2"), F.col("n.loc").alias("n_loc"))
-    ids = near.join(base.locs.select("loc", "ids"), F.col("n_loc") == F.col("loc")).select(F.col("q").alias("query_id"), F.explode("ids").alias("neighbor_id"), "d2")
-    order = Window.partitionBy("query_id").orderBy("d2", "neighbor_id")
-    return ids.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-
-
-def _lists(rows: DataFrame) -> DataFrame:
-    """(q, near): the rows of each query as one list of k at most."""
-    return rows.groupBy(F.col("query_id").alias("q")).agg(F.array_sort(F.collect_list(F.struct("rank", "d2", "neighbor_id"))).alias("near"))
+    ids = near.join(base.locs.select("loc", "ids"), F.col("n_loc") == F.col("loc")).select("q", F.explode("ids").alias("neighbor_id"), "d2")
+    order = Window.partitionBy("q").orderBy("d2", "neighbor_id")
+    ranked = ids.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return ranked.groupBy("q").agg(F.array_sort(F.collect_list(F.struct("rank", "d2", "neighbor_id"))).alias("near"))
 
 
-def _unlisted(lists: DataFrame) -> DataFrame:
-    """The rows of lists (id, near)."""
-    return lists.select("id", F.explode("near").alias("n")).select(F.col("id").alias("query_id"), F.col("n.neighbor_id").alias("neighbor_id"), F.col("n.d2").alias("d2"), F.col("n.rank").alias("rank"))
+def _unlisted(lists: DataFrame, *keys: str) -> DataFrame:
+    """(query_id, neighbor_id, d2, rank) of lists (id, near), with the columns `keys` behind."""
+    return lists.select("id", *keys, F.explode("near").alias("n")).select(F.col("id").alias("query_id"), F.col("n.neighbor_id").alias("neighbor_id"), F.col("n.d2").alias("d2"), F.col("n.rank").alias("rank"), *keys)
 
 
-def _none(pts: DataFrame) -> DataFrame:
-    return pts.sparkSession.createDataFrame([], "query_id long, neighbor_id long, d2 double, rank int")
+def _none(pts: DataFrame, *keys: str) -> DataFrame:
+    return pts.sparkSession.createDataFrame([], "query_id long, neighbor_id long, d2 double, rank int" + "".join(f", {k} long" for k in keys))
 
 
-def knn_join(queries: DataFrame, base: DataFrame | Prepared, k: int, config: KnnConfig = KnnConfig(), float32: bool = False) -> DataFrame:
+def knn_join(queries: DataFrame, base: DataFrame | Prepared, k: int, config: KnnConfig = KnnConfig(), float32: bool = False, keyed: bool = False) -> DataFrame:
     """(query_id, neighbor_id, d2, rank): the k nearest points of `base` for each of `queries`, both (id, coords).
 
-    A base that many searches share is prepared once, for as many neighbours as the largest of them wants.
+    A base that many searches share is prepared once, for as many neighbours as the largest of them wants. With `keyed`
+    there is a column `query_row` that tells queries of one id apart. What the search writes but its result is deleted.
     """
-    ready = base if isinstance(base, Prepared) else prepare(base, k, config)
-    if ready is None:
-        return _none(queries)
-    if k > ready.k:
-        raise ValueError(f"the base was prepared for {ready.k} neighbours at most")
-    if not _repeat(queries.select("id")):
-        return _rows(_search(queries.select(F.col("id").alias("q"), "coords"), ready, k, float32), ready, k)
-    keyed = staged(queries.select("id", "coords", F.monotonically_increasing_id().alias("row")), "query-rows")
-    lists = _lists(_rows(_search(keyed.select(F.col("row").alias("q"), "coords"), ready, k, float32), ready, k))
-    return _unlisted(keyed.select("id", "row").join(lists, F.col("row") == F.col("q")))
-
-
-def knn(pts: DataFrame, k: int, config: KnnConfig = KnnConfig(), float32: bool = False, columns: bool = False) -> DataFrame:
+    keys = ["query_row"] if keyed else []
+    with scope(queries.sparkSession) as own:
+        ready = base if isinstance(base, Prepared) else prepare(base, k, config)
+        if ready is None:
+            return _none(queries, *keys)
+        if k > ready.k:
+            raise ValueError(f"the base was prepared for {ready.k} neighbours at most")
+        if not keyed and not _repeat(queries.select("id")):
+            found = _search(queries.select(F.col("id").alias("q"), "coords"), ready, k, float32)
+            return _unlisted(_kept(own, found, ready, k).withColumnRenamed("q", "id"))
+        rows = staged(queries.select("id", "coords", F.monotonically_increasing_id().alias("query_row")), "query-rows")
+        found = _rows(_search(rows.select(F.col("query_row").alias("q"), "coords"), ready, k, float32), ready, k)
+        lists = rows.select("id", "query_row").join(found, F.col("query_row") == F.col("q")).select("id", "query_row", "near")
+        return _unlisted(own.keep(staged(lists, "neighbour-lists")), *keys)
+
+
+def _kept(own, found: DataFrame, ready: Prepared, k: int) -> DataFrame:
+    """The lists of `found` as the result reads them: `found` itself where locations are points."""
+    return _rows(own.keep(found), ready, k) if not ready.crowded else own.keep(staged(_rows(found, ready, k), "neighbour-lists"))
+
+
+def knn(pts: DataFrame, k: int, config: KnnConfig = KnnConfig(), float32: bool = False, columns: bool = False, keyed: bool = False, ready: Prepared | None = None) -> DataFrame:
     """(query_id, neighbor_id, d2, rank): the k nearest points of each point, itself among them.
 
-    With `columns`, cells are compared as joins of rows in generated code, and not block against block in numpy.
+    With `columns`, cells are compared as joins of rows in generated code, and not block against block in numpy; with
+    `keyed` there is a column `query_row` that tells points of one id apart; `ready` is `pts` prepared before. What the
+    search writes but its result is deleted.
     """
     if columns and float32:
         raise ValueError("the column form has no 32-bit distances")
-    if (ready := prepare(pts, k, config)) is None:
-        return _none(pts)
-    rows = _rows(_search(ready.locs.select(F.col("loc").alias("q"), "coords"), ready, k, float32, columns), ready, k)
-    if not ready.crowded and (k > 1 or ready.rows == pts.count()):  # with k = 1 a place shows one id only
-        return rows
-    # Every point of a location has the location's neighbours; the points of a crowd are dealt over tasks.
-    placed = _lists(rows).join(ready.locs.select("loc", F.col("coords").alias("at")), F.col("q") == F.col("loc")).select("at", "near")
-    crowds = hot_keys(pts.groupBy("coords").agg(F.count(F.lit(1)).alias("n")))
-    return _unlisted(spread_join(pts.select("id", "coords"), placed, ["coords"], ["at"], "id", crowds))
+    keys = ["query_row"] if keyed else []
+    with scope(pts.sparkSession) as own:
+        if ready is None and (ready := prepare(pts, k, config)) is None:
+            return _none(pts, *keys)
+        found = _search(None, ready, k, float32, columns)
+        if not ready.crowded and (k > 1 or ready.rows == pts.count()):  # with k = 1 a place shows one id only
+            lists = _kept(own, found, ready, k).withColumnRenamed("q", "id")
+            return _unlisted(lists.withColumn("query_row", F.col("id")) if keyed else lists, *keys)
+        # Every point of a location has the location's neighbours; the points of a crowd are dealt over tasks.
+        placed = _rows(found, ready, k).join(ready.locs.select("loc", F.col("coords").alias("at")), F.col("q") == F.col("loc")).select("at", "near")
+        placed = own.keep(staged(placed, "neighbour-lists"))
+        crowds = hot_keys(pts.groupBy("coords").agg(F.count(F.lit(1)).alias("n")))
+        rows = pts.select("id", "coords")
+        if keyed:
+            rows = own.keep(staged(rows.withColumn("query_row", F.monotonically_increasing_id()), "query-rows"))
+        return _unlisted(spread_join(rows, placed, ["coords"], ["at"], "id", crowds), *keys)
 
 
 def knn_columns(pts: DataFrame, k: int, config: KnnConfig = KnnConfig()) -> DataFrame:
@@ -302,14 +444,15 @@ def radius_join(queries: DataFrame, base: DataFrame, sq_radius: float, config: K
     """(query_id, neighbor_id, d2): all points of `base` within the radius of each of `queries`, at it included."""
     if (dims := dimension(base)) is None:
         return _none(base).drop("rank")
-    rows = base.count()
-    tree = partition(base, rows, dims, config)
-    size = _block_rows(base.sparkSession, rows, tree, config)
-    celled = staged(with_cell(base.select(F.col("id").alias("loc"), "coords", F.lit(1).alias("m")), tree), "celled")
-    blocks = staged(_blocks(celled, "cell", size, ["loc", "m"]), "base-blocks")
-    placed = with_cell(queries.select(F.col("id").alias("q"), "coords"), tree).withColumn("bound", F.lit(float(sq_radius)))
-    met = placed.select("q", "coords", "bound", "cell")
-    if tree.cells > 1:
-        met = met.unionByName(routes(placed, cell_table(celled, dims), tree))
-    near = _meet(staged(_blocks(met, "cell", size, ["q", "bound"]), "query-blocks"), blocks, None, dims, False)
+    with scope(base.sparkSession) as own:
+        rows = base.count()
+        tree = partition(base, rows, dims, config)
+        size = _block_rows(base.sparkSession, rows, tree.cells, config)
+        celled = staged(with_cell(base.select(F.col("id").alias("loc"), "coords", F.lit(1).alias("m")), tree), "celled")
+        blocks = own.keep(staged(_blocks(celled, "cell", size, ["loc", "m"]), "base-blocks"))
+        placed = with_cell(queries.select(F.col("id").alias("q"), "coords"), tree).withColumn("bound", F.lit(float(sq_radius)))
+        met = placed.select("q", "coords", "bound", "cell")
+        if tree.cells > 1:
+            met = met.unionByName(routes(placed, cell_table(celled, dims), tree).select(met.columns))
+        near = _meet(own.keep(staged(_blocks(met, "cell", size, ["q", "bound"]), "query-blocks")), blocks, None, dims, False)
     return near.select(F.col("q").alias("query_id"), F.explode("near").alias("n")).select("query_id", F.col("n.loc").alias("neighbor_id"), F.col("n.d2").alias("d2"))

@@ -12,6 +12,8 @@ from .config import DEFAULT_K, KnnConfig
 from .functions import box_distance, hyperplane_offset, right_of, sq_distance, sq_distance_float32
 from .operators import stats
 from .operators.cells import CellTree, Node, cell_offsets, cell_table, global_numbers, level_tree, owner_of, sample_tree, with_cell
+from .operators.density import density_peaks as peaks_of
+from .operators.density import kstar_density as kstar_of
 from .operators.density import two_nn_dimension
 from .operators.knn import knn, knn_columns, knn_join, radius_join, routes
 from .operators.points import points
@@ -164,6 +166,29 @@ def upper_median(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.upper_median(table(spark, sf_dir, "part"), "p_retailprice", ["p_size"])
 
 
+ENDLESS = "CASE p_partkey % 40 WHEN 0 THEN 'NaN'::DOUBLE WHEN 1 THEN '-Infinity'::DOUBLE WHEN 2 THEN 'Infinity'::DOUBLE ELSE p_retailprice END"
+
+
+@query(f"""
+    WITH p AS (SELECT {ENDLESS} AS x FROM part), r AS (SELECT x, row_number() OVER (ORDER BY x) - 1 AS place, count(*) OVER () AS n FROM p),
+    s AS (SELECT unnest([0.0, 0.01, 0.25, 0.5, 0.9, 0.96, 1.0])::DOUBLE AS share),
+    a AS (SELECT DISTINCT share, share * (n - 1) AS position FROM s, (SELECT n FROM r LIMIT 1)),
+    e AS (SELECT share, position, l.x AS lower, u.x AS upper FROM a JOIN r l ON l.place = floor(position) JOIN r u ON u.place = ceil(position)),
+    f AS (SELECT share, CASE WHEN lower = upper THEN lower ELSE (1 - (position - floor(position))) * lower + (position - floor(position)) * upper END AS x FROM e)
+    SELECT 'quantile' AS what, share, CASE WHEN isnan(x) THEN 'NaN' WHEN isinf(x) THEN CASE WHEN x > 0 THEN 'Infinity' ELSE '-Infinity' END ELSE 'number' END AS kind, CASE WHEN isfinite(x) THEN x END AS x FROM f
+    UNION ALL SELECT 'median', g, CASE WHEN isnan(x) THEN 'NaN' WHEN isinf(x) THEN CASE WHEN x > 0 THEN 'Infinity' ELSE '-Infinity' END ELSE 'number' END, CASE WHEN isfinite(x) THEN x END
+    FROM (SELECT g, x, row_number() OVER (PARTITION BY g ORDER BY x) - 1 AS place, count(*) OVER (PARTITION BY g) AS n FROM (SELECT CAST(p_partkey % 10 AS DOUBLE) AS g, {ENDLESS} AS x FROM part)) WHERE place = n // 2
+""")
+def quantile_not_finite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quantiles and medians of a column with NaN and both infinities: in the order that has NaN last."""
+    x = F.expr("CASE p_partkey % 40 WHEN 0 THEN double('NaN') WHEN 1 THEN double('-Infinity') WHEN 2 THEN double('Infinity') ELSE p_retailprice END")
+    df = table(spark, sf_dir, "part").select(x.alias("x"), (F.col("p_partkey") % 10).cast("double").alias("g"))
+    found = stats.exact_quantiles(df, "x", [0.0, 0.01, 0.25, 0.5, 0.9, 0.96, 1.0]).select(F.lit("quantile").alias("what"), "share", "x")
+    medians = stats.upper_median(df, "x", ["g"]).select(F.lit("median").alias("what"), F.col("g").alias("share"), F.col("median").alias("x"))
+    number = stats.finite(F.col("x"))
+    return found.unionByName(medians).select("what", "share", F.when(number, "number").otherwise(F.col("x").cast("string")).alias("kind"), F.when(number, F.col("x")).alias("x"))
+
+
 # --- distances --------------------------------------------------------------------
 
 
@@ -222,12 +247,58 @@ def number_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
     return owner_of(global_numbers(celled).select(F.col("number").cast("long").alias("number")), cell_offsets(celled))
 
 
-@query("""
-    SELECT * FROM (VALUES (0, '0,-1,1,950.0,-Infinity,-Infinity,Infinity,Infinity'), (1, '1,-1,0,25.0,-Infinity,-Infinity,Infinity,950.0'), (2, '2,0,-1,0.0,-Infinity,-Infinity,25.0,950.0'), (3, '2,1,-1,0.0,25.0,-Infinity,Infinity,950.0'),
-    (4, '1,-1,0,25.0,-Infinity,950.0,Infinity,Infinity'), (5, '2,2,-1,0.0,-Infinity,950.0,25.0,Infinity'), (6, '2,3,-1,0.0,25.0,950.0,Infinity,Infinity')) t(place, line)
+def _node_line(level: str, owner: str, dim: str, value: str, bounds: list[str]) -> str:
+    return " || ',' || ".join([level, owner, dim, value, *bounds])
+
+
+_LOW, _HIGH = "'-Infinity'", "'Infinity'"
+
+
+@query(f"""
+    WITH p AS (SELECT CAST(p_size AS DOUBLE) AS x, p_retailprice AS y FROM part),
+    r AS (SELECT x, y, row_number() OVER (ORDER BY y) AS i, count(*) OVER () AS n FROM p),
+    top AS (SELECT y AS a FROM r WHERE i = n // 2),
+    h AS (SELECT x, y, y > a AS side FROM p, top),
+    q AS (SELECT y, side, row_number() OVER (PARTITION BY side ORDER BY y) AS i, count(*) OVER (PARTITION BY side) AS n FROM h),
+    cuts AS (SELECT max(y) FILTER (NOT side) AS b, max(y) FILTER (side) AS c FROM q WHERE i = n // 2),
+    s AS (SELECT CAST(a AS VARCHAR) AS a, CAST(b AS VARCHAR) AS b, CAST(c AS VARCHAR) AS c, (SELECT bool_and(wide) FROM (SELECT max(y) - min(y) > max(x) - min(x) AS wide FROM h GROUP BY side)) AS wide FROM top, cuts)
+    SELECT 0 AS place, {_node_line("'0'", "'-1'", "'1'", "a", [_LOW, _LOW, _HIGH, _HIGH])} AS line FROM s WHERE wide
+    UNION ALL SELECT 1, {_node_line("'1'", "'-1'", "'1'", "b", [_LOW, _LOW, _HIGH, "a"])} FROM s
+    UNION ALL SELECT 2, {_node_line("'2'", "'0'", "'-1'", "'0.0'", [_LOW, _LOW, _HIGH, "b"])} FROM s
+    UNION ALL SELECT 3, {_node_line("'2'", "'1'", "'-1'", "'0.0'", [_LOW, "b", _HIGH, "a"])} FROM s
+    UNION ALL SELECT 4, {_node_line("'1'", "'-1'", "'1'", "c", [_LOW, "a", _HIGH, _HIGH])} FROM s
+    UNION ALL SELECT 5, {_node_line("'2'", "'2'", "'-1'", "'0.0'", [_LOW, "a", _HIGH, "c"])} FROM s
+    UNION ALL SELECT 6, {_node_line("'2'", "'3'", "'-1'", "'0.0'", [_LOW, "c", _HIGH, _HIGH])} FROM s
 """)
 def tree_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return node_lines(fixed_tree(), spark)
+    """The nodes of a tree of four cells made from all parts, as lines of text; the price is the widest dimension throughout."""
+    return node_lines(sample_tree(part2(spark, sf_dir), 4, 2), spark)
+
+
+def _price_tree(cells: int) -> CellTree:
+    """Cells by price, each ten wide but the first and the last, found by halves."""
+    tree, endless = CellTree(1), np.array([np.inf])
+
+    def add(level: int, first: int, last: int, low: np.ndarray, high: np.ndarray) -> int:
+        place = len(tree.nodes)
+        tree.nodes.append(Node(level, low, high, first if first == last else None))
+        if first < last:
+            middle = (first + last) // 2
+            cut = np.array([900.0 + 10 * middle])
+            node = tree.nodes[place]
+            node.dim, node.value = 0, float(cut[0])
+            node.left, node.right = add(level + 1, first, middle, low, cut), add(level + 1, middle + 1, last, cut, high)
+        return place
+
+    add(0, 0, cells - 1, -endless, endless)
+    return tree
+
+
+@query("SELECT p_partkey AS id, CAST(count(t.i) AS INTEGER) AS cell FROM part LEFT JOIN (SELECT unnest(range(127)) AS i) t ON p_retailprice > 900 + 10 * t.i GROUP BY p_partkey")
+def cell_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """128 cells, more than a CASE expression is made for: points are looked up in the nodes' arrays."""
+    pts = points(table(spark, sf_dir, "part"), "p_partkey", ["p_retailprice"])
+    return with_cell(pts, _price_tree(128)).select("id", "cell")
 
 
 @query(f"""
@@ -363,6 +434,25 @@ def knn_k300(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.sum("neighbor_id").alias("ids"), F.max("d2").alias("radius"), F.sum("rank").alias("ranks"))
 
 
+@query(f"SELECT query_id, count(*) AS n, CAST(sum(neighbor_id) AS BIGINT) AS ids, max(d2) AS radius, CAST(sum(rank) AS BIGINT) AS ranks FROM ({_knn_sql(PART2, 120)}) GROUP BY query_id")
+def knn_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """More neighbours than a cell has points, visiting the nearest cells first, one in the first round."""
+    near = knn(part2(spark, sf_dir), 120, KnnConfig(cell_rows=48, block_rows=48, first_routes=1))
+    return near.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.sum("neighbor_id").alias("ids"), F.max("d2").alias("radius"), F.sum("rank").alias("ranks"))
+
+
+@query(_knn_sql(CUSTOMER2, 10))
+def knn_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells that are one block each, whose index a task searches."""
+    return knn(points(table(spark, sf_dir, "customer"), "c_custkey", ["c_nationkey", "c_acctbal"]), 10, KnnConfig(cell_rows=2048, block_rows=4096))
+
+
+@query(_knn_sql(EMB64, 10))
+def knn_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """64 dimensions in cells of pivots; where these exclude too little, all blocks meet."""
+    return knn(emb64(spark, sf_dir), 10, KnnConfig(cell_rows=32, block_rows=64))
+
+
 @query(f"SELECT p.place, neighbor_id, d2, rank FROM ({_knn_sql(PART2, 3)}) k JOIN (SELECT p_partkey, row_number() OVER (ORDER BY p_partkey) - 1 AS place FROM part) p ON k.query_id = p.p_partkey")
 def neighbour_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Neighbours written as packed pairs and read back; a query is its place in order."""
@@ -371,17 +461,45 @@ def neighbour_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_neighbours(spark, path, 3)
 
 
+NATION2 = "SELECT n_nationkey::BIGINT AS id, [CAST(n_nationkey AS DOUBLE), CAST(n_regionkey AS DOUBLE)] AS v FROM nation"
+
+
+@query(f"SELECT p.place, neighbor_id, d2, rank FROM ({_knn_sql(NATION2, 40, CUSTOMER2)}) k JOIN (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) - 1 AS place FROM customer) p ON k.query_id = p.c_custkey")
+def neighbour_files_short(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lists that are shorter than k, as there are fewer points, written as packed pairs and read back."""
+    path = scratch_path(spark, "neighbours")
+    queries = points(table(spark, sf_dir, "customer"), "c_custkey", ["c_nationkey", "c_acctbal"])
+    write_neighbours(nested(knn_join(queries, points(table(spark, sf_dir, "nation"), "n_nationkey", ["n_nationkey", "n_regionkey"]), 40)), path, 40)
+    return read_neighbours(spark, path)
+
+
 @query(f"""
     WITH r AS (SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS id, [CAST(p_size::FLOAT AS DOUBLE), CAST(p_retailprice::FLOAT AS DOUBLE)] AS v FROM part)
-    SELECT query_id, count(*) AS n, string_agg(neighbor_id, ',' ORDER BY rank) AS ids, max(d2) AS radius FROM ({_knn_sql("SELECT id, v FROM r", 4)}) GROUP BY query_id
+    SELECT query_id, count(*) AS n, string_agg(neighbor_id, ',' ORDER BY rank) AS ids, max(d2) AS radius, true AS in_cell FROM ({_knn_sql("SELECT id, v FROM r", 4)}) GROUP BY query_id
 """)
 def whole_run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole run over a raw file of 32-bit floats: points, statistics, cells, nodes and neighbours written; the neighbours read back."""
+    """The whole run over a raw file of 32-bit floats: points, statistics, cells, nodes and neighbours written; the neighbours
+    read back, and whether the point lies in the cell of the written nodes whose folder it is in."""
     raw, out = scratch_path(spark, "raw"), scratch_path(spark, "run")
     write_points(part2(spark, sf_dir), raw, "f32")
     run(spark, raw, KnnConfig(k=4, dims=2, dtype="f32", cell_rows=500), out)
-    near = spark.read.parquet(f"{out}/neighbours")
-    return near.select("query_id", F.size("neighbors").cast("long").alias("n"), F.array_join(F.col("neighbors.array_idx").cast("array<string>"), ",").alias("ids"), F.array_max("neighbors.value").alias("radius"))
+    node = F.split("value", ",").cast("array<double>")
+    leaves = spark.read.text(f"{out}/nodes").select(node.alias("n")).where("n[1] >= 0").select(F.col("n")[1].cast("int").alias("owner"), F.slice("n", 5, 2).alias("low"), F.slice("n", 7, 2).alias("high"))
+    inside = F.forall(F.arrays_zip("coords", "low", "high"), lambda z: (z["coords"] > z["low"]) & (z["coords"] <= z["high"]))
+    placed = spark.read.parquet(f"{out}/points").join(leaves, F.col("cell") == F.col("owner")).select("id", inside.alias("in_cell"))
+    near = spark.read.parquet(f"{out}/neighbours").join(placed, F.col("query_id") == F.col("id"))
+    return near.select("query_id", F.size("neighbors").cast("long").alias("n"), F.array_join(F.col("neighbors.array_idx").cast("array<string>"), ",").alias("ids"), F.array_max("neighbors.value").alias("radius"), "in_cell")
+
+
+@query("""
+    SELECT unnest(['points', 'stats', 'cells', 'neighbours', 'offsets']) AS phase, unnest([n, 2, n, 4 * n, 4]) AS rows, true AS timed FROM (SELECT count(*) AS n FROM part)
+""")
+def run_phases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of each phase of a run, as its own passes count them."""
+    raw = scratch_path(spark, "raw")
+    write_points(part2(spark, sf_dir), raw, "f64")
+    n = table(spark, sf_dir, "part").count()
+    return run(spark, raw, KnnConfig(k=4, dims=2, cell_rows=-(-n // 4))).phases.select("phase", "rows", (F.col("seconds") > 0).alias("timed"))
 
 
 @query(f"SELECT query_id, string_agg(neighbor_id, ',' ORDER BY rank) AS ids, max(d2) AS radius FROM ({_knn_sql(EMB64, 5)}) GROUP BY query_id")
@@ -419,6 +537,39 @@ def knn_label_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
 def two_nn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return two_nn_dimension(knn(emb5(spark, sf_dir), 3)).withColumn("dimension", F.round("dimension", 6))
 
+#: Densities by the rule of `operators.density.kstar_density`, in two dimensions and lists of 40.
+_KSTAR = f"""
+    near AS ({_knn_sql(PART2, 40)}),
+    pair AS (SELECT a.query_id, a.rank - 1 AS k, a.d2 AS own, c.d2 AS other FROM near a JOIN near b ON a.query_id = b.query_id AND b.rank = a.rank + 1 JOIN near c ON c.query_id = b.neighbor_id AND c.rank = a.rank WHERE a.rank > 3),
+    stop AS (SELECT query_id, min(k) AS first FROM pair WHERE CASE WHEN own > 0 AND other > 0 THEN 2 * k * ln((own + other) * (own + other) / (4 * own * other)) WHEN own = other THEN 0 ELSE 'Infinity'::DOUBLE END >= 23.92812698 GROUP BY query_id),
+    most AS (SELECT query_id, max(rank) - 2 AS most FROM near GROUP BY query_id HAVING max(rank) - 2 >= 3),
+    star AS (SELECT query_id, CAST(coalesce(first - 1, most) AS INTEGER) AS kstar FROM most LEFT JOIN stop USING (query_id)),
+    dense AS (SELECT s.query_id, kstar, d2, CASE WHEN d2 > 0 THEN kstar / (pi() * (SELECT count(*) FROM part) * d2) ELSE 'Infinity'::DOUBLE END AS density FROM star s JOIN near n ON s.query_id = n.query_id AND n.rank = s.kstar + 1)
+"""
+
+
+def _kstar(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    pts = part2(spark, sf_dir)
+    near = knn(pts, 40)
+    return near, kstar_of(near, 2, pts.count())
+
+
+@query(f"WITH {_KSTAR} SELECT query_id, kstar, d2, round(density, 9) AS density FROM dense")
+def kstar_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _kstar(spark, sf_dir)[1].withColumn("density", F.round("density", 9))
+
+
+@query(f"""
+    WITH RECURSIVE {_KSTAR},
+    step AS (SELECT d.query_id, coalesce(arg_min(n.neighbor_id, n.rank), d.query_id) AS up FROM dense d LEFT JOIN (SELECT n.*, o.density AS other FROM near n JOIN dense o ON n.neighbor_id = o.query_id WHERE n.query_id != n.neighbor_id) n
+             ON d.query_id = n.query_id AND n.rank <= d.kstar + 1 AND (n.other > d.density OR n.other = d.density AND n.neighbor_id < d.query_id) GROUP BY d.query_id),
+    climb AS (SELECT query_id, up AS peak FROM step UNION SELECT climb.query_id, step.up FROM climb JOIN step ON climb.peak = step.query_id)
+    SELECT climb.query_id, climb.peak FROM climb JOIN step ON climb.peak = step.query_id AND step.up = climb.peak
+""")
+def density_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The peak that each part climbs to, through denser and denser neighbours."""
+    return peaks_of(*_kstar(spark, sf_dir))
+
 
 @query(_knn_sql(PART2, 5))
 def topk_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -427,6 +578,33 @@ def topk_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge_top_k([knn_join(pts, pts.where(F.col("id") % 2 == r), 5, SMALL_CELLS) for r in (0, 1)], 5)
 
 
+REPEATED2 = "SELECT p_partkey % 97 AS id, [CAST(p_size % 5 AS DOUBLE), floor(p_retailprice / 100)] AS v FROM part"
+
+
+def repeated2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = table(spark, sf_dir, "part").select((F.col("p_partkey") % 97).alias("id"), (F.col("p_size") % 5).alias("x"), F.expr("floor(p_retailprice / 100)").alias("y"), (F.col("p_partkey") % 2).alias("odd"))
+    return points(part.where("odd = 0"), "id", ["x", "y"]), points(part.where("odd = 1"), "id", ["x", "y"])
+
+
+@query(_rows_sql("SELECT s_suppkey AS n, s_suppkey AS id, [CAST(s_nationkey % 5 AS DOUBLE), floor(s_acctbal / 1000)] AS v FROM supplier", REPEATED2, 9))
+def topk_merge_repeated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Neighbours among two parts of a base whose ids and places repeat, merged: those among all, each row for itself."""
+    queries = points(table(spark, sf_dir, "supplier").select("s_suppkey", (F.col("s_nationkey") % 5).alias("x"), F.expr("floor(s_acctbal / 1000)").alias("y")), "s_suppkey", ["x", "y"])
+    return merge_top_k([knn_join(queries, base, 9, SMALL_CELLS) for base in repeated2(spark, sf_dir)], 9, disjoint=True)
+
+
+@query(f"""
+    WITH k AS (SELECT n, query_id, neighbor_id, d2, rank FROM ({_rows_sql("SELECT s_suppkey AS n, s_suppkey % 7 AS id, [CAST(s_nationkey AS DOUBLE), CAST(s_acctbal AS DOUBLE)] AS v FROM supplier", CUSTOMER2, 4).replace("SELECT query_id, neighbor_id", "SELECT n, query_id, neighbor_id")}))
+    SELECT query_id, ids, radius, count(*) AS queries FROM (SELECT n, any_value(query_id) AS query_id, string_agg(neighbor_id, ',' ORDER BY rank) AS ids, max(d2) AS radius FROM k GROUP BY n) GROUP BY ALL
+""")
+def knn_nested_repeated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lists of queries whose ids repeat: one for each row."""
+    queries = points(table(spark, sf_dir, "supplier").select((F.col("s_suppkey") % 7).alias("id"), "s_nationkey", "s_acctbal"), "id", ["s_nationkey", "s_acctbal"])
+    lists = nested(knn_join(queries, points(table(spark, sf_dir, "customer"), "c_custkey", ["c_nationkey", "c_acctbal"]), 4, keyed=True))
+    told = lists.select("query_id", F.array_join(F.col("neighbors.array_idx").cast("array<string>"), ",").alias("ids"), F.array_max("neighbors.value").alias("radius"))
+    return told.groupBy("query_id", "ids", "radius").agg(F.count(F.lit(1)).alias("queries"))
+
+
 @query(_knn_sql(TIES2, 4))
 def sort_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sorted_neighbours(knn(ties2(spark, sf_dir), 4, SMALL_CELLS))

@@ -25,6 +25,8 @@ from ..config import DTYPES
 RANGE, BATCH = 32 << 20, 1 << 14
 #: A neighbour as it is packed, and the file that names the files of a folder that count.
 PAIR, LISTED = np.dtype([("value", "<f8"), ("array_idx", "<u8")]), "_files"
+#: The file that says how many pairs a query has, and, a fixed value, the id that stands for no neighbour.
+LENGTH, NONE = "_length", 2**64 - 1
 
 
 def _open(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
@@ -56,6 +58,8 @@ class RawReader(DataSourceReader):
         else:
             found = fs.get_file_info(pyarrow.fs.FileSelector(root)) if info.type == pyarrow.fs.FileType.Directory else [info]
         found = sorted((f for f in found if f.type == pyarrow.fs.FileType.File and not f.base_name.startswith((".", "_"))), key=lambda f: f.base_name)
+        if not found and fs.get_file_info(f"{root}/{LISTED}").type == pyarrow.fs.FileType.File:
+            return [RawRange(root, 0, 0, 0)]  # written without rows
         if not found:
             raise FileNotFoundError(self.path)
         row, out, first = self.dims * self.kind.itemsize, [], 0
@@ -66,6 +70,8 @@ class RawReader(DataSourceReader):
         return out or [RawRange(found[0].path, 0, 0, 0)]
 
     def read(self, partition: RawRange) -> Iterator[pa.RecordBatch]:
+        if not partition.rows:
+            return
         fs, _ = _open(self.path)
         width = self.dims * self.kind.itemsize
         with fs.open_input_file(partition.file) as source:
@@ -125,6 +131,7 @@ def _listed(made: DataFrame, path: str) -> list[str]:
     """The names of the files `made`, in order, also written beside them."""
     names = [r["file"] for r in made.orderBy("part").collect() if r["rows"]]  # a row a file
     fs, root = _open(path)
+    fs.create_dir(root, recursive=True)  # there may have been no rows
     with fs.open_output_stream(f"{root}/{LISTED}", compression=None) as out:
         out.write("\n".join(names).encode())
     return names
@@ -151,17 +158,38 @@ def write_points(pts: DataFrame, path: str, dtype: str = "f64") -> list[str]:
     return _listed(made, path)
 
 
-def write_neighbours(nested: DataFrame, path: str) -> list[str]:
-    """Write (query_id, neighbors) in order of query as packed (value f64, array_idx u64) pairs; the names of the files."""
-    flat = nested.select("query_id", F.col("neighbors.value").alias("value"), F.col("neighbors.array_idx").alias("array_idx")).repartitionByRange("query_id").sortWithinPartitions("query_id")
+def write_neighbours(nested: DataFrame, path: str, k: int | None = None) -> list[str]:
+    """Write (query_id, neighbors) in order of query as packed (value f64, array_idx u64) pairs, `k` of each query, or as
+    many as the longest list has; the names of the files. What a shorter list lacks is filled with NONE at an infinite
+    distance. The number of pairs a query is kept beside the files."""
+    longest = nested.agg(F.max(F.size("neighbors"))).first()[0] or 0
+    k = longest if k is None else k
+    if longest > k:
+        raise ValueError(f"a list of {longest} neighbours does not fit into {k}")
+    order = [c for c in ("query_id", "query_row") if c in nested.columns]
+    flat = nested.select(*order, F.col("neighbors.value").alias("value"), F.col("neighbors.array_idx").alias("array_idx")).repartitionByRange(*order).sortWithinPartitions(*order)
 
     def pack(part: pd.DataFrame) -> bytes:
-        out = np.empty(int(part["value"].map(len).sum()), PAIR)
-        for c in PAIR.names:
-            out[c] = np.concatenate(part[c].to_list()) if len(part) else 0
+        out = np.empty((len(part), k), PAIR)
+        out["value"], out["array_idx"] = np.inf, NONE
+        for row, (value, ids) in enumerate(zip(part["value"], part["array_idx"])):
+            out["value"][row, : len(value)], out["array_idx"][row, : len(ids)] = value, ids
         return out.tobytes()
 
-    return _listed(_write(flat, path, "ngbh", pack), path)
+    files = _listed(_write(flat, path, "ngbh", pack), path)
+    fs, root = _open(path)
+    with fs.open_output_stream(f"{root}/{LENGTH}", compression=None) as out:
+        out.write(str(k).encode())
+    return files
+
+
+def neighbours_a_query(path: str) -> int | None:
+    """How many pairs a query has in a folder that was written here."""
+    fs, root = _open(path)
+    if fs.get_file_info(f"{root}/{LENGTH}").type != pyarrow.fs.FileType.File:
+        return None
+    with fs.open_input_stream(f"{root}/{LENGTH}") as source:
+        return int(source.read())
 
 
 class RawPairReader(RawReader):
@@ -187,8 +215,15 @@ class RawPairs(DataSource):
         return RawPairReader({**self.options, "dims": 1})
 
 
-def read_neighbours(spark: SparkSession, path: str, k: int) -> DataFrame:
-    """(place, neighbor_id, d2, rank) of packed neighbours, `k` of each query; a query is its place in order."""
+def read_neighbours(spark: SparkSession, path: str, k: int | None = None) -> DataFrame:
+    """(place, neighbor_id, d2, rank) of packed neighbours; a query is its place in order. `k` is needed where the folder does
+    not say how many pairs a query has."""
+    told = neighbours_a_query(path)
+    if k is None and told is None:
+        raise ValueError("k is needed: the folder does not say how many neighbours a query has")
+    if k is not None and told is not None and k != told:
+        raise ValueError(f"the folder has {told} neighbours a query, not {k}")
+    k = max(1, told if k is None else k)
     spark.dataSource.register(RawPairs)
-    pairs = spark.read.format("rawpairs").load(path)
+    pairs = spark.read.format("rawpairs").load(path).where(F.col("neighbor_id") != int(np.uint64(NONE).astype(np.int64)))
     return pairs.select(F.floor(F.col("id") / k).alias("place"), "neighbor_id", "d2", (F.col("id") % k + 1).cast("int").alias("rank"))

@@ -9,8 +9,8 @@ from ..operators.cells import CellTree
 
 
 def write_cells(celled: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """Points as Parquet, a folder for each cell."""
-    celled.repartition("cell").write.mode(mode).partitionBy("cell").parquet(path)
+    """Points as Parquet, a folder for each cell. Points are ranged by (cell, id): a task holds a few cells or a part of one."""
+    celled.repartitionByRange("cell", "id").write.mode(mode).partitionBy("cell").parquet(path)
 
 
 def write_table(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
