@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from vicinia.llm import decontamination, line_dedup, minhash, mixing, toxicity
 from vicinia.llm._common import staged, table
-from vicinia.staging import clear, mark, release
+from vicinia.staging import release, scope
 
 #: A document of this score or more is rejected.
 TOXIC = 0.7
@@ -62,9 +62,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        since = mark(spark)
-        kept = staged(stage(spark, docs, sf_dir), f"pipeline-{name}")
-        clear(spark, since, keep=kept)
+        with scope(spark) as own:
+            kept = own.keep(staged(stage(spark, docs, sf_dir), f"pipeline-{name}"))
         release(docs)
         docs = kept
     return STAGES[-1][1](spark, docs, sf_dir)
