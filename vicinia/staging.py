@@ -39,7 +39,7 @@ class Scope:
 
     def close(self) -> None:
         for path in self.paths:
-            _delete(self.spark, path)
+            discard(self.spark, path)
         self.paths.clear()
 
 
@@ -94,7 +94,8 @@ def staged(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     return out
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete the folder of a `scratch_path`."""
     made = _MADE.get(spark.sparkContext.applicationId, {})
     if path in made:
         del made[path]
@@ -106,10 +107,10 @@ def release(*tables: DataFrame) -> None:
     """Delete staged tables that nothing reads any longer."""
     for table in tables:
         if (path := _STAGED.pop(table, None)) is not None:
-            _delete(table.sparkSession, path)
+            discard(table.sparkSession, path)
 
 
 def clear(spark: SparkSession) -> None:
     """Delete all that the application has written; results that still read it are lost."""
     for path in left(spark):
-        _delete(spark, path)
+        discard(spark, path)
