@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..skew import hot_keys, spread_join
-from ..staging import release, scratch_path, staged
+from ..staging import discard, release, scratch_path, staged
 
-__all__ = ["SPACES", "WORD", "fresh", "hot_keys", "release", "rows_id", "scratch_path", "spread_join", "staged", "table", "text_key", "text_or_empty"]
+__all__ = ["SPACES", "WORD", "discard", "fresh", "hot_keys", "release", "rows_id", "scratch_path", "spread_join", "staged", "table", "text_key", "text_or_empty"]
 
 #: The white space that separates words in every contract here: U+0020 and U+0009 to U+000D.
 SPACES = " \t\n\x0b\x0c\r"

@@ -4,12 +4,14 @@ A run is a bucketed, sorted table of (h1, h2, n): 128 bits of a line's key and
 the number of documents seen with it. Every batch of documents is counted,
 merge-anti-joined with the keys that are already known to be frequent, and
 added as a run of its own; when a level holds `fanout` runs they are compacted
-by one merge aggregation into a run of the next level, and keys that have
-reached the threshold move to the frequent table. All tables are bucketed alike, so
+by one merge aggregation into a run of the next level, which is written once: its
+keys that have reached the threshold are the frequent ones, and the next merge leaves
+them out as it reads. All tables are bucketed alike, so
 a merge of two runs takes no shuffle: a task reads one bucket of each, puts their
 rows in order (Spark sorts again what is sorted already) and writes that bucket of
 the next run. (With a `fanout` above 2, the third run and every further one is met by
-a shuffle of what is merged so far.) The runs are dropped at the end, be it an error.
+a shuffle of what is merged so far.) Their files lie in the shared folder, in as many
+buckets as the keys' number asks for; runs are dropped at the end, be it an error.
 Nothing depends on the batches' order or number but the work.
 
 Nulls and edges: a null or empty text is one empty line with an empty key; with
@@ -26,10 +28,12 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import SPACES, fresh, release, staged, text_key, text_or_empty
+from ._common import SPACES, discard, fresh, release, scratch_path, staged, text_key, text_or_empty
 
 BATCHES = 4
 FANOUT = 2
+#: Keys of a bucket, about, where there are more buckets than shuffle partitions.
+BUCKET_KEYS = 1 << 21
 
 
 def line_key(line: Column) -> Column:
@@ -60,25 +64,31 @@ class LineRuns:
         self.name = f"line_runs_{uuid.uuid4().hex}"
         self.levels: list[list[str]] = []
         self.frequent: list[str] = []
-        self.made = 0
+        self.merged: set[str] = set()  # runs whose frequent keys are told apart: a merge leaves these out
+        self.paths: dict[str, str] = {}
 
     def _write(self, rows: DataFrame, in_place: bool = False) -> str:
         """A run of `rows`; `in_place`, each task holds the rows of one bucket already."""
-        name = f"{self.name}_{self.made}"
-        self.made += 1
+        name = f"{self.name}_{len(self.paths)}"
+        self.paths[name] = scratch_path(self.spark, name)
         keys = ["h1", "h2"]  # both, as a join takes tables as co-located only where its keys are the buckets'
-        (rows if in_place else rows.repartition(self.buckets, *keys)).write.bucketBy(self.buckets, *keys).sortBy(*keys).saveAsTable(name)
+        (rows if in_place else rows.repartition(self.buckets, *keys)).write.bucketBy(self.buckets, *keys).sortBy(*keys).option("path", self.paths[name]).saveAsTable(name)
         return name
 
     def _drop(self, names: list[str]) -> None:
         for name in names:
             self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+            discard(self.spark, self.paths[name])
+
+    def _read(self, name: str) -> DataFrame:
+        rows = self.spark.table(name)
+        return rows.where(F.col("n") < self.min_docs) if name in self.merged else rows
 
     def _union(self, names: list[str]) -> DataFrame:
         """The named runs' rows, bucket by bucket: each is read without a shuffle and summed with its like."""
-        summed = self.spark.table(names[0])
+        summed = self._read(names[0])
         for name in names[1:]:
-            other = self.spark.table(name).select(F.col("h1").alias("o1"), F.col("h2").alias("o2"), F.col("n").alias("m"))
+            other = self._read(name).select(F.col("h1").alias("o1"), F.col("h2").alias("o2"), F.col("n").alias("m"))
             summed = summed.join(other, (F.col("h1") == F.col("o1")) & (F.col("h2") == F.col("o2")), "full").select(
                 F.coalesce("h1", "o1").alias("h1"), F.coalesce("h2", "o2").alias("h2"), (F.coalesce("n", F.lit(0)) + F.coalesce("m", F.lit(0))).alias("n")
             )
@@ -99,15 +109,15 @@ class LineRuns:
 
     def _compact(self, level: int) -> None:
         names, self.levels[level] = self.levels[level], []
-        merged, in_place = self._union(names), len(names) == 2
-        self.frequent.append(self._write(merged.where(F.col("n") >= self.min_docs), in_place))
-        rest = self._write(merged.where(F.col("n") < self.min_docs), in_place)
+        run = self._write(self._union(names), len(names) == 2)
+        self.frequent.append(self._write(self.spark.table(run).where(F.col("n") >= self.min_docs)))
+        self.merged.add(run)
         self._drop(names)
-        self._push(level + 1, rest)
+        self._push(level + 1, run)
 
     def drop(self) -> None:
         """Drop every run there is or was."""
-        self._drop([f"{self.name}_{i}" for i in range(self.made)])
+        self._drop(list(self.paths))
 
     def found(self) -> DataFrame:
         """The (h1, h2) of all keys found in `min_docs` documents or more, staged."""
@@ -131,7 +141,9 @@ def frequent_lines(hashed: DataFrame, min_docs: int, batches: int = BATCHES, fan
     """(h1, h2) of the line keys in at least `min_docs` rows of `hashed`."""
     lines = hashed.select(F.pmod(F.xxhash64("key"), F.lit(batches)).cast("int").alias("batch"), F.explode(F.array_distinct("lines")).alias("h")).where("h is not null")
     counts = staged(lines.groupBy("batch", F.col("h.a").alias("h1"), F.col("h.b").alias("h2")).agg(F.count(F.lit(1)).alias("n")).select("h1", "h2", "n", "batch"), "line-counts", "batch")
-    runs = LineRuns(hashed.sparkSession, min_docs, fanout)
+    spark = hashed.sparkSession
+    wide = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-counts.count() // (BUCKET_KEYS * batches)))  # counted from the files' footers
+    runs = LineRuns(spark, min_docs, fanout, wide)
     try:
         for batch in range(batches):
             runs.add(counts.where(F.col("batch") == batch).drop("batch"))
