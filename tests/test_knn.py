@@ -180,6 +180,21 @@ def tree_of(x, cells):
     return tree
 
 
+@pytest.mark.parametrize("dims, grid, k", [(2, None, 6), (3, 4, 5), (1, 40, 9)])
+def test_a_tree_of_two_levels(spark, dims, grid, k):
+    """With four cells shipped and fifty wanted: neighbours of all points, and of queries that lie elsewhere, as by brute force."""
+    pts = rows(rng(51), 200, dims, grid)
+    config = KnnConfig(cell_rows=4, block_rows=4, routed_cells=4)
+    ready = prepare(frame(spark, pts), k, config)
+    cells = ready.locs.select("cell").distinct().count()
+    assert ready.tree.cells == 4 and ready.lower is not None and cells > 8
+    assert ready.locs.count() == ready.rows == len({tuple(c) for _, c in pts})
+    assert as_dict(knn(frame(spark, pts), k, config)) == brute(pts, pts, k)
+    q = [(i, (3 * np.array(c) - 1).tolist()) for i, (_, c) in enumerate(rows(rng(52), 40, dims))] + [(99, pts[0][1])]
+    assert as_dict(knn_join(frame(spark, q), ready, k, config)) == brute(q, pts, k)
+    assert as_dict(knn(frame(spark, pts), 30, config, float32=True)).keys() == brute(pts, pts, 30).keys()
+
+
 def test_rounds_drop_what_a_nearer_cell_has_ruled_out(spark, monkeypatch):
     """On clustered points, visiting the nearest cells first leaves fewer meetings, at the same answer."""
     r = rng(23)

@@ -149,7 +149,12 @@ def sample_tree(pts: DataFrame, cells: int, dims: int, policy: str = "widest", r
         sample = pts.select("coords").limit(2 * most).toPandas()["coords"]  # the limit only bounds what chance might add
     else:
         sample = pd.Series([], dtype=object)
-    coords = np.array(sample.to_list(), float).reshape(len(sample), dims)
+    return split_sample(sample.to_list(), cells, dims, policy)
+
+
+def split_sample(sample: list, cells: int, dims: int, policy: str) -> CellTree:
+    """A tree of at most `cells` leaves by medians of the points of `sample`."""
+    coords = np.array(sample, float).reshape(len(sample), dims)
     endless = np.full(dims, np.inf)
     tree = CellTree(dims, [Node(0, -endless, endless)])
     made, queue = 0, deque([(0, np.arange(len(coords)), cells)])

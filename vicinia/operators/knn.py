@@ -3,7 +3,8 @@
 Points of equal coordinates are one location with its k least ids, so that no
 crowd of copies meets itself. Locations are put into cells: leaves of a tree of boxes,
 or, in many dimensions, what is nearest to one of a few pivots. In the local phase
-every query meets the blocks of its own cell, which gives it a radius: its k-th
+every query meets the blocks of its own cell (where there are more cells than can be
+shipped to tasks, the tree has a lower level that is joined as a table), which gives it a radius: its k-th
 distance there, or, if the cell holds fewer than k points, the distance within which
 the cells that lie wholly there hold k. In the remote phase it meets the cells
 that can lie within that radius - at it, too, where a smaller id may wait -, the
@@ -37,6 +38,7 @@ from ..functions import sq_distance
 from ..skew import hot_keys, spread_join
 from ..staging import release, scope, staged
 from .cells import CellTree, cell_table, flat_coords, sample_tree, with_cell
+from .deep import lower_routes, lower_trees, with_lower_cell
 from .kernel import box_distances, boxes_within, counted_bounds, indexed_within, within
 from .pivots import MOST_PIVOTS, SLACK, SLACK32, Pivots, counted_radius, distances, gaps, pivot_table, sample_pivots, with_pivot_cell
 
@@ -238,7 +240,8 @@ class Prepared:
     """A base made ready for searches: its locations (loc, coords, ids, m, cell) and their blocks, staged; `rows` of them.
 
     `crowded`: some place has more than one point, or ids repeat, so that a location stands for other ids than its own.
-    `pivots` and their table are there in place of boxes in many dimensions.
+    `pivots` and their table are there in place of boxes in many dimensions, and `lower` (staged) are the trees below the
+    cells of `tree` where there are more cells than can be shipped; `upper` are then the boxes of the tree's own cells.
     """
 
     locs: DataFrame
@@ -253,17 +256,29 @@ class Prepared:
     config: KnnConfig
     pivots: Pivots | None = None
     table: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
+    lower: DataFrame | None = None
+    upper: DataFrame | None = None
 
     def with_cell(self, rows: DataFrame) -> DataFrame:
-        return with_cell(rows, self.tree) if self.pivots is None else with_pivot_cell(rows, self.pivots)
+        if self.pivots is not None:
+            return with_pivot_cell(rows, self.pivots)
+        celled = with_cell(rows, self.tree)
+        return celled if self.lower is None else with_lower_cell(celled, self.lower, self.dims)
 
     @property
     def n_cells(self) -> int:
         return self.tree.cells if self.pivots is None else self.pivots.cells
 
+    def routes(self, bounded: DataFrame, k: int, float32: bool) -> DataFrame:
+        """Where `bounded` (q, coords, cell, bound) have to look beyond their own cells."""
+        if self.lower is None:
+            return routes(bounded, self.cells, self.tree, k, float32)
+        upper = routes(bounded.withColumn("cell", F.lit(-1)), self.upper, self.tree, k, float32)  # the query's own among them
+        return lower_routes(upper, self.lower, self.cells, self.dims, float32)
+
     def release(self) -> None:
         """Delete what was staged of it."""
-        release(self.locs, self.blocks)
+        release(self.locs, self.blocks, *[t for t in (self.lower, self.upper) if t is not None])
 
 
 def _repeat(ids: DataFrame) -> bool:
@@ -283,17 +298,23 @@ def prepare(base: DataFrame, k: int, config: KnnConfig = KnnConfig(), tree: Cell
             crowded = True
             locs = staged(locs.orderBy("loc", "coords").withColumn("loc", F.monotonically_increasing_id()), "numbered-locations")
         named, weighed = locs.select(F.col("loc").alias("id"), "coords"), locs.withColumn("m", F.size("ids"))
-        pivots = table = None
+        pivots = table = lower = upper = None
+        deep = tree is None and dims <= PRUNED_DIMS and -(-rows // config.cell_rows) > config.routed_cells
         if tree is None and dims > PRUNED_DIMS and (wanted := cells_for(rows, dims, config)) > 1:
             found = sample_pivots(named, rows, dims, wanted)
             pivots = found if found.cells > 1 else None
         tree = tree if tree is not None else partition(named, rows, dims, config)
-        locs = own.keep(staged(with_cell(weighed, tree) if pivots is None else with_pivot_cell(weighed, pivots), "celled"))
+        celled = staged(with_cell(weighed, tree) if pivots is None else with_pivot_cell(weighed, pivots), "celled")
+        if deep and tree.cells > 1:
+            upper = own.keep(staged(cell_table(celled, dims, "m"), "upper-cells"))
+            lower = own.keep(staged(lower_trees(celled.select(F.col("loc").alias("id"), "coords", "cell"), tree, rows, -(-rows // config.cell_rows), config.policy), "lower-cells"))
+            celled = staged(with_lower_cell(celled, lower, dims), "celled")
+        locs = own.keep(celled)
         if pivots is not None:
             table = pivot_table(locs, pivots, "m")
         size = _block_rows(base.sparkSession, rows, tree.cells if pivots is None else pivots.cells, config)
         blocks = own.keep(staged(_blocks(locs, "cell", size, ["loc", "m"]), "base-blocks"))
-        return Prepared(locs, blocks, cell_table(locs, dims, "m"), tree, k, dims, rows, size, crowded, config, pivots, table)
+        return Prepared(locs, blocks, cell_table(locs, dims, "m"), tree, k, dims, rows, size, crowded, config, pivots, table, lower, upper)
 
 
 def _as_queries(blocks: DataFrame) -> DataFrame:
@@ -321,7 +342,7 @@ def _search(queries: DataFrame | None, base: Prepared, k: int, float32: bool, co
     # A query whose cell has no points has met none; its bound stays infinite.
     bounded = placed.join(_bounds(near, k), F.col("q") == F.col("l_q"), "left").select("q", "coords", "cell", F.coalesce("l_bound", F.lit(float("inf"))).alias("bound"))
     if base.pivots is None:
-        routed = routes(bounded, base.cells, base.tree, k, float32)
+        routed = base.routes(bounded, k, float32)
     else:
         asked = bounded.count()
         n = pivot_routes(bounded, base.table, base.pivots, k, float32, counted=True).agg(F.sum("n")).first()[0] or 0

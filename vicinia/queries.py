@@ -441,6 +441,12 @@ def knn_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.sum("neighbor_id").alias("ids"), F.max("d2").alias("radius"), F.sum("rank").alias("ranks"))
 
 
+@query(_knn_sql(PART2, 7))
+def knn_two_level(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """More cells than may be shipped: eight are, and those below them are a table."""
+    return knn(part2(spark, sf_dir), 7, KnnConfig(cell_rows=32, block_rows=64, routed_cells=8))
+
+
 @query(_knn_sql(CUSTOMER2, 10))
 def knn_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cells that are one block each, whose index a task searches."""
