@@ -117,3 +117,33 @@ def test_points_outside_of_their_cells_stop_a_run(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(pipeline, "with_cell", lambda p, t: right(p, t).withColumn("cell", F.when(F.col("id") == 5, (F.col("cell") + 1) % 4).otherwise(F.col("cell"))))
     with pytest.raises(RuntimeError, match="1 points"):
         pipeline.run(spark, f"{tmp_path}/raw", config)
+
+
+def test_lost_attempts_leave_nothing(spark, tmp_path):
+    """A failing job leaves a folder as it was; of two attempts at a partition only the committed one is there."""
+    from pyspark.sql import functions as F
+    from vicinia.sources import raw
+
+    pts = spark.range(0, 40, 1, 4).selectExpr("id", "array(double(id), 1.0D) coords")
+    write_points(pts, f"{tmp_path}/out")
+    before = {f.name: f.read_bytes() for f in (tmp_path / "out").iterdir()}
+    failing = pts.withColumn("coords", F.when(F.col("id") == 33, F.raise_error(F.lit("lost")).cast("array<double>")).otherwise(F.col("coords")))
+    with pytest.raises(Exception, match="lost"):
+        failing.write.format("rawpoints").mode("append").save(f"{tmp_path}/out")
+    with pytest.raises(Exception, match="lost"):
+        failing.write.format("rawpoints").mode("append").save(f"{tmp_path}/new")
+    assert {f.name: f.read_bytes() for f in (tmp_path / "out").iterdir()} == before
+    assert not (tmp_path / "new").exists() or not list((tmp_path / "new").iterdir())
+    assert read_points(spark, f"{tmp_path}/out", 2).count() == 40
+
+    writer = raw.RawWriter({"path": f"{tmp_path}/twice", "dtype": "f64"})
+    raw_context, raw.TaskContext = raw.TaskContext, type("Context", (), {"get": staticmethod(lambda: type("T", (), {"partitionId": lambda self: 0})())})
+    try:
+        batch = raw.pa.RecordBatch.from_pydict({"id": [0], "coords": [[1.0, 2.0]]})
+        first, second = writer.write(iter([batch])), writer.write(iter([batch]))
+    finally:
+        raw.TaskContext = raw_context
+    assert first.file != second.file
+    writer.commit([second, None])
+    assert sorted(f.name for f in (tmp_path / "twice").iterdir()) == sorted(["_files", second.file])
+    assert raw.written_files(f"{tmp_path}/twice") == [second.file]

@@ -1,6 +1,8 @@
-"""Raw point files: headerless rows of little-endian floats, row by row, as a Spark data source and a sink.
+"""Raw point files: headerless rows of little-endian floats, row by row, as a Spark data source that reads and writes.
 
-Files are read in ranges of rows through Arrow's file systems, so one of any size
+A task writes below `_pending`; what Spark commits is moved into the folder and listed,
+and all else goes, so attempts that failed or came second leave nothing, and a job that
+fails leaves what was there before. Files are read in ranges of rows through Arrow's file systems, so one of any size
 is split over tasks. A point's id is its place in the files, taken in order of
 their names; what is left over of a row at a file's end is ignored.
 """
@@ -11,13 +13,12 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 from ..config import DTYPES
 
@@ -25,6 +26,8 @@ from ..config import DTYPES
 RANGE, BATCH = 32 << 20, 1 << 14
 #: A neighbour as it is packed, and the file that names the files of a folder that count.
 PAIR, LISTED = np.dtype([("value", "<f8"), ("array_idx", "<u8")]), "_files"
+#: Where files are until they are committed, in a folder for each job.
+PENDING = "_pending"
 #: The file that says how many pairs a query has, and, a fixed value, the id that stands for no neighbour.
 LENGTH, NONE = "_length", 2**64 - 1
 
@@ -86,8 +89,58 @@ class RawReader(DataSourceReader):
         return pa.RecordBatch.from_arrays([pa.array(np.arange(n, dtype=np.int64) + first), pa.ListArray.from_arrays(offsets, pa.array(numbers))], names=["id", "coords"])
 
 
+class Written(WriterCommitMessage):
+    """A task's file below `_pending`, and how many rows it has."""
+
+    def __init__(self, part: int, file: str, rows: int):
+        self.part, self.file, self.rows = part, file, rows
+
+
+class RawWriter(DataSourceArrowWriter):
+    """Each partition as one file of what `pack` makes of its batches."""
+
+    suffix = staticmethod(lambda options: options.get("dtype", "f64"))
+
+    def __init__(self, options: dict):
+        self.options, self.path, self.job = options, options["path"], uuid.uuid4().hex
+        self.end = self.suffix(options)
+        fs, root = _open(self.path)
+        fs.create_dir(f"{root}/{PENDING}/{self.job}", recursive=True)  # here and not by tasks, which could be late for an abort
+
+    def pack(self, batch: pa.RecordBatch) -> bytes:
+        return batch.column("coords").flatten().to_numpy(zero_copy_only=False).astype(DTYPES[self.end]).tobytes()
+
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
+        fs, root = _open(self.path)
+        part, rows = TaskContext.get().partitionId(), 0
+        file = f"part-{part:06d}-{uuid.uuid4().hex}.{self.end}"
+        with fs.open_output_stream(f"{root}/{PENDING}/{self.job}/{file}", compression=None) as out:
+            for batch in iterator:
+                out.write(self.pack(batch))
+                rows += batch.num_rows
+        return Written(part, file, rows)
+
+    def commit(self, messages: list[Written | None]) -> None:
+        fs, root = _open(self.path)
+        names = [m.file for m in sorted((m for m in messages if m is not None and m.rows), key=lambda m: m.part)]
+        for name in names:
+            fs.move(f"{root}/{PENDING}/{self.job}/{name}", f"{root}/{name}")
+        with fs.open_output_stream(f"{root}/{LISTED}", compression=None) as out:  # from here on they count
+            out.write("\n".join(names).encode())
+        self._clean(fs, root)
+
+    def abort(self, messages: list[Written | None]) -> None:
+        self._clean(*_open(self.path))
+
+    def _clean(self, fs: pyarrow.fs.FileSystem, root: str) -> None:
+        pending = f"{root}/{PENDING}"
+        for folder in (f"{pending}/{self.job}", pending):
+            if fs.get_file_info(folder).type == pyarrow.fs.FileType.Directory and (folder != pending or not fs.get_file_info(pyarrow.fs.FileSelector(pending))):
+                fs.delete_dir(folder)
+
+
 class RawPoints(DataSource):
-    """Options: path (a file or folder), dims, dtype (f32 or f64)."""
+    """Options: path (a file or folder), dims, dtype (f32 or f64). Written are the `coords` of rows, in their order."""
 
     @classmethod
     def name(cls) -> str:
@@ -99,6 +152,9 @@ class RawPoints(DataSource):
     def reader(self, schema) -> RawReader:
         return RawReader(dict(self.options))
 
+    def writer(self, schema, overwrite: bool) -> RawWriter:
+        return RawWriter(dict(self.options))
+
 
 def read_points(spark: SparkSession, path: str, dims: int, dtype: str = "f64", files: list[str] | None = None) -> DataFrame:
     """(id, coords) of the raw files at `path`."""
@@ -109,34 +165,6 @@ def read_points(spark: SparkSession, path: str, dims: int, dtype: str = "f64", f
     return (reader.option("files", "\n".join(files)) if files else reader).load(path)
 
 
-def _write(rows: DataFrame, path: str, suffix: str, pack) -> DataFrame:
-    """Each partition of `rows` as one file of `pack`'s bytes; (part, file, bytes, rows) of those that Spark committed."""
-
-    def write(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        fs, root = _open(path)
-        fs.create_dir(root, recursive=True)
-        part = TaskContext.get().partitionId()
-        file, size, n = f"part-{part:06d}-{uuid.uuid4().hex}.{suffix}", 0, 0
-        with fs.open_output_stream(f"{root}/{file}", compression=None) as out:
-            for some in parts:
-                data = pack(some)
-                out.write(data)
-                size, n = size + len(data), n + len(some)
-        yield pd.DataFrame({"part": [part], "file": [file], "bytes": [size], "rows": [n]})
-
-    return rows.mapInPandas(write, "part int, file string, bytes long, rows long")
-
-
-def _listed(made: DataFrame, path: str) -> list[str]:
-    """The names of the files `made`, in order, also written beside them."""
-    names = [r["file"] for r in made.orderBy("part").collect() if r["rows"]]  # a row a file
-    fs, root = _open(path)
-    fs.create_dir(root, recursive=True)  # there may have been no rows
-    with fs.open_output_stream(f"{root}/{LISTED}", compression=None) as out:
-        out.write("\n".join(names).encode())
-    return names
-
-
 def written_files(path: str) -> list[str]:
     """The files that count of a folder that was written here; none where it was not."""
     fs, root = _open(path)
@@ -149,13 +177,14 @@ def written_files(path: str) -> list[str]:
 def write_points(pts: DataFrame, path: str, dtype: str = "f64") -> list[str]:
     """Write the coordinates in order of id, a file for each range of ids; the names of the files, in order.
 
-    A task that is tried again writes another file; only the names returned count. They are also kept beside the files,
-    so that whoever reads the folder reads no others.
+    Only the names returned count. They are also kept beside the files, so that whoever reads the folder reads no others.
     """
-    kind = np.dtype(DTYPES[dtype])
+    if dtype not in DTYPES:
+        raise ValueError(f"dtype must be one of {', '.join(DTYPES)}")
+    pts.sparkSession.dataSource.register(RawPoints)
     ordered = pts.select("id", "coords").repartitionByRange("id").sortWithinPartitions("id")
-    made = _write(ordered, path, dtype, lambda part: np.concatenate(part["coords"].to_list()).astype(kind).tobytes() if len(part) else b"")
-    return _listed(made, path)
+    ordered.write.format("rawpoints").option("dtype", dtype).mode("append").save(path)
+    return written_files(path)
 
 
 def write_neighbours(nested: DataFrame, path: str, k: int | None = None) -> list[str]:
@@ -167,16 +196,10 @@ def write_neighbours(nested: DataFrame, path: str, k: int | None = None) -> list
     if longest > k:
         raise ValueError(f"a list of {longest} neighbours does not fit into {k}")
     order = [c for c in ("query_id", "query_row") if c in nested.columns]
+    nested.sparkSession.dataSource.register(RawPairs)
     flat = nested.select(*order, F.col("neighbors.value").alias("value"), F.col("neighbors.array_idx").alias("array_idx")).repartitionByRange(*order).sortWithinPartitions(*order)
-
-    def pack(part: pd.DataFrame) -> bytes:
-        out = np.empty((len(part), k), PAIR)
-        out["value"], out["array_idx"] = np.inf, NONE
-        for row, (value, ids) in enumerate(zip(part["value"], part["array_idx"])):
-            out["value"][row, : len(value)], out["array_idx"][row, : len(ids)] = value, ids
-        return out.tobytes()
-
-    files = _listed(_write(flat, path, "ngbh", pack), path)
+    flat.write.format("rawpairs").option("k", k).mode("append").save(path)
+    files = written_files(path)
     fs, root = _open(path)
     with fs.open_output_stream(f"{root}/{LENGTH}", compression=None) as out:
         out.write(str(k).encode())
@@ -201,8 +224,24 @@ class RawPairReader(RawReader):
         return pa.RecordBatch.from_arrays([ids, pa.array(pairs["value"].copy()), pa.array(pairs["array_idx"].astype(np.int64))], names=["id", "d2", "neighbor_id"])
 
 
+class RawPairWriter(RawWriter):
+    """Lists (value, array_idx), each filled up to the option `k`."""
+
+    suffix = staticmethod(lambda options: "ngbh")
+
+    def pack(self, batch: pa.RecordBatch) -> bytes:
+        k = int(self.options["k"])
+        out = np.empty((batch.num_rows, k), PAIR)
+        out["value"], out["array_idx"] = np.inf, NONE
+        lengths = np.array([len(v) for v in batch.column("value")], np.int64)
+        row, place = np.repeat(np.arange(len(lengths)), lengths), np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        for c in PAIR.names:
+            out[c][row, place] = batch.column(c).flatten().to_numpy(zero_copy_only=False)
+        return out.tobytes()
+
+
 class RawPairs(DataSource):
-    """Packed neighbours; option: path."""
+    """Packed neighbours; options: path, and for writing k, the pairs of a query."""
 
     @classmethod
     def name(cls) -> str:
@@ -214,6 +253,9 @@ class RawPairs(DataSource):
     def reader(self, schema) -> RawReader:
         return RawPairReader({**self.options, "dims": 1})
 
+    def writer(self, schema, overwrite: bool) -> RawPairWriter:
+        return RawPairWriter(dict(self.options))
+
 
 def read_neighbours(spark: SparkSession, path: str, k: int | None = None) -> DataFrame:
     """(place, neighbor_id, d2, rank) of packed neighbours; a query is its place in order. `k` is needed where the folder does
