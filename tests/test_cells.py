@@ -102,3 +102,17 @@ def test_a_hot_cell_is_dealt_over_tasks(spark, tmp_path):
         spark.conf.set("spark.sql.shuffle.partitions", "2")
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert global_numbers(celled.where("false")).count() == 0
+
+
+@pytest.mark.parametrize("policy", ["widest", "round_robin"])
+def test_a_tree_from_sketches(spark, policy):
+    """Cells of all points hold like numbers, boxes hold their points, and the number of cells is no matter of expressions."""
+    pts = frame(spark, rows(rng(61), 600, 2))
+    tree = cells.sketch_tree(pts, 100, 2, policy)
+    table = cell_table(with_cell(pts, tree), 2).collect()
+    assert tree.cells == len(table) == 100 and sum(r["n"] for r in table) == 600
+    assert max(r["n"] for r in table) <= 2 * min(r["n"] for r in table)
+    rough = cells.sketch_tree(pts, 16, 2, policy, k=32)
+    assert rough.cells == 16 and sum(r["n"] for r in cell_table(with_cell(pts, rough), 2).collect()) == 600
+    assert cells.sketch_tree(frame(spark, [(i, [1.0, 2.0]) for i in range(9)]), 8, 2, policy).cells == 1
+    assert cells.sketch_tree(pts.where("false"), 8, 2, policy).cells == 1

@@ -24,6 +24,8 @@ from ..staging import staged
 SAMPLE_COORDINATES = 1 << 22
 #: Cells up to which a point's cell is a CASE expression in generated code; beyond, it is looked up in numpy.
 CASE_CELLS = 64
+#: Items of a sketch that a split is read from.
+SKETCH = 4096
 #: How monotonically_increasing_id is made: the partition above this many bits.
 PARTITION_BITS = 33
 #: The most cells whose offsets are shipped to every task.
@@ -228,6 +230,68 @@ def level_tree(pts: DataFrame, cells: int, dims: int, policy: str = "widest", ac
     return tree
 
 
+def sketch_tree(pts: DataFrame, cells: int, dims: int, policy: str = "widest", k: int = SKETCH) -> CellTree:
+    """A tree from all points by one pass a level: every node's box and, for each dimension, a mergeable sketch of its
+    coordinates with `k` items, from which the split is read. While a node has no more than `k` points its split is exact.
+
+    Points find their nodes in arrays, so thousands of nodes are as good as a few; the driver gets a row a node.
+    """
+    endless = np.full(dims, np.inf)
+    tree = CellTree(dims, [Node(0, -endless, endless)])
+    wanted, open_, made = {0: cells}, [0] if cells > 1 else [], 0
+    while open_:
+        shares = sorted({wanted[p] // 2 / wanted[p] for p in open_})
+        x = [F.element_at("coords", i + 1) for i in range(dims)]
+        boxes = [f(x[i]).alias(f"{s}{i}") for i in range(dims) for s, f in (("lo", F.min), ("hi", F.max))]
+        sketches = [F.kll_sketch_agg_double(x[i], F.lit(k)).alias(f"sketch{i}") for i in range(dims)]
+        splits = [F.kll_sketch_get_quantile_double(f"sketch{i}", F.array(*[F.lit(s) for s in shares])).alias(f"at{i}") for i in range(dims)]
+        placed = _in_nodes(pts, tree, open_).where("node >= 0")
+        seen = {r["node"]: r for r in placed.groupBy("node").agg(*boxes, *sketches).select("node", *[f"{s}{i}" for i in range(dims) for s in ("lo", "hi")], *splits).collect()}
+        following = []
+        for place in open_:
+            if place not in seen:
+                continue
+            r, node = seen[place], tree.nodes[place]
+            low, high = (np.array([r[f"{s}{i}"] for i in range(dims)]) for s in ("lo", "hi"))
+            dim = split_dimension(node, low, high, policy, dims)
+            dim = dim if low[dim] < high[dim] else int(np.argmax(high - low))
+            if not low[dim] < high[dim]:
+                continue
+            value = float(r[f"at{dim}"][shares.index(wanted[place] // 2 / wanted[place])])
+            node.dim, node.value = dim, value if value < high[dim] else float(low[dim])
+            for side, n in (("left", wanted[place] // 2), ("right", wanted[place] - wanted[place] // 2)):
+                lo, hi = node.low.copy(), node.high.copy()
+                (hi if side == "left" else lo)[dim] = node.value
+                setattr(node, side, len(tree.nodes))
+                wanted[len(tree.nodes)] = n
+                if n > 1:
+                    following.append(len(tree.nodes))
+                tree.nodes.append(Node(node.level + 1, lo, hi))
+        open_ = following
+    for node in tree.nodes:
+        if node.dim < 0:
+            node.cell, made = made, made + 1
+    return tree
+
+
+def _in_nodes(pts: DataFrame, tree: CellTree, open_: list[int]) -> DataFrame:
+    """(coords, node): the open node that each point is in, or -1, by the nodes' arrays."""
+    _, left, right, dim, value = tree.arrays()
+    ends = np.where(dim < 0, np.arange(len(dim)), -1)  # where a walk ends
+    named = np.full(len(dim), -1)
+    named[open_] = open_
+    shipped = pts.sparkSession.sparkContext.broadcast(((ends, left, right, dim, value), named))
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                nodes, names = shipped.value
+                node = names[assigned(flat_coords(batch.column("coords")), nodes)]
+                yield pa.RecordBatch.from_arrays([batch.column("coords"), pa.array(node.astype(np.int32))], names=["coords", "node"])
+
+    return pts.select("coords").mapInArrow(place, "coords array<double>, node int")
+
+
 def _place(tree: CellTree, open_: list[int]) -> Column:
     """The open node that a point is in, or -1."""
 

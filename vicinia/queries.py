@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .config import DEFAULT_K, KnnConfig
 from .functions import box_distance, hyperplane_offset, right_of, sq_distance, sq_distance_float32
 from .operators import stats
-from .operators.cells import CellTree, Node, cell_offsets, cell_table, global_numbers, level_tree, owner_of, sample_tree, with_cell
+from .operators.cells import CellTree, Node, cell_offsets, cell_table, global_numbers, level_tree, owner_of, sample_tree, sketch_tree, with_cell
 from .operators.density import density_peaks as peaks_of
 from .operators.density import kstar_density as kstar_of
 from .operators.density import two_nn_dimension
@@ -326,6 +326,21 @@ def tree_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_cell(pts, sample_tree(pts, 4, 1)).select("id", "cell")
 
 
+@query("""
+    WITH d AS (SELECT o_orderkey AS id, o_totalprice AS x FROM orders), n AS (SELECT count(*) AS n FROM d),
+    p AS (SELECT *, row_number() OVER (ORDER BY x) AS r FROM d),
+    cut AS (SELECT (SELECT x FROM p WHERE r = (n + 1) // 2) AS mid FROM n),
+    half AS (SELECT id, x, CASE WHEN x > mid THEN 1 ELSE 0 END AS side FROM d, cut),
+    q AS (SELECT *, row_number() OVER (PARTITION BY side ORDER BY x) AS r, count(*) OVER (PARTITION BY side) AS m FROM half),
+    cuts AS (SELECT side, max(x) FILTER (r = (m + 1) // 2) AS mid FROM q GROUP BY side)
+    SELECT id, CAST(2 * side + CASE WHEN x > mid THEN 1 ELSE 0 END AS INTEGER) AS cell FROM half JOIN cuts USING (side)
+""")
+def tree_sketched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four cells by medians that are read from sketches of all rows, which are exact as long as they hold them."""
+    pts = points(table(spark, sf_dir, "orders"), "o_orderkey", ["o_totalprice"])
+    return with_cell(pts, sketch_tree(pts, 4, 1, k=65535)).select("id", "cell")
+
+
 def _tree_checks(policy: str) -> str:
     return f"""
         WITH p AS (SELECT p_partkey, CAST(p_size AS DOUBLE) AS x, p_retailprice AS y FROM part), n AS (SELECT count(*) AS n FROM p),
