@@ -78,14 +78,14 @@ def nearest_denser(neighbours: DataFrame, densities: DataFrame) -> DataFrame:
     return own.join(first, F.col("id") == F.col("of"), "left").select("id", F.coalesce("next", "id").alias("up"))
 
 
-def density_peaks(neighbours: DataFrame, densities: DataFrame) -> DataFrame:
-    """(query_id, peak): the peak that each point climbs to, from denser neighbour to denser neighbour.
+def pointer_ends(pointers: DataFrame) -> DataFrame:
+    """(id, up): where each path of the staged `pointers` (id, up) ends, at an id that is its own `up`; they are released.
 
-    Pointer doubling: each round every point takes the pointer of what it points to, so paths halve; a peak that very
-    many points have reached is dealt over tasks.
+    Pointer doubling: each round every row takes the pointer of what it points to, so paths halve; an end that very
+    many have reached is dealt over tasks.
     """
-    with scope(neighbours.sparkSession) as kept:
-        at = staged(nearest_denser(neighbours, densities), "pointers")
+    at = pointers
+    with scope(pointers.sparkSession) as kept:
         while True:
             ends = at.select(F.col("id").alias("to"), F.col("up").alias("further"))
             hot = hot_keys(at.groupBy("up").agg(F.count(F.lit(1)).alias("n")))
@@ -95,4 +95,10 @@ def density_peaks(neighbours: DataFrame, densities: DataFrame) -> DataFrame:
             release(at)
             at = following
             if done:
-                return kept.keep(at).select(F.col("id").alias("query_id"), F.col("up").alias("peak"))
+                return kept.keep(at).drop("moved")
+
+
+def density_peaks(neighbours: DataFrame, densities: DataFrame) -> DataFrame:
+    """(query_id, peak): the peak that each point climbs to, from denser neighbour to denser neighbour."""
+    ends = pointer_ends(staged(nearest_denser(neighbours, densities), "pointers"))
+    return ends.select(F.col("id").alias("query_id"), F.col("up").alias("peak"))

@@ -12,6 +12,7 @@ from .config import DEFAULT_K, KnnConfig
 from .functions import box_distance, hyperplane_offset, right_of, sq_distance, sq_distance_float32
 from .operators import stats
 from .operators.cells import CellTree, Node, cell_offsets, cell_table, global_numbers, level_tree, owner_of, sample_tree, sketch_tree, with_cell
+from .operators.clusters import assignment, borders, merged_peaks
 from .operators.density import density_peaks as peaks_of
 from .operators.density import kstar_density as kstar_of
 from .operators.density import two_nn_dimension
@@ -20,7 +21,7 @@ from .operators.points import points
 from .operators.topk import flat, merge_top_k, nested, sorted_neighbours
 from .plans.pipeline import run
 from .sources import node_lines, read_neighbours, read_points, write_cells, write_neighbours, write_points
-from .staging import scratch_path
+from .staging import scratch_path, staged
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -580,18 +581,74 @@ def kstar_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _kstar(spark, sf_dir)[1].withColumn("density", F.round("density", 9))
 
 
-@query(f"""
-    WITH RECURSIVE {_KSTAR},
+#: The peak that each point climbs to.
+_PEAKS = """
     step AS (SELECT d.query_id, coalesce(arg_min(n.neighbor_id, n.rank), d.query_id) AS up FROM dense d LEFT JOIN (SELECT n.*, o.density AS other FROM near n JOIN dense o ON n.neighbor_id = o.query_id WHERE n.query_id != n.neighbor_id) n
              ON d.query_id = n.query_id AND n.rank <= d.kstar + 1 AND (n.other > d.density OR n.other = d.density AND n.neighbor_id < d.query_id) GROUP BY d.query_id),
-    climb AS (SELECT query_id, up AS peak FROM step UNION SELECT climb.query_id, step.up FROM climb JOIN step ON climb.peak = step.query_id)
-    SELECT climb.query_id, climb.peak FROM climb JOIN step ON climb.peak = step.query_id AND step.up = climb.peak
-""")
+    climb AS (SELECT query_id, up AS peak FROM step UNION SELECT climb.query_id, step.up FROM climb JOIN step ON climb.peak = step.query_id),
+    peaks AS (SELECT climb.query_id, climb.peak FROM climb JOIN step ON climb.peak = step.query_id AND step.up = climb.peak)
+"""
+
+
+@query(f"WITH RECURSIVE {_KSTAR}, {_PEAKS} SELECT * FROM peaks")
 def density_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The peak that each part climbs to, through denser and denser neighbours."""
     return peaks_of(*_kstar(spark, sf_dir))
 
 
+#: How many errors a peak has to stand out by; few, as parts lie evenly and would else be one cluster.
+Z = 0.3
+#: The saddle of each two peaks, by the rule of `operators.clusters.borders`.
+_SADDLES = """
+    rated AS MATERIALIZED (SELECT d.query_id AS id, kstar, peak, ln(density) AS rho, CASE WHEN isinf(density) THEN 0 ELSE sqrt((4 * kstar + 2) / (kstar * (kstar - 1))) END AS err FROM dense d JOIN peaks p ON d.query_id = p.query_id),
+    firsts AS MATERIALIZED (SELECT i.id, i.kstar, i.rho, i.err, i.peak AS own, j.peak AS other, arg_min(n.neighbor_id, n.rank) AS next, min(n.rank) AS rank FROM near n JOIN rated i ON i.id = n.query_id JOIN rated j ON j.id = n.neighbor_id WHERE i.peak != j.peak GROUP BY ALL),
+    saddles AS MATERIALIZED (SELECT least(f.own, f.other) AS a, greatest(f.own, f.other) AS b, f.id AS saddle, f.rho AS log_rho, f.err FROM firsts f JOIN firsts g ON g.id = f.next AND g.next = f.id WHERE f.rank <= f.kstar + 1
+                QUALIFY row_number() OVER (PARTITION BY least(f.own, f.other), greatest(f.own, f.other) ORDER BY f.err - f.rho, f.id) = 1)
+"""
+#: Saddles met one after another: the list `held` holds the number of each peak's cluster, numbers going by falling level.
+_MERGES = f"""
+    ranked AS MATERIALIZED (SELECT id AS peak, rho - {Z} * err AS level, row_number() OVER (ORDER BY rho - {Z} * err DESC, id) AS n FROM rated WHERE id = peak),
+    levels AS MATERIALIZED (SELECT list(level ORDER BY n) AS heights FROM ranked),
+    queue AS MATERIALIZED (SELECT row_number() OVER (ORDER BY log_rho + {Z} * err DESC, a, b) AS turn, log_rho + {Z} * err AS ceiling, x.n AS x, y.n AS y FROM saddles JOIN ranked x ON x.peak = a JOIN ranked y ON y.peak = b),
+    fold AS (SELECT CAST(0 AS BIGINT) AS turn, list(n ORDER BY n) AS held FROM ranked UNION ALL
+             SELECT q.turn, CASE WHEN held[x] != held[y] AND levels.heights[greatest(held[x], held[y])] < ceiling THEN list_transform(held, lambda c: CASE WHEN c = greatest(held[x], held[y]) THEN least(held[x], held[y]) ELSE c END) ELSE held END FROM fold JOIN queue q ON q.turn = fold.turn + 1, levels),
+    merged AS MATERIALIZED (SELECT r.peak, c.peak AS cluster FROM ranked r, (SELECT arg_max(held, turn) AS held FROM fold) f, ranked c WHERE c.n = f.held[r.n])
+"""
+
+
+def _merged(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    near, dense = (staged(df, "density") for df in _kstar(spark, sf_dir))
+    peaks = peaks_of(near, dense)
+    saddles = borders(near, dense, peaks)
+    return dense, peaks, saddles, merged_peaks(dense, peaks, saddles, Z)
+
+
+@query(f"WITH RECURSIVE {_KSTAR}, {_PEAKS}, {_SADDLES} SELECT a, b, saddle, round(log_rho, 9) AS log_rho, round(err, 9) AS err FROM saddles")
+def peak_borders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The borders between the peaks of all parts, and their saddles."""
+    near, dense = (staged(df, "density") for df in _kstar(spark, sf_dir))
+    return borders(near, dense, peaks_of(near, dense)).withColumns({c: F.round(c, 9) for c in ("log_rho", "err")})
+
+
+@query(f"WITH RECURSIVE {_KSTAR}, {_PEAKS}, {_SADDLES}, {_MERGES} SELECT * FROM merged")
+def peak_merges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cluster of each peak, once peaks that do not stand out are merged."""
+    return _merged(spark, sf_dir)[3]
+
+
+@query(f"""
+    WITH RECURSIVE {_KSTAR}, {_PEAKS}, {_SADDLES}, {_MERGES},
+    apart AS (SELECT x.cluster AS x, y.cluster AS y, log_rho FROM saddles JOIN merged x ON x.peak = a JOIN merged y ON y.peak = b WHERE x.cluster != y.cluster),
+    rims AS (SELECT c, max(log_rho) AS rim FROM (SELECT x AS c, log_rho FROM apart UNION ALL SELECT y, log_rho FROM apart) GROUP BY c),
+    numbers AS (SELECT cluster, row_number() OVER (ORDER BY cluster) - 1 AS number FROM (SELECT DISTINCT cluster FROM merged))
+    SELECT id AS query_id, m.cluster, CASE WHEN coalesce(rho < rim, false) THEN -number - 1 ELSE number END AS label, coalesce(rho < rim, false) AS halo
+    FROM rated JOIN merged m USING (peak) JOIN numbers n ON n.cluster = m.cluster LEFT JOIN rims ON c = m.cluster
+""")
+def halo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cluster of each part, and whether it is core or halo."""
+    return assignment(*_merged(spark, sf_dir))
+
+
 @query(_knn_sql(PART2, 5))
 def topk_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Neighbours among the odd and among the even points, merged: those among all."""
