@@ -69,6 +69,15 @@ def test_command_line(spark, tmp_path, capsys, monkeypatch):
     (tmp_path / "p").write_bytes(rng(6).random((10, 2)).tobytes())
     main(["-i", f"{tmp_path}/p", "-t", "f64", "-d", "2", "-k", "2", "--policy", "round_robin", "--compute", "f32", "--invalid", "drop", "--block-rows", "4"])
     assert "neighbor_id" in capsys.readouterr().out
+    r = rng(9)
+    at = np.concatenate([r.normal(0, 1, (60, 2)), r.normal(30, 1, (50, 2))])
+    (tmp_path / "q").write_bytes(at.tobytes())
+    main(["-i", f"{tmp_path}/q", "-t", "f64", "-d", "2", "-k", "20", "-a", f"{tmp_path}/clusters", "-z", "2.5"])
+    found = {r["query_id"]: r for r in spark.read.parquet(f"{tmp_path}/clusters").collect()}
+    assert set(found) == set(range(110)) and {found[i]["cluster"] for i in range(60)}.isdisjoint(found[i]["cluster"] for i in range(60, 110))
+    assert not any(x["halo"] for x in found.values()) and {x["label"] for x in found.values()} == {0, 1}
+    with pytest.raises(ValueError):
+        main(["-i", f"{tmp_path}/q", "-t", "f64", "-d", "2", "-k", "4", "-a", f"{tmp_path}/few"])
     with pytest.raises(SystemExit):
         main(["-i", "x"])
 

@@ -1,4 +1,4 @@
-"""python -m vicinia -i POINTS -t f32|f64 -d DIMS [-k K] [-o OUT]: nearest neighbours of raw points."""
+"""python -m vicinia -i POINTS -t f32|f64 -d DIMS [-k K] [-o OUT] [-a CLUSTERS [-z Z]]: nearest neighbours and clusters of raw points."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ import argparse
 
 from pyspark.sql import SparkSession
 
-from .config import DEFAULT_K, DTYPES, KnnConfig
+from .config import DEFAULT_K, DEFAULT_Z, DTYPES, KnnConfig
 from .plans.pipeline import run
 from .staging import scope
 
@@ -18,6 +18,8 @@ def main(args: list[str] | None = None) -> None:
     parser.add_argument("-d", "--in-dims", required=True, type=int, help="how many of them a point has")
     parser.add_argument("-o", "--out-data", help="a folder for points by cell, nodes, neighbours and statistics")
     parser.add_argument("-k", "--kngbh", type=int, default=DEFAULT_K, help="neighbours of each point, itself among them")
+    parser.add_argument("-a", "--out-assignment", help="a folder for the density-peak cluster of each point: label n if it is core, -n - 1 if it is halo")
+    parser.add_argument("-z", "--z", type=float, default=DEFAULT_Z, help="how many errors a peak has to stand out by")
     parser.add_argument("--cell-rows", type=int, default=KnnConfig.cell_rows, help="points that a cell is meant to hold")
     parser.add_argument("--block-rows", type=int, default=KnnConfig.block_rows, help="points that meet others at once in a task")
     parser.add_argument("--policy", choices=["widest", "round_robin"], default=KnnConfig.policy, help="how the dimension of a split is chosen")
@@ -25,10 +27,10 @@ def main(args: list[str] | None = None) -> None:
     parser.add_argument("--invalid", choices=["raise", "drop"], default=KnnConfig.invalid, help="what becomes of points that are not finite")
     parser.add_argument("--overwrite", action="store_true")
     given = parser.parse_args(args)
-    config = KnnConfig(k=given.kngbh, dims=given.in_dims, dtype=given.dtype, compute=given.compute, policy=given.policy, cell_rows=given.cell_rows, block_rows=given.block_rows, invalid=given.invalid)
+    config = KnnConfig(k=given.kngbh, dims=given.in_dims, dtype=given.dtype, compute=given.compute, policy=given.policy, cell_rows=given.cell_rows, block_rows=given.block_rows, invalid=given.invalid, z=given.z)
     spark = SparkSession.builder.appName("vicinia").getOrCreate()
     with scope(spark):
-        done = run(spark, given.in_data, config, given.out_data, "overwrite" if given.overwrite else "errorifexists")
+        done = run(spark, given.in_data, config, given.out_data, "overwrite" if given.overwrite else "errorifexists", given.out_assignment)
         done.stats.show(truncate=False)
         if given.out_data is None:
             done.neighbours.show()

@@ -6,6 +6,8 @@ from dataclasses import dataclass
 
 #: The usual number of neighbours, bins of a split search, and its tolerance.
 DEFAULT_K, DEFAULT_BINS, DEFAULT_TOLERANCE = 300, 20, 0.002
+#: Fixed value: by how many errors a density peak has to stand out, usually.
+DEFAULT_Z = 3.0
 DTYPES = {"f32": "<f4", "f64": "<f8"}
 
 
@@ -13,7 +15,7 @@ DTYPES = {"f32": "<f4", "f64": "<f8"}
 class KnnConfig:
     """`cell_rows`: points that a cell is meant to hold; `block_rows`: points that meet others at once in a task;
     `routed_cells`: the most cells whose tree of boxes is shipped to every task; `first_routes`: other cells that a query
-    visits before its radius is taken anew."""
+    visits before its radius is taken anew; `z`: how many errors a density peak has to stand out by."""
 
     k: int = DEFAULT_K
     dims: int | None = None
@@ -27,6 +29,7 @@ class KnnConfig:
     bins: int = DEFAULT_BINS
     tolerance: float = DEFAULT_TOLERANCE
     invalid: str = "raise"
+    z: float = DEFAULT_Z
 
     def __post_init__(self) -> None:
         if self.k < 1:
@@ -37,6 +40,8 @@ class KnnConfig:
             raise ValueError(f"dtype and compute must be one of {', '.join(DTYPES)}")
         if self.policy not in ("widest", "round_robin"):
             raise ValueError("policy must be widest or round_robin")
+        if not 0 <= self.z < float("inf"):
+            raise ValueError("z must be 0 or more")
         if self.invalid not in ("raise", "drop"):
             raise ValueError("invalid must be raise or drop")
         if min(self.cell_rows, self.block_rows, self.routed_cells, self.first_routes, self.bins) < 1 or not 0 < self.tolerance < 1:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..skew import hot_keys, spread_join
 from ..staging import release, scope, staged
 from .cells import global_numbers
-from .density import pointer_ends
+from .density import density_peaks, kstar_density, pointer_ends, two_nn_dimension
 
 
 def with_error(densities: DataFrame) -> DataFrame:
@@ -138,3 +138,17 @@ def assignment(densities: DataFrame, peaks: DataFrame, saddles: DataFrame, merge
         found = spread_join(points, told, ["peak"], ["of"], "query_id", hot_keys(peaks.groupBy("peak").agg(F.count(F.lit(1)).alias("n"))))
         halo = F.coalesce(F.col("log_rho") < F.col("rim"), F.lit(False))
         return kept.keep(staged(found.select("query_id", "cluster", F.when(halo, -F.col("number") - 1).otherwise(F.col("number")).alias("label"), halo.alias("halo")), "assignment"))
+
+
+def density_clusters(neighbours: DataFrame, points: int, dims: float, z: float) -> DataFrame:
+    """`assignment` of all `points` from their `neighbours` alone: densities, peaks, borders and merges one after another.
+
+    Densities are taken in the dimension that the neighbours tell (`two_nn_dimension`), in `dims` where they tell none.
+    Points whose lists have fewer than four others have no density and are left out.
+    """
+    with scope(neighbours.sparkSession) as kept:
+        told = two_nn_dimension(neighbours).first()["dimension"]
+        dense = staged(kstar_density(neighbours, dims if told is None else told, points), "densities")
+        peaks = density_peaks(neighbours, dense)
+        saddles = borders(neighbours, dense, peaks)
+        return kept.keep(assignment(dense, peaks, saddles, merged_peaks(dense, peaks, saddles, z)))

@@ -1,4 +1,4 @@
-"""The whole run: read points, describe them, put them into cells, find neighbours, and write all of it.
+"""The whole run: read points, describe them, put them into cells, find neighbours, cluster them on demand, and write all of it.
 
 The points are read once and staged; one tree is built, written, and searched. Every
 phase's rows are counted by the pass that it makes anyway, and so is whether each point
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..config import KnnConfig
 from ..operators.cells import CellTree, cell_offsets, with_cell
+from ..operators.clusters import density_clusters
 from ..operators.knn import PRUNED_DIMS, knn, partition, prepare
 from ..operators.points import points
 from ..operators.stats import mean_std
@@ -25,13 +26,14 @@ from ..staging import scope, staged
 
 @dataclass
 class Run:
-    """`phases`: (phase, rows, seconds) in order."""
+    """`phases`: (phase, rows, seconds) in order; `clusters`: (query_id, cluster, label, halo), where asked for."""
 
     stats: DataFrame
     tree: CellTree
     offsets: DataFrame
     neighbours: DataFrame
     phases: DataFrame
+    clusters: DataFrame | None = None
 
 
 class Phases:
@@ -58,17 +60,20 @@ def misplaced(celled: DataFrame, tree: CellTree) -> DataFrame:
     return celled.join(bounds, F.col("cell") == F.col("of"), "left").select(*celled.columns, (~F.coalesce(inside, F.lit(False))).alias("outside"))
 
 
-def run(spark: SparkSession, path: str, config: KnnConfig, out: str | None = None, mode: str = "errorifexists") -> Run:
+def run(spark: SparkSession, path: str, config: KnnConfig, out: str | None = None, mode: str = "errorifexists", assignment: str | None = None) -> Run:
     """Neighbours of the raw points at `path`; below `out`, if given: points by cell, nodes, nested neighbours, statistics
-    and phases."""
+    and phases. With `assignment`, points are clustered by density peaks, and their clusters are written there."""
     if config.dims is None:
         raise ValueError("dims is needed to read raw points")
+    if assignment is not None and config.k < 5:
+        raise ValueError("clusters need k of 5 or more")
     phases = Phases(spark)
     with scope(spark) as own:
         pts, seen = phases.stage(points(read_points(spark, path, config.dims, config.dtype), "id", "coords", config.invalid, config.dims), "points")
+        total = seen["rows"]
         columns = [f"x{i}" for i in range(config.dims)]
         stats, _ = phases.stage(mean_std(pts.select(*[F.element_at("coords", i + 1).alias(c) for i, c in enumerate(columns)]), columns), "stats")
-        tree = partition(pts, seen["rows"], config.dims, config)
+        tree = partition(pts, total, config.dims, config)
         celled, seen = phases.stage(misplaced(with_cell(pts, tree), tree), "cells", outside=F.count_if("outside"))
         if seen["outside"]:
             raise RuntimeError(f"{seen['outside']} points lie outside of their cells")
@@ -77,12 +82,17 @@ def run(spark: SparkSession, path: str, config: KnnConfig, out: str | None = Non
         ready = prepare(pts, config.k, config, tree if config.dims <= PRUNED_DIMS else None)
         neighbours, _ = phases.stage(knn(pts, config.k, config, float32=config.compute == "f32", ready=ready), "neighbours")
         offsets, _ = phases.stage(cell_offsets(celled), "offsets")
+        clusters = None
+        if assignment is not None:
+            clusters, _ = phases.stage(density_clusters(neighbours, total, config.dims, config.z), "clusters")
+            write_table(clusters, assignment, mode)
         if out is not None:
             write_cells(celled, f"{out}/points", mode)
             write_nodes(tree, spark, f"{out}/nodes", mode)
             write_table(nested(neighbours), f"{out}/neighbours", mode)
             write_table(stats, f"{out}/stats", mode)
             write_table(phases.table(), f"{out}/phases", mode)
-        for kept in (stats, neighbours, offsets):
-            own.keep(kept)
-        return Run(stats, tree, offsets, neighbours, phases.table())
+        for kept in (stats, neighbours, offsets, clusters):
+            if kept is not None:
+                own.keep(kept)
+        return Run(stats, tree, offsets, neighbours, phases.table(), clusters)
