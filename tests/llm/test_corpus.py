@@ -172,6 +172,30 @@ def test_components(spark):
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_stars_take_no_round(spark, monkeypatch):
+    """Edges that are stars already, as near-dedup's pointers mostly are, are written once; a path takes rounds."""
+    written, staged = [], components.staged
+    monkeypatch.setattr(components, "staged", lambda df, name: written.append(name) or staged(df, name))
+    edges = spark.createDataFrame([(i, i % 7) for i in range(7, 60)], "a long, b long")
+    assert {x["node"]: x["component"] for x in components.components(edges).collect()} == {i: i % 7 for i in range(60)}
+    assert len(written) == 1
+    path = spark.createDataFrame([(i, i + 1) for i in range(20)], "a long, b long")
+    assert {x["component"] for x in components.components(path).collect()} == {0} and len(written) > 2
+
+
+def test_near_dedup_takes_few_stages(spark):
+    """What it costs on small tables is Spark's stages."""
+    docs = near_copies(60) + texts(30, 5)
+    context, group = spark.sparkContext, "near-dedup-stages"
+    context.setJobGroup(group, group)
+    try:
+        minhash.near_duplicates(table(spark, docs), 4, 80).collect()
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    jobs = [context.statusTracker().getJobInfo(j) for j in context.statusTracker().getJobIdsForGroup(group)]
+    assert jobs and sum(len(set(j.stageIds)) for j in jobs) <= 80
+
+
 # --- WARC -------------------------------------------------------------------------
 
 

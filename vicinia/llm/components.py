@@ -38,23 +38,20 @@ def _round(edges: DataFrame, n: int, name: str) -> DataFrame:
     return out
 
 
-def components(edges: DataFrame, name: str = "components", rounds: int | None = None) -> DataFrame:
+def _ended(edges: DataFrame) -> tuple[int, bool]:
+    """How many `edges` there are, and whether they are stars already: every larger end has one edge and is no edge's smaller end."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(edges.select("b", F.lit(0), F.lit(1)))
+    nodes = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    n, between = nodes.agg(F.sum("up"), F.count(F.when(F.col("up") + F.col("down") > 1, 1))).first()
+    return n or 0, not between
+
+
+def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(node, component) for every node of the (a, b) `edges`: the least node that it reaches.
 
-    Each round is written to the shared folder; rounds end when one changes nothing, or after `rounds`, where parts of
-    a component may still be apart.
+    Each round is written to the shared folder; rounds end when all edges form stars around the least nodes.
     """
     now = staged(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
-    if rounds is not None:
-        for _ in range(rounds):
-            now = _round(now, now.count(), name)
-        told = now.union(now.select("b", "b")).groupBy("a").agg(F.min("b").alias("b"))
-        return told.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    mark = None
-    while True:
-        state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state == mark:
-            break
-        mark = state
+    while not (state := _ended(now))[1]:
         now = _round(now, state[0], name)
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select("b", "b")).distinct()

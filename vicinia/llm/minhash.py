@@ -10,15 +10,17 @@ Chernoff bounds, as of independent places.
 Bands of ROWS places put texts into buckets. Texts of equal words are one node
 from the start. Then
 
-1. every node is compared with the least nodes of its buckets, the likeliest of
-   them on the full sets, and components are formed of the links;
-2. nodes that still share a bucket across components are compared all: in small
+1. every node is compared on the full sets with one node, that which is the least of
+   the most of its buckets; such links are pointers to lesser nodes, which are followed
+   for a few steps;
+2. nodes that still share a bucket but no pointers' end are compared all: in small
    buckets pair by pair, in large ones block against block, so that no pair is
    written unless it links. The blocks of a large bucket are dealt into strips, so
-   that it is a square of tasks, and joins by a bucket, by a text or by a node that
-   many others point to deal its rows over tasks (`spread_join`).
+   that it is a square of tasks, and joins by a bucket or by a text deal its rows over
+   tasks (`spread_join`), and joins by a node that many others point to are left to
+   Spark's skew handling. Components are then formed of the ends alone.
 
-Both leave out pairs whose sizes or whose estimates rule the similarity out
+The second leaves out pairs whose sizes or whose estimates rule the similarity out
 (an estimate by more than six deviations); what is linked is always confirmed on
 full sets. A pair of similarity 0.8 shares no bucket with a probability of 5e-8.
 
@@ -34,9 +36,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from math import ceil
+from types import SimpleNamespace
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -116,18 +120,21 @@ def sketches(docs: DataFrame, size: int, row: Column) -> DataFrame:
     return source.mapInPandas(batches, "row long, id long, doc_id long, k1 long, k2 long, n_shingles long, bands array<long>, marks binary")
 
 
-def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
-    """(id, shingles) of the rows (id, text), the hashes sorted, eight bytes each."""
+def sets_of_nodes(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """`wanted` (node, n_shingles, bands, marks, ...) with the shingle hashes of the text whose id is the node, sorted, eight bytes each."""
 
     def batches(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            yield pd.DataFrame({"id": part["id"], "shingles": [np.unique(shingle_hashes(word_hashes(t), size)).tobytes() for t in part["text"]]})
+            sets = [np.unique(shingle_hashes(word_hashes(t), size)).tobytes() for t in part["text"]]
+            yield part.drop(columns="text").assign(shingles=sets)
 
-    return docs.select("id", "text").mapInPandas(batches, "id long, shingles binary")
+    own = docs.select(rows_id().alias("id"), F.col("text").cast("string").alias("text"))
+    met = own.join(wanted.drop("id"), F.col("id") == F.col("node")).select("node", "n_shingles", "bands", "marks", "text")
+    return met.mapInPandas(batches, "node long, n_shingles long, bands array<long>, marks binary, shingles binary")
 
 
 def sets_of_texts(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """`shingle_sets` where ids repeat: one row for each of `wanted` (node, id, k1, k2), whose texts are told by their words."""
+    """`sets_of_nodes` where ids repeat: one row for each of `wanted` (node, id, k1, k2, ...), whose texts are told by their words."""
 
     def batches(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
@@ -141,54 +148,68 @@ def sets_of_texts(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     # Copies go before their sets are made; what differs in white space only goes after.
     own = source.dropDuplicates(["id", "text"]).mapInPandas(batches, "id long, t1 long, t2 long, shingles binary").withColumnRenamed("id", "of")
     met = own.join(wanted, (F.col("of") == F.col("id")) & (F.col("t1") == F.col("k1")) & (F.col("t2") == F.col("k2")))
-    return met.groupBy("node").agg(F.first("shingles").alias("shingles")).withColumnRenamed("node", "id")
+    sets = met.groupBy(F.col("node").alias("of")).agg(F.first("shingles").alias("shingles"))
+    return wanted.join(sets, F.col("node") == F.col("of")).select("node", "n_shingles", "bands", "marks", "shingles")
 
 
-def likely(pairs: DataFrame, nodes: DataFrame, percent: int, hot: list[tuple] = ()) -> DataFrame:
-    """(a, b, equal) of the pairs that neither sizes nor estimates rule out; `hot` are the keys among b."""
+def likely(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The rows of `pairs` (a, b, ...) whose estimates do not rule them out."""
     floor = least_equal(percent / 100)
-    own = nodes.select("node", "n_shingles", "marks")
-    left, right = (own.select(*[F.col(c).alias(f"{side}_{c}") for c in own.columns]) for side in "xy")
-    both = spread_join(pairs.join(left, F.col("a") == F.col("x_node")), right, ["b"], ["y_node"], "a", hot)
-    both = both.where(100 * F.least("x_n_shingles", "y_n_shingles") >= percent * F.greatest("x_n_shingles", "y_n_shingles"))
+    left, right = (sets.select(F.col("node").alias(f"{side}_node"), F.col("marks").alias(f"{side}_marks")) for side in "xy")
+    both = pairs.join(left, F.col("a") == F.col("x_node")).join(right, F.col("b") == F.col("y_node"))
 
     def estimate(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             if len(part):
                 x, y = (np.frombuffer(b"".join(part[c]), np.uint8).reshape(-1, COORDINATES) for c in ("x_marks", "y_marks"))
-                equal = (x == y).sum(1)
-                yield part[["a", "b"]].assign(equal=equal)[equal >= floor]
+                yield part.drop(columns=["x_marks", "y_marks"])[(x == y).sum(1) >= floor]
 
-    return both.select("a", "b", "x_marks", "y_marks").mapInPandas(estimate, "a long, b long, equal long")
+    return both.select(*pairs.columns, "x_marks", "y_marks").mapInPandas(estimate, pairs.schema)
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, percent: int, hot: list[tuple] = ()) -> DataFrame:
-    """The (a, b) whose full sets have at least `percent` of their union in common; `hot` are the keys among b."""
-    left, right = (sets.select(F.col("id").alias(f"{side}_id"), F.col("shingles").alias(f"{side}_set")) for side in "xy")
-    both = spread_join(pairs.select("a", "b").join(left, F.col("a") == F.col("x_id")), right, ["b"], ["y_id"], "a", hot)
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The rows of `pairs` (a, b, ...) whose full sets have at least `percent` of their union in common."""
+    left, right = (sets.select(F.col("node").alias(f"{side}_node"), F.col("shingles").alias(f"{side}_set")) for side in "xy")
+    both = pairs.join(left, F.col("a") == F.col("x_node")).join(right, F.col("b") == F.col("y_node"))
 
     def compare(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             ok = []
             for x, y in zip(part["x_set"], part["y_set"]):
                 p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                common = len(np.intersect1d(p, q, assume_unique=True))
+                common = len(np.intersect1d(p, q, assume_unique=True)) if 100 * min(len(p), len(q)) >= percent * max(len(p), len(q)) else 0
                 ok.append(100 * common >= percent * (len(p) + len(q) - common))
-            yield part.loc[ok, ["a", "b"]]
+            yield part.drop(columns=["x_set", "y_set"])[np.array(ok, bool)]
 
-    return both.select("a", "b", "x_set", "y_set").mapInPandas(compare, "a long, b long").distinct()
+    return both.select(*pairs.columns, "x_set", "y_set").mapInPandas(compare, pairs.schema)
 
 
-def links_of_blocks(x: pd.DataFrame, y: pd.DataFrame, bucket: int, percent: int) -> list[tuple[int, int]]:
-    """Links between components over the rows of `x` and `y` (node, component, n_shingles, bands, marks, shingles), as
-    few as join them. A pair is compared in the first bucket that it shares only."""
+def followed(links: DataFrame, jumps: int = 2) -> DataFrame:
+    """(a, b) of the pointers `links` (a, b), one for each a and to a lesser node, with b as far as 2 ** `jumps` of them lead."""
+    now = links
+    for _ in range(jumps):
+        up = now.select(F.col("a").alias("of"), F.col("b").alias("up"))
+        led = staged(now.join(up, F.col("b") == F.col("of"), "left").select("a", F.coalesce("up", "b").alias("b")), "minhash-ends")
+        release(now)
+        now = led
+    return now
+
+
+def unpacked(rows: pa.StructArray) -> SimpleNamespace:
+    """The columns of a block's rows (component, n_shingles, bands, marks, shingles) as arrays, all shingles in one."""
+    component, n, bands, marks, shingles = (rows.field(c) for c in ("component", "n_shingles", "bands", "marks", "shingles"))
+    marks, shingles = (np.frombuffer(b"".join(c.to_pylist()), kind) for c, kind in ((marks, np.uint8), (shingles, np.uint64)))
+    return SimpleNamespace(component=component.to_numpy(), n=n.to_numpy(), bands=bands.flatten().to_numpy().reshape(-1, BANDS), marks=marks.reshape(-1, COORDINATES), shingles=shingles)
+
+
+def links_of_blocks(x: SimpleNamespace, y: SimpleNamespace, bucket: int, percent: int) -> list[tuple[int, int]]:
+    """The components that links join over the `unpacked` rows of `x` and `y`, in as few pairs as do. A pair is compared in
+    the first bucket that it shares only."""
     floor = least_equal(percent / 100)
-    xb, yb = (np.stack(t["bands"].to_list()) for t in (x, y))
-    xm, ym = (np.frombuffer(b"".join(t["marks"]), np.uint8).reshape(-1, COORDINATES) for t in (x, y))
-    xn, yn, xc, yc = x["n_shingles"].to_numpy(), y["n_shingles"].to_numpy(), x["component"].to_numpy(), y["component"].to_numpy()
-    sizes = yn.astype(np.int64)
-    flat = np.frombuffer(b"".join(y["shingles"]), np.uint64)
+    xb, yb, xm, ym, xn, yn, xc, yc = x.bands, y.bands, x.marks, y.marks, x.n, y.n, x.component, y.component
+    sizes, flat = yn, y.shingles
     starts = np.cumsum(sizes) - sizes
+    sets = np.split(x.shingles, np.cumsum(xn)[:-1])
     out, joined = [], {}
 
     def root(c: int) -> int:
@@ -197,7 +218,7 @@ def links_of_blocks(x: pd.DataFrame, y: pd.DataFrame, bucket: int, percent: int)
             c = up
         return c
 
-    for i, (node, own) in enumerate(zip(x["node"].tolist(), x["shingles"])):
+    for i, mine in enumerate(sets):
         near = (yc != xc[i]) & (100 * np.minimum(yn, xn[i]) >= percent * np.maximum(yn, xn[i]))
         rows = np.flatnonzero(near)
         rows = rows[(ym[rows] == xm[i]).sum(1) >= floor]
@@ -207,7 +228,6 @@ def links_of_blocks(x: pd.DataFrame, y: pd.DataFrame, bucket: int, percent: int)
         rows = rows[yb[rows, same.argmax(1)] == bucket]
         if not len(rows):
             continue
-        mine = np.frombuffer(own, np.uint64)
         lengths = sizes[rows]
         ends = np.cumsum(lengths)
         take = np.arange(ends[-1]) + np.repeat(starts[rows] - (ends - lengths), lengths)
@@ -219,23 +239,22 @@ def links_of_blocks(x: pd.DataFrame, y: pd.DataFrame, bucket: int, percent: int)
             p, q = root(int(xc[i])), root(int(yc[j]))
             if p != q:
                 joined[max(p, q)] = min(p, q)
-                out.append((node, int(y["node"].iat[j])))
+                out.append((int(xc[i]), int(yc[j])))
     return out
 
 
-def links_in_large(members: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int, hot: list[tuple]) -> DataFrame:
-    """(a, b): links between the components within each bucket of `members` (bucket, node, component); `hot` are the keys
-    among the buckets."""
-    full = members.join(nodes.select("node", "n_shingles", "bands", "marks"), "node")
-    counted = full.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("shingles"))
-    main = counted.groupBy("bucket").agg(F.max_by("component", F.struct("n", -F.col("component"))).alias("main"), F.ceil(F.sum("shingles") / BLOCK).alias("wide"))
-    sizes = main.select(F.col("bucket").alias("of"), "main", "wide")
-    row = F.struct("node", "component", "n_shingles", "bands", "marks", "shingles")
+def links_in_large(members: DataFrame, sets: DataFrame, percent: int, hot: list[tuple]) -> DataFrame:
+    """(a, b): the components that links join within each bucket of `members` (bucket, node, n_shingles, component); `hot` are
+    the keys among the buckets."""
+    counted = members.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("shingles"))
+    main = counted.groupBy("bucket").agg(F.max_by("component", F.struct("n", -F.col("component"))).alias("main"), F.ceil(F.sum("shingles") / BLOCK).alias("wide"), F.count(F.lit(1)).alias("parts"))
+    sizes = main.where("parts > 1").select(F.col("bucket").alias("of"), "main", "wide")
+    row = F.struct("component", "n_shingles", "bands", "marks", "shingles")
     placed = (
-        spread_join(full, sizes, ["bucket"], ["of"], "node", hot)
+        spread_join(members.drop("n_shingles"), sizes, ["bucket"], ["of"], "node", hot)
         .withColumn("block", F.pmod(F.xxhash64("node"), F.col("wide")))
         .withColumn("apart", F.col("component") != F.col("main"))
-        .join(sets.select(F.col("id").alias("set_id"), "shingles"), F.col("node") == F.col("set_id"))
+        .join(sets, "node")
     )
     # Members outside the bucket's main component meet all others; those inside only meet them.
     blocks = staged(placed.groupBy("bucket", "block", "wide", "apart").agg(F.collect_list(row).alias("rows")), "minhash-blocks")
@@ -246,20 +265,24 @@ def links_in_large(members: DataFrame, nodes: DataFrame, sets: DataFrame, percen
     on = (F.col("x_bucket") == F.col("bucket")) & (F.col("x_strip") == F.col("y_facing")) & (F.col("x_facing") == F.col("y_strip"))
     tasks = apart.join(every, on & (~F.col("y_apart") | (F.col("x_block") <= F.col("y_block")))).select("bucket", "x", "y")
 
-    def compare(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def compare(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            for bucket, x, y in part.itertuples(index=False, name=None):
-                found = links_of_blocks(pd.DataFrame(list(x)), pd.DataFrame(list(y)), bucket, percent)
-                yield pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+            found = []
+            for bucket, x, y in zip(part["bucket"].to_pylist(), part["x"], part["y"]):
+                found += links_of_blocks(unpacked(x.values), unpacked(y.values), bucket, percent)
+            a, b = np.array(found, np.int64).reshape(-1, 2).T
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-    return tasks.mapInPandas(compare, "a long, b long").distinct()
+    return tasks.mapInArrow(compare, "a long, b long").distinct()
 
 
-def links_in_small(members: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b): the linked pairs of different components within each bucket of `members`."""
-    other = members.select(F.col("bucket").alias("o"), F.col("node").alias("b"), F.col("component").alias("c"))
-    pairs = members.join(other, (F.col("bucket") == F.col("o")) & (F.col("node") < F.col("b")) & (F.col("component") != F.col("c"))).select(F.col("node").alias("a"), "b").distinct()
-    return confirmed(staged(likely(pairs, nodes, percent), "minhash-pairs"), sets, percent)
+def links_in_small(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): the components that links join within each bucket of `members`."""
+    own = members.select("bucket", F.col("node").alias("a"), F.col("component").alias("x"), F.col("n_shingles").alias("m"))
+    other = members.select(F.col("bucket").alias("of"), F.col("node").alias("b"), F.col("component").alias("y"), F.col("n_shingles").alias("n"))
+    met = own.join(other, (F.col("bucket") == F.col("of")) & (F.col("a") < F.col("b")) & (F.col("x") != F.col("y")))
+    pairs = met.where(100 * F.least("m", "n") >= percent * F.greatest("m", "n")).select("a", "b", "x", "y").distinct()
+    return confirmed(staged(likely(pairs, sets, percent), "minhash-pairs"), sets, percent).select(F.col("x").alias("a"), F.col("y").alias("b"))
 
 
 def labelled_rows(docs: DataFrame, size: int, percent: int, row: Column) -> DataFrame:
@@ -275,37 +298,33 @@ def labelled_rows(docs: DataFrame, size: int, percent: int, row: Column) -> Data
     node = F.monotonically_increasing_id() if repeated else F.col("id")
     nodes = staged(alike.select("k1", "k2", "id", node.alias("node"), "copies", "own.*"), "minhash-nodes")
 
-    placed = nodes.select(F.explode("bands").alias("bucket"), "node")
+    placed = nodes.select(F.explode("bands").alias("bucket"), "node", "n_shingles")
     shared = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("members"), F.min("node").alias("least")).where("members > 1")
     shared = staged(shared.withColumnRenamed("bucket", "of"), "minhash-buckets")
     hot_buckets = hot_keys(shared.select("of", "members"))
-    hot_least = hot_keys(shared.groupBy("least").agg(F.sum("members").alias("n")))
-    members = staged(spread_join(placed, shared, ["bucket"], ["of"], "node", hot_buckets).select("bucket", "node", "members", "least"), "minhash-members")
+    members = staged(spread_join(placed, shared, ["bucket"], ["of"], "node", hot_buckets).select("bucket", "node", "n_shingles", "members", "least"), "minhash-members")
     release(shared)
-    partnered = members.select("node").distinct()
-    if repeated:
-        wanted = nodes.select("node", "id", "k1", "k2").join(partnered, "node", "left_semi")
-        sets = staged(sets_of_texts(docs, wanted, size), "minhash-sets")
-    else:
-        sets = staged(shingle_sets(docs.select(rows_id().alias("id"), "text").join(partnered, F.col("id") == F.col("node"), "left_semi"), size), "minhash-sets")
+    wanted = nodes.join(members.select(F.col("node").alias("partnered")), F.col("node") == F.col("partnered"), "left_semi")
+    sets = staged((sets_of_texts if repeated else sets_of_nodes)(docs, wanted, size), "minhash-sets")
 
-    # 1. Every node with the likeliest of its buckets' least nodes.
-    first = likely(members.where("node != least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct(), nodes, percent, hot_least)
-    best = first.groupBy("a").agg(F.max_by("b", F.struct("equal", -F.col("b"))).alias("b"))
-    links = staged(confirmed(best, sets, percent, hot_least), "minhash-links")
-    formed = components(links, rounds=2)  # what is still apart is only compared again
+    # 1. Every node with what is the least of the most of its buckets; of one bucket alone it is so by chance, mostly.
+    met = members.where("node != least").repartition("node").groupBy("node", "least").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    best = met.groupBy(F.col("node").alias("a")).agg(F.max_by("least", F.struct("n", -F.col("least"))).alias("b"))
+    ends = followed(staged(confirmed(best, sets, percent), "minhash-links"))
 
-    # 2. What still shares a bucket across components.
-    labelled = members.join(formed.withColumnRenamed("node", "formed"), F.col("node") == F.col("formed"), "left").withColumn("component", F.coalesce("component", "node")).drop("formed", "least")
+    # 2. What still shares a bucket across components; where there are more pointers to follow, it is only compared again.
+    formed = ends.select(F.col("a").alias("formed"), F.col("b").alias("component"))
+    labelled = members.join(formed, F.col("node") == F.col("formed"), "left").select("bucket", "node", "n_shingles", "members", F.coalesce("component", "node").alias("component"))
     labelled = staged(labelled, "minhash-labelled")
     release(members)
-    apart = labelled.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select(F.col("bucket").alias("of"))
-    active = staged(spread_join(labelled, apart, ["bucket"], ["of"], "node", hot_buckets).drop("of"), "minhash-active")
-    release(labelled)
-    small, large = active.where(F.col("members") <= SMALL), active.where(F.col("members") > SMALL)
-    more = links_in_small(small, nodes, sets, percent).union(links_in_large(large, nodes, sets, percent, hot_buckets))
-    found = components(links.union(more), "components-all")
-    release(active, sets, links)
+    small, large = labelled.where(F.col("members") <= SMALL), labelled.where(F.col("members") > SMALL)
+    more = links_in_small(small, sets, percent).union(links_in_large(large, sets, percent, hot_buckets))
+    upward = ends.join(ends.select(F.col("b").alias("end")).distinct(), F.col("a") == F.col("end"), "left_semi")
+    joined = components(more.union(upward), "components-all").select(F.col("node").alias("end"), F.col("component").alias("whole"))
+    release(labelled, sets)
+    # Every node of a link with the end of its pointers, and the component of that.
+    linked = ends.union(ends.select("b", "b")).union(joined.select("end", "end")).toDF("node", "label")
+    found = linked.join(joined, F.col("label") == F.col("end"), "left").select("node", F.coalesce("whole", "label").alias("component")).distinct()
 
     # Rows with neither copy nor link belong to themselves.
     moved = nodes.join(found.withColumnRenamed("node", "found"), F.col("node") == F.col("found"), "left").withColumn("component", F.coalesce("component", "node")).where("copies > 1 or found is not null")
