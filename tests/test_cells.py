@@ -33,6 +33,26 @@ def test_a_sample_is_a_share_of_the_points(spark, monkeypatch):
     assert tree.cells == 5 and counts.min() > 90 and counts.max() < 300
 
 
+@pytest.mark.parametrize("policy", ["widest", "round_robin"])
+@pytest.mark.parametrize("grid", [None, 4, 300])
+def test_exact_medians_though_the_sample_is_a_part(spark, monkeypatch, policy, grid):
+    """The nodes are those of a tree made from all points at once, also where most points share their largest coordinate."""
+    pts = rows(rng(13), 900, 2, grid) + [(-1 - i, [5.0, float(i % 2)]) for i in range(500 if grid == 4 else 0)]
+    want = cells.split_sample([c for _, c in pts], 5, 2, policy)
+    monkeypatch.setattr(cells, "SAMPLE_COORDINATES", 200)
+    tree = sample_tree(frame(spark, pts), 5, 2, policy, exact=True)
+    assert [(n.cell, n.dim, n.value, n.left, n.right) for n in tree.nodes] == [(n.cell, n.dim, n.value, n.left, n.right) for n in want.nodes]
+    assert all((a.low == b.low).all() and (a.high == b.high).all() for a, b in zip(tree.nodes, want.nodes))
+
+
+def test_a_sample_comes_packed(spark):
+    """The driver gets the coordinates as bytes, not as rows of lists."""
+    df = frame(spark, rows(rng(14), 70, 3))
+    got = cells._gathered(df, 3)
+    assert got.shape == (70, 3) and sorted(map(tuple, got)) == sorted(tuple(r["coords"]) for r in df.collect())
+    assert cells._gathered(df.where("false"), 3).shape == (0, 3)
+
+
 def test_many_cells_go_through_numpy(spark):
     pts = rows(rng(2), 500, 2)
     tree = sample_tree(frame(spark, pts), 100, 2)

@@ -18,7 +18,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
-from ..staging import staged
+from ..staging import scope, staged
+from .stats import at_places
 
 #: Coordinates of the sample that a tree is built from, in all.
 SAMPLE_COORDINATES = 1 << 22
@@ -137,24 +138,37 @@ def split_dimension(node: Node, low: np.ndarray, high: np.ndarray, policy: str,
     return int(np.argmax(high - low)) if policy == "widest" else node.level % dims
 
 
-def sample_tree(pts: DataFrame, cells: int, dims: int, policy: str = "widest", rows: int | None = None) -> CellTree:
+def sample_tree(pts: DataFrame, cells: int, dims: int, policy: str = "widest", rows: int | None = None, exact: bool = False) -> CellTree:
     """A tree of at most `cells` leaves from a bounded sample: the points whose ids have the least hashes.
 
     Of `rows` points, where there are more than the sample takes, those are kept in the scan whose hashes lie below the
-    share wanted; so no task sorts, and none sends on more than its part of the sample.
+    share wanted; so no task sorts, and none sends on more than its part of the sample. With `exact` the splits are the
+    medians of all points in any case: where the sample is a part of them it only tells where to look.
     """
     most = max(1, SAMPLE_COORDINATES // dims)
-    if cells > 1:
-        rows = pts.count() if rows is None else rows
-        if rows > most:
-            pts = pts.where(F.pmod(F.xxhash64("id"), F.lit(1 << 40)) < int((1 << 40) * most / rows))
-        sample = pts.select("coords").limit(2 * most).toPandas()["coords"]  # the limit only bounds what chance might add
-    else:
-        sample = pd.Series([], dtype=object)
-    return split_sample(sample.to_list(), cells, dims, policy)
+    if cells <= 1:
+        return split_sample(np.zeros((0, dims)), cells, dims, policy)
+    rows = pts.count() if rows is None else rows
+    if rows <= most:
+        return split_sample(_gathered(pts, dims), cells, dims, policy)
+    kept = pts.where(F.pmod(F.xxhash64("id"), F.lit(1 << 40)) < int((1 << 40) * most / rows))
+    sample = _gathered(kept.select("coords").limit(2 * most), dims)  # the limit only bounds what chance might add
+    return refined_tree(pts, sample, cells, dims, policy) if exact else split_sample(sample, cells, dims, policy)
 
 
-def split_sample(sample: list, cells: int, dims: int, policy: str) -> CellTree:
+def _gathered(pts: DataFrame, dims: int) -> np.ndarray:
+    """The coordinates of a few points as a matrix. They come to the driver packed, as eight bytes each."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays([pa.array([flat_coords(batch.column("coords")).tobytes()], pa.binary())], names=["packed"])
+
+    packed = [r["packed"] for r in pts.select("coords").mapInArrow(pack, "packed binary").collect()]
+    return np.frombuffer(b"".join(packed)).reshape(-1, dims)
+
+
+def split_sample(sample: list | np.ndarray, cells: int, dims: int, policy: str) -> CellTree:
     """A tree of at most `cells` leaves by medians of the points of `sample`."""
     coords = np.array(sample, float).reshape(len(sample), dims)
     endless = np.full(dims, np.inf)
@@ -188,6 +202,84 @@ def split_sample(sample: list, cells: int, dims: int, policy: str) -> CellTree:
     return tree
 
 
+def refined_tree(pts: DataFrame, sample: np.ndarray, cells: int, dims: int, policy: str = "widest") -> CellTree:
+    """The tree that `split_sample` makes of all points, though `sample` holds a part of them only: a level at a time, the
+    boxes and counts of its nodes by one aggregation, and their medians by counting on both sides of where the sample has them."""
+    endless = np.full(dims, np.inf)
+    tree = CellTree(dims, [Node(0, -endless, endless)])
+    own, wanted, open_, made = {0: np.arange(len(sample))}, {0: cells}, [0], 0
+    while open_:
+        boxes = [f(F.element_at("coords", i + 1)).alias(f"{s}{i}") for i in range(dims) for s, f in (("lo", F.min), ("hi", F.max))]
+        parted = [p for p in open_ if wanted[p] > 1]
+        seen = {r["node"]: r for r in _placed(pts, tree, parted).groupBy("node").agg(F.count(F.lit(1)).alias("n"), *boxes).collect()} if parted else {}  # a row a node
+        asked = {}
+        for place in parted:
+            if place in seen:
+                n = seen[place]["n"]
+                low, high = (np.array([seen[place][f"{s}{i}"] for i in range(dims)]) for s in ("lo", "hi"))
+                dim = split_dimension(tree.nodes[place], low, high, policy, dims)
+                dim = dim if low[dim] < high[dim] else int(np.argmax(high - low))
+                if low[dim] < high[dim]:
+                    rank = min(max(int(n * (wanted[place] // 2 / wanted[place])) - 1, 0), n - 1)
+                    asked[place] = (dim, *_bracket(sample[own[place], dim], rank / n, low[dim], high[dim]), rank, high[dim])
+        value = _split_values(pts, tree, asked)
+        following = []
+        for place in open_:
+            node = tree.nodes[place]
+            if place not in asked:
+                node.cell, made = made, made + 1
+                continue
+            node.dim, node.value = asked[place][0], value[place]
+            right = sample[own[place], node.dim] > node.value
+            for side, mine, n in (("left", own[place][~right], wanted[place] // 2), ("right", own[place][right], wanted[place] - wanted[place] // 2)):
+                low, high = node.low.copy(), node.high.copy()
+                (high if side == "left" else low)[node.dim] = node.value
+                setattr(node, side, len(tree.nodes))
+                own[len(tree.nodes)], wanted[len(tree.nodes)] = mine, n
+                following.append(len(tree.nodes))
+                tree.nodes.append(Node(node.level + 1, low, high))
+        open_ = following
+    return tree
+
+
+def _bracket(x: np.ndarray, share: float, low: float, high: float) -> tuple[float, float]:
+    """Two numbers between which the `share` of all rows falls, as good as surely, by a sample `x` of them; else `low` and `high`."""
+    x, reach = np.sort(x), 2 * np.sqrt(len(x)) + 2  # four deviations at least
+    first, last = int(share * len(x) - reach), int(share * len(x) + reach) + 1
+    return float(x[first]) if first >= 0 and len(x) else float(low), float(x[last]) if last < len(x) else float(high)
+
+
+def _split_values(pts: DataFrame, tree: CellTree, asked: dict[int, tuple[int, float, float, int, float]]) -> dict[int, float]:
+    """The element at a place of each node's points, in the order of one dimension: of `asked`, by node, (dimension, low, high,
+    place, largest). Where it is the largest, so that nothing would go right of it, the next below.
+
+    One aggregation counts what lies before `low` and up to `high`; if the place is not there, all of the node is searched.
+    """
+    if not asked:
+        return {}
+    spark, dims = pts.sparkSession, np.ones(len(tree.nodes), int)
+    for place, (dim, *_) in asked.items():
+        dims[place] = dim + 1
+    with scope(spark):
+        x = F.element_at("coords", F.element_at(F.lit(dims.tolist()), F.col("node") + 1)) if tree.dims > 1 else F.element_at("coords", 1)
+        rows = _placed(pts, tree, list(asked)).select("node", x.alias("x"))
+        around = spark.createDataFrame([(n, low, high) for n, (_, low, high, *_) in asked.items()], "of int, low double, high double")
+        held = F.col("x").between(F.col("low"), F.col("high"))
+        counted = rows.join(F.broadcast(around), F.col("node") == F.col("of")).groupBy("node")  # a row a node
+        told = counted.agg(F.count_if(F.col("x") < F.col("low")).alias("below"), F.count_if(held).alias("inside"), F.min(F.when(held, F.col("x"))).alias("lo"), F.max(F.when(held, F.col("x"))).alias("hi"), F.count(F.lit(1)).alias("n"), F.min("x").alias("least"), F.max("x").alias("most"))
+        places = []
+        for r in told.collect():
+            at = asked[r["node"]][3] - r["below"]
+            places.append((r["node"], 0, r["lo"], r["hi"], at, r["inside"]) if 0 <= at < r["inside"] else (r["node"], 0, r["least"], r["most"], asked[r["node"]][3], r["n"]))
+        found = at_places(rows, spark.createDataFrame(places, "node int, tag int, low double, high double, place long, left long"), ["node"])
+        value = {r["node"]: r["x"] for r in found.collect()}
+        if tops := [(n, value[n]) for n in asked if value[n] == asked[n][4]]:
+            largest = spark.createDataFrame(tops, "of int, top double")
+            below = rows.join(F.broadcast(largest), F.col("node") == F.col("of")).where("x < top").groupBy("node").agg(F.max("x").alias("x"))
+            value |= {r["node"]: r["x"] for r in below.collect()}
+    return value
+
+
 def level_tree(pts: DataFrame, cells: int, dims: int, policy: str = "widest", accuracy: int = 1000) -> CellTree:
     """A tree from all points: a level at a time, the boxes of its nodes by one aggregation and their medians by another."""
     endless = np.full(dims, np.inf)
@@ -292,6 +384,12 @@ def _in_nodes(pts: DataFrame, tree: CellTree, open_: list[int]) -> DataFrame:
     return pts.select("coords").mapInArrow(place, "coords array<double>, node int")
 
 
+def _placed(pts: DataFrame, tree: CellTree, open_: list[int]) -> DataFrame:
+    """(coords, node) of the points in open nodes; while these are few, by a CASE expression."""
+    placed = pts.select("coords", _place(tree, open_).alias("node")) if len(tree.nodes) <= CASE_CELLS else _in_nodes(pts, tree, open_)
+    return placed.where("node >= 0")
+
+
 def _place(tree: CellTree, open_: list[int]) -> Column:
     """The open node that a point is in, or -1."""
 

@@ -273,7 +273,7 @@ _LOW, _HIGH = "'-Infinity'", "'Infinity'"
 """)
 def tree_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The nodes of a tree of four cells made from all parts, as lines of text; the price is the widest dimension throughout."""
-    return node_lines(sample_tree(part2(spark, sf_dir), 4, 2), spark)
+    return node_lines(sample_tree(part2(spark, sf_dir), 4, 2, exact=True), spark)
 
 
 def _price_tree(cells: int) -> CellTree:
@@ -322,9 +322,9 @@ def route_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT id, CAST(2 * side + CASE WHEN x > mid THEN 1 ELSE 0 END AS INTEGER) AS cell FROM half JOIN cuts USING (side)
 """)
 def tree_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Four cells of as many points each, by medians of all rows, as the sample holds them all."""
+    """Four cells of as many points each, by medians of all rows, be the sample all of them or a part."""
     pts = points(table(spark, sf_dir, "orders"), "o_orderkey", ["o_totalprice"])
-    return with_cell(pts, sample_tree(pts, 4, 1)).select("id", "cell")
+    return with_cell(pts, sample_tree(pts, 4, 1, exact=True)).select("id", "cell")
 
 
 @query("""
