@@ -136,3 +136,13 @@ def test_a_tree_from_sketches(spark, policy):
     assert rough.cells == 16 and sum(r["n"] for r in cell_table(with_cell(pts, rough), 2).collect()) == 600
     assert cells.sketch_tree(frame(spark, [(i, [1.0, 2.0]) for i in range(9)]), 8, 2, policy).cells == 1
     assert cells.sketch_tree(pts.where("false"), 8, 2, policy).cells == 1
+
+
+@pytest.mark.parametrize("reach", [5.0, 0.0])
+def test_exact_medians_though_the_sketch_is_rough(spark, monkeypatch, reach):
+    """With eight items for 700 points the splits are those at the middle of all, wherever the sketch says to look."""
+    monkeypatch.setattr(cells, "REACH", reach)
+    x = sorted(c[0] for _, c in rows(rng(62), 700, 1))
+    left = [v for v in x if v <= x[349]]
+    tree = cells.sketch_tree(frame(spark, [(i, [v]) for i, v in enumerate(x)]), 4, 1, k=8, exact=True)
+    assert [n.value for n in tree.nodes[:3]] == [x[349], left[174], x[350:][174]]

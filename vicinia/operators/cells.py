@@ -7,6 +7,7 @@ Points at a split go left.
 
 from __future__ import annotations
 
+import math
 from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -25,8 +26,8 @@ from .stats import at_places
 SAMPLE_COORDINATES = 1 << 22
 #: Cells up to which a point's cell is a CASE expression in generated code; beyond, it is looked up in numpy.
 CASE_CELLS = 64
-#: Items of a sketch that a split is read from.
-SKETCH = 4096
+#: Items of a sketch that a split is read from; a share read from k items is REACH / k ** 0.9 off at most, as good as surely.
+SKETCH, REACH = 4096, 5.0
 #: How monotonically_increasing_id is made: the partition above this many bits.
 PARTITION_BITS = 33
 #: The most cells whose offsets are shipped to every task.
@@ -322,35 +323,43 @@ def level_tree(pts: DataFrame, cells: int, dims: int, policy: str = "widest", ac
     return tree
 
 
-def sketch_tree(pts: DataFrame, cells: int, dims: int, policy: str = "widest", k: int = SKETCH) -> CellTree:
+def sketch_tree(pts: DataFrame, cells: int, dims: int, policy: str = "widest", k: int = SKETCH, exact: bool = False) -> CellTree:
     """A tree from all points by one pass a level: every node's box and, for each dimension, a mergeable sketch of its
-    coordinates with `k` items, from which the split is read. While a node has no more than `k` points its split is exact.
+    coordinates with `k` items, from which the split is read. While a node has no more than `k` points its split is exact;
+    with `exact` it always is, as the points on both sides of what the sketch says are then counted.
 
     Points find their nodes in arrays, so thousands of nodes are as good as a few; the driver gets a row a node.
     """
     endless = np.full(dims, np.inf)
     tree = CellTree(dims, [Node(0, -endless, endless)])
     wanted, open_, made = {0: cells}, [0] if cells > 1 else [], 0
+    reach = REACH / k**0.9 if exact else 0.0
     while open_:
         shares = sorted({wanted[p] // 2 / wanted[p] for p in open_})
+        around = [min(max(s + e, 0.0), 1.0) for e in (0, -reach, reach) for s in shares]
         x = [F.element_at("coords", i + 1) for i in range(dims)]
         boxes = [f(x[i]).alias(f"{s}{i}") for i in range(dims) for s, f in (("lo", F.min), ("hi", F.max))]
         sketches = [F.kll_sketch_agg_double(x[i], F.lit(k)).alias(f"sketch{i}") for i in range(dims)]
-        splits = [F.kll_sketch_get_quantile_double(f"sketch{i}", F.array(*[F.lit(s) for s in shares])).alias(f"at{i}") for i in range(dims)]
+        splits = [F.kll_sketch_get_quantile_double(f"sketch{i}", F.array(*[F.lit(s) for s in around])).alias(f"at{i}") for i in range(dims)]
         placed = _in_nodes(pts, tree, open_).where("node >= 0")
-        seen = {r["node"]: r for r in placed.groupBy("node").agg(*boxes, *sketches).select("node", *[f"{s}{i}" for i in range(dims) for s in ("lo", "hi")], *splits).collect()}
-        following = []
-        for place in open_:
-            if place not in seen:
-                continue
+        seen = {r["node"]: r for r in placed.groupBy("node").agg(F.count(F.lit(1)).alias("n"), *boxes, *sketches).select("node", "n", *[f"{s}{i}" for i in range(dims) for s in ("lo", "hi")], *splits).collect()}
+        following, asked, split = [], {}, {}
+        for place in (p for p in open_ if p in seen):
             r, node = seen[place], tree.nodes[place]
             low, high = (np.array([r[f"{s}{i}"] for i in range(dims)]) for s in ("lo", "hi"))
             dim = split_dimension(node, low, high, policy, dims)
             dim = dim if low[dim] < high[dim] else int(np.argmax(high - low))
             if not low[dim] < high[dim]:
                 continue
-            value = float(r[f"at{dim}"][shares.index(wanted[place] // 2 / wanted[place])])
-            node.dim, node.value = dim, value if value < high[dim] else float(low[dim])
+            share = wanted[place] // 2 / wanted[place]
+            value, before, behind = (float(v) for v in r[f"at{dim}"][shares.index(share) :: len(shares)])
+            split[place] = dim, value if value < high[dim] else float(low[dim])
+            if exact and r["n"] > k:
+                asked[place] = dim, before, behind, max(math.ceil(r["n"] * share) - 1, 0), high[dim]
+        values = _split_values(pts, tree, asked)
+        for place, (dim, value) in split.items():
+            node = tree.nodes[place]
+            node.dim, node.value = dim, values.get(place, value)
             for side, n in (("left", wanted[place] // 2), ("right", wanted[place] - wanted[place] // 2)):
                 lo, hi = node.low.copy(), node.high.copy()
                 (hi if side == "left" else lo)[dim] = node.value
@@ -395,7 +404,7 @@ def _place(tree: CellTree, open_: list[int]) -> Column:
 
     def walk(i: int) -> Column:
         n = tree.nodes[i]
-        if i in open_ or n.cell is not None:
+        if i in open_ or n.dim < 0:
             return F.lit(i if i in open_ else -1)
         return F.when(F.element_at("coords", n.dim + 1) > F.lit(n.value), walk(n.right)).otherwise(walk(n.left))
 
