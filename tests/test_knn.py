@@ -239,6 +239,39 @@ def test_the_index_changes_nothing(seed, dims, nq, n, k, grid, single):
     assert all((a == b).all() and len(a) == len(b) for a, b in zip(got, want))
 
 
+@pytest.mark.parametrize("kind", ["normal", "grid", "scales", "far away", "tiny"])
+@pytest.mark.parametrize("single", [False, True])
+def test_products_of_matrices_change_nothing(kind, single):
+    r = rng(25)
+    made = {
+        "normal": lambda m: r.normal(0, 1, (m, 20)),
+        "grid": lambda m: r.integers(0, 2, (m, 20)).astype(float),
+        "scales": lambda m: r.normal(0, 1, (m, 20)) * r.choice([1e-3, 1.0, 1e3], (m, 1)),
+        "far away": lambda m: 1e6 + 1e-3 * r.normal(0, 1, (m, 20)),
+        "tiny": lambda m: 1e-200 * r.normal(0, 1, (m, 20)),
+    }[kind]
+    for nq, n, k, bounded in ((600, 2500, 5, False), (70, 1500, 300, False), (90, 1200, 10, True), (40, 700, None, True), (30, 400, 500, False), (20, 100, 3, False), (0, 300, 3, False)):
+        q, p = (made(m).astype(np.float32 if single else float) for m in (nq, n))
+        q[: nq // 2] = p[: nq // 2]
+        bound = r.choice([0.0, float(np.median(kernel.square_distances(q, p))), np.inf], nq) if bounded else None
+        got, want = kernel.filtered_within(q, p, np.arange(n), k, bound), kernel.within(q, p, np.arange(n), k, bound)
+        assert all(len(a) == len(b) and (a == b).all() for a, b in zip(got, want))
+
+
+def test_few_distances_are_formed_in_many_dimensions(spark, monkeypatch):
+    """Of evenly dealt points products tell which distances are formed; and all meet in strips, however small blocks are."""
+    formed, plain = [], kernel.exact_pairs
+    monkeypatch.setattr(kernel, "exact_pairs", lambda q, p: formed.append(len(q)) or plain(q, p))
+    p = rng(26).normal(0, 1, (6000, 64))
+    kernel.filtered_within(p[:600], p, np.arange(6000), 10, None)
+    assert 6000 < sum(formed) < 0.02 * 600 * 6000
+    pts = rows(rng(27), 500, 20)
+    strips, made = [], search._strips
+    monkeypatch.setattr(search, "_strips", lambda *a: strips.append(a[1]) or made(*a))
+    assert as_dict(knn(frame(spark, pts), 3, KnnConfig(cell_rows=20, block_rows=5))) == brute(pts, pts, 3)
+    assert len(strips) == 2 and max(strips) <= 8  # and not the hundred blocks
+
+
 def clustered(seed, n, dims, centres, spread=0.05):
     r = rng(seed)
     at = r.normal(0, 1, (centres, dims))

@@ -10,6 +10,8 @@ import numpy as np
 STRIP = 1 << 21
 #: Pairs of a query and a node looked at together.
 FRONTIER = 1 << 17
+#: Queries, points and least points of a product of matrices, and the least points that are worth one.
+TALL, BROAD, NARROW, LEAST = 512, 4096, 1024, 256
 #: Points of a leaf of a block's index, and queries that go through it together.
 LEAF = 32
 
@@ -46,6 +48,90 @@ def within(q: np.ndarray, p: np.ndarray, ids: np.ndarray, k: int | None, bound:
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
+def exact_pairs(q: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """The squared distance of each row of `q` to the row of `p` in the same place, summed as in `square_distances`."""
+    gaps, out = q - p, np.zeros(len(q), q.dtype)
+    gaps *= gaps
+    for j in range(q.shape[1]):
+        out += gaps[:, j]
+    return out
+
+
+def _firsts(rows: np.ndarray, own: np.ndarray, near: np.ndarray, k: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The pairs in order of (row, distance, id), the first `k` of each row."""
+    order = np.lexsort((own, near, rows))
+    rows, own, near = rows[order], own[order], near[order]
+    if k is not None:
+        first = np.arange(len(rows)) - np.searchsorted(rows, rows) < k
+        rows, own, near = rows[first], own[first], near[first]
+    return rows, own, near
+
+
+def filtered_within(q: np.ndarray, p: np.ndarray, ids: np.ndarray, k: int | None, bound: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As `within`, for many dimensions: products of matrices in 32 bits tell which pairs may lie within the bound and the k-th
+    distance so far, and only of these distances are formed.
+
+    A product is off by no more than `slack` of what both rows' squares and the bound sum to (the usual bound of a sum of
+    products in any order, for rows that are rounded to 32 bits, twice what it need be), so no pair is lost by rounding.
+    """
+    if len(p) < LEAST or not len(q):
+        return within(q, p, ids, k, bound)
+    middle = p.mean(0, dtype=float)
+    with np.errstate(over="ignore", invalid="ignore"):
+        a, b = q - middle, p - middle
+        largest = max(np.abs(a).max(), np.abs(b).max())
+    usual = 1e-12 if q.dtype == np.float32 else 1e-100
+    if not usual < largest < 1 / usual:  # squares might leave the range of numbers
+        return within(q, p, ids, k, bound)
+    dims, scale = q.shape[1], 2.0 ** -np.frexp(largest)[1]  # all coordinates at most 1, exactly scaled
+    slack, least = 2.0**-23 * (dims + 16), 1e-30 + (1e-36 * dims * scale**2 if q.dtype == np.float32 else 0)
+    a, b = (a * scale).astype(np.float32), (b * scale).astype(np.float32)
+    a_sq, b_sq = (np.einsum("ij,ij->i", x, x, dtype=float) for x in (a, b))
+    right = np.column_stack([b, b_sq * (1 - slack), np.ones(len(b))]).astype(np.float32)  # rows (p, p p, 1) meet (-2 q, 1, q q - limit)
+    products, told, out = np.empty(TALL * BROAD, np.float32), np.empty(TALL * BROAD, bool), []
+
+    def product(left: np.ndarray, tile: slice) -> np.ndarray:
+        shape = len(left), tile.stop - tile.start
+        return np.matmul(left, right[tile].T, out=products[: shape[0] * shape[1]].reshape(shape))
+
+    for start in range(0, len(q), TALL):
+        mine = slice(start, min(start + TALL, len(q)))
+        n = mine.stop - mine.start
+        left = np.column_stack([-2 * a[mine], np.ones(n), np.zeros(n)]).astype(np.float32)
+        limit = np.full(n, np.inf) if bound is None else bound[mine].astype(float)
+        found = np.zeros(0, np.int64), ids[:0], np.zeros(0, q.dtype)
+        waiting, total, at = [], 0, 0
+        while at < len(p):
+            tile = slice(at, min(at + (BROAD if k is None else min(max(NARROW, 4 * k, at), BROAD)), len(p)))
+            if at == 0 and k is not None and k <= tile.stop and np.isinf(limit).any():  # the k-th of the first products, and what they may be off
+                left[:, dims + 1] = a_sq[mine] * (1 - slack)
+                kth = np.partition(product(left, tile), k - 1, axis=1)[:, k - 1].astype(float)
+                reach = (kth + 2 * slack * (a_sq[mine] + b_sq[tile].max()) + least) * (1 + slack)
+                limit = np.minimum(limit, np.maximum(reach, 0) / scale**2)
+            scaled = np.minimum(limit * scale**2, 1e30)
+            left[:, dims + 1] = a_sq[mine] * (1 - slack) - scaled * (1 + slack) - least
+            own = product(left, tile)
+            within_reach = np.less_equal(own, 0, out=told[: own.size].reshape(own.shape))
+            rows, cols = np.divmod(np.flatnonzero(within_reach), own.shape[1])
+            cols += at
+            for i in range(0, len(rows), STRIP // dims):  # where most may be near, some at a time
+                r, c = rows[i : i + STRIP // dims], cols[i : i + STRIP // dims]
+                d = exact_pairs(q[mine][r], p[c])
+                near = d <= limit[r]
+                waiting.append((r[near], ids[c[near]], d[near]))
+                total += int(near.sum())
+            at = tile.stop
+            if k is not None and (2 * total >= n * k or at == len(p) or tile.start == 0):
+                found = _firsts(*(np.concatenate(x) for x in zip(found, *waiting)), k)
+                full = np.flatnonzero(np.arange(len(found[0])) - np.searchsorted(found[0], found[0]) == k - 1)
+                limit[found[0][full]] = np.minimum(limit[found[0][full]], found[2][full])
+                waiting, total = [], 0
+        if waiting:
+            found = _firsts(*(np.concatenate(x) for x in zip(found, *waiting)), k)
+        out.append((found[0] + start, *found[1:]))
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
 def tree_order(p: np.ndarray, leaf: int = LEAF) -> np.ndarray:
     """The rows of `p` in an order in which every `leaf` of them, from the first on, lie close together: halves by the widest
     dimension, again and again."""

@@ -39,7 +39,7 @@ from ..skew import hot_keys, spread_join
 from ..staging import release, scope, staged
 from .cells import CellTree, cell_table, flat_coords, sample_tree, with_cell
 from .deep import lower_routes, lower_trees, with_lower_cell
-from .kernel import box_distances, boxes_within, counted_bounds, indexed_within, within
+from .kernel import box_distances, boxes_within, counted_bounds, filtered_within, indexed_within
 from .pivots import MOST_PIVOTS, SLACK, SLACK32, Pivots, counted_radius, distances, gaps, pivot_table, sample_pivots, with_pivot_cell
 
 #: Dimensions beyond which boxes exclude next to nothing, so that cells are those of pivots.
@@ -49,6 +49,9 @@ PRUNED_DIMS = 16
 ROUTED, WORTH, WIDER = 1 << 22, 0.25, 8
 #: Blocks of a cell up to which one task compares all of them, and the least points of a block.
 FEW_BLOCKS, LEAST_BLOCK = 4, 64
+#: Beyond PRUNED_DIMS: points that a block may hold at least, as products of matrices want many, and coordinates of a strip of
+#: points that meets another in a task.
+DENSE_BLOCK, STRIP_COORDINATES = 4096, 1 << 21
 #: Lists of a query up to which they are merged at once; more are merged by strips first.
 MANY_LISTS = 256
 
@@ -91,7 +94,7 @@ def _meet(queries: DataFrame, base: DataFrame, k: int | None, dims: int, float32
     left = _facing(queries, base).select(F.col("cell").alias("q_cell"), F.col("strip").alias("q_strip"), F.col("facing").alias("q_facing"), "q", "bound", F.col("flat").alias("q_flat"))
     right = _facing(base, queries).select("cell", "strip", "facing", "loc", "m", F.col("flat").alias("p_flat"))
     kind = np.float32 if float32 else np.float64
-    search = indexed_within if dims <= PRUNED_DIMS else within
+    search = indexed_within if dims <= PRUNED_DIMS else filtered_within
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -229,10 +232,10 @@ def partition(pts: DataFrame, rows: int, dims: int, config: KnnConfig) -> CellTr
     return sample_tree(pts, cells_for(rows, dims, config) if dims <= PRUNED_DIMS else 1, dims, config.policy, rows)
 
 
-def _block_rows(spark: SparkSession, rows: int, cells: int, config: KnnConfig) -> int:
+def _block_rows(spark: SparkSession, rows: int, cells: int, dims: int, config: KnnConfig) -> int:
     """Points of a block: where there is one cell only, so few that every core gets some."""
-    even = config.block_rows if cells > 1 else max(LEAST_BLOCK, rows // (2 * spark.sparkContext.defaultParallelism))
-    return min(config.block_rows, even)
+    most = config.block_rows if dims <= PRUNED_DIMS else max(config.block_rows, DENSE_BLOCK)
+    return most if cells > 1 else min(most, max(LEAST_BLOCK, rows // (2 * spark.sparkContext.defaultParallelism)))
 
 
 @dataclass
@@ -312,7 +315,7 @@ def prepare(base: DataFrame, k: int, config: KnnConfig = KnnConfig(), tree: Cell
         locs = own.keep(celled)
         if pivots is not None:
             table = pivot_table(locs, pivots, "m")
-        size = _block_rows(base.sparkSession, rows, tree.cells if pivots is None else pivots.cells, config)
+        size = _block_rows(base.sparkSession, rows, tree.cells if pivots is None else pivots.cells, dims, config)
         blocks = own.keep(staged(_blocks(locs, "cell", size, ["loc", "m"]), "base-blocks"))
         return Prepared(locs, blocks, cell_table(locs, dims, "m"), tree, k, dims, rows, size, crowded, config, pivots, table, lower, upper)
 
@@ -373,11 +376,77 @@ def _remote(routed: DataFrame, near: DataFrame, met: Callable[[DataFrame, str],
 
 
 def _compared_with_all(bounded: DataFrame, base: Prepared, k: int, float32: bool) -> DataFrame:
-    """(q, near) by comparing all blocks with all, each query within its bound; staged."""
-    size = _block_rows(bounded.sparkSession, base.rows, 1, base.config)
-    queries = staged(_blocks(bounded.withColumn("cell", F.lit(0)), "cell", size, ["q", "bound"]), "query-blocks")
-    blocks = staged(_blocks(base.locs.withColumn("cell", F.lit(0)), "cell", size, ["loc", "m"]), "all-blocks")
-    return staged(_first(_meet(queries, blocks, k, base.dims, float32), k, base.rows > MANY_LISTS * size), "neighbours")
+    """(q, near) by comparing all with all, each query within its bound; staged.
+
+    Both sides are dealt into strips of at most STRIP_COORDINATES, so that every task has two of them, and keeps k of each
+    query of one in the other: what is shuffled grows with the number of strips, not of blocks.
+    """
+    kind, dims = np.float32 if float32 else np.float64, base.dims
+    cores, most = base.locs.sparkSession.sparkContext.defaultParallelism, max(1, STRIP_COORDINATES // dims)
+    asked = bounded.count()
+    wide = [max(1, min(-(-n // LEAST_BLOCK), max(-(-n // most), int(np.ceil(np.sqrt(4 * cores)))))) for n in (asked, base.rows)]
+    left = _strips(bounded, wide[0], {"q": np.int64, "bound": np.float64}, dims, "query-strips")
+    right = _strips(base.locs, wide[1], {"loc": np.int64, "m": np.int32}, dims, "all-strips")
+    left = left.withColumn("facing", F.explode(F.sequence(F.lit(0), F.lit(wide[1] - 1)))).withColumn("pair", F.col("strip") * wide[1] + F.col("facing"))
+    right = right.withColumn("facing", F.explode(F.sequence(F.lit(0), F.lit(wide[0] - 1)))).withColumn("pair", F.col("facing") * wide[1] + F.col("strip"))
+
+    def compare(queries: pa.Table, points: pa.Table) -> pa.Table:
+        out = _NEAR.empty_table()
+        if queries.num_rows and points.num_rows:
+            (q, bound, x), (loc, m, y) = _unpacked(queries, ("q", "bound"), (np.int64, np.float64), dims), _unpacked(points, ("loc", "m"), (np.int64, np.int32), dims)
+            order = np.argsort(loc, kind="stable")  # ties go by location
+            loc, m = loc[order], m[order]
+            rows, own, d2 = filtered_within(x.astype(kind), y.astype(kind)[order], np.arange(len(loc)), k, bound)
+            starts = np.flatnonzero(np.diff(rows, prepend=-1))
+            near = pa.StructArray.from_arrays([pa.array(v) for v in (d2.astype(float), loc[own], m[own])], ["d2", "loc", "m"])
+            lists = pa.ListArray.from_arrays(pa.array(np.append(starts, len(rows)).astype(np.int32)), near)
+            out = pa.Table.from_arrays([pa.array(q[rows[starts]]), lists, pa.array(np.full(len(starts), points.column("strip")[0].as_py(), np.int32))], schema=_NEAR)
+        return out
+
+    met = left.select("pair", "q", "bound", "flat").groupBy("pair").cogroup(right.select("pair", "strip", "loc", "m", "flat").groupBy("pair"))
+    found = met.applyInArrow(compare, "q long, near array<struct<d2: double, loc: long, m: int>>, strip int")
+    return staged(_first(found, k, wide[1] > MANY_LISTS), "neighbours")
+
+
+_NEAR = pa.schema([("q", pa.int64()), ("near", pa.list_(pa.struct([("d2", pa.float64()), ("loc", pa.int64()), ("m", pa.int32())]))), ("strip", pa.int32())])
+
+
+def _strips(rows: DataFrame, wide: int, columns: dict[str, type], dims: int, name: str) -> DataFrame:
+    """(strip, columns..., flat): `rows` dealt into `wide` strips, some at a time; numbers and coordinates are packed as bytes,
+    in 32 bits where these say the same. Staged."""
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            held, n = [*held, batch], n + batch.num_rows
+            if n * dims >= STRIP_COORDINATES:
+                yield from packed(held)
+                held, n = [], 0
+        yield from packed(held)
+
+    def packed(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not sum(b.num_rows for b in held):
+            return
+        table = pa.Table.from_batches(held).combine_chunks()
+        flat = flat_coords(table.column("coords").combine_chunks())
+        single = flat.astype(np.float32)
+        flat = single if (single == flat).all() else flat
+        values = [table.column(c).to_numpy().astype(kind) for c, kind in columns.items()]
+        for strip in range(min(wide, len(flat))):
+            yield pa.RecordBatch.from_arrays([pa.array([strip], pa.int32()), *(pa.array([v[strip::wide].tobytes()], pa.binary()) for v in (*values, flat))], names=["strip", *columns, "flat"])
+
+    made = rows.select(*columns, "coords").mapInArrow(deal, f"strip int, {', '.join(f'{c} binary' for c in columns)}, flat binary")
+    return staged(made, name)
+
+
+def _unpacked(table: pa.Table, columns: tuple[str, ...], kinds: tuple[type, ...], dims: int) -> tuple[np.ndarray, ...]:
+    """The `columns` of packed rows, and their coordinates as a matrix."""
+    out = [np.frombuffer(b"".join(table.column(c).to_pylist()), kind) for c, kind in zip(columns, kinds)]
+    parts = []
+    for ids, flat in zip(table.column(columns[0]).to_pylist(), table.column("flat").to_pylist()):
+        double = len(flat) == len(ids) * dims  # ids have eight bytes each
+        parts.append(np.frombuffer(flat, np.float64 if double else np.float32).reshape(-1, dims).astype(float))
+    return *out, np.concatenate(parts)
 
 
 def _rows(found: DataFrame, base: Prepared, k: int) -> DataFrame:
@@ -468,7 +537,7 @@ def radius_join(queries: DataFrame, base: DataFrame, sq_radius: float, config: K
     with scope(base.sparkSession) as own:
         rows = base.count()
         tree = partition(base, rows, dims, config)
-        size = _block_rows(base.sparkSession, rows, tree.cells, config)
+        size = _block_rows(base.sparkSession, rows, tree.cells, dims, config)
         celled = staged(with_cell(base.select(F.col("id").alias("loc"), "coords", F.lit(1).alias("m")), tree), "celled")
         blocks = own.keep(staged(_blocks(celled, "cell", size, ["loc", "m"]), "base-blocks"))
         placed = with_cell(queries.select(F.col("id").alias("q"), "coords"), tree).withColumn("bound", F.lit(float(sq_radius)))
