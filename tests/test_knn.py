@@ -370,6 +370,22 @@ def test_radius(spark):
     assert found == {(q, p): d for (q, _), (p, d) in brute(pts, pts, len(pts)).items() if d <= 4.0}
 
 
+@pytest.mark.parametrize("crowd, listed", [(512, 1 << 19), (4, 6)])
+def test_places_meet_within_a_radius(spark, monkeypatch, crowd, listed):
+    """Crowds, one of them large, are compared once a place: all pairs of ids are there, and few distances were asked for."""
+    monkeypatch.setattr(search, "CROWD", crowd)
+    monkeypatch.setattr(search, "LISTED", listed)
+    met, meet = [], search._meet_crowds
+    monkeypatch.setattr(search, "_meet_crowds", lambda q, p, d: met.append(p.select(search.F.explode("loc")).count()) or meet(q, p, d))
+    base = [(i, [float(i % 5), float(i % 3)]) for i in range(150)] + [(200 + i, [9.0, 9.0]) for i in range(60)] + [(3, [9.5, 9.0]), (3, [9.5, 9.0])]
+    wanted = [(7, [9.0, 9.0]), (7, [9.0, 9.0]), (8, [0.0, 1.0]), (9, [50.0, 0.0])]
+    want = lambda q: sorted((i, j, sum((a - b) ** 2 for a, b in zip(x, y))) for i, x in q for j, y in base if sum((a - b) ** 2 for a, b in zip(x, y)) <= 1.0)
+    df = frame(spark, base)
+    assert sorted(map(tuple, radius_join(df, df, 1.0, SMALL).collect())) == want(base)
+    assert sorted(map(tuple, radius_join(frame(spark, wanted), df, 1.0, SMALL).collect())) == want(wanted)
+    assert max(met) == 17 if crowd > 60 else 17 < max(met) < 150
+
+
 def test_float32(spark):
     pts = [(i, [1.0 + i * 1e-9]) for i in range(6)]  # all one in 32 bits
     assert {v[1] for v in as_dict(knn(frame(spark, pts), 3, float32=True)).values()} == {0.0}

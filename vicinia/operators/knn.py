@@ -52,6 +52,8 @@ FEW_BLOCKS, LEAST_BLOCK = 4, 64
 #: Beyond PRUNED_DIMS: points that a block may hold at least, as products of matrices want many, and coordinates of a strip of
 #: points that meets another in a task.
 DENSE_BLOCK, STRIP_COORDINATES = 4096, 1 << 21
+#: Points of a place that are listed together, pairs of places that are compared at once, and ids that are sent on together.
+CROWD, COMPARED, LISTED = 512, 1 << 21, 1 << 19
 #: Lists of a query up to which they are merged at once; more are merged by strips first.
 MANY_LISTS = 256
 
@@ -531,18 +533,76 @@ def knn_columns(pts: DataFrame, k: int, config: KnnConfig = KnnConfig()) -> Data
 
 
 def radius_join(queries: DataFrame, base: DataFrame, sq_radius: float, config: KnnConfig = KnnConfig()) -> DataFrame:
-    """(query_id, neighbor_id, d2): all points of `base` within the radius of each of `queries`, at it included."""
+    """(query_id, neighbor_id, d2): all points of `base` within the radius of each of `queries`, at it included.
+
+    Where several points lie at one place, places meet, with lists of their ids, and the pairs of ids are formed in the scan of
+    what met; they are the result, whose rows may grow with the square of the points, and are held nowhere.
+    """
     if (dims := dimension(base)) is None:
         return _none(base).drop("rank")
     with scope(base.sparkSession) as own:
-        rows = base.count()
-        tree = partition(base, rows, dims, config)
+        if (crowds := _crowds(base)) is None:
+            points, wanted = base.select("id", F.col("id").alias("loc"), "coords", F.lit(1).alias("m")), queries.select(F.col("id").alias("q"), "coords")
+        else:
+            others = crowds if queries is base else _crowds(queries, always=True)
+            points, wanted = crowds.select(F.col("n").alias("id"), F.col("n").alias("loc"), "coords", "ids"), others.select(F.col("n").alias("q"), "coords")
+        rows, kept = points.count(), "m" if crowds is None else "ids"
+        tree = partition(points, rows, dims, config)
         size = _block_rows(base.sparkSession, rows, tree.cells, dims, config)
-        celled = staged(with_cell(base.select(F.col("id").alias("loc"), "coords", F.lit(1).alias("m")), tree), "celled")
-        blocks = own.keep(staged(_blocks(celled, "cell", size, ["loc", "m"]), "base-blocks"))
-        placed = with_cell(queries.select(F.col("id").alias("q"), "coords"), tree).withColumn("bound", F.lit(float(sq_radius)))
+        celled = staged(with_cell(points.select("loc", "coords", kept), tree), "celled")
+        blocks = own.keep(staged(_blocks(celled, "cell", size, ["loc", kept]), "base-blocks"))
+        placed = with_cell(wanted, tree).withColumn("bound", F.lit(float(sq_radius)))
         met = placed.select("q", "coords", "bound", "cell")
         if tree.cells > 1:
             met = met.unionByName(routes(placed, cell_table(celled, dims), tree).select(met.columns))
-        near = _meet(own.keep(staged(_blocks(met, "cell", size, ["q", "bound"]), "query-blocks")), blocks, None, dims, False)
+        columns = ["q", "bound"]
+        if crowds is not None:
+            met, columns = met.join(others.select(F.col("n").alias("of"), "ids"), F.col("q") == F.col("of")).drop("of"), ["q", "bound", "ids"]
+        asked = own.keep(staged(_blocks(met, "cell", size, columns), "query-blocks"))
+    if crowds is not None:
+        return _meet_crowds(asked, blocks, dims)
+    near = _meet(asked, blocks, None, dims, False)
     return near.select(F.col("q").alias("query_id"), F.explode("near").alias("n")).select("query_id", F.col("n.loc").alias("neighbor_id"), F.col("n.d2").alias("d2"))
+
+
+def _crowds(pts: DataFrame, always: bool = False) -> DataFrame | None:
+    """(n, coords, ids): the places of `pts` with their ids, numbered; a place of more than about CROWD points is there with several
+    lists of them. None where no place has two points, unless `always`. Staged."""
+    counts = staged(pts.groupBy("coords").agg(F.count(F.lit(1)).alias("points")), "places")
+    most = counts.agg(F.max("points")).first()[0] or 0
+    if most <= 1 and not always:
+        return None
+    if most <= CROWD:
+        lists = pts.groupBy("coords").agg(F.collect_list("id").alias("ids"))
+    else:
+        dealt = spread_join(pts.select("id", "coords"), counts.withColumnRenamed("coords", "at"), ["coords"], ["at"], "id", hot_keys(counts))
+        part = F.pmod(F.xxhash64("id"), F.ceil(F.col("points") / CROWD)).alias("part")
+        lists = dealt.groupBy("coords", part).agg(F.collect_list("id").alias("ids"))
+    return staged(lists.select(F.monotonically_increasing_id().alias("n"), "coords", "ids"), "crowds")
+
+
+def _meet_crowds(queries: DataFrame, base: DataFrame, dims: int) -> DataFrame:
+    """(query_id, neighbor_id, d2) of blocks of places (cell, q, bound, ids, flat) and (cell, loc, ids, flat): tasks find the places
+    that are near, some pairs at a time, and every id of one meets every id of the other in generated code."""
+    left = _facing(queries, base).select(F.col("cell").alias("q_cell"), F.col("strip").alias("q_strip"), F.col("facing").alias("q_facing"), F.col("ids").alias("q_ids"), "bound", F.col("flat").alias("q_flat"))
+    right = _facing(base, queries).select("cell", "strip", "facing", "ids", F.col("flat").alias("p_flat"))
+    search = indexed_within if dims <= PRUNED_DIMS else filtered_within
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                q_ids, bound, q_flat, ids, p_flat = (batch.column(i)[row].values for i in range(5))
+                a, b = (x.to_numpy(zero_copy_only=False).reshape(-1, dims) for x in (q_flat, p_flat))
+                bound, held = bound.to_numpy(zero_copy_only=False), [x.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64) for x in (q_ids, ids)]
+                step = max(1, COMPARED // len(b))
+                for at in range(0, len(a), step):
+                    rows, own, d2 = search(a[at : at + step], b, np.arange(len(b)), None, bound[at : at + step])
+                    part = np.cumsum(held[0][at + rows] + held[1][own]) // LISTED
+                    for cut in np.split(np.arange(len(rows)), np.flatnonzero(np.diff(part)) + 1):
+                        if len(cut):
+                            yield pa.RecordBatch.from_arrays([q_ids.take(pa.array(at + rows[cut])), ids.take(pa.array(own[cut])), pa.array(d2[cut])], names=["q_ids", "ids", "d2"])
+
+    on = (F.col("q_cell") == F.col("cell")) & (F.col("q_strip") == F.col("facing")) & (F.col("q_facing") == F.col("strip"))
+    met = left.join(right, on).select("q_ids", "bound", "q_flat", "ids", "p_flat")
+    near = met.mapInArrow(compare, "q_ids array<long>, ids array<long>, d2 double")
+    return near.select(F.explode("q_ids").alias("query_id"), "ids", "d2").select("query_id", F.explode("ids").alias("neighbor_id"), "d2")
